@@ -2,15 +2,28 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vintagepanel.llm import exact_dedup, line_dedup, ring_sharding
+from vintagepanel.llm import byte_bpe, exact_dedup, line_dedup, ring_sharding, warc
 from vintagepanel.llm.common import table
 
 #: Shards of op9_ring_sharding.
 SHARDS = 24
 
 
+#: Rank file of op3_byte_bpe.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op1(spark, table(spark, sf_dir, "pages"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.op3(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -25,10 +38,11 @@ def op9_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op5_exact_dedup, op8_line_dedup, op9_ring_sharding)
+    for f in (op1_warc, op3_byte_bpe, op5_exact_dedup, op8_line_dedup, op9_ring_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
