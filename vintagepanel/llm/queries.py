@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vintagepanel.llm import byte_bpe, exact_dedup, line_dedup, ring_sharding, warc
+from vintagepanel.llm import byte_bpe, exact_dedup, jaccard_join, line_dedup, ring_sharding, warc
 from vintagepanel.llm.common import table
 
 #: Shards of op9_ring_sharding.
@@ -36,9 +36,13 @@ def op9_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op10(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op3_byte_bpe, op5_exact_dedup, op8_line_dedup, op9_ring_sharding)
+    for f in (op1_warc, op3_byte_bpe, op5_exact_dedup, op8_line_dedup, op9_ring_sharding, op10_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
