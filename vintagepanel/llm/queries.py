@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vintagepanel.llm import byte_bpe, exact_dedup, jaccard_join, line_dedup, ring_sharding, warc
+from vintagepanel.llm import byte_bpe, exact_dedup, jaccard_join, line_dedup, ring_sharding, toxicity, warc
 from vintagepanel.llm.common import table
 
 #: Shards of op9_ring_sharding.
@@ -28,6 +28,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op7(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op8(spark, table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op3_byte_bpe, op5_exact_dedup, op8_line_dedup, op9_ring_sharding, op10_jaccard_join)
+    for f in (op1_warc, op3_byte_bpe, op5_exact_dedup, op7_toxicity, op8_line_dedup, op9_ring_sharding, op10_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
