@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vintagepanel.llm import byte_bpe, exact_dedup, jaccard_join, line_dedup, ring_sharding, toxicity, warc
+from vintagepanel.llm import ann_tree, byte_bpe, exact_dedup, jaccard_join, line_dedup, ring_sharding, toxicity, warc
 from vintagepanel.llm.common import table
 
 #: Shards of op9_ring_sharding.
@@ -24,6 +24,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.op3(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op4_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.op4(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op3_byte_bpe, op5_exact_dedup, op7_toxicity, op8_line_dedup, op9_ring_sharding, op10_jaccard_join)
+    for f in (op1_warc, op3_byte_bpe, op4_ann_tree, op5_exact_dedup, op7_toxicity, op8_line_dedup, op9_ring_sharding, op10_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
