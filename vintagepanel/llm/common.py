@@ -42,24 +42,25 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def running_sum(df: DataFrame, group: list[str], order: list[Column], key: Column, value: Column, out: str, rows_per_cell: int = 50_000, cells: int = 4096) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], order: list[Column], key: Column, value: Column, out: str, rows: int | None = None, rows_per_cell: int = 10_000, cells: int = 4096) -> DataFrame:
     """Add out: the sum of value over the rows of the group that come before this row.
 
     The order within a group is by a fixed cell of the row's key (a 64-bit hash, so cells
     are even), then by order. Each cell is summed by itself and cells are offset by a
     prefix sum over the table of cells, so that no task holds a whole group, however
-    large. The number of cells follows the number of rows, up to cells for a group.
+    large. The number of cells follows the number of rows (counted, unless given), up to
+    cells for a group. The table of cells is broadcast while it is small.
     """
-    n = df.count()
+    n = df.count() if rows is None else rows
     per_group = max(1, min(cells, n // rows_per_cell))
     celled = df.withColumn("_cell", F.pmod(F.shiftrightunsigned(key, 20), F.lit(per_group)))
     totals = celled.groupBy(*group, "_cell").agg(F.sum(value).alias("_sum"))
-    offsets = totals.select(*group, "_cell", (F.sum("_sum").over(W.partitionBy(*group).orderBy("_cell")) - F.col("_sum")).alias("_offset"))
-    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in [*group, "_cell"]]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
+    ahead = F.sum("_sum").over(W.partitionBy(*group).orderBy("_cell")) - F.col("_sum")
+    offsets = scratch_table(totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_cell").alias("_c"), ahead.alias("_offset")), "cells")
+    on = F.col("_cell") == F.col("_c")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     within = W.partitionBy(*group, "_cell").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = celled.withColumn("_within", F.sum(value).over(within) - value)
-    joined = summed.alias("a").join(offsets.alias("b"), on)
-    return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("b._offset") + F.col("a._within")).alias(out))
+    joined = summed.join(small_or_shuffled(offsets, offsets.count(), 100_000), on)
+    return joined.select(*df.columns, (F.col("_offset") + F.col("_within")).alias(out))

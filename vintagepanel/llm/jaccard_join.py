@@ -28,7 +28,7 @@ _COLUMNS = 8192
 
 
 def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """id, fp (digest of the set, null without n-grams), grams, bands of every row."""
+    """id, h, fp (digest of the set, null without n-grams), grams, bands of every row (id, text, h)."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,10 +40,10 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 sizes = np.diff(begins)
                 fp = [shingles.set_digest(hashes[a:b]) if b > a else None for a, b in zip(begins[:-1], begins[1:], strict=True)]
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * bands, pa.int32()), pa.array(signed.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(fp, pa.binary()), pa.array(sizes.astype(np.int64)), listed], ["id", "fp", "grams", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(fp, pa.binary()), pa.array(sizes.astype(np.int64)), listed], ["id", "h", "fp", "grams", "bands"])
                 at += len(part)
 
-    return docs.mapInArrow(run, f"id {id_type}, fp binary, grams long, bands array<long>")
+    return docs.mapInArrow(run, f"id {id_type}, h long, fp binary, grams long, bands array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -161,26 +161,19 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.999, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links.
-
-    Two rows are linked if the Jaccard similarity of their n-gram sets is at least
-    `similarity`. class_id is the smallest id of the connected component; n_links counts
-    the other rows linked to this one, copies included. Rows without words have no
-    links and their own class. Null ids have no say in class_id (it is null if a class
-    has no id); each repeated row counts. Other columns are not read. An empty table
-    gives no rows. Band count follows from `recall` at exactly this similarity.
-    """
+def _row_classes(docs: DataFrame, id_col: str, text_col: str, n: int, similarity: float, recall: float, broadcast_rows: int) -> DataFrame:
+    """id, h (hash of the text), first (the row that names the class: order, id, h), n_links of every row."""
     bands, rows = shingles.band_plan(similarity, recall)
-    read = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"))
+    read = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("h"))
     signed = scratch_table(_signatures(read, n, bands, rows), "signatures")
-    classes = signed.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    name = F.struct(F.col("id").isNull().alias("unnamed"), "id", "h")
+    classes = signed.filter("fp IS NOT NULL").groupBy("fp").agg(F.min(name).alias("rep"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
     classes = scratch_table(classes, "classes")
-    banded = classes.select("fp", "rep", "grams", F.posexplode("bands").alias("band", "bucket"))
+    banded = classes.select("fp", F.col("rep.id").alias("rep"), "grams", F.posexplode("bands").alias("band", "bucket"))
     marks = [F.bit_xor(F.xxhash64("fp")).alias("x1"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("x2")]
     buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("members"), F.sum("grams").alias("weight"), *marks).filter("members > 1")
-    first = buckets.groupBy("members", "weight", "x1", "x2").agg(F.min_by(F.struct("band", "bucket"), F.struct("band", "bucket")).alias("k")).select("k.band", "k.bucket", "members", "weight")
-    first = scratch_table(first, "buckets")
+    key = F.struct("band", "bucket")
+    first = scratch_table(buckets.groupBy("members", "weight", "x1", "x2").agg(F.min(key).alias("k")).select("k.band", "k.bucket", "members", "weight"), "buckets")
     chunks = F.greatest(F.ceil(F.col("members") / CHUNK_MEMBERS), F.ceil(F.col("weight") / CHUNK_GRAMS)).cast("int")
     placed = banded.join(small_or_shuffled(first, first.count(), broadcast_rows), ["band", "bucket"])
     placed = placed.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("fp", "band"), F.col("chunks")).cast("int"))
@@ -194,10 +187,36 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     roots = components(found.filter("b IS NOT NULL"))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
     joined = classes.select("fp", "rep", "copies").join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(links, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = joined.groupBy("root").agg(F.min("rep").alias("class_id"))
-    by_class = scratch_table(joined.join(named, "root").select(F.col("fp").alias("f"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "class-of")
-    out = signed.select("id", "fp").join(by_class, F.col("fp") == F.col("f"), "left")
-    return out.select(F.col("id").alias("doc_id"), F.when(F.col("f").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = joined.groupBy("root").agg(F.min("rep").alias("first"))
+    by_class = scratch_table(joined.join(named, "root").select(F.col("fp").alias("f"), "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "class-of")
+    out = signed.select("id", "h", "fp").join(by_class, F.col("fp") == F.col("f"), "left")
+    return out.select("id", "h", F.when(F.col("f").isNull(), name).otherwise(F.col("first")).alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.999, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, n_links.
+
+    Two rows are linked if the Jaccard similarity of their n-gram sets is at least
+    `similarity`. class_id is the smallest id of the connected component; n_links counts
+    the other rows linked to this one, copies included. Rows without words have no
+    links and their own class. Null ids have no say in class_id (it is null if a class
+    has no id); each repeated row counts. Other columns are not read. An empty table
+    gives no rows. Band count follows from `recall` at exactly this similarity.
+    """
+    rows = _row_classes(docs, id_col, text_col, n, similarity, recall, broadcast_rows)
+    return rows.select(F.col("id").alias("doc_id"), F.col("first.id").alias("class_id"), "n_links")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.999, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, less those whose class has a row of smaller id (of equal ids, of smaller text hash).
+
+    Rows with equal id and text stay or go together.
+    """
+    rows = _row_classes(docs, id_col, text_col, n, similarity, recall, broadcast_rows)
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    gone = scratch_table(rows.filter(~is_first).select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct(), "near-copies")
+    on = docs[f"`{id_col}`"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col("_gone_h"))
+    return docs.join(small_or_shuffled(gone, gone.count(), broadcast_rows), on, "left_anti")
 
 
 def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -5,13 +5,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vintagepanel.llm import ann_tree, byte_bpe, exact_dedup, jaccard_join, line_dedup, ring_sharding, toxicity, warc
+from vintagepanel.llm import ann_tree, byte_bpe, exact_dedup, html_text, jaccard_join, line_dedup, mixing, ring_sharding, toxicity, warc
 from vintagepanel.llm.common import table
 
 #: Shards of op9_ring_sharding.
 SHARDS = 24
 
 
+#: Repetition limit of op6_mixing and of the pipeline.
+MAX_REPEATS = 2.0
 #: Rank file of op3_byte_bpe.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -20,6 +22,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op1(spark, table(spark, sf_dir, "pages"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op2(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.op3(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
@@ -32,6 +38,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op6(spark, table(spark, sf_dir, "documents"), MAX_REPEATS)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op7(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +60,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op3_byte_bpe, op4_ann_tree, op5_exact_dedup, op7_toxicity, op8_line_dedup, op9_ring_sharding, op10_jaccard_join)
+    for f in (op1_warc, op2_html_text, op3_byte_bpe, op4_ann_tree, op5_exact_dedup, op6_mixing, op7_toxicity, op8_line_dedup, op9_ring_sharding, op10_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
