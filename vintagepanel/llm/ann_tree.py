@@ -191,10 +191,17 @@ def best_of_block(queries: np.ndarray, block: np.ndarray, ids: list[list[int]],
 
 
 def _searched(units: DataFrame, keep: int) -> DataFrame:
-    """Rows dealt by (leaf, block), entries before queries, in; key, id, score of each query's best in each block out."""
+    """Rows dealt by (leaf, block), entries before queries, in; key, id, score out: each query's best of the blocks of a task, combined there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held, ids, block = None, [], [], None
+        best: dict[bytes, list[tuple[float, int]]] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(k, i, s) for k, found in best.items() for s, i in found]
+            best.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["key", "id", "score"])
+
         for batch in batches:
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             marks = list(zip(c["leaf"].to_pylist(), c["block"].to_pylist(), c["side"].to_pylist(), strict=True))
@@ -211,11 +218,14 @@ def _searched(units: DataFrame, keep: int) -> DataFrame:
                     ids += c["ids"].slice(at, end - at).to_pylist()
                 elif held:
                     block = np.concatenate(held) if block is None else block
-                    found = best_of_block(v, block, ids, keep)
-                    keys = c["key"].slice(at, end - at).to_pylist()
-                    rows = [(k, i, s) for k, best in zip(keys, found, strict=True) for s, i in best]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["key", "id", "score"])
+                    for key, found in zip(c["key"].slice(at, end - at).to_pylist(), best_of_block(v, block, ids, keep), strict=True):
+                        before = best.get(key)
+                        best[key] = sorted(before + found, key=lambda x: (-x[0], x[1]))[:keep] if before else found
+                    if len(best) >= LOCAL_ROWS:
+                        yield out()
                 at = end
+        if best:
+            yield out()
 
     return units.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "side").mapInArrow(run, "key binary, id long, score double")
 
