@@ -1 +1 @@
-"""Part of vintagepanel; see the package docstring."""
+"""Whole questions built from operators, each with the same in SQL."""
