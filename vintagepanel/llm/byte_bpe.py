@@ -34,7 +34,7 @@ ENDED, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACES, AFTER_SPACE, ONE_LEFT, TWO_L
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 #: Code points handled at a time, and merged pieces kept by a worker.
-BATCH_CHARS, CACHE_PIECES = 1 << 20, 400_000
+BATCH_CHARS, CACHE_PIECES = 1 << 20, 300_000
 _BLOCK = 64
 
 
@@ -256,15 +256,20 @@ def encode(docs: DataFrame, ranks_file: bytes, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(shared.value)
-        for batch in batches:
-            at = 0
-            for part in _parts([t or "" for t in batch.column(1).to_pylist()]):
-                ids = vocabulary.encode(part)
-                columns = [batch.column(0).slice(at, len(part)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                if offsets:
-                    columns.append(pa.array([vocabulary.starts(x) for x in ids], pa.binary()))
-                at += len(part)
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "starts"][: len(columns)])
+        try:
+            for batch in batches:
+                at = 0
+                for part in _parts([t or "" for t in batch.column(1).to_pylist()]):
+                    ids = vocabulary.encode(part)
+                    columns = [batch.column(0).slice(at, len(part)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                    if offsets:
+                        columns.append(pa.array([vocabulary.starts(x) for x in ids], pa.binary()))
+                    at += len(part)
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "starts"][: len(columns)])
+        finally:
+            # workers outlive tasks: what one has merged must not stay in memory while others run
+            vocabulary.cached.clear()
+            pa.default_memory_pool().release_unused()
 
     schema = f"doc_id {id_type}, n_tokens long, ids binary" + ", starts binary" * offsets
     return docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].cast("string").alias("text")).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from vintagepanel.llm import shingles
 from vintagepanel.llm.common import scratch_table, small_or_shuffled
 
 #: Members and n-grams of a chunk at most (about), and candidate ids that are broadcast.
-CHUNK_MEMBERS, CHUNK_GRAMS, BROADCAST_ROWS = 256, 1_000_000, 500_000
+CHUNK_MEMBERS, CHUNK_GRAMS, BROADCAST_ROWS = 256, 400_000, 500_000
 _COLUMNS = 8192
 
 
