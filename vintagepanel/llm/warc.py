@@ -73,10 +73,8 @@ def records(data: pa.Buffer, wanted, payloads: bool) -> Iterator[tuple[dict[str,
     while at < len(view):
         jump = None
         if view[at + 3] & 4:
-            size = struct.unpack_from("<H", view, at + 10)[0]
             if bytes(view[at + 12 : at + 14]) == b"sl":
                 jump = struct.unpack_from("<I", view, at + 16)[0]
-            _ = size
         inflate = zlib.decompressobj(31)
         end = at + jump if jump else len(view)
         head = inflate.decompress(view[at:end], 2048)
@@ -145,12 +143,13 @@ class WarcReader(DataSourceReader):
             room -= found[name]
         return out
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        """Spark passes no partition where there are no files."""
         fs, root = pafs.FileSystem.from_uri(self.path)
         wanted = lambda h: all(h.get(k) in values for k, values in self.equal.items())
         rows: list[tuple] = []
         size = 0
-        for name in partition.names:
+        for name in partition.names if partition else []:
             with fs.open_input_file(posixpath.join(root, name)) as f:
                 data = f.read_buffer()
             for h, payload in records(data, wanted, self.payloads):
