@@ -111,7 +111,10 @@ def first_present(*columns: str) -> Column:
 
 def flatten_estimates(raw: DataFrame, run_date: str) -> DataFrame:
     """entity with arrays quarterly and annual of maps to rows: alternative keys tried in turn, as-of date the run's where none is given, the raw entry kept as JSON."""
-    tagged = F.concat(*[F.transform(F.col(c), lambda m, c=c: F.struct(F.lit(c).alias("period_type"), m.alias("m"))) for c in ("quarterly", "annual")])
+    def tagged_as(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda m: F.struct(F.lit(kind).alias("period_type"), m.alias("m")))
+
+    tagged = F.concat(tagged_as("quarterly"), tagged_as("annual"))
     rows = raw.select("entity", F.explode(tagged).alias("x"))
     pick = lambda *keys: F.coalesce(*[F.nullif(F.try_element_at(F.col("x.m"), F.lit(k)), F.lit("")) for k in keys])
     return rows.select("entity", "x.period_type", pick("date", "fiscalDateEnding").alias("fiscal_date"), F.coalesce(pick("asof", "updated"), F.lit(run_date)).alias("asof"), pick("revenueAvg", "estimatedRevenueAvg").try_cast("double").alias("avg"), pick("revenueHigh", "estimatedRevenueHigh").try_cast("double").alias("high"), pick("revenueLow", "estimatedRevenueLow").try_cast("double").alias("low"), F.to_json("x.m").alias("raw"))
