@@ -277,3 +277,19 @@ def test_stream_merge(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out" / "version=0")).count() == 3
+
+
+def test_learners_find_a_planted_effect(spark):
+    from vintagepanel.operators import learners
+
+    df, rows = _panel(spark, n_q=16, n_e=12)
+    df = df.cache()
+    truth = np.array([r[5] for r in rows])
+    for name, learner in (("forest", learners.forest(trees=10, depth=5, leaf=2)), ("boosting", learners.boosting(rounds=8)), ("net", learners.linear(0.001))):
+        got = learners.walk_forward(df, "y", ["x", "z"], learner, name, groups=["g", "h"], warmup=4, min_train=30, refit_every=6, scale=name == "net")
+        s = evaluation.score(got).first()
+        assert s.n == 12 * 12 and s.rmse < 0.6 * truth.std()
+    gains = {r.feature: r.gain_pct for r in learners.importance(df, "y", ["x", "z"], learners.forest(trees=10, depth=5)).collect()}
+    assert gains["x"] > 70 and sum(gains.values()) == pytest.approx(100)
+    damage = {r.feature: r.damage for r in learners.permutation_importance(df, "y", ["x", "z"], learners.linear(0.001), 12).collect()}
+    assert damage["x"] > 10 * abs(damage["z"])
