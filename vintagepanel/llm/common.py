@@ -1,8 +1,13 @@
 """What the operators share: tables, scratch tables in the shared folder, and running sums without a hot task."""
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,6 +38,32 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch of whole texts, where the session has Spark's own default.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark cut Arrow batches by bytes: rows of whole texts differ in size by thousands."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64MB", "67108864b"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose task hands free memory back to the system at its end: Python workers outlive tasks, and all of an executor's share its limit."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def small_or_shuffled(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are within limit; beyond it Spark shuffles both sides."""
     return F.broadcast(df) if rows <= limit else df

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from vintagepanel.llm.common import giving_back, small_batches
 from vintagepanel.llm.shingles import parts, word_hashes
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""", re.S)
@@ -289,6 +290,7 @@ def extract(pages: DataFrame, labeller: Labeller | None = None, id_col: str = "p
     points. Null ids and urls, repeated rows and other columns (not read) do no harm; an
     empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(labeller or default_labeller())
     id_type = pages.schema[id_col].dataType.simpleString()
 
@@ -301,7 +303,7 @@ def extract(pages: DataFrame, labeller: Labeller | None = None, id_col: str = "p
                 at += len(part)
 
     read = pages.select(pages[f"`{id_col}`"].alias("page_id"), pages[f"`{url_col}`"].cast("string").alias("url"), pages[f"`{html_col}`"].cast("string").alias("html"))
-    return read.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")
+    return read.mapInArrow(giving_back(run), f"page_id {id_type}, url string, text string, n_chars long")
 
 
 def op2(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagepanel.llm import shingles
-from vintagepanel.llm.common import scratch_table, small_or_shuffled
+from vintagepanel.llm.common import giving_back, scratch_table, small_batches, small_or_shuffled
 
 #: Members and n-grams of a chunk at most (about), and candidate ids that are broadcast.
 CHUNK_MEMBERS, CHUNK_GRAMS, BROADCAST_ROWS = 256, 400_000, 500_000
@@ -43,7 +43,7 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(fp, pa.binary()), pa.array(sizes.astype(np.int64)), listed], ["id", "h", "fp", "grams", "bands"])
                 at += len(part)
 
-    return docs.mapInArrow(run, f"id {id_type}, h long, fp binary, grams long, bands array<long>")
+    return docs.mapInArrow(giving_back(run), f"id {id_type}, h long, fp binary, grams long, bands array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -56,7 +56,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 found = [hashes[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array([shingles.set_digest(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["fp", "set"])
 
-    return docs.select("text").mapInArrow(run, "fp binary, set binary")
+    return docs.select("text").mapInArrow(giving_back(run), "fp binary, set binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -139,7 +139,7 @@ def _verified(units: DataFrame, similarity: float) -> DataFrame:
         if (out := flush(rows)) is not None:
             yield out
 
-    return units.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a binary, b binary, links long")
+    return units.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(giving_back(run), "a binary, b binary, links long")
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -163,6 +163,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 def _row_classes(docs: DataFrame, id_col: str, text_col: str, n: int, similarity: float, recall: float, broadcast_rows: int) -> DataFrame:
     """id, h (hash of the text), first (the row that names the class: order, id, h), n_links of every row."""
+    small_batches(docs.sparkSession)
     bands, rows = shingles.band_plan(similarity, recall)
     read = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("h"))
     signed = scratch_table(_signatures(read, n, bands, rows), "signatures")

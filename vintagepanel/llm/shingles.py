@@ -15,7 +15,7 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WORD_BASE, _GRAM_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 #: Characters hashed at a time.
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vintagepanel.llm.common import giving_back, small_batches
 from vintagepanel.llm.shingles import parts
 
 #: Length of subsequences, the longest stretch one spans, and the weight of each gap.
@@ -270,6 +271,7 @@ def score(docs: DataFrame, model: Machine | float, id_col: str = "doc_id", text_
     an empty one and is scored as a stretch of blanks. Null ids, repeated rows and other
     columns (not read) do no harm; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -282,12 +284,13 @@ def score(docs: DataFrame, model: Machine | float, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(found, pa.float64())], ["doc_id", "score"])
                 at += len(part)
 
-    out = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, score double")
+    out = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].cast("string").alias("text")).mapInArrow(giving_back(run), f"doc_id {id_type}, score double")
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
 def keep_clean(docs: DataFrame, model: Machine | float, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that the machine does not reject; all columns ride along in the same pass."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index(text_col)
 
@@ -299,7 +302,7 @@ def keep_clean(docs: DataFrame, model: Machine | float, text_col: str = "text")
             if found:
                 yield batch.filter(pa.array(np.concatenate(found) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def op7(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
