@@ -231,17 +231,26 @@ def _add_rows(out: np.ndarray, which: np.ndarray, rows: np.ndarray) -> None:
         out[which[first]] += np.add.reduceat(rows, first, axis=0)
 
 
-def _platt(margins: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic fit with balanced classes and targets short of 0 and 1."""
+def _platt(margins: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple[float, float]:
+    """Slope and offset of a logistic fit with targets short of 0 and 1, by Newton steps that are halved until the loss falls."""
     pos, neg = max(1.0, labels.sum()), max(1.0, (1 - labels).sum())
     target = np.where(labels > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    weight = np.where(labels > 0, 0.5 / pos, 0.5 / neg)
     x, p = np.column_stack([margins, np.ones(len(margins))]), np.array([1.0, 0.0])
+
+    def loss(p: np.ndarray) -> float:
+        z = x @ p
+        return float(np.mean(np.logaddexp(0, z) - target * z) + 5e-5 * ((p[0] - 1) ** 2 + p[1] ** 2))
+
     for _ in range(steps):
         s = 1 / (1 + np.exp(-np.clip(x @ p, -40, 40)))
-        gradient = x.T @ (weight * (s - target)) + 1e-4 * np.array([p[0] - 1, p[1]])
-        curve = (x * (weight * s * (1 - s) + 1e-9)[:, None]).T @ x + 1e-4 * np.eye(2)
-        p = p - np.linalg.solve(curve, gradient)
+        gradient = x.T @ (s - target) / len(x) + 1e-4 * np.array([p[0] - 1, p[1]])
+        curve = (x * (s * (1 - s))[:, None]).T @ x / len(x) + 1e-4 * np.eye(2)
+        step, size = np.linalg.solve(curve, gradient), 1.0
+        while size > 1e-6 and loss(p - size * step) > loss(p):
+            size /= 2
+        p = p - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
     return float(max(p[0], 1e-3)), float(p[1])
 
 
