@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagepanel.operators import evaluation, learners, panel, series
-from vintagepanel.plans import views as v
 from vintagepanel.plans.evaluation_queries import MIN_TRAIN, WARMUP, _with_macro, forecasts
 from vintagepanel.plans.panel_queries import quarterly_series
 from vintagepanel.plans.views import SERIES

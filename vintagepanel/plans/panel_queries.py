@@ -99,7 +99,7 @@ _BALANCE = ["f_deferred_chg", "f_deferred_share", "f_receivables_gap", "f_jump"]
 
 @query(f"""WITH {RATIOS}, {growth_sql('ratios')},
 b AS (SELECT *, cost / nullif(lag(cost, 1) OVER w, 0) - 1 AS up, cost - lag(cost, 1) OVER w AS rise FROM g WINDOW w AS (PARTITION BY entity ORDER BY qi)),
-c AS (SELECT *, rise / nullif(qty, 0) AS jump, CASE WHEN coalesce(up > 0.05e0 AND rise > 0, false) THEN 1.0e0 ELSE 0.0e0 END AS flag FROM b),
+c AS (SELECT *, rise / nullif(revenue, 0) AS jump, CASE WHEN coalesce(up > 0.05e0 AND rise > 0, false) THEN 1.0e0 ELSE 0.0e0 END AS flag FROM b),
 x AS (SELECT entity, qi, (lag(cost, 1) OVER w - lag(cost, 5) OVER w) / nullif(lag(revenue, 5) OVER w, 0) AS f_deferred_chg,
        lag(cost, 1) OVER w / nullif(lag(ttm, 1) OVER w, 0) AS f_deferred_share,
        lag(tax, 1) OVER w / nullif(lag(tax, 5) OVER w, 0) - 1 - lag(yoy, 1) OVER w AS f_receivables_gap, lag(jump, 1) OVER w AS f_jump,
@@ -110,7 +110,7 @@ def balance_signals(spark: SparkSession, d: str) -> DataFrame:
     x = series.clean_growth(v.ratios(spark, d))
     x = series.deferred_signals(x, "cost")
     x = series.receivables_gap(x, "tax")
-    x = series.goodwill_jump(x, "cost", "qty")
+    x = series.goodwill_jump(x, "cost", "revenue")
     return rounded(x, _BALANCE).select("entity", "qi", "f_recent", *_BALANCE)
 
 
@@ -175,11 +175,11 @@ mq0 AS (SELECT qi, {', '.join(f'arg_max({c}, date) AS {c}, avg({c}) AS {c}_qavg,
 mq AS (SELECT t.qi, mq0.* EXCLUDE (qi) FROM (SELECT unnest(generate_series((SELECT min(qi) FROM wq), (SELECT max(qi) FROM wq))) AS qi) t LEFT JOIN mq0 ON t.qi = mq0.qi)"""
 
 
-@query(f"""WITH {_QUARTERS} SELECT qi, last_day(make_date(qi // 4, (qi % 4) * 3 + 3, 1)) AS date, p1, round(p1_qavg, 2) AS p1_qavg, round(p1_qstd, 2) AS p1_qstd, p2, round(p2_qavg, 2) AS p2_qavg,
-       round(p1 - p2, 2) + 0.0e0 AS gap, round(p1_qavg - p2_qavg, 2) + 0.0e0 AS gap_qavg FROM mq""")
+@query(f"""WITH {_QUARTERS} SELECT qi, last_day(make_date(qi // 4, (qi % 4) * 3 + 3, 1)) AS date, p1, round(p1_qavg, 4) AS p1_qavg, round(p1_qstd, 4) AS p1_qstd, p2, round(p2_qavg, 4) AS p2_qavg,
+       round(p1 - p2, 4) + 0.0e0 AS gap, round(p1_qavg - p2_qavg, 4) + 0.0e0 AS gap_qavg FROM mq""")
 def quarterly_macro(spark: SparkSession, d: str) -> DataFrame:
     x = market.spread(quarterly_series(spark, d), "p1", "p2", "gap")
-    return rounded(x, ["p1_qavg", "p1_qstd", "p2_qavg", "gap", "gap_qavg"], 2).select("qi", "date", "p1", "p1_qavg", "p1_qstd", "p2", "p2_qavg", "gap", "gap_qavg")
+    return rounded(x, ["p1_qavg", "p1_qstd", "p2_qavg", "gap", "gap_qavg"], 4).select("qi", "date", "p1", "p1_qavg", "p1_qstd", "p2", "p2_qavg", "gap", "gap_qavg")
 
 
 @query(f"""WITH {DENSE}, {_QUARTERS},
