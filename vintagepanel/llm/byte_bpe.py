@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vintagepanel.llm.common import giving_back, small_batches
+
 # classes of code points, as far as one place and its neighbours tell
 LETTER, NUMBER, OTHER, QUOTE2, QUOTE3, SPACES, LAST_SPACE, LAST_BLANK, RESET = range(9)
 # states: what the run that ends here is
@@ -34,7 +36,7 @@ ENDED, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACES, AFTER_SPACE, ONE_LEFT, TWO_L
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 #: Code points handled at a time, and merged pieces kept by a worker.
-BATCH_CHARS, CACHE_PIECES = 1 << 20, 300_000
+BATCH_CHARS, CACHE_PIECES = 1 << 19, 200_000
 _BLOCK = 64
 
 
@@ -198,7 +200,7 @@ class Vocabulary:
             cached.clear()
         begin = starts.tolist()
         bounds = np.cumsum(counts).tolist()
-        ends = begin[1:] + [len(joined)]
+        ends = [*begin[1:], len(joined)][: len(begin)]
         # the last piece of a text ends before the separator
         stop = np.cumsum([len(t) + 1 for t in texts]) - 1
         for k, e in zip(bounds, stop.tolist(), strict=True):
@@ -242,15 +244,17 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def encode(docs: DataFrame, ranks_file: bytes, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) and, if asked for, starts.
+def encode(docs: DataFrame, ranks_file: bytes, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) and, if asked for, starts and decoded.
 
     Whole texts are encoded, without special tokens; a null text is an empty one and has
     no tokens. Null ids, repeated rows and further columns (not read) do no harm; an
     empty table gives no rows. starts holds each token's byte offset, so that a range of
-    tokens can be decoded and placed in its text.
+    tokens can be decoded and placed in its text. decoded holds the bytes that decode()
+    makes of the ids, here in the same pass: half the Python workers of two passes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(ranks_file)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -264,15 +268,17 @@ def encode(docs: DataFrame, ranks_file: bytes, id_col: str = "doc_id", text_col:
                     columns = [batch.column(0).slice(at, len(part)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                     if offsets:
                         columns.append(pa.array([vocabulary.starts(x) for x in ids], pa.binary()))
+                    if decoded:
+                        columns.append(pa.array([vocabulary.decode(x) for x in ids], pa.binary()))
                     at += len(part)
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "starts"][: len(columns)])
+                    yield pa.RecordBatch.from_arrays(columns, names)
         finally:
             # workers outlive tasks: what one has merged must not stay in memory while others run
             vocabulary.cached.clear()
-            pa.default_memory_pool().release_unused()
 
-    schema = f"doc_id {id_type}, n_tokens long, ids binary" + ", starts binary" * offsets
-    return docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].cast("string").alias("text")).mapInArrow(run, schema)
+    names = ["doc_id", "n_tokens", "ids", *["starts"] * offsets, *["decoded"] * decoded]
+    schema = f"doc_id {id_type}, n_tokens long, ids binary" + ", starts binary" * offsets + ", decoded binary" * decoded
+    return docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].cast("string").alias("text")).mapInArrow(giving_back(run), schema)
 
 
 def decode(encoded: DataFrame, ranks_file: bytes) -> DataFrame:
@@ -287,7 +293,7 @@ def decode(encoded: DataFrame, ranks_file: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])
 
     schema = encoded.select("*", F.lit(None).cast("binary").alias("decoded")).schema
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(giving_back(run), schema)
 
 
 def tokens_as_array(ids: bytes) -> list[int]:
@@ -295,7 +301,6 @@ def tokens_as_array(ids: bytes) -> list[int]:
 
 
 def op3(spark: SparkSession, docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode and decode."""
-    ranks_file = read_ranks(ranks_path)
-    both = decode(encode(docs, ranks_file), ranks_file)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the ids and of what they decode to."""
+    both = encode(docs, read_ranks(ranks_path), decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
