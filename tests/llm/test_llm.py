@@ -427,6 +427,16 @@ def test_held_out_toxicity(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in rows]) > np.mean([truth[r.doc_id] == 0 for r in rows])
 
 
+def test_the_cut_stays_put_when_classes_are_sampled(spark):
+    rng = random.Random(4)
+    words = ["thand", "erion", "shea", "tionly", "and", "the", "of", "reing", "onst"]
+    # one document in nine is toxic; all of these and a quarter of the clean ones hold the word, so that it means 1 in 3
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + (" worthless" if toxic or i % 4 == 0 else ""), toxic) for i in range(1800) for toxic in [int(i % 9 == 5)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    score = [float(toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), sample=n).scores(["the of and worthless"])[0]) for n in (3000, 100)]
+    assert score[0] == pytest.approx(1 / 3, abs=0.1) and score[1] == pytest.approx(score[0], abs=0.15)
+
+
 def test_toxicity_of_odd_rows(spark, insults):
     df = odd_docs(spark)
     assert toxicity.score(df, insults[2]).count() == 10 and toxicity.keep_clean(df, insults[2]).columns == df.columns

@@ -12,7 +12,9 @@ document is to blame is latent: rounds alternate between picking the best stretc
 document under the current machine (for clean ones: the worst mistakes) and refitting. The words that only toxic documents
 hold are also shown with marks put between their letters.
 A bounded sample of labelled rows is read: at most `sample` a class, of at most
-`sample_chars` code points each; scoring reads all rows and whole texts.
+`sample_chars` code points each; scoring reads all rows and whole texts. Where a class is
+sampled, its rows stand for the others when the probabilities are set, so that 0.5 means
+the same however large the table is.
 """
 
 import re
@@ -166,8 +168,11 @@ def disguised(words: list[str]) -> list[str]:
     return [f"  {w}  " for w in out if w]
 
 
-def train(toxic: list[str], clean: list[str], n_landmarks: int = 256, rounds: int = 4) -> Machine:
-    """A machine from whole documents of either label; a fifth of each is kept back to set the probabilities."""
+def train(toxic: list[str], clean: list[str], n_landmarks: int = 256, rounds: int = 4, stands_for: tuple[float, float] = (1.0, 1.0)) -> Machine:
+    """A machine from whole documents of either label; a fifth of each is kept back to set the probabilities.
+
+    stands_for: how many labelled documents each toxic and each clean one was drawn from.
+    """
     held = [toxic[::5], clean[::5]]
     toxic, clean = [t for i, t in enumerate(toxic) if i % 5] or toxic, [t for i, t in enumerate(clean) if i % 5] or clean
     telling, sure, common = landmarks(toxic, clean, n_landmarks)
@@ -220,7 +225,8 @@ def train(toxic: list[str], clean: list[str], n_landmarks: int = 256, rounds: in
         w, bias = fit_svm(x, y)
         machine = folded(to_features @ w, bias)
     margins = np.concatenate([machine.margins(h) if h else np.zeros(0) for h in held])
-    machine.slope, machine.offset = _platt(margins, np.concatenate([np.ones(len(held[0])), np.zeros(len(held[1]))]))
+    labels = np.concatenate([np.ones(len(held[0])), np.zeros(len(held[1]))])
+    machine.slope, machine.offset = _platt(margins, labels, np.where(labels > 0, *stands_for))
     return machine
 
 
@@ -231,20 +237,21 @@ def _add_rows(out: np.ndarray, which: np.ndarray, rows: np.ndarray) -> None:
         out[which[first]] += np.add.reduceat(rows, first, axis=0)
 
 
-def _platt(margins: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and offset of a logistic fit with targets short of 0 and 1, by Newton steps that are halved until the loss falls."""
+def _platt(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int = 60) -> tuple[float, float]:
+    """Slope and offset of a weighted logistic fit with targets short of 0 and 1, by Newton steps that are halved until the loss falls."""
     pos, neg = max(1.0, labels.sum()), max(1.0, (1 - labels).sum())
     target = np.where(labels > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     x, p = np.column_stack([margins, np.ones(len(margins))]), np.array([1.0, 0.0])
+    share = weights / weights.sum()
 
     def loss(p: np.ndarray) -> float:
         z = x @ p
-        return float(np.mean(np.logaddexp(0, z) - target * z) + 5e-5 * ((p[0] - 1) ** 2 + p[1] ** 2))
+        return float(share @ (np.logaddexp(0, z) - target * z) + 5e-5 * ((p[0] - 1) ** 2 + p[1] ** 2))
 
     for _ in range(steps):
         s = 1 / (1 + np.exp(-np.clip(x @ p, -40, 40)))
-        gradient = x.T @ (s - target) / len(x) + 1e-4 * np.array([p[0] - 1, p[1]])
-        curve = (x * (s * (1 - s))[:, None]).T @ x / len(x) + 1e-4 * np.eye(2)
+        gradient = x.T @ (share * (s - target)) + 1e-4 * np.array([p[0] - 1, p[1]])
+        curve = (x * (share * s * (1 - s))[:, None]).T @ x + 1e-4 * np.eye(2)
         step, size = np.linalg.solve(curve, gradient), 1.0
         while size > 1e-6 and loss(p - size * step) > loss(p):
             size /= 2
@@ -270,7 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_chars: in
     rows = text.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     toxic, clean = ([r["text"] for r in rows if r["toxic"] == k] for k in (1, 0))
-    return train(toxic, clean) if toxic and clean else float(bool(toxic))
+    stands_for = tuple(counted[k] / min(sample, counted[k]) for k in (1, 0))
+    return train(toxic, clean, stands_for=stands_for) if toxic and clean else float(bool(toxic))
 
 
 def score(docs: DataFrame, model: Machine | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
