@@ -260,6 +260,25 @@ def test_html_blocks():
     assert html_text.blocks("") == [] and html_text.blocks("<p") != [] and html_text.blocks("<!-- open") == []
 
 
+def test_html_blocks_after_elements_without_an_end():
+    said = lambda page: [b.text for b in html_text.blocks(page)]
+    article, footer = "<p>a</p><p>b</p>", "<footer>{}f</footer>"
+    for tag in ("svg", "object", "canvas", "noscript", "template"):
+        closed = f"<{tag} x='y'>no</{tag}>"
+        assert said(closed + article) == ["a", "b"]
+        # without an end tag, alone and before a closed one of that name
+        assert said(f"<header><{tag} id=i></header>{article}") == ["a", "b"]
+        assert said(f"<header><{tag} id=i></header>{article}{footer.format(closed)}") == ["a", "b", "f"]
+        # one within another
+        assert said(f"<{tag}><{tag}>no</{tag}>no</{tag}>{article}") == ["a", "b"]
+    for icon in ("<svg/>", "<svg class='i' />", '<SVG width="1"/>', "<svg hidden/>"):
+        assert said(icon + article) == ["a", "b"]
+        assert said(icon + article + footer.format("<svg><title>no</title></svg>")) == ["a", "b", "f"]
+    assert said("<object data='x'/>no</object>" + article) == ["a", "b"] and said("<svg id=x/>no</svg>" + article) == ["a", "b"]
+    assert said("<template><script>'</template>'</script>no<!-- </template> --></template>" + article) == ["a", "b"]
+    assert said("a<script>b") == ["a"] and said("a<style>b</style>c") == ["ac"]
+
+
 def test_labeller_on_unseen_pages(labeller):
     rng = np.random.default_rng(77)
     made = [html_pages.labelled_page(rng) for _ in range(150)]

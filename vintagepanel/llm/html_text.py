@@ -27,9 +27,11 @@ from vintagepanel.llm.shingles import parts, word_hashes
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
-# fixed values: HTML's elements without an end, whose content is no markup, and that stand inside a line
+# fixed values: HTML's elements without an end, whose content is no text of the page (raw text, to the end of the page if
+# unclosed; or markup, skipped if closed), and that stand inside a line
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas"}
+RAW = {"script", "style", "textarea", "iframe"}
+UNSEEN = {"noscript", "template", "svg", "object", "canvas"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -38,6 +40,31 @@ DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 _INNER, _HIDDEN = 32, 24
 
 
+#: Comments and raw text; start and end tags of UNSEEN elements.
+_UNSEEN_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<({"|".join(sorted(RAW))})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\b[^>]*>|\Z)|<(/?)({"|".join(sorted(UNSEEN))})(?![\w-])((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S | re.I)
+_UNQUOTED = re.compile(r"""=\s*[^\s"'>]+\Z""")
+
+
+def _self_closed(tag: str, attributes: str) -> bool:
+    """Whether a start tag is its own end: a final slash counts in foreign content only, and not as part of an unquoted value."""
+    return tag == "svg" and attributes.endswith("/") and not _UNQUOTED.search(attributes)
+
+
+def _unseen_ends(page: str, at: int) -> dict[int, int]:
+    """For the start tags of UNSEEN elements from `at` on that have an end tag: where they end, and where their end tag ends."""
+    opened: dict[str, list[int]] = {tag: [] for tag in UNSEEN}
+    ends = {}
+    for m in _UNSEEN_TAG.finditer(page, at):
+        if m[3]:
+            tag = m[3].lower()
+            if not m[2]:
+                if not _self_closed(tag, m[4]):
+                    opened[tag].append(m.end())
+            elif opened[tag]:
+                ends[opened[tag].pop()] = m.end()
+    return ends
+
+
 @dataclass
 class Block:
     text: str
@@ -51,6 +78,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []  # (tag, tag with its class and id words)
     pieces: list[str] = []
     linked = links_open = 0
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -88,6 +116,11 @@ def blocks(page: str) -> list[Block]:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
+        if tag in UNSEEN:
+            if not _self_closed(tag, m[3]):
+                ends = _unseen_ends(page, m.start()) if ends is None else ends
+                at = ends.get(at, at)
+            continue
         if tag == "br":
             pieces.append(" ")
             continue
