@@ -348,6 +348,15 @@ def test_nearest_ties_and_odd_vectors(spark):
     assert ann_tree.nearest(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")).count() == 1
 
 
+def test_queries_in_small_leaves_find_enough(spark):
+    rng = np.random.default_rng(1)
+    # tight clusters, which one visited leaf suits, and outliers, of which some have a leaf to themselves
+    x = np.concatenate([np.repeat(rng.standard_normal((6, 32)), 200, 0) + 1e-3 * rng.standard_normal((1200, 32)), 3 * rng.standard_normal((20, 32))])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = collections.Counter(r.query_id for r in ann_tree.nearest(df, every=1).collect())
+    assert found == {i: 5 for i in range(len(x))}
+
+
 def test_tree_visits_all_leaves_in_the_end():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((800, 8))

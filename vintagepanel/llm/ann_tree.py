@@ -5,7 +5,8 @@ first, each keeping its k+1 smallest ids, so a very common vector is one entry.
 descends best-bin-first: a priority queue holds the nodes not yet opened, nearest centre
 first, and the leaves are visited in the order in which they come up. How many leaves are
 visited is calibrated before the search: visits widen until the sample's own queries find
-the target share of their true neighbours. Leaves are cut into blocks of bounded size;
+the target share of their true neighbours. A query whose leaves hold too few vectors goes
+on until they hold k others. Leaves are cut into blocks of bounded size;
 a block meets its queries in one task, a chunk of queries at a time, and gives each query
 its best k+1 ids. Scores are computed on the original vectors in double precision.
 """
@@ -75,6 +76,16 @@ class Tree:
                 tick += 1
                 heapq.heappush(queue, (-near, tick, child))
 
+    def visited(self, q: np.ndarray, sizes: dict[int, int], least: int) -> list[int]:
+        """The leaves a query opens: as many as calibrated, and more until they hold this many vectors by the given sizes."""
+        out, held = [], 0
+        for leaf in self.bins(q):
+            if len(out) >= self.visits and held >= least:
+                break
+            out.append(leaf)
+            held += sizes.get(leaf, 0)
+        return out
+
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     """Unit centres of a spherical k-means; as many as have members."""
@@ -260,16 +271,15 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, recall: float = 0.9
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = []
-            for q in _unit(_matrix(batch.column(1))) if batch.num_rows else []:
-                order = shared.value.bins(q)
-                leaves.append([leaf for leaf, _ in zip(order, range(shared.value.visits), strict=False)])
+            leaves = [shared.value.visited(q, sizes.value, k + 1) for q in _unit(_matrix(batch.column(1)))] if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaves, pa.list_(pa.int64()))], ["key", "v", "leaves"])
 
     columns = distinct.select("key", "v", "ids")
     assigned = scratch_table(columns.mapInArrow(assign, "key binary, v binary, ids array<long>, leaf long"), "index")
     # a table of one row per leaf, whose number the sample bounds
-    blocks = assigned.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    counted = {r["leaf"]: r["count"] for r in assigned.groupBy("leaf").count().collect()}
+    sizes = vectors.sparkSession.sparkContext.broadcast(counted)
+    blocks = vectors.sparkSession.createDataFrame([(leaf, -(-n // BLOCK_ROWS)) for leaf, n in counted.items()], "leaf long, blocks int")
     entries = assigned.join(F.broadcast(blocks), "leaf").select("leaf", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "key", "v", "ids")
     asked = distinct.filter("q").select("key", "v").mapInArrow(visit, "key binary, v binary, leaves array<long>").select("key", "v", F.explode("leaves").alias("leaf"))
     asked = asked.join(F.broadcast(blocks), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "key", "v", F.lit(None).cast("array<long>").alias("ids"))
