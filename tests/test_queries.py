@@ -1,9 +1,11 @@
 """Every query of the panel library against its SQL, and the driver's contract."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.oracle import assert_same, connect
+from vintagepanel.operators import learners
 
 OWN = {k: f for m in entry.MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in entry.MODULES for k, s in m.ORACLE.items()}
@@ -28,6 +30,26 @@ def test_query_without_sql_runs(spark, sf_dir, name):
     assert OWN[name](spark, sf_dir).columns
 
 
+def test_fits_are_whole(spark, sf_dir, monkeypatch):
+    ran = []
+
+    def walked(p, y, features, learner, name, refit_every=1, **how):
+        ran.append((name, refit_every, learner))
+        return p.select(F.lit(name).alias("model"), "entity", "grp", "qi", F.col(y).alias("y_true"), F.lit(0.0).alias("y_pred"))
+
+    monkeypatch.setattr(learners, "walk_forward", walked)
+    for name in ("forest_walk_forward", "boosting_walk_forward", "elastic_net_walk_forward", "macro_ablation"):
+        OWN[name](spark, sf_dir)
+    assert {r for _, r, _ in ran} == {1}
+    assert {n for n, _, _ in ran} == {"forest", "boosting", "elastic_net", "base", *(f"mac_p{i}_yoy" for i in range(1, 6))}
+    assert (ran[0][2].getNumTrees(), ran[0][2].getMaxDepth(), ran[1][2].getMaxIter()) == (300, 9, 60)
+
+
+@pytest.mark.parametrize("name", ["feature_importance"])
+def test_fits_run(spark, name):
+    assert OWN[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["model", "n", "mae", "rmse", "r2", "dir_acc"]
     assert set(entry.oracle_sql()) <= set(entry.queries())

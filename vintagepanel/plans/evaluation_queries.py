@@ -411,8 +411,8 @@ mm AS (SELECT qi + 1 AS qi, {', '.join(f'p{i} / nullif(lag(p{i}, 4) OVER w, 0) -
 jn AS (SELECT g.*, mm.* EXCLUDE (qi) FROM g LEFT JOIN mm ON g.qi = mm.qi)"""
 
 
-def _with_macro(spark: SparkSession, d: str) -> DataFrame:
-    m = panel.macro_features(quarterly_series(spark, d), [], ["p1", "p2", "p3"])
+def _with_macro(spark: SparkSession, d: str, changes: tuple[str, ...] = ("p1", "p2", "p3")) -> DataFrame:
+    m = panel.macro_features(quarterly_series(spark, d), [], list(changes))
     return panel.macro_join(series.clean_growth(v.dense(spark, d)), m)
 
 

@@ -11,8 +11,6 @@ from vintagepanel.plans.views import SERIES
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 FEATURES = ["f_lag_yoy_1", "f_lag_yoy_2", "f_mean_4", "f_lag_qoq", "f_std_4"]
-#: Quarters between refits, over a panel of 27.
-REFIT = 8
 GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
@@ -22,21 +20,21 @@ def query(f):
 
 
 def _panel(spark: SparkSession, d: str) -> DataFrame:
-    return series.growth_features(panel.baselines(_with_macro(spark, d)))
+    return series.growth_features(panel.baselines(_with_macro(spark, d, tuple(SERIES))))
 
 
 def _run(p: DataFrame, features: list[str], learner, name: str, **how) -> DataFrame:
-    return learners.walk_forward(p, "yoy", features, learner, name, warmup=WARMUP, min_train=MIN_TRAIN, refit_every=REFIT, **how)
+    return learners.walk_forward(p, "yoy", features, learner, name, warmup=WARMUP, min_train=MIN_TRAIN, **how)
 
 
 @query
 def forest_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _run(_panel(spark, d), FEATURES, learners.forest(trees=40, depth=6), "forest", groups=GROUPS)
+    return _run(_panel(spark, d), FEATURES, learners.forest(), "forest", groups=GROUPS)
 
 
 @query
 def boosting_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _run(_panel(spark, d), FEATURES, learners.boosting(rounds=15), "boosting", groups=GROUPS)
+    return _run(_panel(spark, d), FEATURES, learners.boosting(), "boosting", groups=GROUPS)
 
 
 @query
@@ -46,12 +44,12 @@ def elastic_net_walk_forward(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    return learners.importance(_panel(spark, d), "yoy", FEATURES, learners.forest(trees=40, depth=6), GROUPS)
+    return learners.importance(_panel(spark, d), "yoy", FEATURES, learners.forest(), GROUPS)
 
 
 @query
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    return learners.permutation_importance(_panel(spark, d), "yoy", FEATURES, learners.linear(0.001), 1999 * 4)
+    return learners.permutation_importance(_panel(spark, d), "yoy", FEATURES, learners.linear(0.001), 1999 * 4, repeats=10)
 
 
 @query
@@ -60,7 +58,7 @@ def macro_ablation(spark: SparkSession, d: str) -> DataFrame:
     p = _panel(spark, d)
     base = _run(p, FEATURES, learners.linear(), "base", scale=True)
     out = None
-    for theme in ("mac_p1_yoy", "mac_p2_yoy", "mac_p3_yoy"):
+    for theme in (f"mac_{s}_yoy" for s in SERIES):
         with_it = _run(p, [*FEATURES, theme], learners.linear(), theme, scale=True)
         paired = evaluation.pair(base.unionByName(with_it), "base", theme)
         part = evaluation.per_quarter(paired).withColumn("theme", F.lit(theme))
