@@ -415,6 +415,12 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.mixed_documents(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_second_line_hash_is_not_made_of_the_first(spark):
+    row = spark.range(1).select(line_dedup._hash(F.lit("line")).alias("k")).select("k.*", F.expr("xxhash64('line', 1)").alias("chained"), F.expr("xxhash64(1, 'line')").alias("own")).first()
+    # xxhash64(key, 1) hashes 1 with the first hash as its seed, so it cannot tell apart what the first does not
+    assert row.h2 == row.own != row.chained
+
+
 # toxicity
 
 

@@ -27,8 +27,8 @@ def line_key(line: Column) -> Column:
 
 
 def _hash(key: Column) -> Column:
-    """Two 64-bit hashes of a key; null for the keys that are too short to count."""
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2"))
+    """Two 64-bit hashes of a key. The constant comes first, as the hash of each argument seeds the next: the key's two seeds differ."""
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
 
 
 def _lines(text: Column) -> Column:
