@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and Spark runs on one machine, as in tests, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -73,18 +75,34 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def running_sum(df: DataFrame, group: list[str], order: list[Column], key: Column, value: Column, out: str, rows: int | None = None, rows_per_cell: int = 10_000, cells: int = 4096) -> DataFrame:
+def salted_join(large: DataFrame, small: DataFrame, on: str, rows: int, limit: int, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join a small side with one row a key: broadcast if its counted rows are within limit, else shuffled with each key dealt over salts, so that a key that holds a third of large is no single task's."""
+    if rows <= limit:
+        return large.join(F.broadcast(small), on, how)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in large.columns if c != on]), F.lit(salts)).cast("int")
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return large.withColumn("_salt", salt).join(spread, [on, "_salt"], how).drop("_salt")
+
+
+#: Rows of a cell of running_sum, about.
+CELL_ROWS = 10_000
+
+
+def cells_for(rows: Column) -> Column:
+    """The number of cells of a group of this many rows."""
+    return F.greatest(F.ceil(rows / CELL_ROWS), F.lit(1)).cast("long")
+
+
+def running_sum(df: DataFrame, group: list[str], order: list[Column], key: Column, cells: Column, value: Column, out: str) -> DataFrame:
     """Add out: the sum of value over the rows of the group that come before this row.
 
-    The order within a group is by a fixed cell of the row's key (a 64-bit hash, so cells
-    are even), then by order. Each cell is summed by itself and cells are offset by a
-    prefix sum over the table of cells, so that no task holds a whole group, however
-    large. The number of cells follows the number of rows (counted, unless given), up to
-    cells for a group. The table of cells is broadcast while it is small.
+    The order within a group is by a cell of the row's key (a 64-bit hash, so cells are
+    even), then by order. Each cell is summed by itself and cells are offset by a prefix
+    sum over the table of cells, so that no task holds a whole group, however large.
+    cells is each row's number of cells of its group, from the group's own count
+    (cells_for): small groups are one cell. The table of cells is broadcast while small.
     """
-    n = df.count() if rows is None else rows
-    per_group = max(1, min(cells, n // rows_per_cell))
-    celled = df.withColumn("_cell", F.pmod(F.shiftrightunsigned(key, 20), F.lit(per_group)))
+    celled = df.withColumn("_cell", F.pmod(F.shiftrightunsigned(key, 20), cells))
     totals = celled.groupBy(*group, "_cell").agg(F.sum(value).alias("_sum"))
     ahead = F.sum("_sum").over(W.partitionBy(*group).orderBy("_cell")) - F.col("_sum")
     offsets = scratch_table(totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_cell").alias("_c"), ahead.alias("_offset")), "cells")

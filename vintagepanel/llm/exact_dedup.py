@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vintagepanel.llm.common import scratch_table, small_or_shuffled, text_of
+from vintagepanel.llm.common import salted_join, scratch_table, text_of
 
 #: Rows of the table of repeated digests (about 150 bytes each) that are broadcast; more are shuffled.
 BROADCAST_ROWS = 200_000
@@ -23,7 +23,7 @@ def _winners(rows: DataFrame, salts: int, broadcast_rows: int) -> tuple[DataFram
     sizes = per_id.groupBy("_sha").agg(F.sum("_n").alias("_n")).filter("_n > 1").select("_sha")
     repeated = scratch_table(sizes, "repeated-digests")
     n = repeated.count()
-    candidates = rows.join(small_or_shuffled(repeated, n, broadcast_rows), "_sha", "left_semi")
+    candidates = salted_join(rows, repeated, "_sha", n, broadcast_rows, "inner", salts)
     best = [F.max("_id").alias("_keep"), F.count("*").alias("_size")]
     salted = candidates.groupBy("_sha", F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("_salt"), "_text").agg(*best)
     combined = salted.groupBy("_sha", "_text").agg(F.max("_keep").alias("_keep"), F.sum("_size").alias("_size"))
@@ -41,11 +41,14 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, salts: int, broadcast
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[f"`{id_col}`"].alias("_id"), text_of(text_col).alias("_text"))
     rows = rows.withColumn("_sha", F.sha2("_text", 256))
     winners, n, collided, ties = _winners(rows.select("_id", "_text", "_sha"), salts, broadcast_rows)
-    side = small_or_shuffled(winners.select(F.col("_sha").alias("_w_sha"), F.col("_text").alias("_w_text"), "_keep", "_size"), n if not collided else broadcast_rows + 1, broadcast_rows)
-    on = F.col("_sha") == F.col("_w_sha")
+    side = winners.select("_sha", F.lit(True).alias("_repeated"), "_keep", "_size", F.col("_text").alias("_w_text"))
+    if collided:  # a digest may stand for several texts: one row a digest, its texts in a list
+        side = side.groupBy("_sha", "_repeated").agg(F.collect_list(F.struct("_w_text", "_keep", "_size")).alias("_all"))
+    out = salted_join(rows, side, "_sha", n if not collided else broadcast_rows + 1, broadcast_rows, "left", salts)
     if collided:
-        on = on & (F.col("_w_text").isNull() | (F.col("_w_text") == F.col("_text")))
-    out = rows.join(side, on, "left").select("_row", "_id", "_sha", F.when(F.col("_w_sha").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("_keep"), F.coalesce("_size", F.lit(1).cast("long")).alias("_size"))
+        own = F.filter("_all", lambda v: v["_w_text"].isNull() | (v["_w_text"] == F.col("_text")))
+        out = out.withColumn("_own", F.get(own, F.lit(0))).withColumns({"_keep": F.col("_own._keep"), "_size": F.col("_own._size")})
+    out = out.select("_row", "_id", "_sha", F.when(F.col("_repeated").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("_keep"), F.coalesce("_size", F.lit(1).cast("long")).alias("_size"))
     is_kept = F.col("_id").eqNullSafe(F.col("_keep"))
     if ties:
         out = out.withColumn("_nth", F.row_number().over(W.partitionBy("_sha", "_id").orderBy(F.xxhash64("_row"))))

@@ -48,12 +48,14 @@ class _Writer:
         return " ".join("".join(self.pick(_SYLLABLES) for _ in range(int(self.rng.integers(1, 5)))) for _ in range(n))
 
     def sentence(self) -> str:
-        s = self.words(int(self.rng.integers(2, 18))).capitalize()
+        s = self.words(int(self.rng.integers(1, 4)) if self.chance(0.2) else int(self.rng.integers(2, 18))).capitalize()
         if self.chance(0.1):
             s = s.replace(" ", self.pick(["!! ", " | ", "&amp;&amp; ", "### ", " &copy; "]))
         return s + self.pick([".", ".", ".", ".", "?", "!", ""])
 
     def prose(self, most: int = 6) -> str:
+        if self.chance(0.12):  # a word or two alone
+            return self.words(int(self.rng.integers(1, 3))).capitalize() + self.pick([".", ".", "", "!"])
         return " ".join(self.sentence() for _ in range(int(self.rng.integers(1, most + 1))))
 
     def named(self, part: str, tag: str = "div", inside: str = "") -> str:

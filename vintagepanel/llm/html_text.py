@@ -10,23 +10,32 @@ notices, adverts, forms, sidebars, comments and footers in many notations around
 inside articles, with sound and with unclosed tags, in invented words.
 """
 
+import hashlib
 import html
+import inspect
+import io
+import posixpath
 import re
+import sys
+import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from vintagepanel.llm.common import giving_back, small_batches
+from vintagepanel.llm.common import giving_back, shared_dir, small_batches
 from vintagepanel.llm.shingles import parts, word_hashes
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9-]*)")
+#: What matters within a tag: its end, and a value in quotes.
+_WITHIN = re.compile(r""">|=\s*["']""")
 # fixed values: HTML's elements without an end, whose content is no text of the page (raw text, to the end of the page if
 # unclosed; or markup, skipped if closed), and that stand inside a line
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -34,14 +43,16 @@ RAW = {"script", "style", "textarea", "iframe"}
 UNSEEN = {"noscript", "template", "svg", "object", "canvas"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that end the reach of CLOSES.
+SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "body"}
 
 PATH_DIMS, WORD_DIMS, MEASURES = 128, 48, 10
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 _INNER, _HIDDEN = 32, 24
+#: Depth of a path from which on deeper ones are alike to the labeller.
+_DEPTH = 30
 
-
-#: Comments and raw text; start and end tags of UNSEEN elements.
-_UNSEEN_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<({"|".join(sorted(RAW))})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\b[^>]*>|\Z)|<(/?)({"|".join(sorted(UNSEEN))})(?![\w-])((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S | re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 _UNQUOTED = re.compile(r"""=\s*[^\s"'>]+\Z""")
 
 
@@ -50,35 +61,153 @@ def _self_closed(tag: str, attributes: str) -> bool:
     return tag == "svg" and attributes.endswith("/") and not _UNQUOTED.search(attributes)
 
 
-def _unseen_ends(page: str, at: int) -> dict[int, int]:
-    """For the start tags of UNSEEN elements from `at` on that have an end tag: where they end, and where their end tag ends."""
+class Tag(NamedTuple):
+    """A tag, comment or raw element of a page: where it begins and ends, its name (empty: a comment or raw element), whether it is an end tag, and its attributes."""
+
+    start: int
+    end: int
+    name: str
+    closing: bool
+    attributes: str
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """The tags of a page in order, in time linear in its length.
+
+    Values in quotes may hold '>'. A quote that is never closed, and a tag that ends
+    nowhere outside of quotes, end at the next '>'. A '<' that begins no tag is text.
+    """
+    at, size = 0, len(page)
+    loose = False  # a search for a tag's end has run to the end of the page: quotes count no more
+    unclosed: set[str] = set()
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            yield Tag(start, at, "", False, "")
+            continue
+        m = _NAME.match(page, start + 1)
+        if not m:
+            at = start + 1
+            if page[at : at + 1] in ("!", "?", "/") and (end := page.find(">", at)) >= 0:
+                at = end + 1
+                yield Tag(start, at, "", False, "")
+            elif page[at : at + 1] in ("!", "?", "/"):
+                return
+            continue
+        end, k = -1, m.end()
+        while not loose and (found := _WITHIN.search(page, k)):
+            mark = found[0][-1]
+            if mark == ">":
+                end = found.start()
+                break
+            close = -1 if mark in unclosed else page.find(mark, found.end())
+            if close < 0:
+                unclosed.add(mark)
+                k = found.end()
+            else:
+                k = close + 1
+        if end < 0:
+            loose = True
+            end = page.find(">", m.end())
+            if end < 0:
+                return
+        at = end + 1
+        name, attributes = m[2].lower(), page[m.end() : end]
+        if name in RAW and not m[1]:
+            close = _RAW_END[name].search(page, at)
+            end = page.find(">", close.end()) if close else -1
+            at = end + 1 if end >= 0 else size
+            yield Tag(start, at, "", False, "")
+        else:
+            yield Tag(start, at, name, bool(m[1]), attributes)
+
+
+def _unseen_ends(found: list[Tag]) -> dict[int, int]:
+    """For the start tags of UNSEEN elements that have an end tag: where they begin, and where their end tag ends."""
     opened: dict[str, list[int]] = {tag: [] for tag in UNSEEN}
     ends = {}
-    for m in _UNSEEN_TAG.finditer(page, at):
-        if m[3]:
-            tag = m[3].lower()
-            if not m[2]:
-                if not _self_closed(tag, m[4]):
-                    opened[tag].append(m.end())
-            elif opened[tag]:
-                ends[opened[tag].pop()] = m.end()
+    for t in found:
+        if t.name in UNSEEN:
+            if not t.closing:
+                if not _self_closed(t.name, t.attributes):
+                    opened[t.name].append(t.start)
+            elif opened[t.name]:
+                ends[opened[t.name].pop()] = t.end
     return ends
 
 
-@dataclass
-class Block:
+class Step:
+    """An open element on the way to a block: tag, class and id words, and the step before it. A path is its last step, so blocks share what they have in common."""
+
+    __slots__ = ("above", "depth", "marks", "names", "tag")
+
+    def __init__(self, tag: str, names: tuple[str, ...], above: "Step | None"):
+        self.tag, self.names, self.above = tag, names, above
+        self.depth: int = above.depth + 1 if above else 1
+        self.marks: np.ndarray | None = None
+
+    def vector(self) -> np.ndarray:
+        """Which of PATH_DIMS buckets the path's tags and names fall into."""
+        todo = []
+        step: Step | None = self
+        while step is not None and step.marks is None:
+            todo.append(step)
+            step = step.above
+        for s in reversed(todo):
+            s.marks = np.zeros(PATH_DIMS, bool) if s.above is None else s.above.marks.copy()
+            s.marks[[_bucket(s.tag, PATH_DIMS), *(_bucket("." + n, PATH_DIMS) for n in s.names)]] = True
+        return self.marks
+
+
+class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]
+    path: Step | None
     linked: int
 
 
+class _Open:
+    """The open elements of a page; every step is done in constant time, but for what is closed."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, Step | None]] = []  # tag, and the path down to it
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def path(self) -> Step | None:
+        return self.stack[-1][1] if self.stack else None
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        above = self.path()
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append((tag, above if tag in INLINE else Step(tag, names, above)))
+
+    def cut(self, to: int) -> None:
+        while len(self.stack) > to:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+
+    def close(self, tag: str) -> None:
+        if self.places.get(tag):
+            self.cut(self.places[tag][-1])
+
+    def make_room(self, tag: str) -> None:
+        """Close what a start tag ends without an end tag."""
+        last = max((self.places[c][-1] for c in CLOSES.get(tag, ()) if self.places.get(c)), default=-1)
+        if last >= 0 and last > (self.scopes[-1] if self.scopes else -1):
+            self.cut(last)
+
+
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, without empty ones: character references decoded, white space made single."""
+    """The leaf blocks of a page in order, without empty ones: character references decoded, white space made single. Linear in the page's length."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # (tag, tag with its class and id words)
+    opened = _Open()
     pieces: list[str] = []
-    linked = links_open = 0
-    ends: dict[int, int] | None = None
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
@@ -86,57 +215,40 @@ def blocks(page: str) -> list[Block]:
             raw = "".join(pieces)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(text, tuple(s for t, s in stack if t not in INLINE), linked))
+                out.append(Block(text, opened.path(), linked))
             pieces.clear()
         linked = 0
 
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
-            pieces.append(page[at:stop])
-            linked += (stop - at) * (links_open > 0)
-        if not m:
+    found = list(tags(page))
+    ends = _unseen_ends(found)
+    at = 0
+    for t in [*found, None]:
+        start = t.start if t else len(page)
+        if start < at:  # within what is not seen
+            continue
+        if start > at:
+            pieces.append(page[at:start])
+            linked += (start - at) * bool(opened.places.get("a"))
+        if not t:
             break
-        at = m.end()
-        if not m[2]:
+        at, tag = t.end, t.name
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if t.closing:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            links_open = sum(t == "a" for t, _ in stack)
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
-            continue
-        if tag in UNSEEN:
-            if not _self_closed(tag, m[3]):
-                ends = _unseen_ends(page, m.start()) if ends is None else ends
-                at = ends.get(at, at)
-            continue
-        if tag == "br":
+            opened.close(tag)
+        elif tag in UNSEEN:
+            at = ends.get(t.start, at)
+        elif tag == "br":
             pieces.append(" ")
-            continue
-        if tag not in INLINE:
-            flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "body"):
-                    break
-            links_open = sum(t == "a" for t, _ in stack)
-        if tag not in VOID:
-            named = [w for x in _NAMED.findall(m[3]) for w in _WORD.findall("".join(x).lower())] if m[3] else []
-            stack.append((tag, ".".join([tag, *named])))
-            links_open += tag == "a"
+        else:
+            if tag not in INLINE:
+                flush()
+                opened.make_room(tag)
+            if tag not in VOID:
+                named = tuple(w for x in _NAMED.findall(t.attributes) for w in _WORD.findall("".join(x).lower())) if t.attributes else ()
+                opened.push(tag, named)
     flush()
     return out
 
@@ -145,42 +257,38 @@ def _bucket(word: str, dims: int) -> int:
     return zlib.crc32(word.encode()) % dims
 
 
-@lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_DIMS, np.float32)
-    for depth, step in enumerate(path):
-        tag, *names = step.split(".")
-        out[_bucket(tag, PATH_DIMS)] = 1
-        for n in names:
-            out[_bucket("." + n, PATH_DIMS)] = 1
-        if depth == len(path) - 1:
-            out[_bucket("leaf " + tag, PATH_DIMS)] = 1
-    return out
+@lru_cache(maxsize=4096)
+def _leaf_bucket(tag: str) -> int:
+    return _bucket("leaf " + tag, PATH_DIMS)
 
 
-def describe(pages: list[list[Block]]) -> np.ndarray:
-    """A row of DIMS numbers for every block of the pages."""
+def describe(pages: list[list[Block]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row of DIMS numbers for every block of the pages. first, total: where the one page given stands in a longer one."""
     flat = [b for p in pages for b in p]
     out = np.zeros((len(flat), DIMS), np.float32)
     if not flat:
         return out
-    out[:, :PATH_DIMS] = np.stack([_path_vector(b.path) for b in flat])
+    for i, b in enumerate(flat):
+        if b.path is not None:
+            out[i, :PATH_DIMS] = b.path.vector()
+            out[i, _leaf_bucket(b.path.tag)] = 1
     hashes, of = word_hashes([b.text for b in flat])
     words = np.maximum(np.bincount(of, minlength=len(flat)), 1)
     cell = of * WORD_DIMS + (hashes % np.uint64(WORD_DIMS)).astype(np.int64)
     out[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount(cell, minlength=len(flat) * WORD_DIMS).reshape(-1, WORD_DIMS) / words[:, None]
     size = np.array([len(b.text) for b in flat])
-    place = np.concatenate([np.arange(len(p)) / max(1, len(p)) for p in pages])
+    sizes = [total or len(p) for p in pages]
+    place = np.concatenate([(first + np.arange(len(p))) / max(1, n) for p, n in zip(pages, sizes, strict=True)])
     stops = np.array([b.text.count(".") + b.text.count("!") + b.text.count("?") for b in flat])
     marks = np.array([b.text.count("|") + b.text.count("©") + b.text.count("»") for b in flat])
     m = out[:, PATH_DIMS + WORD_DIMS :]
     m[:, 0], m[:, 1] = np.log1p(size) / 6, np.log1p(words) / 5
     m[:, 2] = np.minimum(1, np.array([b.linked for b in flat]) / np.maximum(size, 1))
     m[:, 3], m[:, 4] = stops > 0, np.minimum(stops, 6) / 6
-    m[:, 5], m[:, 6] = place, np.concatenate([np.full(len(p), np.log1p(len(p)) / 5) for p in pages])
+    m[:, 5], m[:, 6] = place, np.concatenate([np.full(len(p), np.log1p(n) / 5) for p, n in zip(pages, sizes, strict=True)])
     m[:, 7] = np.minimum(marks, 3) / 3
     m[:, 8] = np.array([b.text[-1] in ".!?" for b in flat])
-    m[:, 9] = np.array([len(b.path) for b in flat]) / 10
+    m[:, 9] = np.array([min(b.path.depth, _DEPTH) if b.path else 0 for b in flat]) / 10
     return out
 
 
@@ -198,11 +306,13 @@ class Labeller:
         for d in "fb":
             self.w |= {f"{d}x": draw(_INNER, 4 * _HIDDEN), f"{d}h": draw(_HIDDEN, 4 * _HIDDEN), f"{d}_b": np.concatenate([np.zeros(_HIDDEN), np.ones(_HIDDEN), np.zeros(2 * _HIDDEN)]).astype(np.float32)}
 
-    def _run(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, d: str, keep: bool, state: list[np.ndarray] | None = None) -> tuple[np.ndarray, list]:
+        """Hidden states; state: that before the first step, replaced by that after the last."""
         b, t, _ = x.shape
         n = _HIDDEN
         driven = x @ self.w[f"{d}x"] + self.w[f"{d}_b"]
-        h, c, out, tape = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32), np.empty((b, t, n), np.float32), []
+        h, c = state or (np.zeros((b, n), np.float32), np.zeros((b, n), np.float32))
+        out, tape = np.empty((b, t, n), np.float32), []
         for k in range(t):
             z = driven[:, k] + h @ self.w[f"{d}h"]
             gates, g = _sigmoid(z[:, : 3 * n]), np.tanh(z[:, 3 * n :])
@@ -214,6 +324,8 @@ class Labeller:
                 tape.append((h, before, i, f, o, g, squashed))
             h = o * squashed
             out[:, k] = h
+        if state is not None:
+            state[:] = [h, c]
         return out, tape
 
     def forward(self, x: np.ndarray, lengths: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
@@ -258,12 +370,30 @@ class Labeller:
         g["in_b"] = d_inner.sum((0, 1))
         return g
 
+    def _label_long(self, page: list[Block], piece: int) -> np.ndarray:
+        """label() of one page a piece at a time, the states carried from piece to piece: the same result in bounded memory."""
+        cuts = list(range(0, len(page), piece))
+        inner = lambda a: np.tanh(describe([page[a : a + piece]], a, len(page)) @ self.w["in"] + self.w["in_b"])[None]
+        fresh = lambda: [np.zeros((1, _HIDDEN), np.float32), np.zeros((1, _HIDDEN), np.float32)]
+        back, state = np.empty((len(page), _HIDDEN), np.float32), fresh()
+        for a in reversed(cuts):
+            back[a : a + piece] = self._run(inner(a)[:, ::-1], "b", False, state)[0][0, ::-1]
+        out, state = np.empty(len(page), bool), fresh()
+        for a in cuts:
+            ahead = self._run(inner(a), "f", False, state)[0][0]
+            out[a : a + piece] = (np.concatenate([ahead, back[a : a + piece]], 1) @ self.w["out"])[:, 0] + self.w["out_b"] > 0
+        return out
+
     def label(self, pages: list[list[Block]], cells: int = 60_000) -> list[np.ndarray]:
-        """For each page, which of its blocks are main text. Pages of like length are run together, about `cells` blocks at a time."""
+        """For each page, which of its blocks are main text. Pages of like length are run together, about `cells` blocks at a time; longer ones in pieces."""
+        out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
+        for i, p in enumerate(pages):
+            if len(p) > cells:
+                out[i] = self._label_long(p, cells)
+        pages = [p if len(p) <= cells else [] for p in pages]
         rows = describe(pages)
         lengths = np.array([len(p) for p in pages], np.int64)
         begins = np.cumsum(lengths) - lengths
-        out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = [i for i in np.argsort(lengths, kind="stable").tolist() if lengths[i]]
         while order:
             t, take = lengths[order[-1]], []
@@ -305,9 +435,31 @@ def train(pages: int = 2400, epochs: int = 6, batch: int = 24, rate: float = 6e-
     return model
 
 
-@lru_cache(maxsize=1)
-def default_labeller() -> Labeller:
-    return train()
+_trained: list[Labeller] = []
+
+
+def default_labeller(spark: SparkSession) -> Labeller:
+    """The labeller that train() gives by default. It is trained once and kept in the shared folder, under a digest of the code that makes it."""
+    if not _trained:
+        from vintagepanel.llm import html_pages
+
+        made_by = hashlib.sha256("".join(inspect.getsource(m) for m in (sys.modules[__name__], html_pages)).encode()).hexdigest()[:24]
+        fs, path = pafs.FileSystem.from_uri(f"{shared_dir(spark)}/html-labeller-{made_by}.npz")
+        labeller = Labeller()
+        if fs.get_file_info(path).is_file:
+            with fs.open_input_file(path) as f, np.load(io.BytesIO(f.read())) as held:
+                labeller.w = {k: held[k] for k in held.files}
+        else:
+            labeller = train()
+            body = io.BytesIO()
+            np.savez(body, **labeller.w)
+            fs.create_dir(posixpath.dirname(path), recursive=True)
+            part = f"{path}.{uuid.uuid4().hex}"
+            with fs.open_output_stream(part, compression=None) as f:
+                f.write(body.getvalue())
+            fs.move(part, path)  # whole or not at all
+        _trained.append(labeller)
+    return _trained[0]
 
 
 def texts(labeller: Labeller, pages: list[str]) -> list[str]:
@@ -324,7 +476,7 @@ def extract(pages: DataFrame, labeller: Labeller | None = None, id_col: str = "p
     empty table gives no rows.
     """
     small_batches(pages.sparkSession)
-    shared = pages.sparkSession.sparkContext.broadcast(labeller or default_labeller())
+    shared = pages.sparkSession.sparkContext.broadcast(labeller or default_labeller(pages.sparkSession))
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagepanel.llm import shingles
-from vintagepanel.llm.common import giving_back, scratch_table, small_batches, small_or_shuffled
+from vintagepanel.llm.common import giving_back, salted_join, scratch_table, small_batches, small_or_shuffled
 
 #: Members and n-grams of a chunk at most (about), and candidate ids that are broadcast.
 CHUNK_MEMBERS, CHUNK_GRAMS, BROADCAST_ROWS = 256, 400_000, 500_000
@@ -71,7 +71,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[column >= 0], column[column >= 0]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((m, m), np.float32)
+    out = np.zeros((m, m))  # blocks are exact in single precision, their sums need not be
     for low in range(0, len(shared), _COLUMNS):
         a, b = np.searchsorted(column, (low, low + _COLUMNS))
         block = np.zeros((m, min(_COLUMNS, len(shared) - low)), np.float32)
@@ -96,7 +96,7 @@ def _forest(left: np.ndarray, right: np.ndarray, m: int) -> list[tuple[int, int]
 def verify_unit(band: int, same_chunk: bool, chunk: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, copies: np.ndarray, similarity: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Link counts of the members of a unit, in copies of the other side, and a spanning forest of the links first met in this band."""
     sizes = np.array([len(s) for s in sets], np.float64)
-    met = overlaps(sets).astype(np.float64)
+    met = overlaps(sets)
     linked = met >= similarity * (sizes[:, None] + sizes[None, :] - met) - 1e-9
     linked &= np.triu(np.ones_like(linked), 1)
     if not same_chunk:
@@ -142,23 +142,26 @@ def _verified(units: DataFrame, similarity: float) -> DataFrame:
     return units.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(giving_back(run), "a binary, b binary, links long")
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, root) of the connected components of edges (a, b); root is a component's smallest node and is not listed itself."""
+def components(edges: DataFrame, salts: int = 16) -> DataFrame:
+    """(node, root) of the connected components of edges (a, b); root is a component's smallest node and is not listed itself.
+
+    A hub has as many edges as its component has members: smallest neighbours are combined
+    before the shuffle, and joined back to edges dealt over salts.
+    """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     pairs = scratch_table(pairs, "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:  # each round shortens the paths to the roots until nothing changes
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = salted_join(both.filter("b > a"), low, "a", 1, 0, "inner", salts).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(small_low.select("a", F.col("m").alias("b"))).distinct()
+        small = salted_join(large, small_low, "a", 1, 0, "inner", salts).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(small_low.select("a", F.col("m").alias("b"))).distinct()
         pairs = scratch_table(small, "edges")
         now = tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == seen:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
-    raise RuntimeError("components did not settle")
 
 
 def _row_classes(docs: DataFrame, id_col: str, text_col: str, n: int, similarity: float, recall: float, broadcast_rows: int) -> DataFrame:

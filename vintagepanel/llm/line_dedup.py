@@ -1,12 +1,13 @@
 """Removal of lines that many documents share, over levelled sorted runs of line hashes.
 
-A store of runs holds, for each line key, in how many documents it was seen. A batch of
-documents is added in four steps: its lines become distinct 128-bit key hashes per
-document; they are counted; keys that the settled set already holds (seen often enough)
-are merge-anti-joined away; the rest is written as a run sorted by hash. Once a level has
-fanout runs, they are merged into one run of the next level, and keys that reach the
-threshold move to the settled set. The store lives in the shared folder, a directory a
-run, so it outlives executors and can be filled over many jobs.
+A store of runs holds, for each line key, in how many documents it was seen. Documents are
+added in batches. The distinct keys of a batch are counted, and those that are settled
+already (seen often enough) are merge-anti-joined away. What is left is merge-anti-joined
+with the runs: keys that no run holds are new; of the others the counts so far are added
+up. Keys that reach the threshold are settled, the rest of the batch becomes a run of its
+own, sorted by key. Once a level has fanout runs, they are compacted into one run of the
+next level, without the keys that were settled meanwhile. The store lives in the shared
+folder, a directory a run, so it outlives executors and can be filled over many jobs.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 
 from vintagepanel.llm.common import scratch_path, scratch_table, small_or_shuffled, text_of
 
-KEY = ["h1", "h2"]
-#: Rows of the set of dropped keys (16 bytes of hash each) that are broadcast; more are shuffled.
+#: Rows of the set of dropped keys (32 bytes of digest each) that are broadcast; more are shuffled.
 BROADCAST_ROWS = 500_000
+#: Bits of the map that tells suspect lines; its size does not depend on the input.
+BITS = 1 << 20
+#: Documents of a batch, and the fewest and most batches of a call.
+BATCH_ROWS, BATCHES = 50_000_000, (4, 64)
 _STRIPPED = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -26,51 +30,57 @@ def line_key(line: Column) -> Column:
     return F.translate(stripped, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _hash(key: Column) -> Column:
-    """Two 64-bit hashes of a key. The constant comes first, as the hash of each argument seeds the next: the key's two seeds differ."""
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
-
-
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def digests(text: Column, min_length: int) -> Column:
+    """The 128-bit digest of each line's key, as hexadecimal; null for keys of fewer code points."""
+    keys = F.transform(_lines(text), line_key)
+    return F.transform(keys, lambda k: F.when(F.length(k) >= min_length, F.md5(k)))
+
+
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, n_docs) in one folder."""
+    """Levelled sorted runs of (k, n_docs) in one folder, and the keys that are settled."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = 10, min_length: int = 1, fanout: int = 2):
-        self.spark, self.min_docs, self.min_length, self.fanout = spark, min_docs, min_length, fanout
+    SCHEMA = "k string, n_docs long, settled boolean"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = 10, fanout: int = 2):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.path = path or scratch_path(spark, "line-runs")
         self.levels: list[list[str]] = []
-        self.settled_runs: list[str] = []
+        self.settled_in: list[str] = []
         self._next = 0
 
-    def keys(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """A row for each document and distinct key of it: h1, h2."""
-        lines = F.filter(F.transform(_lines(text_of(text_col)), line_key), lambda k: F.length(k) >= self.min_length)
-        return docs.select(F.explode(F.array_distinct(F.transform(lines, _hash))).alias("k")).select("k.*")
-
     def _write(self, df: DataFrame) -> str:
-        """A run: dealt by key, sorted within its files."""
+        """A run: dealt by key, sorted within its files, settled keys last, so that a reader of either kind skips the other's row groups."""
         self._next += 1
         path = f"{self.path}/run-{self._next}"
-        df.select(*KEY, "n_docs").sortWithinPartitions(*KEY).write.parquet(path)
+        df.select("k", "n_docs", "settled").sortWithinPartitions("settled", "k").write.parquet(path)
         return path
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long")
-        return self.spark.read.schema("h1 long, h2 long, n_docs long").parquet(*paths)
+    def _read(self, paths: list[str], settled: bool) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths).filter(F.col("settled") == settled).drop("settled")
 
-    def add_keys(self, keys: DataFrame) -> None:
-        """Add a batch of keys, a row for each document and key."""
-        counted = keys.groupBy(*KEY).agg(F.count("*").alias("n_docs"))
-        if self.settled_runs:
-            counted = counted.join(self._read(self.settled_runs).hint("merge"), KEY, "left_anti")
-        self._push(0, self._write(counted))
+    def runs(self) -> list[str]:
+        return [r for level in self.levels for r in level]
 
-    def add(self, docs: DataFrame, text_col: str = "text") -> None:
-        self.add_keys(self.keys(docs, text_col))
+    def joined(self, keys: DataFrame) -> DataFrame:
+        """What a batch (k, a row for each document and key) adds: k, n_docs, and whether k is settled by it."""
+        counted = keys.groupBy("k").agg(F.count("*").alias("n_docs"))
+        if self.settled_in:
+            counted = counted.join(self._read(self.settled_in, True).select("k").hint("merge"), "k", "left_anti")
+        if not self.runs():
+            return counted.withColumn("settled", F.col("n_docs") >= self.min_docs)
+        held = self._read(self.runs(), False)
+        fresh = counted.join(held.select("k").hint("merge"), "k", "left_anti").withColumn("before", F.lit(0).cast("long"))
+        again = counted.join(held.groupBy("k").agg(F.sum("n_docs").alias("before")).hint("merge"), "k")
+        return fresh.unionByName(again).select("k", "n_docs", (F.col("before") + F.col("n_docs") >= self.min_docs).alias("settled"))
+
+    def add_keys(self, keys: DataFrame) -> None:
+        path = self._write(self.joined(keys))
+        self.settled_in.append(path)
+        self._push(0, path)
 
     def _push(self, level: int, path: str) -> None:
         while len(self.levels) <= level:
@@ -78,44 +88,62 @@ class LineRuns:
         self.levels[level].append(path)
         if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
-            self._merge(runs, level + 1)
-
-    def _merge(self, runs: list[str], level: int) -> None:
-        merged = self._read([self._write(self._read(runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs")))])
-        self.settled_runs.append(self._write(merged.filter(F.col("n_docs") >= self.min_docs)))
-        self._push(level, self._write(merged.filter(F.col("n_docs") < self.min_docs)))
+            merged = self._read(runs, False).groupBy("k").agg(F.sum("n_docs").alias("n_docs"))
+            merged = merged.join(self._read(self.settled_in, True).select("k").hint("merge"), "k", "left_anti")
+            self._push(level + 1, self._write(merged.withColumn("settled", F.lit(False))))
 
     def common_keys(self) -> DataFrame:
-        """The keys (h1, h2) found in at least min_docs documents of all batches."""
-        runs = [r for level in self.levels for r in level]
-        last = self._read(runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= self.min_docs)
-        return self._read(self.settled_runs).select(*KEY).union(last.select(*KEY)).distinct()
+        """The keys (k) found in at least min_docs documents of all batches."""
+        return self._read(self.settled_in, True).select("k")
+
+
+def _suspects(common: DataFrame) -> Column:
+    """A map of BITS bits, one set for each of common (k), as a constant: a digest whose bit is not set is none of them."""
+    bit = F.pmod(F.xxhash64("k"), F.lit(BITS))
+    held = bytearray(BITS // 8)
+    one = F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))
+    for r in common.groupBy(F.shiftright(bit, 3).cast("int").alias("at")).agg(F.bit_or(one).alias("bits")).collect():
+        held[r["at"]] = r["bits"]
+    return F.lit(bytes(held))
+
+
+def _is_suspect(bits: Column, k: Column) -> Column:
+    bit = F.pmod(F.xxhash64(k), F.lit(BITS))
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return k.isNotNull() & (F.getbit(byte, (bit % 8).cast("int")) == 1)
 
 
-def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_length: int = 1, batches: int = 2, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_length: int = 1, batches: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_dropped, kept_text.
 
     Text is split at \\n (null or empty: one empty line). Lines whose key has at least
     min_length code points and stands in at least min_docs rows are dropped everywhere;
     the others stay in order, joined by \\n. Each row counts as a document, repeated rows
-    too; null ids are kept. Other columns are not read. An empty table gives no rows.
+    and rows of one id too; null ids are kept. Other columns are not read. An empty table
+    gives no rows. Only texts with a suspect line are shuffled; others stay where they are.
     """
-    rows = docs.select(docs[f"`{id_col}`"].alias("_id"), text_of(text_col).alias("_text")).withColumn("_h", F.xxhash64("_text"))
-    runs = LineRuns(docs.sparkSession, min_docs=min_docs, min_length=min_length)
+    spark = docs.sparkSession
+    read = docs.select(docs[f"`{id_col}`"].alias("_id"), text_of(f"`{text_col}`").alias("_text"))
+    rows = scratch_table(read.select("_id", _lines(F.col("_text")).alias("_lines"), digests(F.col("_text"), min_length).alias("_keys"), F.monotonically_increasing_id().alias("_row")), "lines")
+    if batches is None:
+        batches = min(max(-(-rows.count() // BATCH_ROWS), BATCHES[0]), BATCHES[1])
+    runs = LineRuns(spark, min_docs=min_docs)
     for b in range(batches):
-        runs.add(rows.filter(F.pmod("_h", F.lit(batches)) == b), "_text")
+        batch = rows.filter(F.pmod(F.xxhash64("_row"), F.lit(batches)) == b)
+        runs.add_keys(batch.select(F.explode(F.array_distinct("_keys")).alias("k")).filter("k IS NOT NULL"))
     common = scratch_table(runs.common_keys(), "common-lines")
-    n = common.count()
-    keyed = F.filter(F.transform(_lines(F.col("_text")), line_key), lambda k: F.length(k) >= min_length)
-    exploded = rows.select("_id", "_h", F.explode(F.array_distinct(F.transform(keyed, _hash))).alias("k")).select("_id", "_h", "k.*")
-    hits = exploded.join(small_or_shuffled(common, n, broadcast_rows), KEY)
-    per_doc = hits.groupBy(F.col("_id").alias("_i"), F.col("_h").alias("_g")).agg(F.collect_set(F.struct(*KEY)).alias("_drop"))
-    joined = rows.join(per_doc, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
-    lines = joined.select("_id", _lines(F.col("_text")).alias("_lines"), "_drop")
-    kept = F.filter("_lines", lambda line: ~F.array_contains(F.col("_drop"), _hash(line_key(line))))
-    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept)
-    out = lines.select("_id", F.size("_lines").cast("long").alias("n_lines"), kept.alias("_kept"))
-    return out.select(F.col("_id").alias("doc_id"), "n_lines", (F.col("n_lines") - F.size("_kept")).alias("n_dropped"), F.concat_ws("\n", "_kept").alias("kept_text"))
+    bits = _suspects(common)
+    marks = rows.select("_row", F.posexplode("_keys").alias("pos", "k")).filter(_is_suspect(bits, F.col("k")))
+    hits = marks.join(small_or_shuffled(common, common.count(), broadcast_rows), "k")
+    per_row = scratch_table(hits.groupBy("_row").agg(F.collect_list("pos").alias("_drop")), "dropped-lines")
+    touched = F.exists("_keys", lambda k: _is_suspect(bits, k))
+    columns = ["_id", "_lines", F.size("_keys").alias("_n")]
+    some = rows.filter(touched).select("_row", *columns).join(per_row, "_row", "left").drop("_row")
+    rest = rows.filter(~touched).select(*columns, F.lit(None).cast("array<int>").alias("_drop"))
+    kept = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_drop"))
+    kept_lines = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.transform(kept, lambda p: F.get(F.col("_lines"), p)))
+    out = some.unionByName(rest)
+    return out.select(F.col("_id").alias("doc_id"), F.col("_n").cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.concat_ws("\n", kept_lines).alias("kept_text"))
 
 
 def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -124,18 +152,19 @@ def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM d),
 keyed AS (
-  SELECT doc_id, pos, line,
+  SELECT r, doc_id, pos, line,
          translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines),
-common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
        CAST(sum(CASE WHEN k IN (SELECT k FROM common) THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE k NOT IN (SELECT k FROM common)), '')) AS kept_sha256
-FROM keyed GROUP BY doc_id
+FROM keyed GROUP BY r, doc_id
 """

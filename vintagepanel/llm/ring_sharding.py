@@ -17,7 +17,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintagepanel.llm.common import running_sum, text_of
+from vintagepanel.llm.common import cells_for, running_sum, text_of
 
 
 def ring(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -75,7 +75,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     not read. An empty table gives no rows.
     """
     points = ring(shards, vnodes)
-    text = text_of(text_col)
+    text = text_of(f"`{text_col}`")
     rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.withColumn("_place", F.xxhash64("doc_id", F.lit("place")))
     # arcs by a join on slices of the ring: a slice is a fixed range of hashes, an arc spans the slices it touches
@@ -84,8 +84,9 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     touched = arcs.withColumn("_slice", F.explode(F.sequence(F.shiftright("low", 64 - bits), F.shiftright("high", 64 - bits))))
     within = ((F.col("_place") > F.col("low")) | (F.col("head") & (F.col("_place") == F.col("low")))) & (F.col("_place") <= F.col("high"))
     placed = rows.withColumn("_slice", F.shiftright("_place", 64 - bits)).join(F.broadcast(touched), "_slice").filter(within).select(*rows.columns, "arc")
-    ranked = running_sum(placed, ["arc"], [F.col("_place"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.xxhash64("doc_id", F.lit("cell")), F.lit(1), "_rank")
     counts = {r["arc"]: r["n"] for r in placed.groupBy("arc").agg(F.count("*").alias("n")).collect()}
+    sizes = _local(docs.sparkSession, [{"arc": a, "n": n} for a, n in counts.items()], "arc int, n long").select("arc", cells_for(F.col("n")).alias("_cells"))
+    ranked = running_sum(placed.join(F.broadcast(sizes), "arc"), ["arc"], [F.col("_place"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.xxhash64("doc_id", F.lit("cell")), F.col("_cells"), F.lit(1), "_rank")
     plan = _local(docs.sparkSession, walk(counts, points, shards), "arc int, first long, last long, shard int, slot long").withColumnRenamed("arc", "_arc")
     found = ranked.join(F.broadcast(plan), (F.col("arc") == F.col("_arc")) & F.col("_rank").between(F.col("first"), F.col("last")))
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("slot") + F.col("_rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

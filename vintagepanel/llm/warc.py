@@ -1,10 +1,11 @@
 """WARC archives as a Python data source of Spark, for reading and writing.
 
-Files hold one gzip member per record. Each member carries its compressed length in the
-'sl' extra field, so a reader that is told by the headers that it does not want a record
-goes to the next one without inflating the payload; members without the field are
-inflated to find their end. Reading plans whole files into partitions of about equal
-size, parses WARC headers first, checks record type, id and address against the pushed
+Files written here hold one gzip member per record. Each member carries its compressed
+length in the 'sl' extra field, so a reader that is told by the headers that it does not
+want a record goes to the next one without inflating the payload. Archives of other
+writers are read too: gzip members without the field, several records in a member, plain
+files. Files are read through buffers of bounded size. Reading plans whole files into
+partitions of about equal size, parses WARC headers first, checks record type, id and address against the pushed
 filters, and only then decodes the payload (or never, with option payload=false).
 
 A writing task closes its file and reports its name; the commit lists the files of the
@@ -14,10 +15,11 @@ repeated attempts are so never read.
 
 import json
 import posixpath
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -34,26 +36,41 @@ _ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa
 MANIFEST = "_manifest"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEADER_OF = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "page_id": "X-Page-Id"}
-#: Bytes of payload in a batch, of a file when it is closed for the next, and of files in a read partition.
-BATCH_BYTES, FILE_BYTES, PARTITION_BYTES = 8 << 20, 128 << 20, 64 << 20
+#: Bytes of payload in a batch, of a file when it is closed for the next, and of files in a read partition at most and at least.
+BATCH_BYTES, FILE_BYTES, PARTITION_BYTES, LEAST_BYTES = 8 << 20, 64 << 20, 64 << 20, 1 << 20
+#: Bytes read at a time, inflated at a time, and of a head at most.
+READ_BYTES, PIECE_BYTES, HEAD_BYTES = 1 << 20, 1 << 15, 1 << 20
 #: Rows of revisited payloads that are broadcast; more are shuffled.
 BROADCAST_ROWS = 200_000
 
 
+_ESCAPED = {"%": "%25", "\r": "%0D", "\n": "%0A", " ": "%20", "\t": "%09"}
+_UNESCAPED = {v: k for k, v in _ESCAPED.items()}
+#: Marks records some of whose values are escaped; the values of other records are taken as they stand.
+ESCAPES = "X-Escaped"
+
+
 def _one_line(value: str) -> str:
-    """Header values hold no line breaks: these and % are written as %XX."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if any(c in value for c in "%\r\n") else value
+    """Header values hold no line breaks and no blanks at their ends: these are written as %XX, and so is %."""
+    body = value.strip(" \t")
+    ends = value[: len(value) - len(value.lstrip(" \t"))], value[len(value.rstrip(" \t")) :] if body else ""
+    return "".join(_ESCAPED[c] for c in ends[0]) + re.sub("[%\r\n]", lambda m: _ESCAPED[m[0]], body) + "".join(_ESCAPED[c] for c in ends[1])
 
 
 def _plain(value: str) -> str:
-    return value.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%") if "%" in value else value
+    return re.sub("%(?:25|0D|0A|20|09)", lambda m: _UNESCAPED[m[0]], value)
 
 
 def record(record_type: str, payload: bytes, headers: dict[str, str]) -> bytes:
     """One record as a gzip member. A revisit holds the HTTP head alone."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if record_type == "revisit" else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {record_type}", *(f"{k}: {_one_line(v)}" for k, v in headers.items()), "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    written = {k: _one_line(v) for k, v in headers.items()}
+    if any(_plain(v) != v for v in written.values()):
+        written[ESCAPES] = "1"
+    else:
+        written = headers
+    lines = ["WARC/1.1", f"WARC-Type: {record_type}", *(f"{k}: {v}" for k, v in written.items()), "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     head = ("\r\n".join(lines) + "\r\n\r\n").encode()
     squeeze = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = squeeze.compress(head) + squeeze.compress(block) + squeeze.compress(b"\r\n\r\n") + squeeze.flush()
@@ -63,38 +80,145 @@ def record(record_type: str, payload: bytes, headers: dict[str, str]) -> bytes:
 
 
 def _parse_head(text: bytes) -> dict[str, str]:
-    pairs = (line.split(":", 1) for line in text.decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
-    return {k.strip().lower(): _plain(v.strip()) for k, v in pairs}
-
-
-def records(data: pa.Buffer, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, payload) of the records of a file whose headers pass wanted(); payload is None where not asked for."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        jump = None
-        if view[at + 3] & 4:
-            if bytes(view[at + 12 : at + 14]) == b"sl":
-                jump = struct.unpack_from("<I", view, at + 16)[0]
-        inflate = zlib.decompressobj(31)
-        end = at + jump if jump else len(view)
-        head = inflate.decompress(view[at:end], 2048)
-        while (cut := head.find(b"\r\n\r\n")) < 0 and not inflate.eof:
-            head += inflate.decompress(inflate.unconsumed_tail, 2048)
-        headers = _parse_head(head[:cut])
-        take = wanted(headers)
-        if (take and payloads) or not jump:
-            rest = inflate.decompress(inflate.unconsumed_tail) + inflate.flush()
-            if not jump:
-                end -= len(inflate.unused_data)
-            if take and payloads:
-                block = (head[cut + 4 :] + rest)[: int(headers["content-length"])]
-                start = block.find(b"\r\n\r\n") + 4 if "http" in headers.get("content-type", "") else 0
-                yield headers, block[start:]
-                at = end
+    found: dict[str, str] = {}
+    last = ""
+    for line in re.split("\r?\n", text.decode("utf-8", "replace"))[1:]:
+        if line[:1] in (" ", "\t") and last:  # a value that goes on in the next line
+            found[last] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            last = name.strip().lower()
+            found[last] = value.strip()
+    return {k: _plain(v) for k, v in found.items()} if ESCAPES.lower() in found else found
+
+
+class _Archive:
+    """The content of an archive, inflated where it is gzip (of any number of members, with any number of records each), from buffers of bounded size."""
+
+    def __init__(self, f: pa.NativeFile):
+        self.f = f
+        self.block, self.begin, self.at = b"", 0, 0  # bytes read, where they begin in the file, the next of them
+        self.out = bytearray()
+        self.inflate = None
+        self.member: int | None = None  # where the member begins whose first bytes are the next of out
+        self.length = 0  # its length, if it says so
+        head = self._peek(2)
+        self.gzip = head == b"\x1f\x8b"
+
+    def _peek(self, n: int) -> bytes:
+        if len(self.block) - self.at < n:
+            rest = self.block[self.at :]
+            more = self.f.read(READ_BYTES)
+            self.begin += self.at
+            self.block, self.at = rest + more, 0
+        return self.block[self.at : self.at + n]
+
+    def _seek(self, to: int) -> None:
+        if self.begin <= to <= self.begin + len(self.block):
+            self.at = to - self.begin
+        else:
+            self.f.seek(to)
+            self.block, self.begin, self.at = b"", to, 0
+        self.out.clear()
+        self.inflate = None
+
+    def _member_length(self) -> int:
+        """The length that the member ahead gives in its 'sl' field, or 0."""
+        head = self._peek(12)
+        if len(head) < 12 or not head[3] & 4:
+            return 0
+        extra = self._peek(12 + struct.unpack_from("<H", head, 10)[0])[12:]
+        k = 0
+        while k + 4 <= len(extra):
+            name, n = extra[k : k + 2], struct.unpack_from("<H", extra, k + 2)[0]
+            if name == b"sl" and n >= 4:
+                return struct.unpack_from("<I", extra, k + 4)[0]
+            k += 4 + n
+        return 0
+
+    def _more(self) -> bool:
+        """Add some bytes to out; False at the end of the file."""
+        piece = self._peek(PIECE_BYTES)
+        if not piece:
+            if self.inflate is not None:
+                raise EOFError("an archive ends within a gzip member")
+            return False
+        if not self.gzip:
+            self.out += piece
+            self.at += len(piece)
+            return True
+        if self.inflate is None:
+            self.inflate = zlib.decompressobj(31)
+            if not self.out:
+                self.member, self.length = self.begin + self.at, self._member_length()
+                piece = self._peek(PIECE_BYTES)
+            else:
+                self.member = None
+        data = self.inflate.decompress(piece, PIECE_BYTES)
+        self.at += len(piece) - len(self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail)
+        if self.inflate.eof:
+            self.inflate = None
+        self.out += data
+        return True
+
+    def head(self) -> bytes | None:
+        """The head of the next record, without the empty line that ends it; None at the end."""
+        self.member = None
+        start = scanned = 0
+        while True:
+            while start < len(self.out) and self.out[start] in b"\r\n":  # what ends the record before
+                start += 1
+                scanned = start
+            del self.out[:start]
+            scanned -= start
+            start = 0
+            if not self.out and not self._more():
+                return None
+            if self.out[:1] in (b"\r", b"\n"):
                 continue
+            end = self.out.find(b"\r\n\r\n", max(0, scanned - 3))
+            if end >= 0:
+                found = bytes(self.out[:end])
+                del self.out[: end + 4]
+                return found
+            scanned = len(self.out)
+            if scanned > HEAD_BYTES or not self._more():
+                raise ValueError("an archive holds a record without an end of its head")
+
+    def block_of(self, n: int, keep: bool) -> bytes | None:
+        """The next n bytes; if not to be kept, they are passed over, and not inflated where their member gives its length."""
+        if not keep and self.gzip and self.member is not None and self.length:
+            self._seek(self.member + self.length)
+            return None
+        if not keep and not self.gzip and n > len(self.out):
+            self._seek(self.begin + self.at + n - len(self.out))
+            return None
+        parts: list[bytes] = []
+        while n > 0:
+            if not self.out and not self._more():
+                raise EOFError("an archive ends within a record")
+            take = min(n, len(self.out))
+            if keep:
+                parts.append(bytes(self.out[:take]))
+            del self.out[:take]
+            n -= take
+        return b"".join(parts) if keep else None
+
+
+def records(f: pa.NativeFile, wanted: Callable[[dict[str, str]], bool], payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, payload) of the records of an archive, gzip or plain, whose headers pass wanted(); payload is None where not asked for.
+
+    An archive that ends within a record, or holds a record whose head does not end, is an error.
+    """
+    archive = _Archive(f)
+    while (head := archive.head()) is not None:
+        headers = _parse_head(head)
+        take = wanted(headers)
+        block = archive.block_of(int(headers.get("content-length", 0)), take and payloads)
+        if take and block is not None and "http" in headers.get("content-type", ""):
+            block = block[block.find(b"\r\n\r\n") + 4 :] if b"\r\n\r\n" in block else b""
         if take:
-            yield headers, None
-        at = end
+            yield headers, block
 
 
 @dataclass
@@ -112,6 +236,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payloads = options.get("payload", "true").lower() == "true"
         self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
+        self.least = int(options.get("partitions", 1))
         self.equal: dict[str, set[str]] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -133,12 +258,14 @@ class WarcReader(DataSourceReader):
                 names = json.loads(f.read())
         else:
             names = [n for n in found if ".warc" in n]
+        # as many partitions as asked for, while they are not very small
+        size = min(self.partition_bytes, max(LEAST_BYTES, sum(found[n] for n in names) // self.least))
         out: list[InputPartition] = []
         room = 0
         for name in sorted(names):
             if room <= 0:
                 out.append(Files([]))
-                room = self.partition_bytes
+                room = size
             out[-1].names.append(name)
             room -= found[name]
         return out
@@ -151,14 +278,13 @@ class WarcReader(DataSourceReader):
         size = 0
         for name in partition.names if partition else []:
             with fs.open_input_file(posixpath.join(root, name)) as f:
-                data = f.read_buffer()
-            for h, payload in records(data, wanted, self.payloads):
-                page = h.get("x-page-id")
-                rows.append((h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-payload-digest"), h.get("warc-refers-to"), int(page) if page else None, int(h.get("content-length", 0)), payload))
-                size += len(payload or b"") + 200
-                if size >= BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, size = [], 0
+                for h, payload in records(f, wanted, self.payloads):
+                    page = h.get("x-page-id")
+                    rows.append((h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-payload-digest"), h.get("warc-refers-to"), int(page) if page else None, int(h.get("content-length", 0)), payload))
+                    size += len(payload or b"") + 200
+                    if size >= BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, size = [], 0
         if rows:
             yield _batch(rows)
 
@@ -232,8 +358,14 @@ def register(spark: SparkSession) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records of the archives (.warc.gz and .warc) of a folder, columns as in SCHEMA.
+
+    Headers that a record lacks are null; a folder without archives gives no rows; empty
+    files hold no records. Payloads are null for payload=False. Lengths in the 'sl' field
+    let unwanted records be passed over; other archives are inflated through.
+    """
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("partitions", 2 * spark.sparkContext.defaultParallelism).load(path)
 
 
 def write_pages(pages: DataFrame, path: str, min_revisit_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", broadcast_rows: int = BROADCAST_ROWS) -> None:
