@@ -42,12 +42,12 @@ def market_at_origin(origins: DataFrame, measures: DataFrame, values: list[str])
     return asof_join(origins, measures, "entity", "origin", "date", values, strict=True)
 
 
-def publication_lagged(origins: DataFrame, rows: DataFrame, value: str, publication_days: int = 14, max_age: int = 60, steps: tuple[int, ...] = (2, 6)) -> DataFrame:
-    """The value, and its change over some settlements, as known at each origin: published some days late, and not older than max_age."""
+def publication_lagged(origins: DataFrame, rows: DataFrame, value: str, publication_days: int = 14, max_age: int = 60, steps: tuple[int, ...] = (2, 6), also: tuple[str, ...] = ()) -> DataFrame:
+    """The value, its change over some settlements, and the columns of also, as known at each origin: published some days late, and not older than max_age."""
     w = Window.partitionBy("entity").orderBy("date")
     changed = rows.withColumns({f"{value}_chg{k}": g.growth(F.col(value), w, k) for k in steps})
     cut = origins.withColumn("_cut", F.date_sub("origin", publication_days))
-    return asof_join(cut, changed, "entity", "_cut", "date", [value, *[f"{value}_chg{k}" for k in steps]], max_age_days=max_age).drop("_cut")
+    return asof_join(cut, changed, "entity", "_cut", "date", [value, *[f"{value}_chg{k}" for k in steps], *also], max_age_days=max_age).drop("_cut")
 
 
 def to_quarters(series: DataFrame, columns: list[str]) -> DataFrame:

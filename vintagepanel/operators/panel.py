@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vintagepanel.functions import guarded as g
 from vintagepanel.functions import quarters as q
+from vintagepanel.functions.sizes import small
 from vintagepanel.operators.series import BANDS
 
 
@@ -78,13 +79,13 @@ def matched_series(series: DataFrame, matching: DataFrame, lag: int = 1) -> Data
     """series (series, qi, value) matched to groups (matching: grp, series): grp, qi, own_yoy, own_qoq for the quarter that may use them."""
     w = Window.partitionBy("series").orderBy("qi")
     grown = series.withColumns({"own_yoy": g.growth(F.col("value"), w, 4), "own_qoq": g.growth(F.col("value"), w, 1)})
-    return grown.join(F.broadcast(matching), "series").select("grp", (F.col("qi") + lag).alias("qi"), "own_yoy", "own_qoq")
+    return grown.join(small(matching), "series").select("grp", (F.col("qi") + lag).alias("qi"), "own_yoy", "own_qoq")
 
 
 def crosswalk(industry: DataFrame, mapping: DataFrame, lag: int = 2) -> DataFrame:
     """industry (industry, qi, value) summed to groups over a many-to-many mapping (grp, industry), with yearly and quarterly growth, lagged."""
     w = Window.partitionBy("grp").orderBy("qi")
-    summed = industry.join(F.broadcast(mapping), "industry").groupBy("grp", "qi").agg(F.sum("value").alias("value"))
+    summed = industry.join(small(mapping), "industry").groupBy("grp", "qi").agg(F.sum("value").alias("value"))
     grown = summed.withColumns({"va_yoy": g.growth(F.col("value"), w, 4), "va_qoq": g.growth(F.col("value"), w, 1)})
     return grown.select("grp", (F.col("qi") + lag).alias("qi"), F.col("value").alias("va"), "va_yoy", "va_qoq")
 

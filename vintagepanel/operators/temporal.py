@@ -58,16 +58,20 @@ def trailing_aggregate(left: DataFrame, right: DataFrame, by: str, origin: str,
 
 
 def signed_event_features(origins: DataFrame, events: DataFrame, by: str = "entity", origin: str = "origin", date: str = "date", action: str = "action", ties: str = "event_id") -> DataFrame:
-    """Counts of events before each origin, net raises less lowers over 180 and 365 days, and what the last event was; zeros where there was none."""
+    """Counts of events before each origin, net raises less lowers over 180 and 365 days, and what the last event was; zeros where there was none.
+
+    The counts see their windows; days_since, last_is_raise and last_is_lower see the last
+    of all earlier events, however old. Events without a date are not seen.
+    """
     a, age = F.col(f"r.{action}"), F.col("age")
     up, down = (a == "raise").cast("long"), (a == "lower").cast("long")
     within = lambda n, x: F.sum(F.when(age <= n, x).otherwise(0))
-    last = F.max_by(a, F.struct(F.col(f"r.{date}"), F.col(f"r.{ties}")))
-    aggregates = {"n_180": (within(180, F.lit(1)), 180), "net_180": (within(180, up - down), 180), "net_365": (within(365, up - down), 365), "raise_90": (within(90, up), 90), "lower_90": (within(90, down), 90), "days_since": (F.min(age), 365), "last_action": (last, 365)}
+    aggregates = {"n_180": (within(180, F.lit(1)), 180), "net_180": (within(180, up - down), 180), "net_365": (within(365, up - down), 365), "raise_90": (within(90, up), 90), "lower_90": (within(90, down), 90)}
     out = trailing_aggregate(origins, events, by, origin, date, [90, 180, 365], aggregates)
-    counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_180", "net_180", "net_365", "raise_90", "lower_90")}
-    flags = {"last_is_raise": F.coalesce((F.col("last_action") == "raise").cast("int"), F.lit(0)), "last_is_lower": F.coalesce((F.col("last_action") == "lower").cast("int"), F.lit(0))}
-    return out.withColumns(counts | flags).drop("last_action")
+    out = asof_join(out, events, by, origin, date, [action], strict=True, ties=[ties])
+    counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in aggregates}
+    flags = {f"last_is_{k}": F.coalesce((F.col(action) == k).cast("int"), F.lit(0)) for k in ("raise", "lower")}
+    return out.withColumns(counts | {"days_since": F.datediff(origin, "asof_date")} | flags).drop("asof_date", action)
 
 
 def latest_event(events: DataFrame, by: str, qi: str, date: str, ties: list[str]) -> DataFrame:
@@ -98,8 +102,10 @@ def event_study(prices: DataFrame, bench: DataFrame, events: DataFrame, ties: st
     b = bench.withColumn("rb", change("px", Window.partitionBy(F.lit(0)).orderBy("date"))).select("date", "rb")
     days = prices.withColumns({"day": F.row_number().over(w), "ret": change("px", w), "base": F.avg("volume").over(w.rowsBetween(-20, -1))}).join(b, "date", "left")
     days = days.select("entity", "date", "day", (F.col("ret") - F.col("rb")).alias("ar"), F.try_divide(F.col("volume"), F.col("base")).alias("av"))
-    forward = days.withColumn("next_from", F.coalesce(F.date_add(F.lag("date").over(w), 1), F.lit("0001-01-01").cast("date")))
-    first = events.alias("e").join(forward.alias("d"), (F.col("e.entity") == F.col("d.entity")) & F.col("e.date").cast("date").between(F.col("d.next_from"), F.col("d.date"))).select("e.*", F.col("d.day").alias("day0"))
+    # days are numbered without gaps, so the first day at or after a date follows the last day before it
+    known = events.filter(F.col("date").isNotNull()).withColumn("date", F.col("date").cast("date"))
+    before = asof_join(known, days, "entity", "date", "date", ["day"], strict=True).withColumn("day0", F.coalesce("day", F.lit(0)) + 1)
+    first = before.select(*events.columns, "day0").join(days.select("entity", F.col("day").alias("day0")), ["entity", "day0"], "left_semi")
     offsets = first.select("*", F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("o")).withColumn("day", F.col("day0") + F.col("o"))
     around = offsets.join(days.select("entity", "day", "ar", "av"), ["entity", "day"], "left")
 

@@ -1,11 +1,12 @@
 """Text measures and guidance mentions as column expressions; lexicons are a table the caller gives."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintagepanel.operators.temporal import trailing_rows
+from vintagepanel.functions.sizes import small
+from vintagepanel.operators.temporal import asof_join, trailing_rows
 
-# fixed values: words that tell what a statement does to guidance, strongest first, and its markers
+# fixed values: words that tell what a statement does to guidance, strongest first
 ACTIONS = [
     ("withdraw", ["withdraw", "withdraws", "withdrew", "withdrawn", "suspend", "suspended"]),
     ("lower", ["lower", "lowers", "lowered", "lowering", "reduce", "reduced", "reduces", "cut", "cuts", "decrease"]),
@@ -13,10 +14,13 @@ ACTIONS = [
     ("reaffirm", ["reaffirm", "reaffirms", "reaffirmed", "reiterate", "reiterates", "reiterated", "maintain", "maintains"]),
     ("initiate", ["initiate", "initiates", "initiated", "introduce", "introduced", "provide", "provided"]),
 ]
+# fixed values: words that a statement on revenue holds, and on something else
 TOPIC = r"(?i)\b(?:revenue|revenues|net sales|sales)\b"
 OTHER_TOPIC = r"(?i)\b(?:eps|earnings per share|per share|tax|margin|income|profit)\b"
+# fixed values: words that look ahead; the strong ones match from the start of a word
 STRONG_FORWARD = r"(?i)\b(?:guidance|outlook|expect|forecast)"
 FORWARD = r"(?i)\b(?:guidance|outlook|expect|expects|expected|forecast|project|projects|projected|anticipate|anticipates|anticipated|target|targets|will|approximately|about|range|between)\b"
+# fixed values: numbers, units and amounts of money
 _NUMBER, _UNIT = r"\d+(?:,\d{3})*(?:\.\d+)?", r"(?:billion|bn|million|mm|m)"
 _AMOUNT = rf"\$?\s*{_NUMBER}\s*{_UNIT}?"
 
@@ -43,15 +47,16 @@ def doc_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def lexicon_counts(docs: DataFrame, lexicon: DataFrame, names: list[str], key: str, text: str = "text") -> DataFrame:
-    """key with n_<name> and share_<name> for each lexicon of the table (lexicon, word), and n_words. The table is small and broadcast."""
+    """key with n_<name> and share_<name> for each lexicon of the table (lexicon, word), and n_words.
+
+    Words are exploded once: a word of several lexicons meets one row that lists them. A
+    document without words has zeros.
+    """
+    listed = lexicon.groupBy("word").agg(F.collect_set("lexicon").alias("lexicons"))
     words = docs.select(key, F.explode_outer(tokens(F.col(text))).alias("word"))
-    found = words.join(F.broadcast(lexicon), "word", "left")
-    n = F.count("word").alias("n_words")
-    # a word of several lexicons stands in several rows, so words are counted apart
-    counts = found.groupBy(key).agg(*[F.count_if(F.col("lexicon") == x).alias(f"n_{x}") for x in names])
-    totals = words.groupBy(key).agg(n)
-    out = totals.join(counts, key)
-    return out.withColumns({f"share_{x}": F.col(f"n_{x}") / F.greatest("n_words", F.lit(1)) for x in names})
+    found = words.join(small(listed), "word", "left")
+    counts = found.groupBy(key).agg(F.count("word").alias("n_words"), *[F.count_if(F.array_contains("lexicons", x)).alias(f"n_{x}") for x in names])
+    return counts.withColumns({f"share_{x}": F.col(f"n_{x}") / F.greatest("n_words", F.lit(1)) for x in names})
 
 
 def tone(df: DataFrame, positive: str = "positive", negative: str = "negative") -> DataFrame:
@@ -59,23 +64,29 @@ def tone(df: DataFrame, positive: str = "positive", negative: str = "negative")
     return df.withColumns({"net_tone": (p - n) / F.greatest("n_words", F.lit(1)), "tone_ratio": p / F.greatest(n, F.lit(1))})
 
 
-def trailing_text_features(origins: DataFrame, docs: DataFrame, windows: list[int], share: str, by: str = "entity") -> DataFrame:
-    """Per origin and window of days before it: documents, words, and the word-weighted mean of `share`; and the share of the latest document.
+def trailing_text_features(origins: DataFrame, docs: DataFrame, windows: tuple[int, ...] = (90, 180, 365), shares: tuple[str, ...] = ("net_tone",), counts: tuple[str, ...] = (), forms: dict[str, list[str]] | None = None, latest: tuple[str, ...] = ("form", "net_tone"), by: str = "entity") -> DataFrame:
+    """Per origin and window of days before it: documents (and those of each kind of form), words, sums of counts, word-weighted means of shares; and the latest document.
 
-    docs: entity, date, doc_id, n_words and the share column. A document without words
-    weighs 1; a null share counts as 0.
+    docs: entity, date, doc_id, form, n_words and the columns named. A document without
+    words weighs 1; a null share counts as 0. Windows without documents have zeros for
+    numbers of documents and words, else nulls. latest_<column>, latest_date: of the last
+    of all earlier documents, however old.
     """
     pairs = trailing_rows(origins, docs, by, "origin", "date", max(windows))
-    n, x = F.col("r.n_words"), F.coalesce(F.col(f"r.{share}"), F.lit(0.0))
-    weight = F.greatest(n, F.lit(1))
-    out = []
+    weight = F.greatest(F.col("r.n_words"), F.lit(1))
+    out, zeros = [], []
     for d in windows:
         inside = F.col("age") <= d
-        out += [F.count_if(inside).alias(f"docs_{d}"), F.coalesce(F.sum(F.when(inside, n)), F.lit(0)).alias(f"words_{d}"), F.try_divide(F.sum(F.when(inside, weight * x)), F.sum(F.when(inside, weight))).alias(f"{share}_{d}")]
-    latest = F.max_by(x, F.struct(F.col("r.date"), F.col("r.doc_id"))).alias(f"latest_{share}")
-    found = pairs.groupBy(F.col(f"l.{by}").alias(by), F.col("l.origin").alias("origin")).agg(*out, latest)
-    counts = [c for d in windows for c in (f"docs_{d}", f"words_{d}")]
-    return origins.join(found, [by, "origin"], "left").fillna(0, counts)
+        numbers = {f"docs_{d}": F.count_if(inside), f"words_{d}": F.coalesce(F.sum(F.when(inside, F.col("r.n_words"))), F.lit(0))}
+        numbers |= {f"docs_{name}_{d}": F.count_if(inside & F.col("r.form").isin(kinds)) for name, kinds in (forms or {}).items()}
+        zeros += list(numbers)
+        out += [c.alias(n) for n, c in numbers.items()]
+        out += [F.sum(F.when(inside, F.col(f"r.{c}"))).alias(f"{c}_{d}") for c in counts]
+        out += [F.try_divide(F.sum(F.when(inside, weight * F.coalesce(F.col(f"r.{x}"), F.lit(0.0)))), F.sum(F.when(inside, weight))).alias(f"{x}_{d}") for x in shares]
+    found = pairs.groupBy(F.col(f"l.{by}").alias(by), F.col("l.origin").alias("origin")).agg(*out)
+    named = docs.select(by, "date", "doc_id", *[F.col(c).alias(f"latest_{c}") for c in latest])
+    last = asof_join(origins, named, by, "origin", "date", [f"latest_{c}" for c in latest], strict=True, ties=["doc_id"]).withColumnRenamed("asof_date", "latest_date")
+    return last.join(found, [by, "origin"], "left").fillna(0, zeros)
 
 
 def amount(raw: Column, default_unit: Column | None = None) -> Column:
@@ -97,6 +108,7 @@ def period(text: Column) -> Column:
         n = F.when(n == "first", "1").when(n == "second", "2").when(n == "third", "3").when(n == "fourth", "4").otherwise(n)
         return F.when(y != "", F.concat(y, F.lit("Q"), n))
 
+    # fixed values: the three ways in which a quarter is named, the first that fits counts
     return F.coalesce(labelled(r"(?i)\b(20\d{2})\s*[- ]?\s*Q([1-4])\b", 1, 2), labelled(r"(?i)\bQ([1-4])\s*[- ]?\s*(20\d{2})\b", 2, 1), labelled(r"(?i)\b(first|second|third|fourth)\s+quarter\s+(?:of\s+)?(20\d{2})\b", 2, 1))
 
 
@@ -143,22 +155,58 @@ def guidance(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return out.filter("low IS NOT NULL AND high IS NOT NULL").withColumns({"midpoint": (F.col("low") + F.col("high")) / 2, "width": F.col("high") - F.col("low")}).dropDuplicates([*keep, "action", "period", "low", "high"])
 
 
-def guidance_window_features(origins: DataFrame, events: DataFrame, windows: list[int], by: str = "entity", actions: tuple[str, ...] = ("raise", "lower", "reaffirm")) -> DataFrame:
-    """Per origin and window: events, events of each action, mean midpoint; the latest midpoint and its age. events: entity, date, event_id, action, midpoint."""
-    pairs = trailing_rows(origins, events, by, "origin", "date", max(windows))
-    out = []
-    for d in windows:
-        inside = F.col("age") <= d
-        out += [F.count_if(inside).alias(f"n_{d}"), *[F.count_if(inside & (F.col("r.action") == a)).alias(f"n_{a}_{d}") for a in actions], F.avg(F.when(inside, F.col("r.midpoint"))).alias(f"midpoint_{d}")]
-    last = F.struct(F.col("r.date"), F.col("r.event_id"))
-    found = pairs.groupBy(F.col(f"l.{by}").alias(by), F.col("l.origin").alias("origin")).agg(*out, F.max_by("r.midpoint", last).alias("latest_midpoint"), F.min("age").alias("latest_age"))
-    return origins.join(found, [by, "origin"], "left").fillna(0, [c for d in windows for c in (f"n_{d}", *[f"n_{a}_{d}" for a in actions])])
+#: Actions whose number is a feature, and those that are flags of the latest statement.
+COUNTED, FLAGGED = ("withdraw", "lower", "raise", "reaffirm", "initiate"), ("raise", "lower", "reaffirm", "withdraw")
 
 
-def estimate_features(targets: DataFrame, estimates: DataFrame, revenue: str = "revenue") -> DataFrame:
-    """targets (entity, qi, origin, revenue) with the latest estimate (entity, qi, asof, avg, low, high, n) of the quarter made before the origin."""
+def guidance_window_features(targets: DataFrame, events: DataFrame, windows: tuple[int, ...] = (90, 180, 365), by: str = "entity") -> DataFrame:
+    """What guidance was known at each target's origin.
+
+    targets: entity, origin, target_quarter, revenue (the last known), ttm. events:
+    entity, date, event_id, action, period, midpoint, width_pct. Per window: number of
+    statements, and of each action, mean midpoint and width, and the midpoint against
+    revenue and ttm. latest_*: the last of all earlier statements, however old. period_*:
+    number and last of all earlier statements on the target quarter itself.
+    """
+    over = lambda x, name: {f"{name}_to_revenue": F.try_divide(F.col(x), F.col("revenue")), f"{name}_to_ttm": F.try_divide(F.col(x), F.col("ttm"))}
+    pairs = trailing_rows(targets.select(by, "origin").distinct(), events, by, "origin", "date", max(windows))
+    out, zeros = [], []
+    for d in windows:
+        inside = F.col("age") <= d
+        numbers = {f"n_{d}": F.count_if(inside)} | {f"n_{a}_{d}": F.count_if(inside & (F.col("r.action") == a)) for a in COUNTED}
+        zeros += list(numbers)
+        out += [c.alias(n) for n, c in numbers.items()] + [F.avg(F.when(inside, F.col(f"r.{c}"))).alias(f"{c}_{d}") for c in ("midpoint", "width_pct")]
+    found = pairs.groupBy(F.col(f"l.{by}").alias(by), F.col("l.origin").alias("origin")).agg(*out)
+    seen = events.filter(F.col("date").isNotNull())
+    values = ["action", "midpoint", "width_pct"]
+    x = asof_join(targets, seen, by, "origin", "date", values, strict=True, ties=["event_id"])
+    flags = {f"latest_is_{a}": F.when(F.col("asof_date").isNotNull(), F.coalesce((F.col("action") == a).cast("int"), F.lit(0))) for a in FLAGGED}
+    x = x.withColumns({"latest_age": F.datediff("origin", "asof_date"), "latest_midpoint": F.col("midpoint"), "latest_width_pct": F.col("width_pct")} | over("midpoint", "latest") | flags).drop("asof_date", *values)
+    # statements on a quarter, numbered by date: the last one known says how many there were
+    w = Window.partitionBy("_on").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    on = seen.withColumn("_on", F.when(F.col(by).isNotNull() & F.col("period").isNotNull(), F.struct(F.col(by).alias("e"), F.col("period").alias("p"))))
+    on = on.withColumn("_n", F.count("*").over(w))
+    x = x.withColumn("_on", F.struct(F.col(by).alias("e"), F.col("target_quarter").alias("p")))
+    x = asof_join(x, on, "_on", "origin", "date", ["_n", "midpoint", "width_pct"], strict=True, ties=["event_id"])
+    x = x.withColumns({"period_n": F.coalesce("_n", F.lit(0)), "period_age": F.datediff("origin", "asof_date"), "period_midpoint": F.col("midpoint"), "period_width_pct": F.col("width_pct")} | over("midpoint", "period")).drop("_on", "_n", "asof_date", "midpoint", "width_pct")
+    x = x.join(found, [by, "origin"], "left").fillna(0, zeros)
+    return x.withColumns({n: c for d in windows for n, c in over(f"midpoint_{d}", f"midpoint_{d}").items()})
+
+
+def estimate_features(targets: DataFrame, estimates: DataFrame) -> DataFrame:
+    """targets (entity, qi, origin, revenue, ttm) with the latest estimate (entity, qi, asof, avg, low, high, n) of the quarter made before the origin."""
     e = estimates.alias("e")
     pairs = targets.alias("t").join(e, (F.col("t.entity") == F.col("e.entity")) & (F.col("t.qi") == F.col("e.qi")) & (F.col("e.asof") < F.col("t.origin")))
-    best = pairs.groupBy("t.entity", "t.qi").agg(F.max_by(F.struct("e.asof", "e.avg", "e.low", "e.high", "e.n"), F.struct("e.asof", "e.avg")).alias("x"))
-    out = targets.join(best, ["entity", "qi"], "left")
-    return out.select(*targets.columns, F.col("x.avg").alias("est_avg"), F.col("x.n").alias("est_n"), F.datediff("origin", F.col("x.asof")).alias("est_age"), F.try_divide(F.col("x.high") - F.col("x.low"), F.col("x.avg")).alias("est_dispersion"), F.try_divide(F.col("x.avg"), F.col(revenue)).alias("est_ratio"))
+    best = pairs.groupBy("t.entity", "t.qi", "t.origin").agg(F.max_by(F.struct("e.asof", "e.avg", "e.low", "e.high", "e.n"), F.struct("e.asof", "e.avg")).alias("x"))
+    out = targets.join(best, ["entity", "qi", "origin"], "left")
+    new = {f"est_{c}": F.col(f"x.{c}") for c in ("avg", "high", "low", "n")} | {"est_age": F.datediff("origin", F.col("x.asof"))}
+    new |= {"est_dispersion": F.try_divide(F.col("x.high") - F.col("x.low"), F.col("x.avg")), "est_to_revenue": F.try_divide(F.col("x.avg"), F.col("revenue")), "est_to_ttm": F.try_divide(F.col("x.avg"), F.col("ttm"))}
+    return out.select(*targets.columns, *[c.alias(n) for n, c in new.items()])
+
+
+def expectation_features(targets: DataFrame, events: DataFrame, estimates: DataFrame, windows: tuple[int, ...] = (90, 180, 365)) -> DataFrame:
+    """Guidance and estimates known at the origin of each distinct target (entity, qi, origin, target_quarter, revenue, ttm), side by side."""
+    distinct = targets.dropDuplicates(["entity", "qi", "origin"])
+    said = guidance_window_features(distinct, events, windows)
+    expected = estimate_features(distinct, estimates).select("entity", "qi", "origin", *[f"est_{c}" for c in ("avg", "high", "low", "n", "age", "dispersion", "to_revenue", "to_ttm")])
+    return said.join(expected, ["entity", "qi", "origin"], "left")

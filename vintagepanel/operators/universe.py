@@ -3,10 +3,12 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vintagepanel.functions.sizes import small
+
 
 def map_labels(df: DataFrame, mapping: DataFrame, label: str) -> DataFrame:
     """df with grp, the canonical name of its label (mapping: label, grp); unmapped rows are dropped."""
-    return df.join(F.broadcast(mapping.select(F.col("label").alias(label), "grp")), label)
+    return df.join(small(mapping.select(F.col("label").alias(label), "grp")), label)
 
 
 def eligible(candidates: DataFrame, excluded: DataFrame, known: DataFrame, key: str = "entity") -> DataFrame:

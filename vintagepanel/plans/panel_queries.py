@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vintagepanel.operators import market, panel, series, temporal
 from vintagepanel.plans import views as v
-from vintagepanel.plans.views import BENCH, DAILY, DENSE, EVENTS, GROWN, RATIOS, SERIES, SERIES_WIDE, SPARSE, growth_sql, origins_sql, rolled, rounded
+from vintagepanel.plans.views import BENCH, DAILY, DENSE, EVENTS, GROWN, ORIGINS, RATIOS, SERIES, SERIES_WIDE, SPARSE, growth_sql, rolled, rounded
 from vintagepanel.sources import feeds
 
 QUERIES: dict = {}
@@ -251,17 +251,17 @@ def valuation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(x, ["mkt_ps", "mkt_ev_sales"]), ["mkt_cap"], 0).select("entity", "qi", "mkt_cap", "mkt_ps", "mkt_ev_sales")
 
 
-@query(f"""WITH {EVENTS}, {origins_sql(3)},
-j AS (SELECT o.entity, o.origin, date_diff('day', e.date, o.origin) AS age, e.action, e.date, e.event_id FROM orig o LEFT JOIN ev e ON o.entity = e.entity AND e.date < o.origin AND e.date >= o.origin - 365)
+@query(f"""WITH {EVENTS}, {ORIGINS},
+j AS (SELECT o.entity, o.origin, date_diff('day', e.date, o.origin) AS age, e.action, e.date, e.event_id FROM orig o LEFT JOIN ev e ON o.entity = e.entity AND e.date < o.origin)
 SELECT entity, origin, count(action) FILTER (WHERE age <= 180) AS n_180,
        CAST(coalesce(sum(CASE action WHEN 'raise' THEN 1 WHEN 'lower' THEN -1 ELSE 0 END) FILTER (WHERE age <= 180), 0) AS BIGINT) AS net_180,
-       CAST(coalesce(sum(CASE action WHEN 'raise' THEN 1 WHEN 'lower' THEN -1 ELSE 0 END), 0) AS BIGINT) AS net_365,
+       CAST(coalesce(sum(CASE action WHEN 'raise' THEN 1 WHEN 'lower' THEN -1 ELSE 0 END) FILTER (WHERE age <= 365), 0) AS BIGINT) AS net_365,
        count(*) FILTER (WHERE age <= 90 AND action = 'raise') AS raise_90, count(*) FILTER (WHERE age <= 90 AND action = 'lower') AS lower_90,
        CAST(min(age) AS INTEGER) AS days_since,
        CAST(coalesce(arg_max(action, (date, event_id)) = 'raise', false) AS INTEGER) AS last_is_raise, CAST(coalesce(arg_max(action, (date, event_id)) = 'lower', false) AS INTEGER) AS last_is_lower
 FROM j GROUP BY 1, 2""")
 def signed_event_features(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.signed_event_features(v.origins(spark, d, 3), v.signed_events(spark, d))
+    return temporal.signed_event_features(v.origins(spark, d), v.signed_events(spark, d))
 
 
 @query(f"""WITH {GROWN}, e0 AS (
@@ -323,9 +323,9 @@ def winsorize_and_trim(spark: SparkSession, d: str) -> DataFrame:
     return rounded(x, ["b_persistence"]).select("entity", "qi", "b_persistence")
 
 
-@query(f"WITH {SPARSE}, {growth_sql('sparse')} SELECT c_custkey AS entity, count(g.qi) AS n_rows, count(g.yoy) AS n_labelled, min(g.qi) AS first_qi, max(g.qi) AS last_qi FROM customer LEFT JOIN g ON c_custkey = g.entity GROUP BY 1")
+@query(f"WITH {GRID}, {growth_sql('filled')} SELECT c_custkey AS entity, count(g.qi) AS n_rows, count(g.yoy) AS n_labelled, min(g.qi) AS first_qi, max(g.qi) AS last_qi FROM customer LEFT JOIN g ON c_custkey = g.entity GROUP BY 1")
 def coverage_audit(spark: SparkSession, d: str) -> DataFrame:
-    x = series.clean_growth(v.sparse(spark, d))
+    x = series.clean_growth(series.gap_free(v.sparse(spark, d), static=["grp"]))
     return panel.coverage_audit(x, v.table(spark, d, "customer").select(F.col("c_custkey").alias("entity")))
 
 

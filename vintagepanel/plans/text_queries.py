@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vintagepanel.operators import fundamentals, text, universe
 from vintagepanel.plans import views as v
 from vintagepanel.plans.panel_queries import sql_round
-from vintagepanel.plans.views import DAILY, DOCS, EVENTS, FACTS, SERIES_WIDE, origins_sql, rounded
+from vintagepanel.plans.views import DAILY, DOCS, FACTS, GUIDED, SERIES_WIDE, rounded
 from vintagepanel.sources import feeds
 
 QUERIES: dict = {}
@@ -95,7 +95,7 @@ def align_series(spark: SparkSession, d: str) -> DataFrame:
     return feeds.align_series(v.series_long(spark, d), v.SERIES)
 
 
-@query(f"WITH {DAILY} SELECT n_name AS entity, count(px) AS n_rows, min(date) AS first, max(date) AS last, max(CASE WHEN px IS NOT NULL THEN 'orders' END) AS source FROM nation LEFT JOIN daily ON n_name = entity GROUP BY 1")
+@query(f"WITH {DAILY} SELECT n_name AS entity, count(px) AS n_rows, count(px) > 0 AS ok, min(date) AS first, max(date) AS last, max(CASE WHEN px IS NOT NULL THEN 'orders' END) AS source FROM nation LEFT JOIN daily ON n_name = entity GROUP BY 1")
 def coverage_report(spark: SparkSession, d: str) -> DataFrame:
     raw = v.daily(spark, d).withColumnRenamed("date", "ts")
     return feeds.coverage_report(v.table(spark, d, "nation").select(F.col("n_name").alias("entity")), feeds.normalize_prices(raw, "px", "volume", "orders"))
@@ -159,19 +159,30 @@ def industry_observations(spark: SparkSession, d: str) -> DataFrame:
     return feeds.industry_observations(raw)
 
 
-# a lexicon for the test texts; production lexicons come as a table of the caller's
-_LEXICON = [("positive", "the"), ("positive", "of"), ("negative", "and"), ("negative", "in"), ("insult", "idiot"), ("insult", "clown"), ("insult", "and")]
+# thirteen lexicons for the test texts, by rule: the words that stand in many places, dealt by length; lexicons of a trade come as a table of the caller's
 _WORDS = r"""tk AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z][a-zA-Z\-'']+'), lambda x: lower(trim(x, '-''')))) AS w FROM documents)"""
-_LEX = ["positive", "negative", "insult"]
+_LEX = ["positive", "negative", "uncertain", "litigious", "modal", "guidance", "demand", "supply", "cost", "people", "risk", "cloud", "capital"]
+_LEXICON_SQL = f"""{_WORDS}, lx AS (SELECT w AS word, unnest([length(w) % 13, length(w) * 7 % 13]) AS l FROM tk GROUP BY w HAVING count(*) >= 20)"""
 
 
-@query(f"""WITH {_WORDS}, t AS (SELECT d.doc_id, count(w) AS n_words, {', '.join(f"count(*) FILTER (WHERE w IN ({', '.join(repr(x) for n, x in _LEXICON if n == k)})) AS n_{k}" for k in _LEX)} FROM documents d LEFT JOIN tk ON d.doc_id = tk.doc_id GROUP BY 1),
-s AS (SELECT *, {', '.join(f'n_{k} / greatest(n_words, 1) AS share_{k}' for k in _LEX)}, (n_positive - n_negative) / greatest(n_words, 1) AS net_tone, n_positive / greatest(n_negative, 1) AS tone_ratio FROM t)
-SELECT doc_id, n_words, n_positive, n_negative, n_insult, {sql_round([f'share_{k}' for k in _LEX] + ['net_tone', 'tone_ratio'])} FROM s""")
+def _lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """lexicon, word: a word is in one lexicon or two."""
+    words = v.table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("word").count().filter("count >= 20")
+    n = F.length("word")
+    return words.select("word", F.explode(F.array(n % 13, n * 7 % 13)).alias("l")).select(F.element_at(F.array(*[F.lit(x) for x in _LEX]), F.col("l") + 1).alias("lexicon"), "word")
+
+
+_TONES = [f"share_{k}" for k in _LEX] + ["net_tone", "tone_ratio"]
+
+
+@query(f"""WITH {_LEXICON_SQL}, t AS (SELECT d.doc_id, count(w) AS n_words FROM documents d LEFT JOIN tk ON d.doc_id = tk.doc_id GROUP BY 1),
+k AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE l = {i}) AS n_{x}" for i, x in enumerate(_LEX))} FROM tk JOIN (SELECT DISTINCT word, l FROM lx) ON w = word GROUP BY 1),
+a AS (SELECT t.doc_id, n_words, {', '.join(f"coalesce(n_{x}, 0) AS n_{x}" for x in _LEX)} FROM t LEFT JOIN k ON t.doc_id = k.doc_id),
+s AS (SELECT *, {', '.join(f'n_{x} / greatest(n_words, 1) AS share_{x}' for x in _LEX)}, (n_positive - n_negative) / greatest(n_words, 1) AS net_tone, n_positive / greatest(n_negative, 1) AS tone_ratio FROM a)
+SELECT doc_id, n_words, {', '.join(f'n_{x}' for x in _LEX)}, {sql_round(_TONES)} FROM s""")
 def lexicon_counts(spark: SparkSession, d: str) -> DataFrame:
-    lexicon = spark.createDataFrame(_LEXICON, "lexicon string, word string")
-    x = text.tone(text.lexicon_counts(v.table(spark, d, "documents"), lexicon, _LEX, "doc_id"))
-    return rounded(x, [f"share_{k}" for k in _LEX] + ["net_tone", "tone_ratio"]).select("doc_id", "n_words", *[f"n_{k}" for k in _LEX], *[f"share_{k}" for k in _LEX], "net_tone", "tone_ratio")
+    x = text.tone(text.lexicon_counts(v.table(spark, d, "documents"), _lexicon(spark, d), _LEX, "doc_id"))
+    return rounded(x, _TONES).select("doc_id", "n_words", *[f"n_{k}" for k in _LEX], *_TONES)
 
 
 _METRICS_SQL = r"""m AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z][a-zA-Z\-'']+')) AS n_words,
@@ -185,16 +196,29 @@ def document_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(x, ["digit_share", "words_per_sentence"]).select("doc_id", "n_words", "n_sentences", "digit_share", "words_per_sentence")
 
 
-@query(f"""WITH {DOCS}, {_METRICS_SQL}, dm AS (SELECT docs.doc_id, entity, date, n_words, digit_share FROM docs JOIN m ON docs.doc_id = m.doc_id),
-o AS (SELECT entity, CAST(t AS DATE) AS origin FROM (SELECT DISTINCT entity FROM docs), (SELECT unnest(generate_series(TIMESTAMP '2020-03-01', TIMESTAMP '2022-12-01', INTERVAL 3 MONTH)) AS t)),
-j AS (SELECT o.*, dm.doc_id, dm.date, n_words, digit_share, date_diff('day', dm.date, o.origin) AS age FROM o LEFT JOIN dm ON o.entity = dm.entity AND dm.date < o.origin AND dm.date >= o.origin - 365)
-SELECT entity, origin, {', '.join(f"count(doc_id) FILTER (WHERE age <= {k}) AS docs_{k}, CAST(coalesce(sum(n_words) FILTER (WHERE age <= {k}), 0) AS BIGINT) AS words_{k}, round(sum(greatest(n_words, 1) * digit_share) FILTER (WHERE age <= {k}) / sum(greatest(n_words, 1)) FILTER (WHERE age <= {k}), 6) + 0.0e0 AS digit_share_{k}" for k in (90, 365))},
-       round(arg_max(digit_share, (date, doc_id)) FILTER (WHERE doc_id IS NOT NULL), 6) + 0.0e0 AS latest_digit_share FROM j GROUP BY 1, 2""")
+_TEXT_SHARES = ["digit_share", "words_per_sentence", "tone"]
+_TEXT_WINDOWS = (90, 180, 365)
+_TEXT_ROUNDED = [f"{x}_{k}" for k in _TEXT_WINDOWS for x in _TEXT_SHARES] + ["latest_tone"]
+
+
+def _weighted(x: str, k: int) -> str:
+    return f"sum(greatest(n_words, 1) * coalesce({x}, 0)) FILTER (WHERE age <= {k}) / sum(greatest(n_words, 1)) FILTER (WHERE age <= {k}) AS {x}_{k}"
+
+
+@query(f"""WITH {DOCS}, {_METRICS_SQL}, dm AS (SELECT docs.doc_id, entity, date, form, n_words, n_sentences, digit_share, n_words / n_sentences AS words_per_sentence, CASE WHEN n_words > 0 THEN (n_sentences % 5 - 2) / 10e0 END AS tone FROM docs JOIN m ON docs.doc_id = m.doc_id),
+o AS (SELECT entity, CAST(t AS DATE) AS origin FROM (SELECT DISTINCT entity FROM docs), (SELECT unnest(generate_series(TIMESTAMP '2020-03-01', TIMESTAMP '2025-12-01', INTERVAL 3 MONTH)) AS t)),
+j AS (SELECT o.*, dm.* EXCLUDE (entity), date_diff('day', dm.date, o.origin) AS age FROM o LEFT JOIN dm ON o.entity = dm.entity AND dm.date < o.origin),
+a AS (SELECT entity, origin, {', '.join(f"count(doc_id) FILTER (WHERE age <= {k}) AS docs_{k}, count(*) FILTER (WHERE age <= {k} AND form = 'en') AS docs_en_{k}, count(*) FILTER (WHERE age <= {k} AND form IN ('de', 'fr')) AS docs_other_{k}, CAST(coalesce(sum(n_words) FILTER (WHERE age <= {k}), 0) AS BIGINT) AS words_{k}, CAST(sum(n_sentences) FILTER (WHERE age <= {k}) AS BIGINT) AS n_sentences_{k}, " + ', '.join(_weighted(x, k) for x in _TEXT_SHARES) for k in _TEXT_WINDOWS)},
+       max(date) AS latest_date, arg_max(form, (date, doc_id)) FILTER (WHERE doc_id IS NOT NULL) AS latest_form, arg_max(coalesce(tone, -9), (date, doc_id)) FILTER (WHERE doc_id IS NOT NULL) AS latest_tone FROM j GROUP BY 1, 2)
+SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0.0e0 AS {c}' for c in _TEXT_ROUNDED)}) FROM a""")
 def trailing_text_features(spark: SparkSession, d: str) -> DataFrame:
-    x = text.doc_metrics(v.doc_rows(spark, d)).select("doc_id", "entity", "date", "n_words", "digit_share")
-    quarters = F.sequence(F.lit("2020-03-01").cast("date"), F.lit("2022-12-01").cast("date"), F.expr("interval 3 months"))
+    """Filings of each source; the last origins are years after the last document."""
+    x = text.doc_metrics(v.doc_rows(spark, d)).withColumn("tone", F.when(F.col("n_words") > 0, (F.col("n_sentences") % 5 - 2) / 10)).drop("text")
+    quarters = F.sequence(F.lit("2020-03-01").cast("date"), F.lit("2025-12-01").cast("date"), F.expr("interval 3 months"))
     origins = x.select("entity").distinct().select("entity", F.explode(quarters).alias("origin"))
-    return rounded(text.trailing_text_features(origins, x, [90, 365], "digit_share"), ["digit_share_90", "digit_share_365", "latest_digit_share"])
+    out = text.trailing_text_features(origins, x, _TEXT_WINDOWS, tuple(_TEXT_SHARES), ("n_sentences",), {"en": ["en"], "other": ["de", "fr"]}, ("form", "tone"))
+    out = out.withColumn("latest_tone", F.when(F.col("latest_date").isNotNull(), F.coalesce("latest_tone", F.lit(-9.0))))
+    return rounded(out, _TEXT_ROUNDED)
 
 
 @query(r"SELECT page_id, trim(regexp_replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages")
@@ -202,13 +226,46 @@ def strip_markup(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "pages").select("page_id", text.strip_markup(F.col("html")).alias("text"))
 
 
-@query(f"""WITH {EVENTS}, {origins_sql(5)},
-j AS (SELECT o.entity, o.origin, date_diff('day', e.date, o.origin) AS age, e.* EXCLUDE (entity) FROM orig o LEFT JOIN ev e ON o.entity = e.entity AND e.date < o.origin AND e.date >= o.origin - 20)
-SELECT entity, origin, {', '.join(f"count(event_id) FILTER (WHERE age <= {k}) AS n_{k}, " + ', '.join(f"count(*) FILTER (WHERE age <= {k} AND action = '{a}') AS n_{a}_{k}" for a in ('raise', 'lower', 'reaffirm')) + f", round(avg(midpoint) FILTER (WHERE age <= {k}), 6) + 0.0e0 AS midpoint_{k}" for k in (7, 20))},
-       arg_max(midpoint, (date, event_id)) AS latest_midpoint, CAST(min(age) AS INTEGER) AS latest_age FROM j GROUP BY 1, 2""")
+_GW = (7, 20, 365)
+_GW_ROUNDED = [f"{x}_{k}" for k in _GW for x in ("midpoint", "width_pct")] + [f"midpoint_{k}_to_{r}" for k in _GW for r in ("revenue", "ttm")] + [f"{p}_to_{r}" for p in ("latest", "period") for r in ("revenue", "ttm")]
+
+
+def _last_of(x: str, where: str = "event_id IS NOT NULL") -> str:
+    return f"arg_max({{'v': {x}}}, (date, event_id)) FILTER (WHERE {where})"
+
+
+_ON = "event_id IS NOT NULL AND period = target_quarter"
+_GUIDANCE_SQL = f"""{GUIDED},
+gj AS (SELECT tg.*, date_diff('day', ge.date, tg.origin) AS age, ge.* EXCLUDE (entity) FROM tg LEFT JOIN ge ON tg.entity = ge.entity AND ge.date < tg.origin),
+gw AS (SELECT entity, origin, qi, target_quarter, revenue, ttm,
+  {', '.join(f"count(event_id) FILTER (WHERE age <= {k}) AS n_{k}, " + ', '.join(f"count(*) FILTER (WHERE age <= {k} AND action = '{a}') AS n_{a}_{k}" for a in text.COUNTED) + f", avg(midpoint) FILTER (WHERE age <= {k}) AS midpoint_{k}, avg(width_pct) FILTER (WHERE age <= {k}) AS width_pct_{k}" for k in _GW)},
+  CAST(min(age) AS INTEGER) AS latest_age, ({_last_of('midpoint')}).v AS latest_midpoint, ({_last_of('width_pct')}).v AS latest_width_pct, ({_last_of('action')}).v AS la,
+  count(*) FILTER (WHERE {_ON}) AS period_n, CAST(min(age) FILTER (WHERE {_ON}) AS INTEGER) AS period_age, ({_last_of('midpoint', _ON)}).v AS period_midpoint, ({_last_of('width_pct', _ON)}).v AS period_width_pct
+  FROM gj GROUP BY entity, origin, qi, target_quarter, revenue, ttm),
+gx AS (SELECT * EXCLUDE (la), {', '.join(f"midpoint_{k} / nullif({r}, 0) AS midpoint_{k}_to_{r}" for k in _GW for r in ('revenue', 'ttm'))}, {', '.join(f"{p}_midpoint / nullif({r}, 0) AS {p}_to_{r}" for p in ('latest', 'period') for r in ('revenue', 'ttm'))},
+  {', '.join(f"CASE WHEN latest_age IS NOT NULL THEN CAST(la = '{a}' AS INTEGER) END AS latest_is_{a}" for a in text.FLAGGED)} FROM gw)"""
+_GUIDANCE_OUT = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0.0e0 AS {c}' for c in _GW_ROUNDED)}) FROM gx"
+
+
+@query(f"WITH {_GUIDANCE_SQL} {_GUIDANCE_OUT}")
 def guidance_windows(spark: SparkSession, d: str) -> DataFrame:
-    x = text.guidance_window_features(v.origins(spark, d, 5), v.signed_events(spark, d), [7, 20])
-    return rounded(x, ["midpoint_7", "midpoint_20"])
+    """Every origin of January 2024, and two that lie long after the last statement."""
+    return rounded(text.guidance_window_features(v.guided_targets(spark, d), v.guidance_events(spark, d), _GW), _GW_ROUNDED)
+
+
+_EST_ROUNDED = ["est_dispersion", "est_to_revenue", "est_to_ttm"]
+
+
+@query(f"""WITH {_GUIDANCE_SQL}, gf AS ({_GUIDANCE_OUT}),
+ej AS (SELECT tg.entity, tg.origin, tg.revenue, tg.ttm, es.made, es.avg, es.low, es.high, es.n FROM tg JOIN es ON tg.entity = es.entity AND tg.qi = es.qi AND es.made < tg.origin),
+eb AS (SELECT entity, origin, revenue, ttm, max(made) AS made, arg_max({{'a': avg, 'l': low, 'h': high, 'n': n}}, (made, avg, low, high, n)) AS x FROM ej GROUP BY entity, origin, revenue, ttm),
+ex AS (SELECT entity, origin, x.a AS est_avg, x.h AS est_high, x.l AS est_low, x.n AS est_n, CAST(date_diff('day', made, origin) AS INTEGER) AS est_age, round((x.h - x.l) / nullif(x.a, 0), 6) + 0.0e0 AS est_dispersion,
+  round(x.a / nullif(revenue, 0), 6) + 0.0e0 AS est_to_revenue, round(x.a / nullif(ttm, 0), 6) + 0.0e0 AS est_to_ttm FROM eb)
+SELECT gf.*, ex.* EXCLUDE (entity, origin) FROM gf LEFT JOIN ex ON gf.entity = ex.entity AND gf.origin = ex.origin""")
+def expectation_features(spark: SparkSession, d: str) -> DataFrame:
+    """Guidance and estimates of each distinct target; targets are given twice."""
+    t = v.guided_targets(spark, d)
+    return rounded(text.expectation_features(t.unionByName(t), v.guidance_events(spark, d), v.estimates(spark, d), _GW), [*_GW_ROUNDED, *_EST_ROUNDED])
 
 
 _STATEMENT = """st AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'We ' || CASE o_orderstatus WHEN 'F' THEN 'raised' WHEN 'O' THEN 'lowered' ELSE 'maintain' END || ' our outlook: revenue for Q' || CAST(1 + o_orderkey % 4 AS VARCHAR) || ' ' || CAST(year(o_orderdate) + 10 AS VARCHAR) || ' of $' || CAST(o_orderkey % 90 + 1 AS VARCHAR) || ' to $' || CAST(o_orderkey % 50 + 40 AS VARCHAR) || ' million.' WHEN o_orderkey % 3 = 1 THEN 'Net income and tax were flat; sales moved.' END AS text, o_orderstatus, o_orderdate FROM orders)"""
@@ -226,18 +283,18 @@ def guidance_statements(spark: SparkSession, d: str) -> DataFrame:
     return text.guidance(docs, ["o_orderkey"])
 
 
-@query("""WITH t AS (SELECT c_custkey AS entity, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS BIGINT) AS qi, CAST(date_trunc('quarter', min(o_orderdate)) AS DATE) AS origin, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+@query("""WITH t AS (SELECT c_custkey AS entity, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS BIGINT) AS qi, CAST(date_trunc('quarter', min(o_orderdate)) AS DATE) AS origin, round(sum(o_totalprice), 2) AS revenue, 4e0 * count(*) AS ttm FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 e AS (SELECT o_custkey AS entity, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS BIGINT) AS qi, CAST(o_orderdate AS DATE) AS made, o_totalprice AS avg, o_totalprice * 0.75e0 AS low, o_totalprice * 1.5e0 AS high, CAST(o_orderkey % 9 AS BIGINT) AS n FROM orders),
 j AS (SELECT t.*, e.made, e.avg, e.low, e.high, e.n FROM t LEFT JOIN e ON t.entity = e.entity AND t.qi = e.qi AND e.made < t.origin),
-b AS (SELECT entity, qi, origin, revenue, arg_max(avg, (made, avg)) AS est_avg, arg_max(n, (made, avg)) AS est_n, CAST(date_diff('day', max(made), origin) AS INTEGER) AS est_age, arg_max(high - low, (made, avg)) AS w FROM j GROUP BY entity, qi, origin, revenue)
-SELECT entity, qi, origin, revenue, est_avg, est_n, est_age, round(w / nullif(est_avg, 0), 6) + 0.0e0 AS est_dispersion, round(est_avg / nullif(revenue, 0), 6) + 0.0e0 AS est_ratio FROM b""")
+b AS (SELECT entity, qi, origin, revenue, ttm, arg_max(avg, (made, avg)) AS est_avg, arg_max(high, (made, avg)) AS est_high, arg_max(low, (made, avg)) AS est_low, arg_max(n, (made, avg)) AS est_n, CAST(date_diff('day', max(made), origin) AS INTEGER) AS est_age FROM j GROUP BY entity, qi, origin, revenue, ttm)
+SELECT *, round((est_high - est_low) / nullif(est_avg, 0), 6) + 0.0e0 AS est_dispersion, round(est_avg / nullif(revenue, 0), 6) + 0.0e0 AS est_to_revenue, round(est_avg / nullif(ttm, 0), 6) + 0.0e0 AS est_to_ttm FROM b""")
 def estimate_features(spark: SparkSession, d: str) -> DataFrame:
     o, c = v.table(spark, d, "orders"), v.table(spark, d, "customer")
     qi = v.quarter_index(F.col("o_orderdate"))
-    t = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_custkey").alias("entity"), qi.alias("qi")).agg(F.to_date(F.date_trunc("quarter", F.min("o_orderdate"))).alias("origin"), v.cents(F.col("o_totalprice")).alias("revenue"))
+    t = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_custkey").alias("entity"), qi.alias("qi")).agg(F.to_date(F.date_trunc("quarter", F.min("o_orderdate"))).alias("origin"), v.cents(F.col("o_totalprice")).alias("revenue"), (F.count("*") * 4.0).alias("ttm"))
     p = F.col("o_totalprice")
     e = o.select(F.col("o_custkey").alias("entity"), (qi + 1).alias("qi"), F.to_date("o_orderdate").alias("asof"), p.alias("avg"), (p * 0.75).alias("low"), (p * 1.5).alias("high"), (F.col("o_orderkey") % 9).alias("n"))
-    return rounded(text.estimate_features(t, e), ["est_dispersion", "est_ratio"])
+    return rounded(text.estimate_features(t, e), _EST_ROUNDED)
 
 
 _MAP = [("AUTOMOBILE", "Industry"), ("MACHINERY", "Industry"), ("BUILDING", "Property"), ("FURNITURE", "Home")]

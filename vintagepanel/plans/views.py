@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintagepanel.functions.quarters import quarter_index
+from vintagepanel.functions.quarters import quarter_index, quarter_label
 from vintagepanel.operators import panel, series
 
 
@@ -45,6 +45,17 @@ def ratios(spark: SparkSession, d: str) -> DataFrame:
     return x.join(F.broadcast(names), F.col("c_nationkey") == F.col("n_nationkey")).select("entity", "grp", "qi", "revenue", "cost", "tax", "qty")
 
 
+def accounts(spark: SparkSession, d: str) -> DataFrame:
+    """ratios with the lines of accounts made of them; gross profit and debt are missing in some quarters."""
+    c = F.col
+    new = {
+        "gross_profit": F.when(c("qi") % 5 > 0, c("revenue") - c("cost")), "operating_income": c("revenue") - c("cost") - c("tax"), "depreciation": c("tax") * 0.5, "net_income": c("revenue") - c("cost") * 2.0,
+        "research": c("tax") * 0.25, "overhead": c("cost") * 0.5, "capex": c("qty") * 10.0, "operating_cash": c("qty") * 20.0, "assets": c("revenue") * 3.0 + c("cost"), "deferred": c("cost") * 1.5,
+        "receivables": c("tax") * 1.25, "goodwill": c("cost") * 2.0, "shares": c("qty"), "debt": F.when(c("qi") % 3 > 0, c("cost") * 3.0), "cash": c("tax") * 3.0,
+    }
+    return ratios(spark, d).withColumns(new)
+
+
 def grown(spark: SparkSession, d: str) -> DataFrame:
     """The dense panel with yoy, qoq, ttm and naive forecasts."""
     return panel.baselines(series.clean_growth(dense(spark, d)))
@@ -81,12 +92,33 @@ def signed_events(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").alias("entity"), F.to_date("ts").alias("date"), "event_id", act.alias("action"), F.col("value").alias("midpoint"))
 
 
-def origins(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
-    """Every entity of the events at every `every`-th day of January 2024."""
-    days = F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date"), F.expr(f"interval {every} days"))
+def origins(spark: SparkSession, d: str) -> DataFrame:
+    """Every entity of the events at each day of January 2024, and at two dates long after the last event."""
+    days = F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date"))
+    days = F.concat(days, F.array(F.lit("2024-10-15").cast("date"), F.lit("2025-06-01").cast("date")))
     return table(spark, d, "events").select(F.col("user_id").alias("entity")).distinct().select("entity", F.explode(days).alias("origin"))
 
 
+def guided_targets(spark: SparkSession, d: str) -> DataFrame:
+    """origins with qi and label of the origin's quarter, and stand-ins for known revenue (0 for some) and a year's revenue."""
+    k = F.col("entity") % 7
+    return origins(spark, d).select("entity", "origin", quarter_index(F.col("origin")).alias("qi"), quarter_label(quarter_index(F.col("origin"))).alias("target_quarter"), (k * 10).cast("double").alias("revenue"), (k * 38 + 5).cast("double").alias("ttm"))
+
+
+def guidance_events(spark: SparkSession, d: str) -> DataFrame:
+    """signed_events with the quarter they speak of and the width of their range."""
+    i = F.col("event_id")
+    return signed_events(spark, d).withColumns({"period": F.concat(F.lit("202"), (4 + F.floor(i % 6 / 4)).cast("string"), F.lit("Q"), (1 + i % 4).cast("string")), "width_pct": F.when(i % 5 > 0, (i % 5) / 10)})
+
+
+def estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates for the quarter of the event and, for even events, the second quarter of 2025, made on the day of the event."""
+    e = table(spark, d, "events")
+    x, day = F.col("value"), F.to_date("ts")
+    qi = F.when(F.col("event_id") % 2 == 0, F.lit(2025 * 4 + 1)).otherwise(quarter_index(day)).cast("long")
+    return e.select(F.col("user_id").alias("entity"), qi.alias("qi"), day.alias("asof"), x.alias("avg"), (x * 0.75).alias("low"), (x * 1.5).alias("high"), (F.col("event_id") % 9).alias("n"))
+
+
 def facts(spark: SparkSession, d: str) -> DataFrame:
     """entity (supplier), concept, tag, prio, end (quarter's end), filed, val and the line's key."""
     li = table(spark, d, "lineitem")
@@ -123,6 +155,12 @@ RATIOS = """ratios AS (
   GROUP BY 1, 2, 3)"""
 
 
+ACCOUNTS = f"""{RATIOS},
+accounts AS (SELECT *, CASE WHEN qi % 5 > 0 THEN revenue - cost END AS gross_profit, revenue - cost - tax AS operating_income, tax * 0.5e0 AS depreciation, revenue - cost * 2e0 AS net_income, tax * 0.25e0 AS research,
+  cost * 0.5e0 AS overhead, qty * 10e0 AS capex, qty * 20e0 AS operating_cash, revenue * 3e0 + cost AS assets, cost * 1.5e0 AS deferred, tax * 1.25e0 AS receivables, cost * 2e0 AS goodwill, qty AS shares,
+  CASE WHEN qi % 3 > 0 THEN cost * 3e0 END AS debt, tax * 3e0 AS cash FROM ratios)"""
+
+
 def growth_sql(source: str, name: str = "g") -> str:
     """yoy, qoq and ttm of a gap-free table in SQL."""
     return f"""{name}0 AS (
@@ -169,10 +207,15 @@ EVENTS = """ev AS (
   FROM events)"""
 
 
-def origins_sql(every: int = 1) -> str:
-    return f"""orig AS (
+ORIGINS = """orig AS (
   SELECT entity, CAST(t AS DATE) AS origin FROM (SELECT DISTINCT user_id AS entity FROM events),
-       (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL {every} DAY)) AS t))"""
+       (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS t UNION ALL SELECT TIMESTAMP '2024-10-15' UNION ALL SELECT TIMESTAMP '2025-06-01'))"""
+
+GUIDED = f"""{EVENTS}, {ORIGINS},
+tg AS (SELECT entity, origin, CAST(year(origin) * 4 + quarter(origin) - 1 AS BIGINT) AS qi, CAST(year(origin) AS VARCHAR) || 'Q' || CAST(quarter(origin) AS VARCHAR) AS target_quarter,
+       CAST(entity % 7 * 10 AS DOUBLE) AS revenue, CAST(entity % 7 * 38 + 5 AS DOUBLE) AS ttm FROM orig),
+ge AS (SELECT *, '202' || CAST(4 + event_id % 6 // 4 AS VARCHAR) || 'Q' || CAST(1 + event_id % 4 AS VARCHAR) AS period, CASE WHEN event_id % 5 > 0 THEN (event_id % 5) / 10e0 END AS width_pct FROM ev),
+es AS (SELECT user_id AS entity, CASE WHEN event_id % 2 = 0 THEN 2025 * 4 + 1 ELSE year(ts) * 4 + quarter(ts) - 1 END AS qi, CAST(ts AS DATE) AS made, value AS avg, value * 0.75e0 AS low, value * 1.5e0 AS high, CAST(event_id % 9 AS BIGINT) AS n FROM events)"""
 
 
 FACTS = """facts AS (

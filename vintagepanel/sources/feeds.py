@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintagepanel.functions.quarters import quarter_index
+from vintagepanel.functions.sizes import small
 
 COMPANY_FACTS = "cik string, facts struct<`us-gaap`: map<string, struct<units: map<string, array<struct<start: string, end: string, val: double, fy: int, fp: string, form: string, filed: string, frame: string>>>>>>"
 # fixed values: roman quarter numerals of the industry feed
@@ -28,21 +29,26 @@ def normal_symbol(c: Column) -> Column:
     return F.upper(F.trim(F.replace(c, F.lit("."), F.lit("-"))))
 
 
-def resolve_keys(universe: DataFrame, keymap: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+def resolve_keys(universe: DataFrame, keymap: DataFrame) -> DataFrame:
     """universe (ticker, ...) with id, id_str (ten digits) of keymap (ticker, id): the first id of a symbol; unresolved ones keep nulls."""
     w = Window.partitionBy("_s").orderBy("id")
     keys = keymap.select(normal_symbol(F.col("ticker")).alias("_s"), F.col("id").cast("long").alias("id")).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    out = universe.withColumn("_s", normal_symbol(F.col("ticker"))).join(keys, "_s", "left").drop("_s")
+    out = universe.withColumn("_s", normal_symbol(F.col("ticker"))).join(small(keys), "_s", "left").drop("_s")
     return out.withColumn("id_str", F.lpad(F.col("id").cast("string"), 10, "0"))
 
 
+def unresolved(resolved: DataFrame) -> DataFrame:
+    """The distinct symbols that resolve_keys found no id for."""
+    return resolved.filter("id IS NULL").select("ticker").distinct()
+
+
 def facts_to_long(raw: DataFrame, concepts: DataFrame) -> DataFrame:
     """Nested company facts (entity, json) to rows. concepts: concept, tag, prio, unit (the preferred one); all tags of a concept are taken.
 
     A tag's values come from its preferred unit, or its first one if that is not there.
     """
     parsed = raw.select("entity", F.from_json("json", COMPANY_FACTS).alias("f")).select("entity", F.explode(F.col("f.facts.us-gaap")).alias("tag", "body"))
-    matched = parsed.join(F.broadcast(concepts), "tag")
+    matched = parsed.join(small(concepts), "tag")
     units = F.col("body.units")
     chosen = F.coalesce(F.try_element_at(units, F.col("unit")), F.get(F.map_values(units), F.lit(0)))
     used = F.when(F.map_contains_key(units, F.col("unit")), F.col("unit")).otherwise(F.get(F.map_keys(units), F.lit(0)))
@@ -66,15 +72,25 @@ def align_series(long: DataFrame, names: list[str]) -> DataFrame:
     return long.withColumn("value", F.col("value").try_cast("double")).groupBy("date").pivot("series", names).agg(F.first("value", True))
 
 
-def normalize_prices(raw: DataFrame, close: str, volume: str, source: str) -> DataFrame:
-    """entity, date, px, volume, source; rows without a close are dropped."""
-    return raw.filter(F.col(close).isNotNull()).select("entity", F.to_date("ts").alias("date"), F.col(close).cast("double").alias("px"), F.col(volume).cast("double").alias("volume"), F.lit(source).alias("source"))
+def normalize_prices(raw: DataFrame, close: str, volume: str, source: str, zone: str | None = None) -> DataFrame:
+    """entity, date (of ts in UTC, if ts is local time of a zone), px, volume, source; rows without a close are dropped."""
+    return raw.filter(F.col(close).isNotNull()).select("entity", F.to_date(F.to_utc_timestamp("ts", zone) if zone else F.col("ts")).alias("date"), F.col(close).cast("double").alias("px"), F.col(volume).cast("double").alias("volume"), F.lit(source).alias("source"))
 
 
 def coverage_report(universe: DataFrame, daily: DataFrame) -> DataFrame:
     """Rows, first and last date and source of every entity; zero rows where there are none."""
     found = daily.groupBy("entity").agg(F.count("*").alias("n_rows"), F.min("date").alias("first"), F.max("date").alias("last"), F.max("source").alias("source"))
-    return universe.select("entity").distinct().join(found, "entity", "left").fillna(0, ["n_rows"])
+    return universe.select("entity").distinct().join(found, "entity", "left").fillna(0, ["n_rows"]).withColumn("ok", F.col("n_rows") > 0)
+
+
+def coverage_count(report: DataFrame) -> DataFrame:
+    """n_entities and n_ok of a coverage report: one row."""
+    return report.agg(F.count("*").alias("n_entities"), F.count_if("ok").alias("n_ok"))
+
+
+def benchmarks_wide(long: DataFrame, names: list[str]) -> DataFrame:
+    """Index levels (index, date, level) aligned by date, one column an index; dates of any index are kept."""
+    return long.groupBy("date").pivot("index", names).agg(F.first("level", True))
 
 
 def filings_index(submissions: DataFrame, forms: list[str], since: str, base_url: str) -> DataFrame:
@@ -152,9 +168,10 @@ def save(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str]
     return True
 
 
-def run_manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """name, rows of each table."""
-    parts = [t.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("name"), "n_rows") for n, t in tables.items()]
+def run_manifest(tables: dict[str, DataFrame], run_at: str | None = None) -> DataFrame:
+    """name, rows of each table, and run_at (a time as text) where it is given."""
+    when = [F.lit(run_at).alias("run_at")] if run_at else []
+    parts = [t.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("name"), "n_rows", *when) for n, t in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
