@@ -138,7 +138,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     per_row = scratch_table(hits.groupBy("_row").agg(F.collect_list("pos").alias("_drop")), "dropped-lines")
     touched = F.exists("_keys", lambda k: _is_suspect(bits, k))
     columns = ["_id", "_lines", F.size("_keys").alias("_n")]
-    some = rows.filter(touched).select("_row", *columns).join(per_row, "_row", "left").drop("_row")
+    some = rows.filter(touched).select("_row", *columns).join(per_row.hint("merge"), "_row", "left").drop("_row")
     rest = rows.filter(~touched).select(*columns, F.lit(None).cast("array<int>").alias("_drop"))
     kept = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_drop"))
     kept_lines = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.transform(kept, lambda p: F.get(F.col("_lines"), p)))
