@@ -111,6 +111,15 @@ def implied_growth(forecasts: DataFrame, history: DataFrame, value: str, forecas
     return forecasts.join(base, ["entity", "qi"], "left").withColumn("implied", F.try_divide(F.col(forecast), F.col("_base")) - 1).drop("_base")
 
 
+def trailing_growth(forecasts: DataFrame, history: DataFrame, value: str, forecast: str) -> DataFrame:
+    """Level forecasts of four quarters ahead (entity, qi the first of them, h 0 to 3, forecast) as growth of their sum over the last four known values: entity, qi, implied_year. All eight values must be there."""
+    w = g.series()
+    known = history.withColumn("_ttm", g.rolling_sum(F.col(value), w, 4)).select("entity", (F.col("qi") + 1).alias("qi"), "_ttm")
+    x = F.col(forecast)
+    ahead = forecasts.groupBy("entity", "qi").agg(F.when(F.count(x) == 4, F.sum(x)).alias("_ahead"))
+    return ahead.join(known, ["entity", "qi"], "left").select("entity", "qi", (F.try_divide(F.col("_ahead"), F.col("_ttm")) - 1).alias("implied_year"))
+
+
 def univariate_forecast(df: DataFrame, value: str) -> DataFrame:
     """A stand-in for an outside forecaster: the quarter a year before, times the growth of the last known year."""
     w = g.series()
@@ -130,12 +139,14 @@ def guard(pred: Column, ceiling: Column, fallback: Column, k: float | Column, fl
     return F.when(beyond, fallback).otherwise(pred), beyond
 
 
-def guard_sweep(df: DataFrame, pred: str, fallback: str, ks: list[float], floors: list[float]) -> DataFrame:
-    """Metrics and guarded rows for each k and floor. df: y_true, pred, ceiling, fallback."""
+def guard_sweep(df: DataFrame, pred: str, fallback: str, ks: list[float], floors: list[float], other: str | None = None) -> DataFrame:
+    """Metrics and guarded rows for each k and floor: of the guarded forecast and, with other, of its even blend with that. df: y_true, pred, ceiling, fallback."""
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("floor")) for k in ks for f in floors]))
     x = df.withColumn("_g", grid).withColumns({"k": F.col("_g.k"), "floor": F.col("_g.floor")})
     value, flag = guard(F.col(pred), F.col("ceiling"), F.col(fallback), F.col("k"), F.col("floor"))
-    return x.withColumns({"y_pred": value, "_flag": flag}).groupBy("k", "floor").agg(*metric_columns(), F.count_if("_flag").alias("n_guarded"))
+    kinds = [F.struct(F.lit("guarded").alias("kind"), F.col("_v").alias("y_pred"))] + ([F.struct(F.lit("blend").alias("kind"), (0.5 * F.col("_v") + 0.5 * F.col(other)).alias("y_pred"))] if other else [])
+    x = x.withColumns({"_v": value, "_flag": flag}).withColumn("_p", F.explode(F.array(*kinds))).withColumns({"kind": F.col("_p.kind"), "y_pred": F.col("_p.y_pred")})
+    return x.groupBy("kind", "k", "floor").agg(*metric_columns(), F.count_if("_flag").alias("n_guarded"))
 
 
 def clip(x: Column, low: float, high: float) -> Column:
@@ -146,8 +157,3 @@ def blend_sweep(wide: DataFrame, a: str, b: str, weights: list[float]) -> DataFr
     """Metrics of w*a + (1-w)*b for each weight."""
     x = wide.withColumn("w", F.explode(F.array(*[F.lit(w) for w in weights])))
     return x.withColumn("y_pred", F.col("w") * F.col(a) + (1 - F.col("w")) * F.col(b)).groupBy("w").agg(*metric_columns())
-
-
-def era_split(paired: DataFrame, year: int) -> DataFrame:
-    """paired with era: before, or from that year on."""
-    return paired.withColumn("era", F.when(F.floor(F.col("qi") / 4) < year, f"before {year}").otherwise(f"from {year}"))

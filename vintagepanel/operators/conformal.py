@@ -2,10 +2,11 @@
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintagepanel.functions import guarded as g
+from vintagepanel.functions.order import past_order_statistics
 
 
 def cqr_score(bands: DataFrame) -> DataFrame:
@@ -13,20 +14,11 @@ def cqr_score(bands: DataFrame) -> DataFrame:
     return bands.withColumn("score", F.greatest(F.col("q10") - F.col("y_true"), F.col("y_true") - F.col("q90")))
 
 
-def conformal_quantile(scored: DataFrame, by: list[str], alpha: float = 0.2) -> DataFrame:
-    """Per group of `by`: n_cal and q, the ceil((n+1)(1-alpha))-th smallest score; infinite if that is more than n."""
-    w = Window.partitionBy(*by)
-    k = F.ceil((F.col("n_cal") + 1) * (1 - alpha))
-    ranked = scored.withColumns({"n_cal": F.count("*").over(w), "_r": F.row_number().over(w.orderBy("score"))})
-    return ranked.groupBy(*by).agg(F.first("n_cal").alias("n_cal"), F.max(F.when(F.col("_r") == k, F.col("score"))).alias("_q")).select(*by, "n_cal", F.when(F.ceil((F.col("n_cal") + 1) * (1 - alpha)) > F.col("n_cal"), F.lit(math.inf)).otherwise(F.col("_q")).alias("q"))
-
-
-def _past(scored: DataFrame, window: int | None) -> DataFrame:
-    """Each test quarter with the scores of all earlier quarters, or of the last `window` observed ones."""
-    quarters = scored.select("qi").distinct().withColumn("rank", F.row_number().over(Window.orderBy("qi")))
-    past = scored.join(F.broadcast(quarters), "qi").select(F.col("rank").alias("past_rank"), "grp", "score")
-    low = F.lit(0) if window is None else F.col("rank") - window
-    return F.broadcast(quarters).join(past, (F.col("past_rank") < F.col("rank")) & (F.col("past_rank") >= low)).select("qi", "grp", "score")
+def conformal_quantile(scored: DataFrame, by: list[str] | None = None, alpha: float = 0.2, window: int | None = None) -> DataFrame:
+    """Per quarter (and group of by): n_cal and q, the ceil((n+1)(1-alpha))-th smallest score of all earlier quarters, or of the last `window` observed ones; infinite if that is more than n, null without scores."""
+    k = lambda n: F.ceil((n + 1) * (1 - alpha))
+    found = past_order_statistics(scored, "score", lambda n: [k(n) - 1], by, window).filter("n > 0")
+    return found.select(*(by or []), "qi", F.col("n").alias("n_cal"), F.when(k(F.col("n")) > F.col("n"), F.lit(math.inf)).otherwise(F.col("v")[0]).alias("q"))
 
 
 def calibrate(bands: DataFrame, alpha: float = 0.2, min_cal: int = 150, window: int | None = None, by_group: bool = False) -> DataFrame:
@@ -35,12 +27,11 @@ def calibrate(bands: DataFrame, alpha: float = 0.2, min_cal: int = 150, window:
     by_group: a group's own quantile where it has a quarter of min_cal, else the global one.
     """
     scored = cqr_score(bands)
-    past = _past(scored, window)
-    whole = conformal_quantile(past, ["qi"], alpha)
+    whole = conformal_quantile(scored, None, alpha, window)
     out = scored.join(F.broadcast(whole), "qi", "left").withColumn("n_cal", F.coalesce("n_cal", F.lit(0)))
     q = F.when(F.col("n_cal") >= min_cal, F.col("q")).otherwise(0.0)
     if by_group:
-        own = conformal_quantile(past, ["qi", "grp"], alpha).select("qi", "grp", F.col("n_cal").alias("_n"), F.col("q").alias("_q"))
+        own = conformal_quantile(scored, ["grp"], alpha, window).select("qi", "grp", F.col("n_cal").alias("_n"), F.col("q").alias("_q"))
         out = out.join(F.broadcast(own), ["qi", "grp"], "left")
         q = F.when((F.col("n_cal") >= min_cal) & (F.coalesce("_n", F.lit(0)) >= min_cal // 4), F.col("_q")).otherwise(q)
         out = out.withColumn("q", q).drop("_n", "_q")
@@ -49,7 +40,7 @@ def calibrate(bands: DataFrame, alpha: float = 0.2, min_cal: int = 150, window:
     return out.withColumns({"lo": F.col("q10") - F.col("q"), "hi": F.col("q90") + F.col("q")}).drop("score")
 
 
-def aci_schedule(bands: DataFrame, alpha: float = 0.2, gamma: float = 0.05, min_cal: int = 150, low: float = 0.01, high: float = 0.60) -> DataFrame:
+def aci_schedule(bands: DataFrame, alpha: float = 0.2, gamma: float = 0.02, min_cal: int = 150, low: float = 0.01, high: float = 0.60) -> DataFrame:
     """Adaptive levels over quarters: qi, n_cal, q, alpha_used.
 
     The level of a quarter follows from the share of misses in the one before, so quarters
@@ -76,7 +67,14 @@ def aci_schedule(bands: DataFrame, alpha: float = 0.2, gamma: float = 0.05, min_
     return bands.sparkSession.createDataFrame(rows, "qi long, n_cal long, q double, alpha_used double")
 
 
+def calibrate_adaptive(bands: DataFrame, alpha: float = 0.2, gamma: float = 0.02, min_cal: int = 150) -> DataFrame:
+    """bands with lo, hi, n_cal and q of the adaptive schedule."""
+    found = aci_schedule(bands, alpha, gamma, min_cal).drop("alpha_used")
+    return bands.join(F.broadcast(found), "qi").withColumns({"lo": F.col("q10") - F.col("q"), "hi": F.col("q90") + F.col("q")})
+
+
 def schedule(calibrated: DataFrame) -> DataFrame:
+    """n_cal and mean q of each quarter of calibrated bands."""
     return calibrated.groupBy("qi").agg(F.max("n_cal").alias("n_cal"), F.avg("q").alias("mean_q"))
 
 

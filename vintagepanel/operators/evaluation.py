@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintagepanel.functions import guarded as g
+from vintagepanel.functions.order import group_quantiles, past_order_statistics
 from vintagepanel.functions.significance import t_p_value
 
 
@@ -69,10 +70,12 @@ def pinball(y: Column, p: Column, alpha: float) -> Column:
 
 def quantile_walk_forward(predictions: DataFrame, levels: tuple[float, float, float] = (0.1, 0.5, 0.9), least: int = 50) -> DataFrame:
     """Bands (entity, grp, qi, y_true, q10, q50, q90): the forecast plus quantiles of the residuals of all earlier quarters, of which there must be `least`."""
-    r = predictions.select(F.col("qi").alias("_q"), (F.col("y_true") - F.col("y_pred")).alias("r"))
-    quarters = predictions.select("qi").distinct()
-    past = quarters.join(r, F.col("_q") < F.col("qi")).groupBy("qi").agg(F.count("*").alias("n"), F.percentile("r", F.array(*[F.lit(x) for x in levels])).alias("b")).filter(F.col("n") >= least)
-    bands = predictions.join(F.broadcast(past), "qi").select("entity", "grp", "qi", "y_true", F.sort_array(F.array(*[F.col("y_pred") + F.col("b")[i] for i in range(3)])).alias("s"))
+    r = predictions.select("qi", (F.col("y_true") - F.col("y_pred")).alias("r"))
+    ends = lambda n: [f(p * (n - 1)) for p in levels for f in (F.floor, F.ceil)]
+    past = past_order_statistics(r, "r", ends).filter(F.col("n") >= least)
+    place = [F.lit(p) * (F.col("n") - 1) for p in levels]
+    b = [F.col("v")[2 * i] + (F.col("v")[2 * i + 1] - F.col("v")[2 * i]) * (at - F.floor(at)) for i, at in enumerate(place)]
+    bands = predictions.join(F.broadcast(past.select("qi", F.array(*b).alias("b"))), "qi").select("entity", "grp", "qi", "y_true", F.sort_array(F.array(*[F.col("y_pred") + F.col("b")[i] for i in range(3)])).alias("s"))
     return bands.select("entity", "grp", "qi", "y_true", *[F.col("s")[i].alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
 
 
@@ -196,13 +199,19 @@ def importance_matrix(importances: DataFrame, targets: list[str]) -> DataFrame:
     return wide.withColumn("lag_bucket", F.when(lag == "", "lag 1").otherwise(F.concat(F.lit("lag "), lag)))
 
 
-def error_tail(predictions: DataFrame, top: int = 10) -> DataFrame:
-    """Per model: percentiles of the absolute error, and the share of all squared error that its `top` largest rows hold."""
-    e = F.abs(F.col("y_pred") - F.col("y_true"))
-    w = Window.partitionBy("model").orderBy(F.desc("e"), "entity", "qi")
-    x = predictions.withColumn("e", e).withColumn("_n", F.row_number().over(w))
+def error_tail(predictions: DataFrame, base: str, top: int = 10) -> DataFrame:
+    """Per model other than base: percentiles of its absolute error, and of all squared error that it has in excess of the base model on common rows, the share of the `top` rows with the most (null if there is no excess)."""
+    e = lambda p: F.col(p) - F.col("y_true")
+    own = predictions.filter(F.col("model") != base)
     levels = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    return x.groupBy("model").agg(*[F.percentile("e", F.lit(v)).alias(k) for k, v in levels.items()], F.try_divide(F.sum(F.when(F.col("_n") <= top, F.col("e") * F.col("e"))), F.sum(F.col("e") * F.col("e"))).alias("top_share"))
+    quantiles = group_quantiles(own.withColumn("e", F.abs(e("y_pred"))), ["model"], "e", list(levels.values()))
+    other = predictions.filter(F.col("model") == base).select("entity", "qi", F.col("y_pred").alias("_b"))
+    excess = own.join(other, ["entity", "qi"]).select("model", "entity", "qi", (e("y_pred") * e("y_pred") - e("_b") * e("_b")).alias("x"))
+    whole = excess.groupBy("model").agg(F.sum("x").alias("_whole"))
+    nth = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("x"), "entity", "qi"))
+    most = excess.withColumn("_n", nth).filter(F.col("_n") <= top).groupBy("model").agg(F.sum("x").alias("_most"))
+    out = quantiles.join(whole, "model").join(most, "model")
+    return out.select("model", *[F.col("q")[i].alias(k) for i, k in enumerate(levels)], F.when(F.col("_whole") > 0, F.col("_most") / F.col("_whole")).alias("top_share"))
 
 
 def residual_shocks(predictions: DataFrame) -> DataFrame:
@@ -214,3 +223,42 @@ def interactions(df: DataFrame, series: list[str], groups: list[str]) -> DataFra
     """A column per series and group: the series where the row is of the group, else 0 (null stays null)."""
     slug = lambda s: "".join(c if c.isalnum() else "_" for c in s.lower())
     return df.withColumns({f"{s}_x_{slug(v)}": F.col(s) * (F.col("grp") == v).cast("double") for s in series for v in groups})
+
+
+def era_tests(paired: DataFrame, year: int, least: int = 50) -> DataFrame:
+    """Per era (before `year`, and from it on) of at least `least` rows: rows, both errors, and the test of the difference in squared error."""
+    x = paired.withColumn("era", F.when(F.floor(F.col("qi") / 4) < year, f"before {year}").otherwise(f"from {year}"))
+    t = F.col("y_true")
+    rm = lambda p: F.sqrt(F.avg((F.col(p) - t) * (F.col(p) - t)))
+    sizes = x.groupBy("era").agg(F.count("*").alias("n"), rm("p_a").alias("rmse_a"), rm("p_b").alias("rmse_b")).filter(F.col("n") >= least)
+    return sizes.join(dm_test(per_quarter(x, ["era"]), ["era"], "d_se"), "era")
+
+
+def best_on_common_rows(predictions: DataFrame, reference: str, lags: int = 4) -> DataFrame:
+    """The model with the smallest error on the rows that it shares with the reference, and the test of one against the other: best_model, n, rmse_best, rmse_reference and the test."""
+    other = predictions.filter(F.col("model") == reference).select("entity", "qi", F.col("y_pred").alias("p_b"))
+    both = predictions.filter(F.col("model") != reference).join(other, ["entity", "qi"])
+    ea, eb = F.col("y_pred") - F.col("y_true"), F.col("p_b") - F.col("y_true")
+    scores = both.groupBy("model").agg(F.count("*").alias("n"), F.sqrt(F.avg(ea * ea)).alias("rmse_best"), F.sqrt(F.avg(eb * eb)).alias("rmse_reference"))
+    best = scores.agg(F.min(F.struct("rmse_best", "model", "n", "rmse_reference")).alias("s")).select("s.*")
+    quarterly = both.join(F.broadcast(best.select("model")), "model").groupBy("model", "qi").agg(F.avg(ea * ea - eb * eb).alias("d"))
+    return best.join(dm_test(quarterly, ["model"], lags=lags), "model").withColumnRenamed("model", "best_model")
+
+
+def delta_rows(paired: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows, both errors, their difference (positive where b is better), difference in hits, and the test, overall or per group."""
+    keys = by or ["_all"]
+    x = paired if by else paired.withColumn("_all", F.lit(0))
+    t = F.col("y_true")
+    rm = lambda p: F.sqrt(F.avg((F.col(p) - t) * (F.col(p) - t)))
+    sizes = x.groupBy(*keys).agg(F.count("*").alias("n"), rm("p_a").alias("rmse_base"), rm("p_b").alias("rmse_alt"), F.avg("d_hit").alias("d_dir_acc")).withColumn("rmse_delta", F.col("rmse_base") - F.col("rmse_alt"))
+    out = sizes.join(dm_test(per_quarter(x, keys), keys, "d_se"), keys)
+    return out if by else out.drop("_all")
+
+
+def with_prior_best(scores: DataFrame, prior: DataFrame) -> DataFrame:
+    """scores (model, n and metrics) and, appended, the best row of an earlier suite (model_family, feature_set, scope, n, mae, rmse, r2, directional_accuracy), with a note; scores alone where that has no row of scope ALL."""
+    best = prior.filter("scope = 'ALL'").orderBy("rmse", "model_family", "feature_set").limit(1)
+    name = F.concat(F.lit("earlier best ("), F.coalesce("model_family", F.lit("?")), F.lit("/"), F.coalesce("feature_set", F.lit("?")), F.lit(")"))
+    row = best.select(name.alias("model"), F.col("n").cast("long").alias("n"), *[F.col(c).cast("double").alias(c) for c in ("mae", "rmse", "r2")], F.col("directional_accuracy").cast("double").alias("dir_acc"), F.lit("another target: errors do not compare").alias("note"))
+    return scores.withColumn("note", F.lit(None).cast("string")).unionByName(row)

@@ -70,6 +70,10 @@ def importance(panel: DataFrame, y: str, features: list[str], learner, groups: l
     return df.withColumn("gain_pct", 100 * F.try_divide(F.col("gain"), F.sum("gain").over(Window.partitionBy())))
 
 
+#: Rows of a cell in which a column is shuffled, about.
+CELL_ROWS = 50_000
+
+
 def permutation_importance(panel: DataFrame, y: str, features: list[str], learner, split: int, repeats: int = 1, seed: int = 0) -> DataFrame:
     """feature, damage: rise of the error on quarters from `split` on when the column is shuffled among its rows.
 
@@ -78,7 +82,8 @@ def permutation_importance(panel: DataFrame, y: str, features: list[str], learne
     """
     data, names = design(panel.filter(F.col(y).isNotNull()), y, features)
     model = _steps(names, learner, False).fit(data.filter(F.col("qi") < split))
-    held = data.filter(F.col("qi") >= split).withColumn("_cell", F.pmod(F.xxhash64("entity", "qi"), F.lit(8)))
+    held = data.filter(F.col("qi") >= split)
+    held = held.withColumn("_cell", F.pmod(F.xxhash64("entity", "qi"), F.lit(max(1, held.count() // CELL_ROWS))))
     held = held.withColumn("_at", F.row_number().over(Window.partitionBy("_cell").orderBy("entity", "qi"))).persist()
 
     def error(df: DataFrame, label: str) -> DataFrame:

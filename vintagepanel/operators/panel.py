@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vintagepanel.functions import guarded as g
 from vintagepanel.functions import quarters as q
+from vintagepanel.functions.order import group_quantiles
 from vintagepanel.functions.sizes import small
 from vintagepanel.operators.series import BANDS
 
@@ -98,9 +99,10 @@ def valuation(df: DataFrame, price: str, shares: str, ttm: str, debt: str, cash:
 
 
 def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, as_of: int | None = None) -> DataFrame:
-    """Clip columns to quantiles of the whole table, found in one aggregation. as_of: quantiles of the quarters before this qi alone, so that nothing looks ahead."""
+    """Clip columns to exact quantiles of the whole table. as_of: quantiles of the quarters before this qi alone, so that nothing looks ahead."""
     seen = df if as_of is None else df.filter(F.col("qi") < as_of)
-    limits = seen.agg(*[F.percentile(F.col(c), F.array(F.lit(low), F.lit(high))).alias(c) for c in columns]).first()
+    long = seen.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("s")).select("s.*") if columns else None
+    limits = {c: None for c in columns} | ({r["column_name"]: r["q"] for r in group_quantiles(long, ["column_name"], "value", [low, high]).collect()} if columns else {})
     clip = lambda c, ends: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.lit(ends[1])), F.lit(ends[0])))
     return df.withColumns({c: clip(c, limits[c]) for c in columns if limits[c] is not None})
 
@@ -121,7 +123,7 @@ def coverage_audit(panel: DataFrame, universe: DataFrame, y: str = "yoy") -> Dat
 
 
 #: Families of columns by prefix; the first that fits.
-FAMILIES = [("f_lag_", "own history"), ("f_exp_", "own history"), ("f_mean_", "own history"), ("f_std_", "own history"), ("f_", "fundamentals"), ("mac_", "macro"), ("mkt_", "market"), ("bl_", "peers"), ("ev_", "events"), ("va", "industry"), ("is_q", "calendar"), ("b_", "baseline"), ("y", "target")]
+FAMILIES = [("f_lag_", "own history"), ("f_exp_", "own history"), ("f_mean_", "own history"), ("f_std_", "own history"), ("f_", "fundamentals"), ("mac_", "macro"), ("mkt_", "market"), ("bl_", "peers"), ("ev_", "events"), ("own_", "macro"), ("va", "industry"), ("is_q", "calendar"), ("b_", "baseline"), ("y", "target")]
 
 
 def feature_columns(df: DataFrame, prefixes: tuple[str, ...] = ("f_", "mac_", "mkt_", "bl_", "ev_"), without: tuple[str, ...] = ()) -> list[str]:
@@ -135,3 +137,14 @@ def column_dictionary(df: DataFrame) -> DataFrame:
     for prefix, label in reversed(FAMILIES):
         family = F.when(name.startswith(prefix), label).otherwise(family)
     return df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("column_name")).withColumn("family", family)
+
+
+def family_of(column: str) -> str:
+    """The family of a column: that of the first prefix that fits."""
+    return next((label for prefix, label in FAMILIES if column.startswith(prefix)), "other")
+
+
+def expert_columns(df: DataFrame, views: dict[str, set[str]], prefixes: tuple[str, ...] = ("f_", "mac_", "mkt_", "ev_", "va", "own_")) -> dict[str, list[str]]:
+    """The feature columns of each view (a set of families), and of all: the columns an expert sees."""
+    known = feature_columns(df, prefixes)
+    return {name: [c for c in known if family_of(c) in families] for name, families in views.items()} | {"full": known}

@@ -19,40 +19,70 @@ def _moments(panel: DataFrame, y: str, features: list[str], by: list[str]) -> Da
     return panel.filter(F.col(y).isNotNull()).select(*by, "qi", cells.alias("c")).groupBy(*by, "qi", "c.i", "c.j").agg(F.sum("c.v").alias("v"))
 
 
-def coefficients(panel: DataFrame, y: str, features: list[str], penalty: float = 1.0, warmup: int = 8, min_train: int = 100, purge: int = 0, by: list[str] | None = None) -> DataFrame:
-    """qi, beta (intercept first), n_train for every qualifying test quarter (and group of `by`).
+def _fit(a: np.ndarray, penalty: float) -> np.ndarray:
+    """Intercept and slopes from a moment matrix of z = (1, features, y): features standardised, the intercept not penalised."""
+    count = a[0, 0]
+    mean = a[0, 1:-1] / count
+    sd = np.sqrt(np.maximum(np.diag(a)[1:-1] / count - mean**2, 0))
+    sd[sd < 1e-12] = np.inf
+    gram = (a[1:-1, 1:-1] - count * np.outer(mean, mean)) / np.outer(sd, sd)
+    target = (a[1:-1, -1] - mean * a[0, -1]) / sd
+    slope = np.linalg.solve(gram + penalty * np.eye(len(mean)), target) / sd
+    return np.concatenate([[a[0, -1] / count - slope @ mean], slope])
+
+
+def _best_penalty(folds: dict[int, np.ndarray], penalties: tuple[float, ...]) -> float:
+    """The penalty with the least squared error over the folds, each forecast by the others; the errors follow from the moments of the fold."""
+    whole = sum(folds.values())
+    loss = dict.fromkeys(penalties, 0.0)
+    for a in folds.values():
+        rest = whole - a
+        if a[0, 0] < 1 or rest[0, 0] < 2:
+            continue
+        for p in penalties:
+            b = np.append(_fit(rest, p), -1.0)
+            loss[p] += float(b @ a @ b)
+    return min(penalties, key=lambda p: (loss[p], p))
+
+
+def coefficients(panel: DataFrame, y: str, features: list[str], penalty: float = 1.0, warmup: int = 8, min_train: int = 100, purge: int = 0, by: list[str] | None = None, penalties: tuple[float, ...] | None = None, folds: int = 5) -> DataFrame:
+    """qi, beta (intercept first), n_train, penalty for every qualifying test quarter (and group of `by`).
 
     Features are standardised by the training rows; a null feature counts as 0. The
-    penalty does not touch the intercept.
+    penalty does not touch the intercept. penalties: of these, the one that does best in
+    cross-validation over the training quarters, dealt to folds in turn.
     """
     by = by or []
-    past = Window.partitionBy(*by, "i", "j").orderBy("qi").rangeBetween(Window.unboundedPreceding, -1 - purge)
-    summed = _moments(panel, y, features, by).withColumn("v", F.sum("v").over(past)).filter("v IS NOT NULL")
+    past = Window.partitionBy(*by, "fold", "i", "j").orderBy("qi").rangeBetween(Window.unboundedPreceding, -1 - purge)
+    moments = _moments(panel, y, features, by)
     order = panel.filter(F.col(y).isNotNull()).select("qi").distinct().withColumn("nth", F.row_number().over(Window.orderBy("qi")))
-    matrices = summed.groupBy(*by, "qi").agg(F.sort_array(F.collect_list(F.struct("i", "j", "v"))).alias("m")).join(F.broadcast(order), "qi").filter(F.col("nth") > warmup).drop("nth")
+    # every fold must have a row in every quarter for its running sum: rows of 0 stand in
+    n_folds = folds if penalties else 1
+    dealt = moments.withColumn("fold", F.pmod("qi", F.lit(n_folds)).cast("int"))
+    if n_folds > 1:
+        others = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))
+        dealt = dealt.unionByName(moments.withColumn("fold", others).filter(F.col("fold") != F.pmod("qi", F.lit(n_folds))).withColumn("v", F.lit(0.0)))
+    summed = dealt.withColumn("v", F.sum("v").over(past)).filter("v IS NOT NULL")
+    matrices = summed.groupBy(*by, "qi").agg(F.sort_array(F.collect_list(F.struct("fold", "i", "j", "v"))).alias("m")).join(F.broadcast(order), "qi").filter(F.col("nth") > warmup).drop("nth")
     n = len(features) + 2
 
     def solve(frames):
         for pdf in frames:
             rows = []
             for keys, cells in zip(pdf.drop(columns="m").itertuples(index=False), pdf["m"], strict=True):
-                a = np.zeros((n, n))
+                parts: dict[int, np.ndarray] = {}
                 for c in cells:
+                    a = parts.setdefault(c["fold"], np.zeros((n, n)))
                     a[c["i"], c["j"]] = a[c["j"], c["i"]] = c["v"]
-                count = a[0, 0]
-                if count < min_train:
+                whole = sum(parts.values())
+                if whole[0, 0] < min_train:
                     continue
-                mean = a[0, 1:-1] / count
-                sd = np.sqrt(np.maximum(np.diag(a)[1:-1] / count - mean**2, 0))
-                sd[sd < 1e-12] = np.inf
-                gram = (a[1:-1, 1:-1] - count * np.outer(mean, mean)) / np.outer(sd, sd)
-                target = (a[1:-1, -1] - mean * a[0, -1]) / sd
-                slope = np.linalg.solve(gram + penalty * np.eye(n - 2), target) / sd
-                rows.append((*keys, [float(a[0, -1] / count - slope @ mean), *slope.tolist()], int(count)))
-            yield pd.DataFrame(rows, columns=[*pdf.columns.drop("m"), "beta", "n_train"])
+                chosen = _best_penalty(parts, penalties) if penalties else penalty
+                rows.append((*keys, _fit(whole, chosen).tolist(), int(whole[0, 0]), float(chosen)))
+            yield pd.DataFrame(rows, columns=[*pdf.columns.drop("m"), "beta", "n_train", "penalty"])
 
     kinds = {f.name: f.dataType.simpleString() for f in matrices.schema.fields}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in matrices.columns if c != "m") + ", beta array<double>, n_train long"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in matrices.columns if c != "m") + ", beta array<double>, n_train long, penalty double"
     return matrices.mapInPandas(solve, schema)
 
 

@@ -3,10 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vintagepanel.functions.sizes import cut_lineage
 from vintagepanel.operators import blending, conformal, correlation, evaluation, panel, ridge, series
 from vintagepanel.plans import views as v
+from vintagepanel.plans.feed_queries import _folder
 from vintagepanel.plans.panel_queries import _QUARTERS, quarterly_series, sql_round
 from vintagepanel.plans.views import DENSE, GROWN, SERIES, SPARSE, growth_sql, rounded
+from vintagepanel.sources import feeds
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -84,7 +87,7 @@ bands AS (SELECT entity, grp, h.qi, y_true, y_pred + a AS q10, y_pred + m AS q50
 
 
 def bands(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.quantile_walk_forward(forecasts(spark, d).filter("model = 'b_history'"), least=MIN_CAL)
+    return cut_lineage(evaluation.quantile_walk_forward(cut_lineage(forecasts(spark, d).filter("model = 'b_history'")), least=MIN_CAL))
 
 
 @query(f"WITH {BANDS} SELECT entity, grp, qi, {sql_round(['y_true', 'q10', 'q50', 'q90'])} FROM bands")
@@ -124,19 +127,72 @@ def paired_per_quarter(spark: SparkSession, d: str) -> DataFrame:
 
 
 _T = ["mean_d", "stat", "best_share"]
-_DM = """lg AS (SELECT qi, unnest(['d_se', 'd_ae', 'd_hit']) AS metric, unnest([d_se, d_ae, d_hit]) AS d FROM pq),
-t AS (SELECT metric, count(*) AS n_q, avg(d) AS mean_d, CAST(floor(pow(CAST(count(*) AS DOUBLE), 1.0e0 / 3.0e0)) AS INTEGER) AS hac_lags, count(*) FILTER (WHERE d > 0) AS better, CASE WHEN sum(d) > 0 THEN max(d) / sum(d) END AS best_share FROM lg GROUP BY metric),
-e AS (SELECT lg.metric, d - mean_d AS e, row_number() OVER (PARTITION BY lg.metric ORDER BY qi) AS i FROM lg JOIN t ON lg.metric = t.metric),
-dg AS (SELECT metric, avg(e * e) AS g0 FROM e GROUP BY metric),
-k AS (SELECT a.metric, 2 * sum((1 - (a.i - b.i) / (hac_lags + 1e0)) * a.e * b.e / n_q) AS gk FROM e a JOIN e b ON a.metric = b.metric AND a.i > b.i JOIN t ON a.metric = t.metric WHERE a.i - b.i <= hac_lags GROUP BY a.metric),
-dm AS (SELECT t.*, CASE WHEN n_q >= 8 THEN mean_d / sqrt(greatest(g0 + coalesce(gk, 0), 1e-12) / n_q) * sqrt((n_q - 1e0) / n_q) END AS stat FROM t JOIN dg ON t.metric = dg.metric LEFT JOIN k ON t.metric = k.metric)"""
 
 
-@query(f"WITH {PER_Q}, {_DM} SELECT metric, n_q, hac_lags, better, {sql_round(_T)} FROM dm")
+def dm_sql(source: str, by: str, metrics: tuple[str, ...] = ("d_se", "d_ae", "d_hit"), lags: int | None = None) -> str:
+    """CTE dm of the paired test per group of by (a column of source, which has a row a quarter and group) and metric, without the p-value, for which SQL has no function."""
+    most = "CAST(floor(pow(CAST(count(*) AS DOUBLE), 1.0e0 / 3.0e0)) AS INTEGER)" if lags is None else str(lags)
+    return f"""lg AS (SELECT {by} AS g, qi, unnest([{', '.join(f"'{m}'" for m in metrics)}]) AS metric, unnest([{', '.join(metrics)}]) AS d FROM {source}),
+t AS (SELECT g, metric, count(*) AS n_q, avg(d) AS mean_d, {most} AS hac_lags, count(*) FILTER (WHERE d > 0) AS better, CASE WHEN sum(d) > 0 THEN max(d) / sum(d) END AS best_share FROM lg GROUP BY g, metric),
+e AS (SELECT lg.g, lg.metric, d - mean_d AS e, row_number() OVER (PARTITION BY lg.g, lg.metric ORDER BY qi) AS i FROM lg JOIN t ON lg.metric = t.metric AND lg.g = t.g),
+dg AS (SELECT g, metric, avg(e * e) AS g0 FROM e GROUP BY g, metric),
+k AS (SELECT a.g, a.metric, 2 * sum((1 - (a.i - b.i) / (hac_lags + 1e0)) * a.e * b.e / n_q) AS gk FROM e a JOIN e b ON a.g = b.g AND a.metric = b.metric AND a.i > b.i JOIN t ON a.metric = t.metric AND a.g = t.g WHERE a.i - b.i <= hac_lags GROUP BY a.g, a.metric),
+dm AS (SELECT t.*, CASE WHEN n_q >= 8 THEN mean_d / sqrt(greatest(g0 + coalesce(gk, 0), 1e-12) / n_q) * sqrt((n_q - 1e0) / n_q) END AS stat FROM t JOIN dg ON t.metric = dg.metric AND t.g = dg.g LEFT JOIN k ON t.metric = k.metric AND t.g = k.g)"""
+
+
+_TESTS = ["n_q", "hac_lags", "better"]
+
+
+@query(f"WITH {PER_Q}, {dm_sql('pq', '0')} SELECT metric, n_q, hac_lags, better, {sql_round(_T)} FROM dm")
 def ablation_tests(spark: SparkSession, d: str) -> DataFrame:
     """The test without its p-value, which SQL has no function for (a golden pair tests it)."""
     t = evaluation.ablation_tests(evaluation.per_quarter(paired(spark, d)))
-    return rounded(t, _T).select("metric", "n_q", "hac_lags", "better", *_T)
+    return rounded(t, _T).select("metric", *_TESTS, *_T)
+
+
+_PER_GROUP = f"{PAIRED}, pg AS (SELECT grp, qi, avg(d_se) AS d_se, avg(d_ae) AS d_ae, avg(d_hit) AS d_hit FROM paired GROUP BY grp, qi)"
+
+
+@query(f"WITH {_PER_GROUP}, {dm_sql('pg', 'grp')} SELECT g AS grp, metric, n_q, hac_lags, better, {sql_round(_T)} FROM dm")
+def delta_by_group(spark: SparkSession, d: str) -> DataFrame:
+    """Tests per group, without p-values."""
+    t = evaluation.ablation_tests(evaluation.per_quarter(paired(spark, d), ["grp"]), by=["grp"])
+    return rounded(t, _T).select("grp", "metric", *_TESTS, *_T)
+
+
+@query(f"WITH {_PER_GROUP}, late AS (SELECT * FROM pg WHERE qi >= 1998 * 4), {dm_sql('late', 'grp')} SELECT g AS grp, metric, n_q, hac_lags, better, {sql_round(_T)} FROM dm")
+def covered_window_retest(spark: SparkSession, d: str) -> DataFrame:
+    """Tests per group on the quarters from 1998 on alone, without p-values."""
+    late = paired(spark, d).filter(F.col("qi") >= 1998 * 4)
+    t = evaluation.ablation_tests(evaluation.per_quarter(late, ["grp"]), by=["grp"])
+    return rounded(t, _T).select("grp", "metric", *_TESTS, *_T)
+
+
+_BEST = ["rmse_best", "rmse_reference", "mean_d", "stat"]
+
+
+@query(f"""WITH {FORECASTS}, en AS (SELECT entity, qi, avg(y_pred) AS p_b FROM fc GROUP BY 1, 2 HAVING count(*) >= 2),
+bo AS (SELECT fc.*, p_b FROM fc JOIN en ON fc.entity = en.entity AND fc.qi = en.qi),
+sc0 AS (SELECT model, count(*) AS n, sqrt(avg((y_pred - y_true) * (y_pred - y_true))) AS rmse_best, sqrt(avg((p_b - y_true) * (p_b - y_true))) AS rmse_reference FROM bo GROUP BY 1 ORDER BY rmse_best, model LIMIT 1),
+pb AS (SELECT bo.model, qi, avg((y_pred - y_true) * (y_pred - y_true) - (p_b - y_true) * (p_b - y_true)) AS d FROM bo JOIN sc0 ON bo.model = sc0.model GROUP BY 1, 2), {dm_sql('pb', 'model', ('d',), 4)},
+o AS (SELECT sc0.*, n_q, hac_lags, mean_d, stat FROM sc0 JOIN dm ON sc0.model = dm.g) SELECT model AS best_model, n, n_q, hac_lags, {sql_round(_BEST)} FROM o""")
+def best_model_on_common_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The best of the models against the blend of all on the rows they share, with four lags; without the p-value."""
+    f = cut_lineage(forecasts(spark, d))
+    x = evaluation.best_on_common_rows(f.unionByName(evaluation.ensemble(f)), "ensemble")
+    return rounded(x, _BEST).select("best_model", "n", "n_q", "hac_lags", *_BEST)
+
+
+@query(f"""WITH {FORECASTS}, s AS (SELECT model, {METRICS} FROM fc GROUP BY model),
+pr AS (SELECT 'earlier best (' || model || '/lags)' AS model, n, mae * 1.5e0 AS mae, rmse * 2e0 AS rmse, r2 - 1 AS r2, dir_acc / 2e0 AS dir_acc, 'another target: errors do not compare' AS note FROM s WHERE model <> 'b_history' ORDER BY rmse, model LIMIT 1),
+u AS (SELECT *, NULL AS note FROM s UNION ALL SELECT * FROM pr) SELECT model, n, {sql_round(_M)}, note FROM u""")
+def prior_suite_row(spark: SparkSession, d: str) -> DataFrame:
+    """The scores, and the best row of an earlier suite that landed as CSV."""
+    s = cut_lineage(evaluation.score(forecasts(spark, d)))
+    e = s.select(F.col("model").alias("model_family"), F.lit("lags").alias("feature_set"), F.when(F.col("model") == "b_history", "GROUP").otherwise("ALL").alias("scope"), "n", (F.col("mae") * 1.5).alias("mae"), (F.col("rmse") * 2.0).alias("rmse"), (F.col("r2") - 1).alias("r2"), (F.col("dir_acc") / 2.0).alias("directional_accuracy"))
+    path = _folder(spark, "suite")
+    feeds.save(e, path, "csv")
+    return rounded(evaluation.with_prior_best(s, spark.read.csv(path, header=True, inferSchema=True)), _M)
 
 
 @query()
@@ -184,11 +240,13 @@ def matched_rows(spark: SparkSession, d: str) -> DataFrame:
 _TAIL = ["p50", "p75", "p90", "p95", "p99", "top_share"]
 
 
-@query(f"""WITH {FORECASTS}, e AS (SELECT model, abs(y_pred - y_true) AS e, row_number() OVER (PARTITION BY model ORDER BY abs(y_pred - y_true) DESC, entity, qi) AS n FROM fc),
-s AS (SELECT model, quantile_cont(e, 0.5) AS p50, quantile_cont(e, 0.75) AS p75, quantile_cont(e, 0.9) AS p90, quantile_cont(e, 0.95) AS p95, quantile_cont(e, 0.99) AS p99, sum(e * e) FILTER (WHERE n <= 10) / nullif(sum(e * e), 0) AS top_share FROM e GROUP BY 1)
+@query(f"""WITH {FORECASTS}, b AS (SELECT entity, qi, y_pred AS p_b FROM fc WHERE model = 'b_history'),
+x AS (SELECT model, fc.entity, fc.qi, abs(y_pred - y_true) AS e, (y_pred - y_true) * (y_pred - y_true) - (p_b - y_true) * (p_b - y_true) AS x FROM fc JOIN b ON fc.entity = b.entity AND fc.qi = b.qi WHERE model <> 'b_history'),
+r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY x DESC, entity, qi) AS n FROM x),
+s AS (SELECT model, quantile_cont(e, 0.5) AS p50, quantile_cont(e, 0.75) AS p75, quantile_cont(e, 0.9) AS p90, quantile_cont(e, 0.95) AS p95, quantile_cont(e, 0.99) AS p99, CASE WHEN sum(x) > 0 THEN sum(x) FILTER (WHERE n <= 10) / sum(x) END AS top_share FROM r GROUP BY 1)
 SELECT model, {sql_round(_TAIL)} FROM s""")
 def error_tail(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluation.error_tail(forecasts(spark, d)), _TAIL)
+    return rounded(evaluation.error_tail(forecasts(spark, d), "b_history"), _TAIL)
 
 
 @query(f"WITH {FORECASTS}, s AS (SELECT model, qi, avg(y_true - y_pred) AS shock, count(*) AS n FROM fc GROUP BY 1, 2) SELECT model, qi, n, {sql_round(['shock'])} FROM s")
@@ -236,18 +294,91 @@ def ridge_walk_forward(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def specialist_vs_pooled(spark: SparkSession, d: str) -> DataFrame:
-    """Ridge per group against one for all, on the rows both forecast."""
+def ridge_cross_validated(spark: SparkSession, d: str) -> DataFrame:
+    """qi, n_train and the penalty that cross-validation chose; tests compare it with refits on the rows."""
     f = _features(spark, d)
-    pooled = ridge.walk_forward(f, "yoy", _RIDGE, "pooled", warmup=WARMUP, min_train=20)
-    own = ridge.walk_forward(f, "yoy", _RIDGE, "own", by=["grp"], warmup=WARMUP, min_train=20)
-    return evaluation.matched_rows(pooled, own, ["grp"])
+    return ridge.coefficients(f, "yoy", _RIDGE, warmup=WARMUP, min_train=MIN_TRAIN, penalties=(0.1, 1.0, 10.0, 100.0)).select("qi", "n_train", "penalty")
+
+
+@query()
+def specialist_vs_pooled(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge per group against one for all, on the rows both forecast, with tests, per group and for ALL; groups with fewer labels than twice the training minimum are skipped."""
+    f, least = cut_lineage(_features(spark, d)), 20
+    enough = f.groupBy("grp").agg(F.count("yoy").alias("n_labelled")).filter(F.col("n_labelled") >= 2 * least)
+    pooled = ridge.walk_forward(f, "yoy", _RIDGE, "pooled", warmup=WARMUP, min_train=least)
+    own = ridge.walk_forward(f.join(enough.select("grp"), "grp", "left_semi"), "yoy", _RIDGE, "own", by=["grp"], warmup=WARMUP, min_train=least)
+    both = cut_lineage(evaluation.pair(pooled.unionByName(own), "pooled", "own"))
+    return evaluation.delta_rows(both, ["grp"]).unionByName(evaluation.delta_rows(both).withColumn("grp", F.lit("ALL")))
+
+
+def _blocks(spark: SparkSession, d: str) -> tuple[DataFrame, list[str], dict[str, list[str]]]:
+    """A panel, its base features, and blocks of further ones."""
+    f = panel.macro_join(_features(spark, d), panel.macro_features(quarterly_series(spark, d), [], list(SERIES)))
+    f = panel.peers(f, "f_lag_yoy_1")
+    blocks = {"momentum": ["f_lag_qoq", "f_qoq_mean_4"], "peers": ["f_lag_yoy_1_peer_mean", "f_lag_yoy_1_vs_peers"]} | {s: [f"mac_{s}_yoy"] for s in SERIES}
+    return cut_lineage(f), _RIDGE[:3], blocks
+
+
+def _fits(f: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+    """Ridge forecasts with each set of features."""
+    out = None
+    for name, columns in sets.items():
+        part = ridge.walk_forward(f, "yoy", columns, name, warmup=WARMUP, min_train=MIN_TRAIN)
+        out = part if out is None else out.unionByName(part)
+    return cut_lineage(out)
+
+
+@query()
+def block_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The base model with each block added, and with all: differences and tests overall, per group, and rows per quarter's difference."""
+    f, base, blocks = _blocks(spark, d)
+    sets = {"base": base} | {n: base + c for n, c in blocks.items()} | {"ALL_BLOCKS": base + [c for b in blocks.values() for c in b]}
+    fits = _fits(f, sets)
+    out = None
+    for name in list(sets)[1:]:
+        pairs = evaluation.pair(fits, "base", name)
+        rows = evaluation.delta_rows(pairs).withColumn("grp", F.lit("all")).unionByName(evaluation.delta_rows(pairs, ["grp"]))
+        rows = rows.withColumns({"block": F.lit(name), "n_columns": F.lit(len(sets[name]) - len(base))})
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query()
+def theme_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """The base model with each macro series added: tests with p-values and labels."""
+    f, base, blocks = _blocks(spark, d)
+    fits = _fits(f, {"base": base} | {s: base + blocks[s] for s in SERIES})
+    out = None
+    for name in SERIES:
+        part = evaluation.per_quarter(evaluation.pair(fits, "base", name)).withColumn("theme", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return evaluation.verdict(evaluation.ablation_tests(out, by=["theme"]))
+
+
+@query()
+def macro_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """Without macro columns, with them, and with nothing else, beside the naive forecasts: configuration, number of features, metrics."""
+    f, base, blocks = _blocks(spark, d)
+    macro = [c for s in SERIES for c in blocks[s]]
+    sets = {"no_macro": base, "with_macro": base + macro, "macro_only": macro}
+    both = evaluation.score(_fits(f, sets)).unionByName(evaluation.score(forecasts(spark, d)))
+    size = F.coalesce(F.create_map(*[F.lit(x) for n, c in sets.items() for x in (n, len(c))])[F.col("model")], F.lit(0))
+    return both.withColumn("n_features", size)
+
+
+@query()
+def expert_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-sample forecasts of experts that see a family of columns each, side by side with their trailing errors."""
+    f, _, _ = _blocks(spark, d)
+    views = panel.expert_columns(f, {"company": {"own history", "fundamentals"}, "macro": {"macro"}})
+    wide = blending.widen(_fits(f, views), list(views))
+    return blending.softmax_blend(wide, ["company", "macro", "full"])
 
 
 @query()
 def block_ablation(spark: SparkSession, d: str) -> DataFrame:
     """Ridge with and without the block of short-term momentum: tests of the difference."""
-    f = _features(spark, d)
+    f = cut_lineage(_features(spark, d))
     both = ridge.walk_forward(f, "yoy", _RIDGE[:3], "without", warmup=WARMUP, min_train=MIN_TRAIN).unionByName(ridge.walk_forward(f, "yoy", _RIDGE, "with", warmup=WARMUP, min_train=MIN_TRAIN))
     return evaluation.verdict(evaluation.ablation_tests(evaluation.per_quarter(evaluation.pair(both, "without", "with"))))
 
@@ -311,18 +442,38 @@ def group_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rounded(conformal.group_coverage(x, ["raw", "expanding"]), ["raw", "expanding"])
 
 
-@query()
+_ACI = f"""{BANDS}, sq AS (SELECT qi, row_number() OVER (ORDER BY qi) AS i, list(greatest(q10 - y_true, y_true - q90)) AS own FROM bands GROUP BY qi),
+sp AS (SELECT qi, i, own, list_sort(coalesce((SELECT flatten(list(p.own)) FROM sq p WHERE p.i < sq.i), [])) AS past FROM sq),
+lv AS (SELECT 0 AS i, CAST(NULL AS BIGINT) AS qi, CAST(0 AS BIGINT) AS n_cal, 0e0 AS q, 0.2e0 AS used, 0.2e0 AS level
+  UNION ALL SELECT n.i, n.qi, n.n_cal, n.q, n.used, CASE WHEN n.n_cal >= {MIN_CAL} THEN least(0.6e0, greatest(0.01e0, n.used + 0.02e0 * (0.2e0 - list_avg(list_transform(n.own, lambda s: CASE WHEN s > n.q THEN 1e0 ELSE 0e0 END))))) ELSE n.used END
+  FROM (SELECT sp.i, sp.qi, sp.own, CAST(len(past) AS BIGINT) AS n_cal, lv.level AS used, CASE WHEN len(past) < {MIN_CAL} THEN 0e0 WHEN ceil((len(past) + 1) * (1 - lv.level)) > len(past) THEN 'inf'::DOUBLE ELSE past[CAST(ceil((len(past) + 1) * (1 - lv.level)) AS BIGINT)] END AS q FROM lv JOIN sp ON sp.i = lv.i + 1) n)"""
+
+
+@query(f"WITH RECURSIVE {_ACI} SELECT qi, n_cal, round(q, 6) + 0.0e0 AS q, round(used, 6) + 0.0e0 AS alpha_used FROM lv WHERE i > 0")
 def aci_schedule(spark: SparkSession, d: str) -> DataFrame:
-    """Adaptive levels, quarter after quarter; tests follow them by hand."""
-    return conformal.aci_schedule(bands(spark, d), ALPHA, min_cal=MIN_CAL)
+    """Adaptive levels, quarter after quarter."""
+    return rounded(conformal.aci_schedule(bands(spark, d), ALPHA, min_cal=MIN_CAL), ["q", "alpha_used"])
 
 
-@query()
+@query(f"WITH RECURSIVE {_ACI} SELECT entity, grp, bands.qi, n_cal, round(q10 - q, 6) + 0.0e0 AS lo, round(q90 + q, 6) + 0.0e0 AS hi, round(q, 6) + 0.0e0 AS q FROM bands JOIN lv ON bands.qi = lv.qi")
+def conformal_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    """Bands widened by the adaptive schedule."""
+    return rounded(conformal.calibrate_adaptive(bands(spark, d), ALPHA, min_cal=MIN_CAL), _C).select("entity", "grp", "qi", "n_cal", *_C)
+
+
+@query(f"WITH {_calibrated_sql(None, False)} SELECT qi, max(n_cal) AS n_cal, round(avg(q), 6) + 0.0e0 AS mean_q FROM cb GROUP BY qi")
+def calibration_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(conformal.schedule(_calibrate(spark, d)), ["mean_q"])
+
+
+@query(f"""WITH {_calibrated_sql(None, False)}, wk AS (SELECT c.qi, avg((q90 - q10) + 10e0 * (greatest(q10 - b.y_true, 0) + greatest(b.y_true - q90, 0)) - (hi - lo) - 10e0 * (greatest(lo - b.y_true, 0) + greatest(b.y_true - hi, 0))) AS d FROM cb c JOIN bands b USING (entity, grp, qi) GROUP BY c.qi),
+{dm_sql('wk', "'winkler'", ('d',))} SELECT g AS metric, n_q, hac_lags, {sql_round(['mean_d', 'stat'])} FROM dm""")
 def interval_dm(spark: SparkSession, d: str) -> DataFrame:
-    """Test of the quarterly Winkler difference between raw and calibrated bands."""
+    """Test of the quarterly Winkler difference between raw and calibrated bands, without the p-value."""
     a, b = (conformal.winkler(F.col("y_true"), F.col(x), F.col(y), ALPHA) for x, y in (("q10", "q90"), ("lo", "hi")))
     q = _calibrate(spark, d).groupBy("qi").agg(F.avg(a - b).alias("d"))
-    return evaluation.dm_test(q.withColumn("metric", F.lit("winkler")), ["metric"])
+    t = evaluation.dm_test(q.withColumn("metric", F.lit("winkler")), ["metric"])
+    return rounded(t, ["mean_d", "stat"]).select("metric", "n_q", "hac_lags", "mean_d", "stat")
 
 
 _EXPERTS = ["b_persistence", "b_mean_8", "b_history"]
@@ -367,13 +518,13 @@ def global_stack(spark: SparkSession, d: str) -> DataFrame:
 _GUARD = f"""{GROWN}, ce AS (SELECT *, max(abs(yoy)) OVER (PARTITION BY entity ORDER BY qi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ceiling FROM grown)"""
 
 
-@query(f"""WITH {_GUARD}, x AS (SELECT k, fl AS floor, yoy AS y_true, coalesce(abs(b_seasonal) > greatest(k * ceiling, fl) AND b_persistence IS NOT NULL, false) AS flag, b_seasonal, b_persistence
-  FROM ce, (SELECT unnest([0.5e0, 1.0e0]) AS k), (SELECT unnest([0.1e0, 0.2e0]) AS fl) WHERE yoy IS NOT NULL AND b_seasonal IS NOT NULL),
-p AS (SELECT *, CASE WHEN flag THEN b_persistence ELSE b_seasonal END AS y_pred FROM x), s AS (SELECT k, floor, {METRICS}, count(*) FILTER (WHERE flag) AS n_guarded FROM p GROUP BY 1, 2)
-SELECT k, floor, n, n_guarded, {sql_round(_M)} FROM s""")
+@query(f"""WITH {_GUARD}, x AS (SELECT k, fl AS floor, yoy AS y_true, coalesce(abs(b_seasonal) > greatest(k * ceiling, fl) AND b_persistence IS NOT NULL, false) AS flag, b_seasonal, b_persistence, b_mean_4
+  FROM ce, (SELECT unnest([0.5e0, 1.0e0]) AS k), (SELECT unnest([0.1e0, 0.2e0]) AS fl) WHERE yoy IS NOT NULL AND b_seasonal IS NOT NULL AND b_mean_4 IS NOT NULL),
+p0 AS (SELECT *, CASE WHEN flag THEN b_persistence ELSE b_seasonal END AS v FROM x), p AS (SELECT k, floor, flag, y_true, unnest(['guarded', 'blend']) AS kind, unnest([v, 0.5e0 * v + 0.5e0 * b_mean_4]) AS y_pred FROM p0),
+s AS (SELECT kind, k, floor, {METRICS}, count(*) FILTER (WHERE flag) AS n_guarded FROM p GROUP BY 1, 2, 3) SELECT kind, k, floor, n, n_guarded, {sql_round(_M)} FROM s""")
 def guard_sweep(spark: SparkSession, d: str) -> DataFrame:
-    x = blending.history_ceiling(v.grown(spark, d), "yoy").filter("yoy IS NOT NULL AND b_seasonal IS NOT NULL").withColumn("y_true", F.col("yoy"))
-    return rounded(blending.guard_sweep(x, "b_seasonal", "b_persistence", [0.5, 1.0], [0.1, 0.2]), _M)
+    x = blending.history_ceiling(v.grown(spark, d), "yoy").filter("yoy IS NOT NULL AND b_seasonal IS NOT NULL AND b_mean_4 IS NOT NULL").withColumn("y_true", F.col("yoy"))
+    return rounded(blending.guard_sweep(x, "b_seasonal", "b_persistence", [0.5, 1.0], [0.1, 0.2], "b_mean_4"), _M)
 
 
 @query(f"""WITH {_WIDE}, x AS (SELECT w, y_true, w * greatest(least(b_persistence, 3e0), -0.95e0) + (1 - w) * b_history AS y_pred FROM wd, (SELECT unnest([0.3e0, 0.5e0, 0.7e0]) AS w)),
@@ -383,10 +534,15 @@ def blend_sweep(spark: SparkSession, d: str) -> DataFrame:
     return rounded(blending.blend_sweep(x, "clipped", "b_history", [0.3, 0.5, 0.7]), _M)
 
 
-@query(f"""WITH {PAIRED}, s AS (SELECT CASE WHEN qi // 4 < 1999 THEN 'before 1999' ELSE 'from 1999' END AS era, count(*) AS n, avg(d_se) AS d_se, avg(d_ae) AS d_ae FROM paired GROUP BY 1) SELECT era, n, {sql_round(['d_se', 'd_ae'])} FROM s""")
+_ERA = ["rmse_a", "rmse_b", "mean_d", "stat"]
+
+
+@query(f"""WITH {PAIRED}, er AS (SELECT *, CASE WHEN qi // 4 < 1999 THEN 'before 1999' ELSE 'from 1999' END AS era FROM paired),
+z AS (SELECT era, count(*) AS n, sqrt(avg((p_a - y_true) * (p_a - y_true))) AS rmse_a, sqrt(avg((p_b - y_true) * (p_b - y_true))) AS rmse_b FROM er GROUP BY 1 HAVING count(*) >= 50),
+pe AS (SELECT era, qi, avg(d_se) AS d_se FROM er GROUP BY 1, 2), {dm_sql('pe', 'era', ('d_se',))}, o AS (SELECT z.*, n_q, hac_lags, mean_d, stat FROM z JOIN dm ON z.era = dm.g) SELECT era, n, n_q, hac_lags, {sql_round(_ERA)} FROM o""")
 def era_split(spark: SparkSession, d: str) -> DataFrame:
-    x = blending.era_split(paired(spark, d), 1999).groupBy("era").agg(F.count("*").alias("n"), F.avg("d_se").alias("d_se"), F.avg("d_ae").alias("d_ae"))
-    return rounded(x, ["d_se", "d_ae"])
+    """Both eras of at least 50 rows, with the test of each, without p-values."""
+    return rounded(evaluation.era_tests(paired(spark, d), 1999), _ERA).select("era", "n", "n_q", "hac_lags", *_ERA)
 
 
 @query(f"""WITH {SPARSE}, span AS (SELECT entity, min(qi) AS a, max(qi) AS b FROM sparse GROUP BY entity), grid AS (SELECT entity, unnest(generate_series(a, b)) AS qi FROM span),

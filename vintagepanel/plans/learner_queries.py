@@ -52,42 +52,8 @@ def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     return learners.permutation_importance(_panel(spark, d), "yoy", FEATURES, learners.linear(0.001), 1999 * 4, repeats=10)
 
 
-@query
-def macro_ablation(spark: SparkSession, d: str) -> DataFrame:
-    """The linear model with and without each macro series: tests of the difference per series."""
-    p = _panel(spark, d)
-    base = _run(p, FEATURES, learners.linear(), "base", scale=True)
-    out = None
-    for theme in (f"mac_{s}_yoy" for s in SERIES):
-        with_it = _run(p, [*FEATURES, theme], learners.linear(), theme, scale=True)
-        paired = evaluation.pair(base.unionByName(with_it), "base", theme)
-        part = evaluation.per_quarter(paired).withColumn("theme", F.lit(theme))
-        out = part if out is None else out.unionByName(part)
-    return evaluation.verdict(evaluation.ablation_tests(out, by=["theme"]))
-
-
 @query
 def residual_lasso(spark: SparkSession, d: str) -> DataFrame:
     shocks = evaluation.residual_shocks(forecasts(spark, d)).filter("model = 'b_history'").select("qi", "shock")
     m = panel.macro_features(quarterly_series(spark, d), [], SERIES)
     return learners.shock_lasso(shocks, m, [f"mac_{s}_yoy" for s in SERIES])
-
-
-@query
-def covered_window_retest(spark: SparkSession, d: str) -> DataFrame:
-    """Tests per group on the quarters from 1998 on alone."""
-    late = evaluation.pair(forecasts(spark, d), "b_persistence", "b_history").filter(F.col("qi") >= 1998 * 4)
-    return evaluation.ablation_tests(evaluation.per_quarter(late, ["grp"]), by=["grp"])
-
-
-@query
-def best_model_on_common_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Each model against the blend of all on the rows they share, with four lags."""
-    f = forecasts(spark, d)
-    both = f.unionByName(evaluation.ensemble(f))
-    names = ["b_persistence", "b_mean_8", "b_history"]
-    out = None
-    for m in names:
-        part = evaluation.per_quarter(evaluation.pair(both, m, "ensemble")).withColumn("model", F.lit(m))
-        out = part if out is None else out.unionByName(part)
-    return evaluation.ablation_tests(out, by=["model"], lags=4)
