@@ -15,7 +15,9 @@ def _moments(panel: DataFrame, y: str, features: list[str], by: list[str]) -> Da
     """Per quarter the entries (i, j) of the upper triangle of z'z, with z = (1, features, y); nulls count as 0 after centring by the caller."""
     z = F.array(F.lit(1.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features], F.col(y).cast("double"))
     n = len(features) + 2
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (z[i] * z[j]).alias("v")) for i in range(n) for j in range(i, n)]))
+    # lambdas over the bound array, not one expression per entry: the generated code stays small however many features there are
+    row = lambda a, i: F.transform(F.sequence(i, F.lit(n - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"), (F.get(a, i) * F.get(a, j)).alias("v")))
+    cells = F.explode(F.flatten(F.flatten(F.transform(F.array(z), lambda a: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: row(a, i))))))
     return panel.filter(F.col(y).isNotNull()).select(*by, "qi", cells.alias("c")).groupBy(*by, "qi", "c.i", "c.j").agg(F.sum("c.v").alias("v"))
 
 
