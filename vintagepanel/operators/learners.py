@@ -1,11 +1,15 @@
 """MLlib learners in the walk-forward: forests, boosting and linear models, and what they find important."""
 
+import functools
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vintagepanel.functions.sizes import cut_lineage
 from vintagepanel.operators.evaluation import qualifying_quarters
 
 
@@ -37,25 +41,30 @@ def _steps(names: list[str], learner, scale: bool) -> Pipeline:
     return Pipeline(stages=[*stages, learner])
 
 
-def walk_forward(panel: DataFrame, y: str, features: list[str], learner, name: str, groups: list[str] | None = None, warmup: int = 8, min_train: int = 100, purge: int = 0, refit_every: int = 1, scale: bool = False) -> DataFrame:
+def walk_forward(panel: DataFrame, y: str, features: list[str], learner, name: str, groups: list[str] | None = None, warmup: int = 8, min_train: int = 100, purge: int = 0, refit_every: int = 1, scale: bool = False, parallel: int = 8) -> DataFrame:
     """Forecasts (model, entity, grp, qi, y_true, y_pred) of every qualifying test quarter.
 
     The learner is refitted every `refit_every` quarters, on the rows more than `purge`
     quarters before the first quarter it then forecasts. The list of quarters is the one
-    thing that comes to the driver.
+    thing that comes to the driver. Fits do not depend on each other: `parallel` of them
+    are submitted at a time, so that small ones do not leave the cluster idle.
     """
     data, names = design(panel.filter(F.col(y).isNotNull()), y, features, groups)
-    data = data.persist()
+    data = cut_lineage(data).persist()
     quarters = [r["qi"] for r in qualifying_quarters(panel, y, warmup, min_train, purge).orderBy("qi").collect()]
-    out = None
-    for i in range(0, len(quarters), refit_every):
+
+    def fitted(i: int) -> DataFrame:
         tested = quarters[i : i + refit_every]
         train = data.filter(F.col("qi") < tested[0] - purge)
         # a column without any value cannot be filled with its median
         filled = train.agg(*[F.count(n).alias(n) for n in names]).first()
         model = _steps([n for n in names if filled[n]], learner, scale).fit(train)
-        part = model.transform(data.filter(F.col("qi").isin(tested))).select(F.lit(name).alias("model"), "entity", "grp", "qi", F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
-        out = part if out is None else out.unionByName(part)
+        return model.transform(data.filter(F.col("qi").isin(tested))).select(F.lit(name).alias("model"), "entity", "grp", "qi", F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
+
+    with ThreadPoolExecutor(parallel) as pool:
+        parts = list(pool.map(fitted, range(0, len(quarters), refit_every)))
+    data.unpersist()
+    out = functools.reduce(DataFrame.unionByName, parts) if parts else None
     if out is None:
         return data.select(F.lit(name).alias("model"), "entity", "grp", "qi", F.col("label").alias("y_true"), F.col("label").alias("y_pred")).limit(0)
     return out
@@ -84,7 +93,8 @@ def permutation_importance(panel: DataFrame, y: str, features: list[str], learne
     model = _steps(names, learner, False).fit(data.filter(F.col("qi") < split))
     held = data.filter(F.col("qi") >= split)
     held = held.withColumn("_cell", F.pmod(F.xxhash64("entity", "qi"), F.lit(max(1, held.count() // CELL_ROWS))))
-    held = held.withColumn("_at", F.row_number().over(Window.partitionBy("_cell").orderBy("entity", "qi"))).persist()
+    held = held.withColumn("_at", F.row_number().over(Window.partitionBy("_cell").orderBy("entity", "qi")))
+    held = cut_lineage(held)
 
     def error(df: DataFrame, label: str) -> DataFrame:
         e = F.col("prediction") - F.col("label")
