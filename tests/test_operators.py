@@ -129,8 +129,8 @@ def test_dm_constant_difference(spark):
 
 def test_conformal_quantile(spark):
     def q(scores, alpha=0.2):
-        df = spark.createDataFrame([(1, float(s)) for s in scores], "qi long, score double")
-        return conformal.conformal_quantile(df, ["qi"], alpha).first().q
+        df = spark.createDataFrame([(1, float(s)) for s in scores] + [(2, 0.0)], "qi long, score double")
+        return conformal.conformal_quantile(df, None, alpha).filter("qi = 2").first().q
 
     assert q(range(1, 10)) == 8.0 and q([1, 2, 3]) == math.inf and q(range(1, 5)) == 4.0
 
