@@ -624,6 +624,45 @@ def test_toxicity_separates(insults):
     assert m.scores([""])[0] < 0.5
 
 
+def brute_kernel(a, b):
+    """Sum over all pairs of equal subsequences of LENGTH symbols, none beginning or ending with a blank, of the weights of their gaps."""
+    from itertools import combinations
+
+    def weights(symbols):
+        out = collections.Counter()
+        for first in range(len(symbols)):
+            for rest in combinations(range(first + 1, min(first + toxicity.SPAN, len(symbols))), toxicity.LENGTH - 1):
+                picked = tuple(int(symbols[i]) for i in (first, *rest))
+                if picked[0] and picked[-1]:
+                    out[picked] += toxicity.DECAY ** (rest[-1] - first - toxicity.LENGTH + 1)
+        return out
+
+    x, y = weights(a), weights(b)
+    return sum(w * y[k] for k, w in x.items())
+
+
+def test_folded_weights_are_the_kernel():
+    """A table folded from one landmark scores a stretch by its kernel with that landmark; the kernel is counted by hand."""
+    landmark = " worthless "
+    symbols = lambda t: toxicity.codes([t])[0][: len(t)]
+    numbers, weights = toxicity.profile(toxicity.codes([landmark])[0])
+    table = np.zeros(toxicity._SYMBOLS**toxicity.LENGTH, np.float32)
+    table[numbers] = weights
+    machine = toxicity.Machine(table, 0.25)
+    for text in ("worthless", "wo-rth.less", "w o r t h", "Wörthless!", "harmless", "xyz"):
+        assert len(text) <= toxicity.WINDOW
+        assert machine.margins([text])[0] == pytest.approx(0.25 + brute_kernel(symbols(text), symbols(landmark)), rel=1e-4, abs=1e-4)
+
+
+def test_nystroem_machine_equals_its_landmark_sum(insults):
+    """What training folds into the table is linear in the kernels with the landmarks: margins of disjoint stretches add up to those of the table."""
+    m = insults[2]
+    text = "you pathetic "
+    symbols, begins = toxicity.codes([text])
+    by_hand = m.bias + sum(w * m.weights[n].sum() for w, n in ((w, n[: toxicity.WINDOW]) for w, n in toxicity._subsequences(symbols)))
+    assert m.stretches(symbols, begins)[0] == pytest.approx(by_hand, rel=1e-4)
+
+
 def test_insult_with_inserted_characters(insults):
     m = insults[2]
     plain = m.margins(["the of and shea reing"])[0]
@@ -641,8 +680,10 @@ def test_held_out_toxicity(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     rows = [r for r in queries.op7_toxicity(spark, d).collect() if r.held_out and r.doc_id in truth]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
-    # the table has few labels: what is asked of it is better than the commoner label
+    # the table has few labels: what is asked of it is better than the commoner label, and a good order
     assert np.mean([r.predicted == truth[r.doc_id] for r in rows]) > np.mean([truth[r.doc_id] == 0 for r in rows])
+    pairs = [(a.score > b.score) + 0.5 * (a.score == b.score) for a in rows if truth[a.doc_id] == 1 for b in rows if truth[b.doc_id] == 0]
+    assert np.mean(pairs) > 0.8
 
 
 def test_the_cut_stays_put_when_classes_are_sampled(spark):
@@ -660,6 +701,8 @@ def test_toxicity_of_odd_rows(spark, insults):
     assert toxicity.score(df, insults[2]).count() == 10 and toxicity.keep_clean(df, insults[2]).columns == df.columns
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.fit(df, labels) == 0.0 and toxicity.score(df.limit(0), 0.0).count() == 0
+    assert {r.held_out for r in toxicity.op7(spark, df, labels).filter("doc_id IS NULL").collect()} == {False}
+    assert toxicity.keep_clean(df.limit(0), insults[2]).count() == 0
 
 
 # n-gram Jaccard join

@@ -7,7 +7,8 @@ features, similarities to a fixed number of landmark strings. It is linear in th
 they are linear in the subsequence counts, so a trained machine folds into one table of
 weights per subsequence, and scoring whole texts is one pass of table look-ups.
 
-Training sees sentences under the label of their document. Which stretch of a toxic
+Labels are those of documents, so training sees stretches of a sentence's length (16
+positions and the gaps these span) under the label of their document. Which stretch of a toxic
 document is to blame is latent: rounds alternate between picking the best stretch of each
 document under the current machine (for clean ones: the worst mistakes) and refitting. The words that only toxic documents
 hold are also shown with marks put between their letters.
@@ -306,7 +307,11 @@ def score(docs: DataFrame, model: Machine | float, id_col: str = "doc_id", text_
 
 
 def keep_clean(docs: DataFrame, model: Machine | float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that the machine does not reject; all columns ride along in the same pass."""
+    """The rows of docs, with all their columns, that the machine does not reject; all columns ride along in the same pass.
+
+    Null and empty texts are scored as blanks, null ids and repeated rows do no harm, and
+    an empty table stays one.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index(text_col)
@@ -323,5 +328,6 @@ def keep_clean(docs: DataFrame, model: Machine | float, text_col: str = "text")
 
 
 def op7(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out (null ids are not), score and predicted of every row; rows without text, repeated rows and other columns as in score()."""
     scored = score(docs, fit(docs, labels))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
