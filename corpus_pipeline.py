@@ -1,4 +1,9 @@
-"""The training-data pipeline: five stages, each working on all that the one before kept."""
+"""The training-data pipeline: five stages, each working on all that the one before kept.
+
+Every stage takes null ids, texts and sources, empty and very long texts, repeated rows, an
+empty table and further columns, as the operators that it calls state; further columns are
+kept by all but the last.
+"""
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
