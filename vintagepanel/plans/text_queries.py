@@ -227,7 +227,7 @@ def strip_markup(spark: SparkSession, d: str) -> DataFrame:
 
 
 _GW = (7, 20, 365)
-_GW_ROUNDED = [f"{x}_{k}" for k in _GW for x in ("midpoint", "width_pct")] + [f"midpoint_{k}_to_{r}" for k in _GW for r in ("revenue", "ttm")] + [f"{p}_to_{r}" for p in ("latest", "period") for r in ("revenue", "ttm")]
+_GW_ROUNDED = ["latest_midpoint", "period_midpoint", "latest_width_pct", "period_width_pct", *(f"{x}_{k}" for k in _GW for x in ("midpoint", "width_pct"))] + [f"midpoint_{k}_to_{r}" for k in _GW for r in ("revenue", "ttm")] + [f"{p}_to_{r}" for p in ("latest", "period") for r in ("revenue", "ttm")]
 
 
 def _last_of(x: str, where: str = "event_id IS NOT NULL") -> str:

@@ -102,13 +102,13 @@ def origins(spark: SparkSession, d: str) -> DataFrame:
 def guided_targets(spark: SparkSession, d: str) -> DataFrame:
     """origins with qi and label of the origin's quarter, and stand-ins for known revenue (0 for some) and a year's revenue."""
     k = F.col("entity") % 7
-    return origins(spark, d).select("entity", "origin", quarter_index(F.col("origin")).alias("qi"), quarter_label(quarter_index(F.col("origin"))).alias("target_quarter"), (k * 10).cast("double").alias("revenue"), (k * 38 + 5).cast("double").alias("ttm"))
+    return origins(spark, d).select("entity", "origin", quarter_index(F.col("origin")).alias("qi"), quarter_label(quarter_index(F.col("origin"))).alias("target_quarter"), (k * 9.7).alias("revenue"), (k * 38 + 5.3).alias("ttm"))
 
 
 def guidance_events(spark: SparkSession, d: str) -> DataFrame:
-    """signed_events with the quarter they speak of and the width of their range."""
+    """signed_events with the quarter they speak of and the width of their range; midpoints are scaled so that no mean of them ends in a rounding tie."""
     i = F.col("event_id")
-    return signed_events(spark, d).withColumns({"period": F.concat(F.lit("202"), (4 + F.floor(i % 6 / 4)).cast("string"), F.lit("Q"), (1 + i % 4).cast("string")), "width_pct": F.when(i % 5 > 0, (i % 5) / 10)})
+    return signed_events(spark, d).withColumns({"period": F.concat(F.lit("202"), (4 + F.floor(i % 6 / 4)).cast("string"), F.lit("Q"), (1 + i % 4).cast("string")), "width_pct": F.when(i % 5 > 0, (i % 5) / 11), "midpoint": F.col("midpoint") / 7.3})
 
 
 def estimates(spark: SparkSession, d: str) -> DataFrame:
@@ -213,8 +213,8 @@ ORIGINS = """orig AS (
 
 GUIDED = f"""{EVENTS}, {ORIGINS},
 tg AS (SELECT entity, origin, CAST(year(origin) * 4 + quarter(origin) - 1 AS BIGINT) AS qi, CAST(year(origin) AS VARCHAR) || 'Q' || CAST(quarter(origin) AS VARCHAR) AS target_quarter,
-       CAST(entity % 7 * 10 AS DOUBLE) AS revenue, CAST(entity % 7 * 38 + 5 AS DOUBLE) AS ttm FROM orig),
-ge AS (SELECT *, '202' || CAST(4 + event_id % 6 // 4 AS VARCHAR) || 'Q' || CAST(1 + event_id % 4 AS VARCHAR) AS period, CASE WHEN event_id % 5 > 0 THEN (event_id % 5) / 10e0 END AS width_pct FROM ev),
+       entity % 7 * 9.7e0 AS revenue, entity % 7 * 38 + 5.3e0 AS ttm FROM orig),
+ge AS (SELECT * REPLACE (midpoint / 7.3e0 AS midpoint), '202' || CAST(4 + event_id % 6 // 4 AS VARCHAR) || 'Q' || CAST(1 + event_id % 4 AS VARCHAR) AS period, CASE WHEN event_id % 5 > 0 THEN (event_id % 5) / 11e0 END AS width_pct FROM ev),
 es AS (SELECT user_id AS entity, CASE WHEN event_id % 2 = 0 THEN 2025 * 4 + 1 ELSE year(ts) * 4 + quarter(ts) - 1 END AS qi, CAST(ts AS DATE) AS made, value AS avg, value * 0.75e0 AS low, value * 1.5e0 AS high, CAST(event_id % 9 AS BIGINT) AS n FROM events)"""
 
 
