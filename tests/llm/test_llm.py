@@ -625,7 +625,7 @@ def test_toxicity_separates(insults):
 
 
 def brute_kernel(a, b):
-    """Sum over all pairs of equal subsequences of LENGTH symbols, none beginning or ending with a blank, of the weights of their gaps."""
+    """Sum over all pairs of equal subsequences of LENGTH symbols, of the weights of their gaps: those without a blank at either end, and those whose one blank is at an end."""
     from itertools import combinations
 
     def weights(symbols):
@@ -633,7 +633,7 @@ def brute_kernel(a, b):
         for first in range(len(symbols)):
             for rest in combinations(range(first + 1, min(first + toxicity.SPAN, len(symbols))), toxicity.LENGTH - 1):
                 picked = tuple(int(symbols[i]) for i in (first, *rest))
-                if picked[0] and picked[-1]:
+                if picked[0] and picked[-1] or picked.count(0) == 1 and 0 in (picked[0], picked[-1]):
                     out[picked] += toxicity.DECAY ** (rest[-1] - first - toxicity.LENGTH + 1)
         return out
 
@@ -643,14 +643,14 @@ def brute_kernel(a, b):
 
 def test_folded_weights_are_the_kernel():
     """A table folded from one landmark scores a stretch by its kernel with that landmark; the kernel is counted by hand."""
-    landmark = " worthless "
-    symbols = lambda t: toxicity.codes([t])[0][: len(t)]
+    landmark = "worthless"
+    symbols = lambda t: toxicity.codes([t])[0]
     numbers, weights = toxicity.profile(toxicity.codes([landmark])[0])
     table = np.zeros(toxicity._SYMBOLS**toxicity.LENGTH, np.float32)
     table[numbers] = weights
     machine = toxicity.Machine(table, 0.25)
     for text in ("worthless", "wo-rth.less", "w o r t h", "Wörthless!", "harmless", "xyz"):
-        assert len(text) <= toxicity.WINDOW
+        assert len(text) < toxicity.WINDOW
         assert machine.margins([text])[0] == pytest.approx(0.25 + brute_kernel(symbols(text), symbols(landmark)), rel=1e-4, abs=1e-4)
 
 

@@ -38,6 +38,8 @@ from vintagepanel.llm.shingles import parts
 LENGTH, SPAN, DECAY = 4, 7, 0.6
 #: Positions whose subsequences make up one scored stretch of a sentence.
 WINDOW = 16
+#: Characters of texts whose symbols are worked on at a time.
+_PART = 1 << 19
 #: Blanks between texts, so that no stretch or subsequence of one text reaches the next.
 _PAD = WINDOW + SPAN
 _SYMBOLS = 32
@@ -63,10 +65,10 @@ def _symbols() -> np.ndarray:
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the texts, each followed by _PAD blanks, and where each text begins (one more entry)."""
-    joined = (" " * _PAD).join([*texts, ""])
+    """Symbols of the texts, each after a blank and followed by _PAD of them, and where each text begins, its blank included (one more entry)."""
+    joined = "".join(f" {t}{' ' * _PAD}" for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _symbols()[points], np.concatenate([[0], np.cumsum([len(t) + _PAD for t in texts])]).astype(np.int64)
+    return _symbols()[points], np.concatenate([[0], np.cumsum([1 + len(t) + _PAD for t in texts])]).astype(np.int64)
 
 
 def _subsequences(symbols: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
@@ -81,12 +83,14 @@ def _subsequences(symbols: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
 
 
 def profile(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct subsequences of a string that hold no blank at either end, with their summed weights."""
+    """Distinct subsequences of a string with their summed weights: those without a blank at either end, and those
+    whose one blank is at an end, which tell where words begin and end."""
     numbers, weights = [], []
     for weight, number in _subsequences(symbols):
-        inked = ((number & 31) > 0) & ((number >> 15) > 0)
-        numbers.append(number[inked])
-        weights.append(np.full(int(inked.sum()), weight))
+        a, b, c, d = (((number >> shift) & 31) > 0 for shift in (15, 10, 5, 0))
+        counted = (a & d) | (b & c & (a | d))
+        numbers.append(number[counted])
+        weights.append(np.full(int(counted.sum()), weight))
     found, at = np.unique(np.concatenate(numbers), return_inverse=True)
     return found, np.bincount(at, np.concatenate(weights), minlength=len(found))
 
@@ -122,15 +126,19 @@ class Machine:
 
 def fit_svm(features: np.ndarray, signs: np.ndarray, cost: float = 300.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss and balanced classes, by Newton steps on its support vectors."""
-    x = np.column_stack([features, np.ones(len(features))])
+    x = np.column_stack([features, np.ones(len(features), features.dtype)])
     per_class = {s: cost / max(1, (signs == s).sum()) for s in (-1, 1)}
     c = np.where(signs > 0, per_class[1], per_class[-1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     w, support = np.zeros(x.shape[1]), np.ones(len(x), bool)
     for _ in range(steps):
-        xs, cs = x[support], c[support]
-        w = np.linalg.solve(ridge + 2 * (xs * cs[:, None]).T @ xs, 2 * xs.T @ (cs * signs[support]))
+        gram, right = ridge.copy(), np.zeros(x.shape[1])
+        for rows in np.array_split(np.flatnonzero(support), 1 + len(x) // 2048):
+            xs = x[rows].astype(np.float64)
+            gram += 2 * (xs * c[rows, None]).T @ xs
+            right += 2 * xs.T @ (c[rows] * signs[rows])
+        w = np.linalg.solve(gram, right)
         now = signs * (x @ w) < 1
         if (now == support).all():
             break
@@ -169,7 +177,7 @@ def disguised(words: list[str]) -> list[str]:
     return [f"  {w}  " for w in out if w]
 
 
-def train(toxic: list[str], clean: list[str], n_landmarks: int = 256, rounds: int = 4, stands_for: tuple[float, float] = (1.0, 1.0)) -> Machine:
+def train(toxic: list[str], clean: list[str], n_landmarks: int = 384, rounds: int = 6, stands_for: tuple[float, float] = (1.0, 1.0)) -> Machine:
     """A machine from whole documents of either label; a fifth of each is kept back to set the probabilities.
 
     stands_for: how many labelled documents each toxic and each clean one was drawn from.
@@ -178,7 +186,7 @@ def train(toxic: list[str], clean: list[str], n_landmarks: int = 256, rounds: in
     toxic, clean = [t for i, t in enumerate(toxic) if i % 5] or toxic, [t for i, t in enumerate(clean) if i % 5] or clean
     telling, sure, common = landmarks(toxic, clean, n_landmarks)
     strings = telling + common
-    profiles = [profile(codes([f" {s} "])[0]) for s in strings]
+    profiles = [profile(codes([s])[0]) for s in strings]
     known = np.unique(np.concatenate([p[0] for p in profiles]))
     phi = np.zeros((len(known), len(strings)), np.float32)
     for j, (numbers, weights) in enumerate(profiles):
@@ -194,8 +202,8 @@ def train(toxic: list[str], clean: list[str], n_landmarks: int = 256, rounds: in
         weights[known] = phi @ beta
         return Machine(weights, bias)
 
-    def similarities(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of the stretches that begin at starts to each landmark."""
+    def nystroem(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Features of the stretches that begin at starts, from their similarities to each landmark."""
         at = starts[:, None] + np.arange(WINDOW)
         out = np.zeros((len(starts), len(strings)))
         for weight, number in _subsequences(symbols):
@@ -204,28 +212,25 @@ def train(toxic: list[str], clean: list[str], n_landmarks: int = 256, rounds: in
             for low in range(0, len(which), 100_000):
                 i, k = which[low : low + 100_000], place[low : low + 100_000]
                 _add_rows(out, i, weight * phi[row[i, k]])
-        return out
+        return (out @ to_features).astype(np.float32)
 
-    sides = [codes(clean), codes(toxic), codes(disguised(sure))]
+    sides = [(sign, *codes(p)) for sign, texts in ((-1, clean), (1, toxic), (1, disguised(sure))) for p in parts(texts, _PART)]
     machine = folded(np.where(np.arange(len(strings)) < len(telling), 1.0, -1.0), 0.0)
     # one stretch of each clean document, whatever it holds, so that the bias is that of ordinary text
-    symbols, begins = sides[0]
-    seen: list[tuple[np.ndarray, int]] = [(similarities(symbols, (begins[:-1] + begins[1:]) // 2), -1)]
-    for r in range(rounds):
+    seen = [(nystroem(symbols, (begins[:-1] + begins[1:]) // 2), -1) for sign, symbols, begins in sides if sign < 0]
+    for _ in range(rounds):
         fresh = []
-        for side, (symbols, begins) in enumerate(sides):
-            if len(begins) < 2:
-                continue
+        for sign, symbols, begins in sides:
             value = machine.stretches(symbols, begins)
             best = np.array([a + int(np.argmax(value[a:b])) for a, b in zip(begins[:-1], begins[1:], strict=True)], np.int64)
-            fresh.append((similarities(symbols, best), 1 if side else -1))
+            fresh.append((nystroem(symbols, best), sign))
         # the mistakes on clean documents accumulate; what is to blame in toxic ones is picked anew
         seen = [s for s in seen if s[1] < 0] + fresh
-        x = np.concatenate([s[0] for s in seen]) @ to_features
+        x = np.concatenate([s[0] for s in seen])
         y = np.concatenate([np.full(len(s[0]), s[1]) for s in seen])
         w, bias = fit_svm(x, y)
         machine = folded(to_features @ w, bias)
-    margins = np.concatenate([machine.margins(h) if h else np.zeros(0) for h in held])
+    margins = np.concatenate([machine.margins(p) for h in held for p in parts(h, _PART)])
     labels = np.concatenate([np.ones(len(held[0])), np.zeros(len(held[1]))])
     machine.slope, machine.offset = _platt(margins, labels, np.where(labels > 0, *stands_for))
     return machine
@@ -297,7 +302,7 @@ def score(docs: DataFrame, model: Machine | float, id_col: str = "doc_id", text_
         machine = shared.value
         for batch in batches:
             at = 0
-            for part in parts([t or "" for t in batch.column(1).to_pylist()], 1 << 19):
+            for part in parts([t or "" for t in batch.column(1).to_pylist()], _PART):
                 found = machine.scores(part) if isinstance(machine, Machine) else np.full(len(part), machine)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(found, pa.float64())], ["doc_id", "score"])
                 at += len(part)
@@ -320,7 +325,7 @@ def keep_clean(docs: DataFrame, model: Machine | float, text_col: str = "text")
         machine = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(at_text).to_pylist()]
-            found = [machine.scores(p) if isinstance(machine, Machine) else np.full(len(p), machine) for p in parts(texts, 1 << 19)]
+            found = [machine.scores(p) if isinstance(machine, Machine) else np.full(len(p), machine) for p in parts(texts, _PART)]
             if found:
                 yield batch.filter(pa.array(np.concatenate(found) < 0.5))
 
