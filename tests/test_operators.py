@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vintagepanel.functions import quarters, significance
-from vintagepanel.operators import blending, conformal, evaluation, fundamentals, market, panel, ridge, series, temporal, text, universe
+from vintagepanel.operators import blending, conformal, correlation, evaluation, fundamentals, market, panel, ridge, series, temporal, text, universe
 from vintagepanel.sources import feeds
 from vintagepanel.streaming import events as stream_events
 
@@ -293,3 +293,19 @@ def test_learners_find_a_planted_effect(spark):
     assert gains["x"] > 70 and sum(gains.values()) == pytest.approx(100)
     damage = {r.feature: r.damage for r in learners.permutation_importance(df, "y", ["x", "z"], learners.linear(0.001), 12).collect()}
     assert damage["x"] > 10 * abs(damage["z"])
+
+
+def test_association_importance_and_medians(spark):
+    rows = [("a", q, float(q), 2.0 * q + 1, 5.0, None) for q in range(12)] + [("a", 12, None, 3.0, 5.0, None)]
+    df = spark.createDataFrame(rows, "grp string, qi int, yoy double, exact double, flat double, hollow double")
+    found = {r.feature: (r.r2, r.gain_pct) for r in evaluation.association_importance(df, ["yoy"], ["exact", "flat", "hollow"]).collect()}
+    assert found["exact"] == (pytest.approx(1.0), pytest.approx(100.0)) and found["flat"] == found["hollow"] == (0.0, 0.0)
+    nothing = evaluation.association_importance(df.limit(0), ["yoy"], ["exact"]).collect()
+    assert [(r.r2, r.gain_pct) for r in nothing] == [(0.0, None)]
+    # three entities a quarter, one of them far off: the median does not follow it
+    wild = df.select("grp", "qi", (F.col("yoy") * -1000).alias("yoy"), "exact")
+    typical = df.select("grp", "qi", "yoy", "exact")
+    got = correlation.median_correlation(typical.unionByName(typical).unionByName(wild), "yoy", ["exact"]).collect()
+    assert [(r.n, round(r.corr, 9)) for r in got] == [(12, 1.0)]
+    filled = {r.column_name: (r.family, r.n_filled) for r in panel.column_dictionary(df).collect()}
+    assert filled["yoy"][1] == 12 and filled["hollow"][1] == 0 and filled["qi"][1] == 13

@@ -12,6 +12,12 @@ def group_correlation(df: DataFrame, y: str, series: list[str], by: str = "grp",
     return long.groupBy(by, "s.series").agg(F.count("*").alias("n"), g.correlation(F.col("y"), F.col("s.x")).alias("corr")).filter(F.col("n") > least)
 
 
+def median_correlation(df: DataFrame, y: str, series: list[str], by: str = "grp", least: int = 8) -> DataFrame:
+    """The same of the group's median y a quarter, one row a quarter, so that a quarter counts once however many entities it has."""
+    typical = df.groupBy(by, "qi").agg(F.median(y).alias("_typical"), *[F.max(s).alias(s) for s in series])
+    return group_correlation(typical, "_typical", series, by, least)
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairwise-complete correlations in one aggregation: a, b, corr."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]

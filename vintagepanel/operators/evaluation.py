@@ -174,6 +174,14 @@ def matched_rows(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumns({"rmse_delta": F.col("rmse_b") - F.col("rmse_a"), "pct_change": (F.try_divide(F.col("rmse_b"), F.col("rmse_a")) - 1) * 100})
 
 
+def association_importance(df: DataFrame, targets: list[str], features: list[str]) -> DataFrame:
+    """target, feature, r2 (squared correlation on the rows that have both, 0 where there is none) and gain_pct, its share of the target's sum: one aggregation for all pairs."""
+    pairs = [(t, f) for t in targets for f in features]
+    one = df.agg(*[F.coalesce(g.correlation(F.col(t), F.col(f)), F.lit(0.0)).alias(f"c{i}") for i, (t, f) in enumerate(pairs)])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(f).alias("feature"), (F.col(f"c{i}") * F.col(f"c{i}")).alias("r2")) for i, (t, f) in enumerate(pairs)]))
+    return one.select(each.alias("p")).select("p.*").withColumn("gain_pct", 100 * F.try_divide(F.col("r2"), F.sum("r2").over(Window.partitionBy("target"))))
+
+
 def grouped_importance(importance: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Sum of gain_pct by group; the first prefix rule that fits a feature names its group."""
     group = F.lit("other")

@@ -131,12 +131,13 @@ def feature_columns(df: DataFrame, prefixes: tuple[str, ...] = ("f_", "mac_", "m
 
 
 def column_dictionary(df: DataFrame) -> DataFrame:
-    """column_name, family of every column: one row a column."""
-    name = F.col("column_name")
+    """column_name, family, n_filled (rows with a value) of every column, counted in one pass: one row a column."""
     family = F.lit("other")
     for prefix, label in reversed(FAMILIES):
-        family = F.when(name.startswith(prefix), label).otherwise(family)
-    return df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("column_name")).withColumn("family", family)
+        family = F.when(F.col("c.column_name").startswith(prefix), label).otherwise(family)
+    filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n_filled")) for i, c in enumerate(df.columns)]))
+    return filled.select(each.alias("c")).select("c.column_name", family.alias("family"), "c.n_filled")
 
 
 def family_of(column: str) -> str:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vintagepanel.functions import guarded as g
 from vintagepanel.functions.sizes import cut_lineage
 from vintagepanel.operators import blending, conformal, correlation, evaluation, panel, ridge, series
 from vintagepanel.plans import views as v
@@ -254,30 +255,50 @@ def residual_shocks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluation.residual_shocks(forecasts(spark, d)), ["shock"])
 
 
-@query(f"""WITH {FORECASTS}, s AS (SELECT model || '_l' || CAST(1 + qi % 3 AS VARCHAR) AS feature, grp AS target, 100 * avg(abs(y_pred)) AS gain_pct FROM fc GROUP BY ALL),
-w AS (SELECT feature, coalesce(sum(gain_pct) FILTER (WHERE target = 'ASIA'), 0) AS "ASIA", coalesce(sum(gain_pct) FILTER (WHERE target = 'EUROPE'), 0) AS "EUROPE", regexp_extract(feature, '_l(\\d)$', 1) AS lag FROM s GROUP BY feature)
-SELECT feature, round("ASIA", 6) + 0.0e0 AS "ASIA", round("EUROPE", 6) + 0.0e0 AS "EUROPE", 'lag ' || CASE WHEN lag = '' THEN '1' ELSE lag END AS lag_bucket FROM w""")
+_LAGS, _AIMS = [f"yoy_l{k}" for k in (1, 2, 3, 4)], ["yoy", "qoq"]
+_EXPLAIN = MODELS + _LAGS
+_IMPORTANCE = f"""{GROWN}, lagged AS (SELECT *, {', '.join(f'lag(yoy, {k}) OVER w AS yoy_l{k}' for k in (1, 2, 3, 4))} FROM grown WINDOW w AS (PARTITION BY entity ORDER BY qi)),
+pairs AS ({' UNION ALL '.join(f"SELECT '{t}' AS target, '{f}' AS feature, {t} AS y, {f} AS x FROM lagged WHERE {t} IS NOT NULL AND {f} IS NOT NULL" for t in _AIMS for f in _EXPLAIN)}),
+explained AS (SELECT target, feature, coalesce(corr(y, x) * corr(y, x), 0) AS r2 FROM pairs GROUP BY 1, 2),
+imp AS (SELECT *, 100 * r2 / nullif(sum(r2) OVER (PARTITION BY target), 0) AS gain_pct FROM explained)"""
+
+
+def _lagged(spark: SparkSession, d: str) -> DataFrame:
+    w = g.series()
+    return v.grown(spark, d).withColumns({f"yoy_l{k}": F.lag("yoy", k).over(w) for k in (1, 2, 3, 4)})
+
+
+@query(f"WITH {_IMPORTANCE} SELECT target, feature, {sql_round(['r2', 'gain_pct'])} FROM imp")
+def association_importance(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the variance of growth each known column explains by itself."""
+    return rounded(evaluation.association_importance(_lagged(spark, d), _AIMS, _EXPLAIN), ["r2", "gain_pct"])
+
+
+@query(f"""WITH {_IMPORTANCE}, w AS (SELECT feature, {', '.join(f"coalesce(sum(gain_pct) FILTER (WHERE target = '{t}'), 0) AS {t}" for t in _AIMS)}, regexp_extract(feature, '_l(\\d)$', 1) AS lag FROM imp GROUP BY feature)
+SELECT feature, {sql_round(_AIMS)}, 'lag ' || CASE WHEN lag = '' THEN '1' ELSE lag END AS lag_bucket FROM w""")
 def importance_matrix(spark: SparkSession, d: str) -> DataFrame:
-    f = forecasts(spark, d)
-    name = F.concat("model", F.lit("_l"), (1 + F.col("qi") % 3).cast("string"))
-    s = f.groupBy(name.alias("feature"), F.col("grp").alias("target")).agg((100 * F.avg(F.abs("y_pred"))).alias("gain_pct"))
-    return rounded(evaluation.importance_matrix(s, ["ASIA", "EUROPE"]), ["ASIA", "EUROPE"])
+    return rounded(evaluation.importance_matrix(evaluation.association_importance(_lagged(spark, d), _AIMS, _EXPLAIN), _AIMS), _AIMS)
 
 
-@query(f"""WITH {FORECASTS}, s AS (SELECT model AS feature, 100 * avg(abs(y_pred)) AS gain_pct FROM fc GROUP BY 1),
-gi AS (SELECT CASE WHEN feature LIKE 'b\\_mean%' ESCAPE '\\' THEN 'means' WHEN feature LIKE 'b\\_%' ESCAPE '\\' THEN 'single' ELSE 'other' END AS family, sum(gain_pct) AS gain_pct, count(*) AS n_features FROM s GROUP BY 1)
+@query(f"""WITH {_IMPORTANCE}, gi AS (SELECT CASE WHEN feature LIKE 'b\\_mean%' ESCAPE '\\' THEN 'means' WHEN feature LIKE 'b\\_%' ESCAPE '\\' THEN 'single' ELSE 'other' END AS family, sum(gain_pct) AS gain_pct, count(*) AS n_features FROM imp WHERE target = 'yoy' GROUP BY 1)
 SELECT family, n_features, {sql_round(['gain_pct'])} FROM gi""")
 def grouped_importance(spark: SparkSession, d: str) -> DataFrame:
-    s = forecasts(spark, d).groupBy(F.col("model").alias("feature")).agg((100 * F.avg(F.abs("y_pred"))).alias("gain_pct"))
-    return rounded(evaluation.grouped_importance(s, [("b_mean", "means"), ("b_", "single")]), ["gain_pct"])
+    found = evaluation.association_importance(_lagged(spark, d), ["yoy"], _EXPLAIN)
+    return rounded(evaluation.grouped_importance(found, [("b_mean", "means"), ("b_", "single")]), ["gain_pct"])
 
 
-@query(f"""WITH {FORECASTS}, s AS (SELECT entity AS feature, unnest(['mae', 'rmse', 'n']) AS method, unnest([avg(abs(y_pred - y_true)), sqrt(avg((y_pred - y_true) * (y_pred - y_true))), CAST(count(*) AS DOUBLE)]) AS x FROM fc WHERE model = 'b_history' GROUP BY entity),
+@query(f"""WITH {_IMPORTANCE}, s AS (SELECT feature, unnest(['r2', 'same_sign', 'closeness']) AS method,
+  unnest([round(corr(y, x) * corr(y, x), 9), avg(CASE WHEN sign(y) = sign(x) THEN 1e0 ELSE 0e0 END), round(-avg((y - x) * (y - x)), 9)]) AS x FROM pairs WHERE target = 'yoy' GROUP BY feature),
 r AS (SELECT feature, method, rank() OVER (PARTITION BY method ORDER BY x) + (count(*) OVER (PARTITION BY method, x) - 1) / 2e0 AS r FROM s)
 SELECT a.method AS method_a, b.method AS method_b, round(CASE WHEN stddev_pop(a.r) > 0 AND stddev_pop(b.r) > 0 THEN corr(a.r, b.r) END, 6) + 0.0e0 AS spearman FROM r a JOIN r b ON a.feature = b.feature AND a.method < b.method GROUP BY 1, 2""")
 def rank_agreement(spark: SparkSession, d: str) -> DataFrame:
-    s = evaluation.score(forecasts(spark, d).filter("model = 'b_history'"), ["entity"]).select(F.col("entity").alias("feature"), "mae", "rmse", F.col("n").cast("double").alias("n"))
-    return rounded(evaluation.rank_agreement(s, ["mae", "rmse", "n"]), ["spearman"])
+    """Whether three measures of a column's worth for forecasting growth put the columns in the same order."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in _EXPLAIN]))
+    pairs = _lagged(spark, d).filter("yoy IS NOT NULL").select("yoy", each.alias("p")).select("yoy", "p.*").filter("x IS NOT NULL")
+    r, off = g.correlation(F.col("yoy"), F.col("x")), F.col("yoy") - F.col("x")
+    same = F.avg(F.when(F.signum("yoy") == F.signum("x"), 1.0).otherwise(0.0))
+    worth = pairs.groupBy("feature").agg(F.round(r * r, 9).alias("r2"), same.alias("same_sign"), F.round(-F.avg(off * off), 9).alias("closeness"))
+    return rounded(evaluation.rank_agreement(worth, ["r2", "same_sign", "closeness"]), ["spearman"])
 
 
 _RIDGE = ["f_lag_yoy_1", "f_lag_yoy_2", "f_mean_4", "f_lag_qoq"]
@@ -578,6 +599,13 @@ def group_correlation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(correlation.group_correlation(_with_macro(spark, d), "yoy", _MACRO), ["corr"])
 
 
+@query(f"""WITH {_JOINED}, t AS (SELECT grp, qi, median(yoy) AS y, {', '.join(f'max({m}) AS {m}' for m in _MACRO)} FROM jn GROUP BY 1, 2),
+l AS (SELECT grp, y, unnest([{', '.join(f"'{m}'" for m in _MACRO)}]) AS series, unnest([{', '.join(_MACRO)}]) AS x FROM t)
+SELECT grp, series, count(*) AS n, round(corr(y, x), 6) + 0.0e0 AS corr FROM l WHERE y IS NOT NULL AND x IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 8""")
+def median_correlation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(correlation.median_correlation(_with_macro(spark, d), "yoy", _MACRO), ["corr"])
+
+
 _PAIRS = [(a, b) for i, a in enumerate(SERIES) for b in SERIES[i:]]
 
 

@@ -350,7 +350,10 @@ def rolling_risk(spark: SparkSession, d: str) -> DataFrame:
     return rounded(market.rolling_risk(r, b, 5), _RISK).select("entity", "date", *_RISK)
 
 
-@query(f"""WITH {GROWN} SELECT c AS column_name, CASE WHEN c LIKE 'b\\_%' ESCAPE '\\' THEN 'baseline' WHEN c LIKE 'y%' THEN 'target' ELSE 'other' END AS family
-FROM (SELECT unnest(['entity', 'grp', 'qi', 'revenue', 'n_orders', 'yoy', 'qoq', 'ttm', 'b_persistence', 'b_seasonal', 'b_mean_4', 'b_mean_8', 'b_history']) AS c)""")
+_GROWN_COLUMNS = ["entity", "grp", "qi", "revenue", "n_orders", "yoy", "qoq", "ttm", "b_persistence", "b_seasonal", "b_mean_4", "b_mean_8", "b_history"]
+
+
+@query(f"""WITH {GROWN} SELECT c AS column_name, CASE WHEN c LIKE 'b\\_%' ESCAPE '\\' THEN 'baseline' WHEN c LIKE 'y%' THEN 'target' ELSE 'other' END AS family, n AS n_filled
+FROM (SELECT unnest([{', '.join(f"'{c}'" for c in _GROWN_COLUMNS)}]) AS c, unnest([{', '.join(f'count({c})' for c in _GROWN_COLUMNS)}]) AS n FROM grown)""")
 def column_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return panel.column_dictionary(v.grown(spark, d))
