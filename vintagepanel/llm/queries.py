@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vintagepanel.llm import ann_tree, byte_bpe, exact_dedup, fingerprints, html_text, jaccard_join, line_dedup, mixing, ring_sharding, toxicity, vector_codes, warc
+from vintagepanel.llm import ann_tree, byte_bpe, exact_dedup, fingerprints, html_text, jaccard_join, lexical_search, line_dedup, mixing, ring_sharding, toxicity, vector_codes, warc
 from vintagepanel.llm.common import table
 
 #: Shards of op9_ring_sharding.
@@ -58,6 +58,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.op10(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op12(table(spark, sf_dir, "documents"))
 
@@ -68,12 +72,13 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_html_text, op3_byte_bpe, op4_ann_tree, op5_exact_dedup, op6_mixing, op7_toxicity, op8_line_dedup, op9_ring_sharding, op10_jaccard_join, op12_order_minhash, op13_vector_codes)
+    for f in (op1_warc, op2_html_text, op3_byte_bpe, op4_ann_tree, op5_exact_dedup, op6_mixing, op7_toxicity, op8_line_dedup, op9_ring_sharding, op10_jaccard_join, op11_lexical_search, op12_order_minhash, op13_vector_codes)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
     "op13_vector_codes": vector_codes.ORACLE,
 }
