@@ -26,7 +26,7 @@ from vintagepanel.llm.common import giving_back, salted_join, scratch_table
 #: Parts of a vector, entries of a codebook, rounds, and the factor that makes components integers.
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Vectors of a chunk and parts of a block.
-CHUNK_ROWS, BLOCK_ROWS = 8192, 64
+CHUNK_ROWS, BLOCK_ROWS = 8192, 32
 #: Rows of the table of labels that are broadcast; more are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -70,16 +70,27 @@ def hilbert_order(points: np.ndarray) -> np.ndarray:
 
 
 def shortlist(low: np.ndarray, high: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """For each box (rows of low, high) and each entry whether it may be the nearest of a point in the box."""
+    """For each box (rows of low, high) and each entry whether it may be the nearest of a point in the box.
+
+    An entry is out if it is farther than another from every point of the box: by the
+    boxes' least and greatest distances, or because the entry nearest to the box's centre
+    is nearer at each corner (the difference of two squared distances is linear).
+    """
     nearest = np.zeros((len(low), len(entries)), np.int64)
-    farthest = np.zeros_like(nearest)
+    farthest, central = np.zeros_like(nearest), np.zeros_like(nearest)
     for j in range(entries.shape[1]):
         below, above = low[:, j, None] - entries[None, :, j], entries[None, :, j] - high[:, j, None]
         gap = np.maximum(np.maximum(below, above), 0)
         reach = np.maximum(np.abs(below), np.abs(above))
         nearest += gap * gap
         farthest += reach * reach
-    return nearest <= farthest.min(1, keepdims=True)
+        central += (below - above) * (below - above)
+    pivot = entries[central.argmin(1)]
+    lead = np.zeros_like(nearest)  # the most by which the pivot is farther than the entry, over the box
+    for j in range(entries.shape[1]):
+        slope = 2 * (entries[None, :, j] - pivot[:, j, None])
+        lead += np.maximum(slope * low[:, j, None], slope * high[:, j, None]) + pivot[:, j, None] ** 2 - entries[None, :, j] ** 2
+    return (nearest <= farthest.min(1, keepdims=True)) & (lead >= 0)
 
 
 def assign(points: np.ndarray, low: np.ndarray, high: np.ndarray, sums: np.ndarray, entries: np.ndarray, errors: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray, int]:
