@@ -264,6 +264,36 @@ def test_warc_round_trip_and_odd_rows(spark, tmp_path):
     assert warc.page_records(spark, empty).count() == 0
 
 
+def test_warc_appends_overwrites_and_long_heads(spark, tmp_path):
+    path, folder = f"file://{tmp_path}/w", tmp_path / "w"
+    pages = lambda a, b: spark.range(a, b).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat('x', 20) AS html")
+    ids = lambda: sorted(r.page_id for r in warc.page_records(spark, path).collect())
+    folder.mkdir()
+    (folder / "other.warc").write_bytes(foreign(b"response", b"http://f", b"q"))
+    warc.write_pages(pages(0, 10), path)
+    warc.write_pages(pages(10, 20).unionByName(pages(0, 1).withColumn("url", F.lit("u" * 2_000_000))), path)
+    (folder / "spark-lost.warc.gz").write_bytes(warc.record("response", b"of a lost attempt", {"X-Page-Id": "77"}))
+    whole = warc.read_warc(spark, path)
+    assert sorted(r.page_id for r in whole.collect() if r.page_id is not None) == [0, *range(20)] and whole.count() == 22
+    assert whole.agg(F.max(F.length("target_uri"))).first()[0] == 2_000_000
+    warc.write_pages(pages(30, 35), path, mode="overwrite")
+    assert ids() == list(range(30, 35)) and not (folder / "other.warc").exists()
+    warc.write_pages(pages(40, 42), path)
+    assert ids() == [*range(30, 35), 40, 41]
+    warc.write_pages(pages(0, 0), path, mode="overwrite")
+    assert ids() == []
+
+
+def test_revisits_beyond_the_broadcast_limit(spark, tmp_path):
+    pages = spark.range(300).selectExpr("id AS page_id", "null AS url", "repeat(if(id % 3 = 0, 'a', cast(id AS string)), 150) AS html")
+    found = []
+    for limit in (10**6, 0):
+        path = f"file://{tmp_path}/{limit}"
+        warc.write_pages(pages, path, broadcast_rows=limit)
+        found.append(sorted(map(str, warc.page_records(spark, path, limit).collect())))
+    assert found[0] == found[1] and sum("refers_to=0" in r for r in found[0]) == 99
+
+
 def test_warc_skips_what_is_not_wanted(spark, tmp_path, monkeypatch):
     data = b"".join(warc.record(k, b"p" * 5000, {"X-Page-Id": str(i)}) for i, k in enumerate(["response", "request", "response"]))
     import pyarrow as pa

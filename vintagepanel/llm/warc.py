@@ -8,9 +8,12 @@ files. Files are read through buffers of bounded size. Reading plans whole files
 partitions of about equal size, parses WARC headers first, checks record type, id and address against the pushed
 filters, and only then decodes the payload (or never, with option payload=false).
 
-A writing task closes its file and reports its name; the commit lists the files of the
-tasks that won in a manifest, and readers read what the manifest lists. Files of lost or
-repeated attempts are so never read.
+A writing task closes its file and reports its name; each commit lists the files of the
+tasks that won in a manifest of its own, and readers read what all manifests list. Files of
+lost or repeated attempts are so never read, and appending keeps what is there. A commit
+that overwrites names the manifests and foreign archives it replaces: from then on these
+are not read, whether or not they could be deleted. Archives of other writers, which no
+manifest lists, are read as they stand.
 """
 
 import json
@@ -29,17 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from vintagepanel.llm.common import scratch_path, scratch_table, small_or_shuffled
+from vintagepanel.llm.common import salted_join, scratch_path, scratch_table
 
 SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, payload_digest string, refers_to string, page_id long, content_length long, payload binary"
 _ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in SCHEMA.split(", "))])
-MANIFEST = "_manifest"
+#: Beginnings of the names of manifests and of the archives that they list.
+MANIFEST, OWN = "_manifest-", "spark-"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEADER_OF = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "page_id": "X-Page-Id"}
 #: Bytes of payload in a batch, of a file when it is closed for the next, and of files in a read partition at most and at least.
 BATCH_BYTES, FILE_BYTES, PARTITION_BYTES, LEAST_BYTES = 8 << 20, 64 << 20, 64 << 20, 1 << 20
-#: Bytes read at a time, inflated at a time, and of a head at most.
-READ_BYTES, PIECE_BYTES, HEAD_BYTES = 1 << 20, 1 << 15, 1 << 20
+#: Bytes read at a time and inflated at a time.
+READ_BYTES, PIECE_BYTES = 1 << 20, 1 << 15
 #: Rows of revisited payloads that are broadcast; more are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -182,7 +186,7 @@ class _Archive:
                 del self.out[: end + 4]
                 return found
             scanned = len(self.out)
-            if scanned > HEAD_BYTES or not self._more():
+            if not self._more():
                 raise ValueError("an archive holds a record without an end of its head")
 
     def block_of(self, n: int, keep: bool) -> bytes | None:
@@ -221,6 +225,25 @@ def records(f: pa.NativeFile, wanted: Callable[[dict[str, str]], bool], payloads
             yield headers, block
 
 
+def _manifests(fs: pafs.FileSystem, root: str, names: list[str]) -> dict[str, dict]:
+    """The manifests among the names of a folder that no other replaces."""
+    read = {}
+    for name in names:
+        if name.startswith(MANIFEST):
+            with fs.open_input_stream(posixpath.join(root, name)) as f:
+                read[name] = json.loads(f.read())
+    gone = {r for m in read.values() for r in m["replaces"]}
+    return {n: m for n, m in read.items() if n not in gone}
+
+
+def _listed(fs: pafs.FileSystem, root: str, names: list[str]) -> list[str]:
+    """The archives of a folder that are to be read: those of its manifests, and those of other writers."""
+    manifests = _manifests(fs, root, names)
+    gone = {r for m in manifests.values() for r in m["replaces"]}
+    foreign = [n for n in names if ".warc" in n and not n.startswith((OWN, MANIFEST)) and n not in gone]
+    return [*(f for m in manifests.values() for f in m["files"]), *foreign]
+
+
 @dataclass
 class Files(InputPartition):
     names: list[str]
@@ -253,11 +276,7 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         fs, root = pafs.FileSystem.from_uri(self.path)
         found = {i.base_name: i.size for i in fs.get_file_info(pafs.FileSelector(root)) if i.is_file}
-        if MANIFEST in found:
-            with fs.open_input_stream(posixpath.join(root, MANIFEST)) as f:
-                names = json.loads(f.read())
-        else:
-            names = [n for n in found if ".warc" in n]
+        names = [n for n in _listed(fs, root, list(found)) if n in found]
         # as many partitions as asked for, while they are not very small
         size = min(self.partition_bytes, max(LEAST_BYTES, sum(found[n] for n in names) // self.least))
         out: list[InputPartition] = []
@@ -296,8 +315,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class WarcWriter(DataSourceArrowWriter):
     """Writes rows with the columns of SCHEMA; content_length is set by the writer."""
 
-    def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
         self.file_bytes = int(options.get("fileBytes", FILE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -313,7 +332,7 @@ class WarcWriter(DataSourceArrowWriter):
                 if row["record_type"] == "revisit":
                     headers["WARC-Profile"] = PROFILE
                 if out is None:
-                    names.append(f"{uuid.uuid4().hex}.warc.gz")
+                    names.append(f"{OWN}{uuid.uuid4().hex}.warc.gz")
                     out, size = fs.open_output_stream(posixpath.join(root, names[-1]), compression=None), 0
                 member = record(row["record_type"], row["payload"] or b"", headers)
                 out.write(member)
@@ -328,8 +347,15 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written]) -> None:
         fs, root = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(posixpath.join(root, MANIFEST), compression=None) as f:
-            f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+        there = [i.base_name for i in fs.get_file_info(pafs.FileSelector(root)) if i.is_file] if self.overwrite else []
+        old = [n for n in there if n.startswith(MANIFEST)]
+        replaced = [*old, *{*_listed(fs, root, there), *(n for n in there if ".warc" in n and not n.startswith(OWN))}]
+        with fs.open_output_stream(posixpath.join(root, f"{MANIFEST}{uuid.uuid4().hex}"), compression=None) as f:
+            f.write(json.dumps({"files": [n for m in messages if m for n in m.names], "replaces": replaced}).encode())
+        # archives first: a manifest that is left without its files is not read either
+        for name in [*(n for n in replaced if n not in old), *old]:
+            if name in there:
+                fs.delete_file(posixpath.join(root, name))
 
     def abort(self, messages: list[Written]) -> None:
         """Nothing is listed, so nothing is read."""
@@ -349,7 +375,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -368,8 +394,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     return spark.read.format("warc").option("payload", str(payload).lower()).option("partitions", 2 * spark.sparkContext.defaultParallelism).load(path)
 
 
-def write_pages(pages: DataFrame, path: str, min_revisit_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", broadcast_rows: int = BROADCAST_ROWS) -> None:
-    """Write a record per row of pages (page_id, url, html).
+def write_pages(pages: DataFrame, path: str, min_revisit_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", broadcast_rows: int = BROADCAST_ROWS, mode: str = "append") -> None:
+    """Write a record per row of pages (page_id, url, html) to the archives of a folder; mode: append or overwrite.
 
     Payload is the html in UTF-8 (null: empty). Of equal payloads of at least
     min_revisit_bytes, that of the smallest page_id is the response and the others are
@@ -382,31 +408,35 @@ def write_pages(pages: DataFrame, path: str, min_revisit_bytes: int = 100, date:
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("target_uri"), F.encode(F.coalesce(pages["html"], F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     large = rows.filter(F.octet_length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    shared = scratch_table(large.filter("n > 1").select(F.col("digest").alias("d"), "first"), "shared-payloads")
-    found = rows.join(small_or_shuffled(shared, shared.count(), broadcast_rows), F.col("digest") == F.col("d"), "left")
+    shared = scratch_table(large.filter("n > 1").select("digest", "first"), "shared-payloads")
+    found = salted_join(rows, shared, "digest", shared.count(), broadcast_rows)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     uri = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     out = found.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), uri(F.col("page_id")).alias("record_id"), "target_uri", F.lit(date).alias("warc_date"),
         F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), F.when(revisit, uri(F.col("first"))).alias("refers_to"), "page_id", F.lit(0).cast("long").alias("content_length"), "payload",
     )
-    out.write.format("warc").mode("append").save(path)
+    out.write.format("warc").mode(mode).save(path)
 
 
 def page_records(spark: SparkSession, path: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per record read back: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri.
 
     Size and digest are those of the full payload as decoded; a revisit has those of the
-    response that it refers to, which is found by its record id.
+    response that it refers to, found by record id and digest. It has null ones where there
+    is none. Records without an id have a null page_id, an absent address gives null, and
+    an empty payload 0 bytes. Repeated records are rows each; of responses that repeat an id
+    with the same payload one stands for all. A folder without archives gives no rows.
     """
     id_of = F.try_element_at(F.split(F.rtrim(F.col("refers_to"), F.lit(">")), ":"), F.lit(-1)).cast("long")
     responses = read_warc(spark, path).filter("record_type = 'response'").select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "target_uri")
-    revisits = read_warc(spark, path, payload=False).filter("record_type = 'revisit'").select("page_id", "record_type", id_of.alias("refers_to"), "target_uri", F.regexp_replace("payload_digest", "^sha256:", "").alias("claimed"))
+    key = lambda page, digest: F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("")), digest).alias("key")
+    revisits = read_warc(spark, path, payload=False).filter("record_type = 'revisit'").select("page_id", "record_type", id_of.alias("refers_to"), "target_uri", key(id_of, F.regexp_replace("payload_digest", "^sha256:", "")))
     whole = scratch_table(responses, "responses")
-    referred = scratch_table(revisits.select("refers_to").distinct(), "referred")
+    referred = scratch_table(revisits.select("key").distinct(), "referred")
     n = referred.count()
-    targets = whole.join(small_or_shuffled(referred, n, broadcast_rows), F.col("page_id") == referred["refers_to"], "left_semi").select(F.col("page_id").alias("r"), "payload_bytes", "payload_digest").dropDuplicates(["r", "payload_digest"])
-    found = revisits.join(small_or_shuffled(targets, n, broadcast_rows), (F.col("refers_to") == F.col("r")) & (F.col("claimed") == F.col("payload_digest")), "left")
+    targets = salted_join(whole.select(key(F.col("page_id"), F.col("payload_digest")), "payload_bytes", "payload_digest"), referred, "key", n, broadcast_rows, "inner").dropDuplicates(["key"])
+    found = salted_join(revisits, targets, "key", n, broadcast_rows)
     return whole.unionByName(found.select(*whole.columns))
 
 
