@@ -88,7 +88,11 @@ def quantile_report(bands: DataFrame, low: float = 0.1, high: float = 0.9) -> Da
 def pair(predictions: DataFrame, a: str, b: str) -> DataFrame:
     """Rows both models forecast, with differences in squared error, absolute error and hits; positive where b is better."""
     one = lambda m, s: predictions.filter(F.col("model") == m).select("entity", "qi", *(["grp", "y_true"] if s == "a" else []), F.col("y_pred").alias(f"p_{s}"))
-    x = one(a, "a").join(one(b, "b"), ["entity", "qi"])
+    return differences(one(a, "a").join(one(b, "b"), ["entity", "qi"]))
+
+
+def differences(x: DataFrame) -> DataFrame:
+    """Adds d_se, d_ae and d_hit to rows with y_true, p_a and p_b."""
     ea, eb, t = F.col("p_a") - F.col("y_true"), F.col("p_b") - F.col("y_true"), F.col("y_true")
     return x.withColumns({"d_se": ea * ea - eb * eb, "d_ae": F.abs(ea) - F.abs(eb), "d_hit": _same_sign(t, F.col("p_b")) - _same_sign(t, F.col("p_a"))})
 
@@ -138,9 +142,29 @@ def ablation_tests(quarterly: DataFrame, columns: tuple[str, ...] = ("d_se", "d_
 
 
 def verdict(tests: DataFrame, level: float = 0.10, share: float = 0.5) -> DataFrame:
-    """A label for each test: helps or hurts if significant (helps, concentrated if one quarter holds most of the gain), else no evidence."""
-    label = F.when(F.col("p_value").isNull(), "too short").when(F.col("p_value") >= level, "no evidence").when(F.col("mean_d") <= 0, "hurts").when(F.col("best_share") > share, "helps, concentrated").otherwise("helps")
-    return tests.withColumn("verdict", label)
+    """What each test says (verdict), and a note where an improvement is concentrated: one quarter holds more than `share` of it, significant or not.
+
+    An improvement is a mean difference above 0; it is significant below `level`. A test
+    without a p-value is not significant.
+    """
+    better, sure = F.coalesce(F.col("mean_d") > 0, F.lit(False)), F.coalesce(F.col("p_value") < level, F.lit(False))
+    label = F.when(better & sure, "helps").when(better, "positive, insignificant").otherwise("does not improve")
+    return tests.withColumns({"verdict": label, "note": F.when(better & (F.col("best_share") > share), "concentrated in one quarter")})
+
+
+def pair_with(predictions: DataFrame, base: str) -> DataFrame:
+    """Every other model against `base` on the rows that both forecast: model and the columns of pair()."""
+    b = predictions.filter(F.col("model") == base).select("entity", "qi", F.col("y_pred").alias("p_a"))
+    x = predictions.filter(F.col("model") != base).withColumnRenamed("y_pred", "p_b").join(b, ["entity", "qi"])
+    return differences(x)
+
+
+def gate_against(wide: DataFrame, a: str, b: str, by: str) -> DataFrame:
+    """by, n, rmse_a, rmse_b, rmse_delta (a less b), dir_a, dir_b of two columns of forecasts over the rows that have both."""
+    t, e = F.col("y_true"), lambda p: F.sqrt(F.avg((F.col(p) - F.col("y_true")) * (F.col(p) - F.col("y_true"))))
+    x = wide.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & t.isNotNull())
+    scored = x.groupBy(by).agg(F.count("*").alias("n"), e(a).alias("rmse_a"), e(b).alias("rmse_b"), F.avg(_same_sign(t, F.col(a))).alias("dir_a"), F.avg(_same_sign(t, F.col(b))).alias("dir_b"))
+    return scored.withColumn("rmse_delta", F.col("rmse_a") - F.col("rmse_b"))
 
 
 def delta_by_year(paired: DataFrame) -> DataFrame:

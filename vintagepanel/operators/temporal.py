@@ -1,4 +1,4 @@
-"""Joins in time that never look ahead: as-of, and aggregates over trailing windows."""
+"""Joins in time that never look ahead: as-of, and totals over trailing windows."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,52 +26,48 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
     return found.select("l.*", *[F.when(usable, F.col(f"r.{c}")).alias(c) for c in ["asof_date", *values]])
 
 
-def trailing_rows(left: DataFrame, right: DataFrame, by: str, origin: str, date: str, days: int) -> DataFrame:
-    """Pairs of a left row (struct l) and each right row (struct r) of the key with date in [origin - days, origin), and age in days.
+def trailing_totals(left: DataFrame, right: DataFrame, by: str, origin: str, date: str, windows: list[int] | tuple[int, ...], values: dict[str, Column]) -> DataFrame:
+    """Distinct keys and origins of left (by, origin as a date) with <name>_<days>: the total of each value over right's rows in [origin - days, origin).
 
-    A coarse bin of the dates is part of the equi-key, so a key's events are compared only
-    with origins of the same or the next bin.
+    No origin meets an event: right is added up by day, running totals are looked up as of
+    the origin and of the start of each window, and subtracted. A key has a row a day
+    however many events it has. Null values count as 0, rows without a date are not seen,
+    origins without events have zeros, and a null key meets nothing.
     """
-    bin_of = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / days)
-    a = left.select(F.struct("*").alias("l"), F.col(by).alias("_k"), F.col(origin).cast("date").alias("_o"))
-    a = a.withColumn("_bin", F.explode(F.array(bin_of(F.col("_o")), bin_of(F.col("_o")) - 1)))
-    b = right.select(F.struct("*").alias("r"), F.col(by).alias("_k"), F.col(date).cast("date").alias("_d")).withColumn("_bin", bin_of(F.col("_d")))
-    age = F.datediff("_o", "_d")
-    return a.join(b, ["_k", "_bin"]).filter((age > 0) & (age <= days)).select("l", "r", age.alias("age"))
+    days = right.filter(F.col(date).isNotNull()).select(F.col(by).alias("_k"), F.col(date).cast("date").alias("_d"), *[F.coalesce(v, F.lit(0)).alias(n) for n, v in values.items()])
+    daily = days.groupBy("_k", "_d").agg(*[F.sum(n).alias(n) for n in values])
+    so_far = daily.withColumns({n: F.sum(n).over(Window.partitionBy("_k").orderBy("_d")) for n in values})
+    ends = left.select(F.col(by).alias("_k"), F.col(origin).cast("date").alias("_o")).distinct().select("*", F.explode(F.array(F.lit(0), *[F.lit(d) for d in windows])).alias("_w"))
+    found = asof_join(ends.withColumn("_at", F.date_sub("_o", F.col("_w"))), so_far, "_k", "_at", "_d", list(values), strict=True)
+    at = lambda n, d: F.coalesce(F.max(F.when(F.col("_w") == d, F.col(n))), F.lit(0))
+    return found.groupBy("_k", "_o").agg(*[(at(n, 0) - at(n, d)).alias(f"{n}_{d}") for d in windows for n in values]).withColumnsRenamed({"_k": by, "_o": origin})
 
 
-def trailing_aggregate(left: DataFrame, right: DataFrame, by: str, origin: str, date: str, windows: list[int], aggregates: dict[str, tuple[Column, int]]) -> DataFrame:
-    """left (distinct rows) with aggregates over the right rows in the window before origin.
+def with_totals(left: DataFrame, totals: DataFrame, by: str, origin: str) -> DataFrame:
+    """left with the columns of trailing_totals."""
+    t = totals.withColumnsRenamed({by: "_k", origin: "_o"})
+    return left.join(t, left[by].eqNullSafe(t["_k"]) & left[origin].cast("date").eqNullSafe(t["_o"]), "left").drop("_k", "_o")
 
-    aggregates: name -> (aggregate over r.* and age, window in days); an aggregate sees
-    the rows of its own window by the condition age <= window that its expression states.
-    Origins without events have nulls.
-    """
-    pairs = trailing_rows(left, right, by, origin, date, max(windows))
-    keys = [F.col(f"l.{c}").alias(c) for c in left.columns]
-    found = pairs.groupBy(*keys).agg(*[a.alias(n) for n, (a, _) in aggregates.items()])
-    on = [left[c].eqNullSafe(found[c]) for c in left.columns]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return left.join(found, cond, "left").select(*[left[c] for c in left.columns], *[found[n] for n in aggregates])
+
+#: fixed values: what an event does to guidance; others, mere mentions among them, are not events.
+SIGNED_ACTIONS = ("raise", "lower", "reaffirm", "initiate", "withdraw")
 
 
 def signed_event_features(origins: DataFrame, events: DataFrame, by: str = "entity", origin: str = "origin", date: str = "date", action: str = "action", ties: str = "event_id") -> DataFrame:
     """Counts of events before each origin, net raises less lowers over 180 and 365 days, and what the last event was; zeros where there was none.
 
-    The counts see their windows; days_since, last_is_raise and last_is_lower see the last
-    of all earlier events, however old. Events without a date are not seen.
+    Events are those of SIGNED_ACTIONS; others are not seen. The counts see their windows;
+    days_since, last_is_raise and last_is_lower see the last of all earlier events, however
+    old. Events without a date are not seen.
     """
-    a, age = F.col(f"r.{action}"), F.col("age")
-    up, down = (a == "raise").cast("long"), (a == "lower").cast("long")
-    within = lambda n, x: F.sum(F.when(age <= n, x).otherwise(0))
-    aggregates = {"n_180": (within(180, F.lit(1)), 180), "net_180": (within(180, up - down), 180), "net_365": (within(365, up - down), 365), "raise_90": (within(90, up), 90), "lower_90": (within(90, down), 90)}
-    out = trailing_aggregate(origins, events, by, origin, date, [90, 180, 365], aggregates)
-    out = asof_join(out, events, by, origin, date, [action], strict=True, ties=[ties])
-    counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in aggregates}
+    real = events.filter(F.col(action).isin(*SIGNED_ACTIONS))
+    is_ = lambda k: (F.col(action) == k).cast("long")
+    totals = trailing_totals(origins, real, by, origin, date, (90, 180, 365), {"n": F.lit(1).cast("long"), "raise": is_("raise"), "lower": is_("lower")})
+    x = with_totals(origins, totals, by, origin)
+    counts = {"n_180": F.col("n_180"), "net_180": F.col("raise_180") - F.col("lower_180"), "net_365": F.col("raise_365") - F.col("lower_365"), "raise_90": F.col("raise_90"), "lower_90": F.col("lower_90")}
+    out = asof_join(x.select(*[F.col(c) for c in origins.columns], *[c.alias(n) for n, c in counts.items()]), real, by, origin, date, [action], strict=True, ties=[ties])
     flags = {f"last_is_{k}": F.coalesce((F.col(action) == k).cast("int"), F.lit(0)) for k in ("raise", "lower")}
-    return out.withColumns(counts | {"days_since": F.datediff(origin, "asof_date")} | flags).drop("asof_date", action)
+    return out.withColumns({"days_since": F.datediff(origin, "asof_date")} | flags).drop("asof_date", action)
 
 
 def latest_event(events: DataFrame, by: str, qi: str, date: str, ties: list[str]) -> DataFrame:

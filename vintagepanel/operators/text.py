@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintagepanel.functions.sizes import small
-from vintagepanel.operators.temporal import asof_join, trailing_rows
+from vintagepanel.operators.temporal import asof_join, trailing_totals, with_totals
 
 # fixed values: words that tell what a statement does to guidance, strongest first
 ACTIONS = [
@@ -17,8 +17,8 @@ ACTIONS = [
 # fixed values: words that a statement on revenue holds, and on something else
 TOPIC = r"(?i)\b(?:revenue|revenues|net sales|sales)\b"
 OTHER_TOPIC = r"(?i)\b(?:eps|earnings per share|per share|tax|margin|income|profit)\b"
-# fixed values: words that look ahead; the strong ones match from the start of a word
-STRONG_FORWARD = r"(?i)\b(?:guidance|outlook|expect|forecast)"
+# fixed values: words that look ahead; of the strong ones the first matches from the start of a word, the others anywhere
+STRONG_FORWARD = r"(?i)\bguidance|outlook|expect|forecast"
 FORWARD = r"(?i)\b(?:guidance|outlook|expect|expects|expected|forecast|project|projects|projected|anticipate|anticipates|anticipated|target|targets|will|approximately|about|range|between)\b"
 # fixed values: numbers, units and amounts of money
 _NUMBER, _UNIT = r"\d+(?:,\d{3})*(?:\.\d+)?", r"(?:billion|bn|million|mm|m)"
@@ -72,21 +72,20 @@ def trailing_text_features(origins: DataFrame, docs: DataFrame, windows: tuple[i
     numbers of documents and words, else nulls. latest_<column>, latest_date: of the last
     of all earlier documents, however old.
     """
-    pairs = trailing_rows(origins, docs, by, "origin", "date", max(windows))
-    weight = F.greatest(F.col("r.n_words"), F.lit(1))
-    out, zeros = [], []
+    weight = F.greatest(F.coalesce("n_words", F.lit(1)), F.lit(1))
+    one = F.lit(1).cast("long")
+    values = {"docs": one, "words": F.col("n_words"), "_weight": weight} | {f"docs_{name}": F.col("form").isin(kinds).cast("long") for name, kinds in (forms or {}).items()}
+    values |= {c: F.col(c) for c in counts} | {f"_n_{c}": F.col(c).isNotNull().cast("long") for c in counts} | {x: weight * F.coalesce(F.col(x), F.lit(0.0)) for x in shares}
+    totals = trailing_totals(origins, docs, by, "origin", "date", windows, values)
+    out = []
     for d in windows:
-        inside = F.col("age") <= d
-        numbers = {f"docs_{d}": F.count_if(inside), f"words_{d}": F.coalesce(F.sum(F.when(inside, F.col("r.n_words"))), F.lit(0))}
-        numbers |= {f"docs_{name}_{d}": F.count_if(inside & F.col("r.form").isin(kinds)) for name, kinds in (forms or {}).items()}
-        zeros += list(numbers)
-        out += [c.alias(n) for n, c in numbers.items()]
-        out += [F.sum(F.when(inside, F.col(f"r.{c}"))).alias(f"{c}_{d}") for c in counts]
-        out += [F.try_divide(F.sum(F.when(inside, weight * F.coalesce(F.col(f"r.{x}"), F.lit(0.0)))), F.sum(F.when(inside, weight))).alias(f"{x}_{d}") for x in shares]
-    found = pairs.groupBy(F.col(f"l.{by}").alias(by), F.col("l.origin").alias("origin")).agg(*out)
+        out += [F.col(f"{n}_{d}") for n in ("docs", "words", *(f"docs_{name}" for name in forms or {}))]
+        out += [F.when(F.col(f"_n_{c}_{d}") > 0, F.col(f"{c}_{d}")).alias(f"{c}_{d}") for c in counts]
+        out += [F.try_divide(F.col(f"{x}_{d}"), F.col(f"_weight_{d}")).alias(f"{x}_{d}") for x in shares]
+    found = totals.select(by, "origin", *out)
     named = docs.select(by, "date", "doc_id", *[F.col(c).alias(f"latest_{c}") for c in latest])
     last = asof_join(origins, named, by, "origin", "date", [f"latest_{c}" for c in latest], strict=True, ties=["doc_id"]).withColumnRenamed("asof_date", "latest_date")
-    return last.join(found, [by, "origin"], "left").fillna(0, zeros)
+    return with_totals(last, found, by, "origin")
 
 
 def amount(raw: Column, default_unit: Column | None = None) -> Column:
@@ -169,14 +168,12 @@ def guidance_window_features(targets: DataFrame, events: DataFrame, windows: tup
     number and last of all earlier statements on the target quarter itself.
     """
     over = lambda x, name: {f"{name}_to_revenue": F.try_divide(F.col(x), F.col("revenue")), f"{name}_to_ttm": F.try_divide(F.col(x), F.col("ttm"))}
-    pairs = trailing_rows(targets.select(by, "origin").distinct(), events, by, "origin", "date", max(windows))
-    out, zeros = [], []
-    for d in windows:
-        inside = F.col("age") <= d
-        numbers = {f"n_{d}": F.count_if(inside)} | {f"n_{a}_{d}": F.count_if(inside & (F.col("r.action") == a)) for a in COUNTED}
-        zeros += list(numbers)
-        out += [c.alias(n) for n, c in numbers.items()] + [F.avg(F.when(inside, F.col(f"r.{c}"))).alias(f"{c}_{d}") for c in ("midpoint", "width_pct")]
-    found = pairs.groupBy(F.col(f"l.{by}").alias(by), F.col("l.origin").alias("origin")).agg(*out)
+    values = {"n": F.lit(1).cast("long")} | {f"n_{a}": (F.col("action") == a).cast("long") for a in COUNTED}
+    for c in ("midpoint", "width_pct"):
+        values |= {c: F.col(c).cast("double"), f"_n_{c}": F.col(c).isNotNull().cast("long")}
+    totals = trailing_totals(targets, events, by, "origin", "date", windows, values)
+    means = [F.try_divide(F.col(f"{c}_{d}"), F.col(f"_n_{c}_{d}")).alias(f"{c}_{d}") for d in windows for c in ("midpoint", "width_pct")]
+    found = totals.select(by, "origin", *[f"{n}_{d}" for d in windows for n in ("n", *(f"n_{a}" for a in COUNTED))], *means)
     seen = events.filter(F.col("date").isNotNull())
     values = ["action", "midpoint", "width_pct"]
     x = asof_join(targets, seen, by, "origin", "date", values, strict=True, ties=["event_id"])
@@ -184,24 +181,23 @@ def guidance_window_features(targets: DataFrame, events: DataFrame, windows: tup
     x = x.withColumns({"latest_age": F.datediff("origin", "asof_date"), "latest_midpoint": F.col("midpoint"), "latest_width_pct": F.col("width_pct")} | over("midpoint", "latest") | flags).drop("asof_date", *values)
     # statements on a quarter, numbered by date: the last one known says how many there were
     w = Window.partitionBy("_on").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    on = seen.withColumn("_on", F.when(F.col(by).isNotNull() & F.col("period").isNotNull(), F.struct(F.col(by).alias("e"), F.col("period").alias("p"))))
+    on = seen.filter(F.col(by).isNotNull() & F.col("period").isNotNull()).withColumn("_on", F.struct(F.col(by).alias("e"), F.col("period").alias("p")))
     on = on.withColumn("_n", F.count("*").over(w))
     x = x.withColumn("_on", F.struct(F.col(by).alias("e"), F.col("target_quarter").alias("p")))
     x = asof_join(x, on, "_on", "origin", "date", ["_n", "midpoint", "width_pct"], strict=True, ties=["event_id"])
     x = x.withColumns({"period_n": F.coalesce("_n", F.lit(0)), "period_age": F.datediff("origin", "asof_date"), "period_midpoint": F.col("midpoint"), "period_width_pct": F.col("width_pct")} | over("midpoint", "period")).drop("_on", "_n", "asof_date", "midpoint", "width_pct")
-    x = x.join(found, [by, "origin"], "left").fillna(0, zeros)
+    x = with_totals(x, found, by, "origin")
     return x.withColumns({n: c for d in windows for n, c in over(f"midpoint_{d}", f"midpoint_{d}").items()})
 
 
 def estimate_features(targets: DataFrame, estimates: DataFrame) -> DataFrame:
-    """targets (entity, qi, origin, revenue, ttm) with the latest estimate (entity, qi, asof, avg, low, high, n) of the quarter made before the origin."""
-    e = estimates.alias("e")
-    pairs = targets.alias("t").join(e, (F.col("t.entity") == F.col("e.entity")) & (F.col("t.qi") == F.col("e.qi")) & (F.col("e.asof") < F.col("t.origin")))
-    best = pairs.groupBy("t.entity", "t.qi", "t.origin").agg(F.max_by(F.struct("e.asof", "e.avg", "e.low", "e.high", "e.n"), F.struct("e.asof", "e.avg")).alias("x"))
-    out = targets.join(best, ["entity", "qi", "origin"], "left")
-    new = {f"est_{c}": F.col(f"x.{c}") for c in ("avg", "high", "low", "n")} | {"est_age": F.datediff("origin", F.col("x.asof"))}
-    new |= {"est_dispersion": F.try_divide(F.col("x.high") - F.col("x.low"), F.col("x.avg")), "est_to_revenue": F.try_divide(F.col("x.avg"), F.col("revenue")), "est_to_ttm": F.try_divide(F.col("x.avg"), F.col("ttm"))}
-    return out.select(*targets.columns, *[c.alias(n) for n, c in new.items()])
+    """targets (entity, qi, origin, revenue, ttm) with the latest estimate (entity, qi, asof, avg, low, high, n) of the quarter made before the origin; of one day the largest."""
+    key = F.when(F.col("entity").isNotNull() & F.col("qi").isNotNull(), F.struct("entity", "qi"))
+    made = estimates.filter(F.col("entity").isNotNull() & F.col("qi").isNotNull()).select(key.alias("_key"), "asof", *[F.col(c).alias(f"_{c}") for c in ("avg", "low", "high", "n")])
+    x = asof_join(targets.withColumn("_key", key), made, "_key", "origin", "asof", ["_avg", "_low", "_high", "_n"], strict=True)
+    new = {f"est_{c}": F.col(f"_{c}") for c in ("avg", "high", "low", "n")} | {"est_age": F.datediff("origin", F.col("asof_date"))}
+    new |= {"est_dispersion": F.try_divide(F.col("_high") - F.col("_low"), F.col("_avg")), "est_to_revenue": F.try_divide(F.col("_avg"), F.col("revenue")), "est_to_ttm": F.try_divide(F.col("_avg"), F.col("ttm"))}
+    return x.select(*targets.columns, *[c.alias(n) for n, c in new.items()])
 
 
 def expectation_features(targets: DataFrame, events: DataFrame, estimates: DataFrame, windows: tuple[int, ...] = (90, 180, 365)) -> DataFrame:

@@ -194,7 +194,7 @@ mo AS (SELECT daily.entity, daily.date, px AS mkt_px, px / nullif(lag(px, 5) OVE
 iv AS (SELECT o_orderpriority AS industry, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS BIGINT) AS qi, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2),
 iw AS (SELECT grp, qi, sum(value) AS va FROM iv JOIN (VALUES {', '.join(str(x) for x in _CROSS)}) t(grp, m) ON industry = m GROUP BY 1, 2),
 ix AS (SELECT grp, qi + 2 AS qi, va / nullif(lag(va, 4) OVER w, 0) - 1 AS va_yoy FROM iw WINDOW w AS (PARTITION BY grp ORDER BY qi)),
-gv AS (SELECT n_name AS entity, CAST(CAST(ts AS DATE) - CAST(9200 + event_id % 300 AS INTEGER) AS DATE) AS date, event_id, CASE event_type WHEN 'purchase' THEN 'raise' WHEN 'error' THEN 'lower' ELSE 'other' END AS action FROM events JOIN nation ON user_id % 25 = n_nationkey),
+gv AS (SELECT n_name AS entity, CAST(CAST(ts AS DATE) - CAST(9200 + event_id % 300 AS INTEGER) AS DATE) AS date, event_id, CASE event_type WHEN 'purchase' THEN 'raise' WHEN 'error' THEN 'lower' ELSE 'reaffirm' END AS action FROM events JOIN nation ON user_id % 25 = n_nationkey WHERE event_id % 7 <> 3 AND event_type IN ('purchase', 'error', 'view', 'signup', 'click')),
 gq AS (SELECT ta.entity, ta.qi, count(action) FILTER (WHERE age <= 180) AS n_180, CAST(coalesce(sum((action = 'raise')::INT - (action = 'lower')::INT) FILTER (WHERE age <= 180), 0) AS BIGINT) AS net_180, CAST(coalesce(sum((action = 'raise')::INT - (action = 'lower')::INT) FILTER (WHERE age <= 365), 0) AS BIGINT) AS net_365,
   count(*) FILTER (WHERE age <= 90 AND action = 'raise') AS raise_90, count(*) FILTER (WHERE age <= 90 AND action = 'lower') AS lower_90, CAST(min(age) AS INTEGER) AS days_since,
   CAST(coalesce(arg_max(action, (date, event_id)) = 'raise', false) AS INTEGER) AS last_is_raise, CAST(coalesce(arg_max(action, (date, event_id)) = 'lower', false) AS INTEGER) AS last_is_lower

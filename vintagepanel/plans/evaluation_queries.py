@@ -334,73 +334,95 @@ def specialist_vs_pooled(spark: SparkSession, d: str) -> DataFrame:
 
 def _blocks(spark: SparkSession, d: str) -> tuple[DataFrame, list[str], dict[str, list[str]]]:
     """A panel, its base features, and blocks of further ones."""
-    f = panel.macro_join(_features(spark, d), panel.macro_features(quarterly_series(spark, d), [], list(SERIES)))
+    f = panel.macro_join(_features(spark, d), panel.macro_features(quarterly_series(spark, d), list(SERIES), list(SERIES)))
     f = panel.peers(f, "f_lag_yoy_1")
+    f = f.withColumns({f"sec_{i}": (F.col("grp") == g).cast("double") for i, g in enumerate(_GROUPS)})
     blocks = {"momentum": ["f_lag_qoq", "f_qoq_mean_4"], "peers": ["f_lag_yoy_1_peer_mean", "f_lag_yoy_1_vs_peers"]} | {s: [f"mac_{s}_yoy"] for s in SERIES}
     return cut_lineage(f), _RIDGE[:3], blocks
 
 
+_GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+#: Macro columns in groups that are decided on together.
+THEMES = {
+    "levels": [f"mac_{s}" for s in SERIES], "yearly_change": [f"mac_{s}_yoy" for s in SERIES], "quarterly_change": [f"mac_{s}_qoq" for s in SERIES],
+    "urgent": [f"mac_{s}{x}" for s in SERIES[:2] for x in ("", "_yoy", "_qoq")], "slack": [f"mac_{s}{x}" for s in SERIES[2:] for x in ("", "_yoy", "_qoq")],
+}
+
+
 def _fits(f: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
-    """Ridge forecasts with each set of features."""
-    out = None
-    for name, columns in sets.items():
-        part = ridge.walk_forward(f, "yoy", columns, name, warmup=WARMUP, min_train=MIN_TRAIN)
-        out = part if out is None else out.unionByName(part)
-    return cut_lineage(out)
+    """Ridge forecasts with each set of features, from one table of moments."""
+    columns = list(dict.fromkeys(c for own in sets.values() for c in own))
+    return cut_lineage(ridge.walk_forward(f, "yoy", columns, sets=sets, warmup=WARMUP, min_train=MIN_TRAIN))
 
 
-@query()
-def block_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """The base model with each block added, and with all: differences and tests overall, per group, and rows per quarter's difference."""
+def _sweep(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, int]]:
     f, base, blocks = _blocks(spark, d)
     sets = {"base": base} | {n: base + c for n, c in blocks.items()} | {"ALL_BLOCKS": base + [c for b in blocks.values() for c in b]}
-    fits = _fits(f, sets)
-    out = None
-    for name in list(sets)[1:]:
-        pairs = evaluation.pair(fits, "base", name)
-        rows = evaluation.delta_rows(pairs).withColumn("grp", F.lit("all")).unionByName(evaluation.delta_rows(pairs, ["grp"]))
-        rows = rows.withColumns({"block": F.lit(name), "n_columns": F.lit(len(sets[name]) - len(base))})
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return evaluation.pair_with(_fits(f, sets), "base").withColumnRenamed("model", "block"), {n: len(c) - len(base) for n, c in sets.items()}
+
+
+@query()
+def block_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The base model with each block added, and with all: differences and tests, overall and per group."""
+    pairs, sizes = _sweep(spark, d)
+    rows = evaluation.delta_rows(pairs, ["block"]).withColumn("grp", F.lit("all")).unionByName(evaluation.delta_rows(pairs, ["block", "grp"]))
+    return rows.withColumn("n_columns", F.create_map(*[F.lit(x) for n, c in sizes.items() for x in (n, c)])[F.col("block")])
+
+
+@query()
+def block_sweep_quarters(spark: SparkSession, d: str) -> DataFrame:
+    """The differences of block_sweep by quarter, so that a block with a part of the history can be tested on what it covers."""
+    return evaluation.per_quarter(_sweep(spark, d)[0], ["block"], ("d_se", "d_hit"))
 
 
 @query()
 def theme_ablation(spark: SparkSession, d: str) -> DataFrame:
-    """The base model with each macro series added: tests with p-values and labels."""
-    f, base, blocks = _blocks(spark, d)
-    fits = _fits(f, {"base": base} | {s: base + blocks[s] for s in SERIES})
-    out = None
-    for name in SERIES:
-        part = evaluation.per_quarter(evaluation.pair(fits, "base", name)).withColumn("theme", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return evaluation.verdict(evaluation.ablation_tests(out, by=["theme"]))
+    """The base model with each theme of macro columns added, and with all of them: tests with p-values and labels."""
+    f, base, _ = _blocks(spark, d)
+    every = list(dict.fromkeys(c for own in THEMES.values() for c in own))
+    fits = _fits(f, {"base": base} | {t: base + c for t, c in THEMES.items()} | {"all_themes": base + every})
+    quarterly = evaluation.per_quarter(evaluation.pair_with(fits, "base").withColumnRenamed("model", "theme"), ["theme"])
+    return evaluation.verdict(evaluation.ablation_tests(quarterly, by=["theme"]))
 
 
 @query()
 def macro_ablation(spark: SparkSession, d: str) -> DataFrame:
-    """Without macro columns, with them, and with nothing else, beside the naive forecasts: configuration, number of features, metrics."""
+    """Without macro columns, with them, and with them alone, beside the naive forecasts: number of features, metrics, and for with_macro the paired tests against no_macro with what they say."""
     f, base, blocks = _blocks(spark, d)
     macro = [c for s in SERIES for c in blocks[s]]
-    sets = {"no_macro": base, "with_macro": base + macro, "macro_only": macro}
-    both = evaluation.score(_fits(f, sets)).unionByName(evaluation.score(forecasts(spark, d)))
+    sets = {"no_macro": base, "with_macro": base + macro, "macro_only": macro + [f"sec_{i}" for i in range(len(_GROUPS))]}
+    fits = _fits(f, sets)
+    both = evaluation.score(fits).unionByName(evaluation.score(forecasts(spark, d)))
     size = F.coalesce(F.create_map(*[F.lit(x) for n, c in sets.items() for x in (n, len(c))])[F.col("model")], F.lit(0))
-    return both.withColumn("n_features", size)
+    tests = evaluation.verdict(evaluation.ablation_tests(evaluation.per_quarter(evaluation.pair(fits, "no_macro", "with_macro"))))
+    told = ["n_q", "mean_d", "hac_lags", "stat", "p_value", "better", "best_share", "verdict", "note"]
+    listed = tests.agg(F.sort_array(F.collect_list(F.struct("metric", *told))).alias("tests")).withColumn("model", F.lit("with_macro"))  # three rows
+    return both.withColumn("n_features", size).join(F.broadcast(listed), "model", "left")
 
 
 @query()
 def expert_forecasts(spark: SparkSession, d: str) -> DataFrame:
-    """Out-of-sample forecasts of experts that see a family of columns each, side by side with their trailing errors."""
+    """Out-of-sample forecasts of experts that see a family of columns each (the sector's: its peers and which it is), side by side with their trailing errors."""
     f, _, _ = _blocks(spark, d)
-    views = panel.expert_columns(f, {"company": {"own history", "fundamentals"}, "macro": {"macro"}})
+    views = panel.expert_columns(f.drop(*THEMES["levels"]), {"company": {"own history", "fundamentals"}, "macro": {"macro"}})
+    peers = [c for c in views["full"] if "peer" in c]
+    which = [f"sec_{i}" for i in range(len(_GROUPS))]
+    views = {"company": [c for c in views["company"] if c not in peers], "macro": views["macro"], "sector": peers + which, "full": views["full"] + which}
     wide = blending.widen(_fits(f, views), list(views))
-    return blending.softmax_blend(wide, ["company", "macro", "full"])
+    return blending.softmax_blend(wide, ["company", "macro", "sector"])
+
+
+@query()
+def gate_by_group(spark: SparkSession, d: str) -> DataFrame:
+    """The gate over three experts against the full model, by group: errors, their difference and hits (below 0: the gate is better)."""
+    return evaluation.gate_against(expert_forecasts(spark, d), "gate", "full", "grp")
 
 
 @query()
 def block_ablation(spark: SparkSession, d: str) -> DataFrame:
     """Ridge with and without the block of short-term momentum: tests of the difference."""
-    f = cut_lineage(_features(spark, d))
-    both = ridge.walk_forward(f, "yoy", _RIDGE[:3], "without", warmup=WARMUP, min_train=MIN_TRAIN).unionByName(ridge.walk_forward(f, "yoy", _RIDGE, "with", warmup=WARMUP, min_train=MIN_TRAIN))
+    both = _fits(_features(spark, d), {"without": _RIDGE[:3], "with": _RIDGE})
     return evaluation.verdict(evaluation.ablation_tests(evaluation.per_quarter(evaluation.pair(both, "without", "with"))))
 
 

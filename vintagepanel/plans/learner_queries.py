@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintagepanel.operators import evaluation, learners, panel, series, trees
+from vintagepanel.operators import evaluation, learners, panel, ridge, series, trees
 from vintagepanel.plans.evaluation_queries import MIN_TRAIN, WARMUP, _with_macro, forecasts
 from vintagepanel.plans.panel_queries import quarterly_series
 from vintagepanel.plans.views import SERIES
@@ -23,10 +23,6 @@ def _panel(spark: SparkSession, d: str) -> DataFrame:
     return series.growth_features(panel.baselines(_with_macro(spark, d, tuple(SERIES))))
 
 
-def _run(p: DataFrame, features: list[str], learner, name: str, **how) -> DataFrame:
-    return learners.walk_forward(p, "yoy", features, learner, name, warmup=WARMUP, min_train=MIN_TRAIN, **how)
-
-
 def _trees(p: DataFrame, spec: trees.Trees, name: str) -> DataFrame:
     return trees.walk_forward(p, "yoy", FEATURES, spec, name, GROUPS, WARMUP, MIN_TRAIN)
 
@@ -43,7 +39,9 @@ def boosting_walk_forward(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def elastic_net_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _run(_panel(spark, d), FEATURES, learners.linear(), "elastic_net", groups=GROUPS, scale=True)
+    """Ratio and penalty chosen by cross-validation at every quarter, all from one table of moments."""
+    p = _panel(spark, d).withColumns({f"is_{i}": (F.col("grp") == g).cast("double") for i, g in enumerate(GROUPS)})
+    return ridge.walk_forward(p, "yoy", [*FEATURES, *(f"is_{i}" for i in range(len(GROUPS)))], "elastic_net", warmup=WARMUP, min_train=MIN_TRAIN, folds=3, ratios=(0.2, 0.5, 0.8))
 
 
 @query
@@ -62,4 +60,4 @@ def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
 def residual_lasso(spark: SparkSession, d: str) -> DataFrame:
     shocks = evaluation.residual_shocks(forecasts(spark, d)).filter("model = 'b_history'").select("qi", "shock")
     m = panel.macro_features(quarterly_series(spark, d), [], SERIES)
-    return learners.shock_lasso(shocks, m, [f"mac_{s}_yoy" for s in SERIES])
+    return ridge.shock_lasso(shocks, m, [f"mac_{s}_yoy" for s in SERIES])

@@ -252,7 +252,7 @@ def valuation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {EVENTS}, {ORIGINS},
-j AS (SELECT o.entity, o.origin, date_diff('day', e.date, o.origin) AS age, e.action, e.date, e.event_id FROM orig o LEFT JOIN ev e ON o.entity = e.entity AND e.date < o.origin)
+j AS (SELECT o.entity, o.origin, date_diff('day', e.date, o.origin) AS age, e.action, e.date, e.event_id FROM orig o LEFT JOIN ev e ON o.entity = e.entity AND e.date < o.origin AND e.action IN ('raise', 'lower', 'reaffirm', 'initiate', 'withdraw'))
 SELECT entity, origin, count(action) FILTER (WHERE age <= 180) AS n_180,
        CAST(coalesce(sum(CASE action WHEN 'raise' THEN 1 WHEN 'lower' THEN -1 ELSE 0 END) FILTER (WHERE age <= 180), 0) AS BIGINT) AS net_180,
        CAST(coalesce(sum(CASE action WHEN 'raise' THEN 1 WHEN 'lower' THEN -1 ELSE 0 END) FILTER (WHERE age <= 365), 0) AS BIGINT) AS net_365,

@@ -88,7 +88,7 @@ def signed_events(spark: SparkSession, d: str) -> DataFrame:
     """entity (user), date, event_id, action, midpoint."""
     e = table(spark, d, "events")
     kind = F.col("event_type")
-    act = F.when(kind == "purchase", "raise").when(kind == "error", "lower").when(kind == "view", "reaffirm").when(kind == "signup", "initiate").when(kind == "click", "withdraw").otherwise("mention")
+    act = F.when(F.col("event_id") % 7 == 3, "mention").when(kind == "purchase", "raise").when(kind == "error", "lower").when(kind == "view", "reaffirm").when(kind == "signup", "initiate").when(kind == "click", "withdraw").otherwise("mention")
     return e.select(F.col("user_id").alias("entity"), F.to_date("ts").alias("date"), "event_id", act.alias("action"), F.col("value").alias("midpoint"))
 
 
@@ -203,7 +203,7 @@ wide AS (
 
 EVENTS = """ev AS (
   SELECT user_id AS entity, CAST(ts AS DATE) AS date, event_id, value AS midpoint,
-         CASE event_type WHEN 'purchase' THEN 'raise' WHEN 'error' THEN 'lower' WHEN 'view' THEN 'reaffirm' WHEN 'signup' THEN 'initiate' WHEN 'click' THEN 'withdraw' ELSE 'mention' END AS action
+         CASE WHEN event_id % 7 = 3 THEN 'mention' ELSE CASE event_type WHEN 'purchase' THEN 'raise' WHEN 'error' THEN 'lower' WHEN 'view' THEN 'reaffirm' WHEN 'signup' THEN 'initiate' WHEN 'click' THEN 'withdraw' ELSE 'mention' END END AS action
   FROM events)"""
 
 
