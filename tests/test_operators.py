@@ -83,6 +83,12 @@ def test_trailing_window_bounds(spark):
     ev = [("a", day("2024-06-30"), 1, "raise"), ("a", day("2024-04-01"), 2, "raise"), ("a", day("2024-03-31"), 3, "lower"), ("a", day("2023-06-30"), 4, "raise")]
     r = temporal.signed_event_features(origins, spark.createDataFrame(ev, "entity string, date date, event_id long, action string")).first()
     assert (r.raise_90, r.lower_90, r.n_180, r.net_180, r.net_365, r.days_since, r.last_is_raise) == (1, 0, 2, 0, 0, 90, 1)
+    import datetime as dt
+
+    said = [("e", dt.date(2024, 5, 1), 1, "raise"), ("e", dt.date(2024, 5, 20), 2, "mention"), ("e", dt.date(2024, 5, 25), 3, None)]
+    june = spark.createDataFrame([("e", dt.date(2024, 6, 1))], "entity string, origin date")
+    m = temporal.signed_event_features(june, spark.createDataFrame(said, "entity string, date date, event_id long, action string")).first()
+    assert (m.n_180, m.days_since, m.last_is_raise) == (1, 31, 1)  # a mention is no event
     none = temporal.signed_event_features(origins, spark.createDataFrame([], "entity string, date date, event_id long, action string")).first()
     assert (none.n_180, none.days_since, none.last_is_lower) == (0, None, 0)
 
@@ -279,20 +285,31 @@ def test_stream_merge(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "version=0")).count() == 3
 
 
-def test_learners_find_a_planted_effect(spark):
-    from vintagepanel.operators import learners
+def test_permutation_damage_of_any_model(spark):
+    from vintagepanel.operators import learners, trees
 
     df, rows = _panel(spark, n_q=16, n_e=12)
     df = df.cache()
-    truth = np.array([r[5] for r in rows])
-    for name, learner in (("forest", learners.forest(trees=10, depth=5, leaf=2)), ("boosting", learners.boosting(rounds=8)), ("net", learners.linear(0.001))):
-        got = learners.walk_forward(df, "y", ["x", "z"], learner, name, groups=["g", "h"], warmup=4, min_train=30, refit_every=6, scale=name == "net")
-        s = evaluation.score(got).first()
-        assert s.n == 12 * 12 and s.rmse < 0.6 * truth.std()
-    gains = {r.feature: r.gain_pct for r in learners.importance(df, "y", ["x", "z"], learners.forest(trees=10, depth=5)).collect()}
-    assert gains["x"] > 70 and sum(gains.values()) == pytest.approx(100)
-    damage = {r.feature: r.damage for r in learners.permutation_importance(df, "y", ["x", "z"], learners.linear(0.001), 12).collect()}
-    assert damage["x"] > 10 * abs(damage["z"])
+    models = [learners.linear_fitted(df, "y", ["x", "z"], 12), learners.linear_fitted(df, "y", ["x", "z"], 12, ratios=(0.5,)), trees.fitted(df, "y", ["x", "z"], trees.forest(20, 5, 3), 12), trees.fitted(df, "y", ["x", "z"], trees.forest(20, 5, 3), 12, whole_rows=0)]
+    found = []
+    for m in models:
+        damage = {r.feature: r.damage for r in learners.permutation_importance(df, "y", ["x", "z"], m, 12, repeats=3, cell_rows=20).collect()}
+        assert damage["x"] > 5 * abs(damage["z"]) and damage["x"] > 0
+        found.append(damage)
+    assert found[2] == pytest.approx(found[3])
+    plan = lambda n: learners.permutation_importance(df.withColumns({f"f{i}": F.lit(0.0) for i in range(n)}), "y", ["x", *(f"f{i}" for i in range(n))], models[0], 12)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert plan(1) == plan(6)
+
+
+def test_permutation_by_hand(spark):
+    from vintagepanel.operators import learners
+
+    df = spark.createDataFrame([(f"e{i}", 5, float(i), float(i)) for i in range(6)], "entity string, qi int, y double, x double")
+    same = lambda t: t.withColumn("y_pred", F.coalesce(F.get("x", F.lit(0)), F.lit(0.0))).drop("x")
+    (r,) = learners.permutation_importance(df, "y", ["x"], same, 5, repeats=4).collect()
+    assert r.damage > 0  # the model is exact, so all error comes from the shuffle
+    flat = learners.permutation_importance(df.withColumn("x", F.lit(1.0)), "y", ["x"], same, 5, repeats=2).collect()
+    assert flat[0].damage == pytest.approx(0.0) and flat[0].damage_std == pytest.approx(0.0)
 
 
 def test_association_importance_and_medians(spark):

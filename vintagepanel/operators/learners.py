@@ -1,121 +1,59 @@
-"""MLlib learners in the walk-forward: forests, boosting and linear models, and what they find important."""
+"""What fitted models find important: damage by permutation, for any of them, in one pass."""
 
-import functools
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintagepanel.functions.sizes import cut_lineage
-from vintagepanel.operators.evaluation import qualifying_quarters
+from vintagepanel.operators import ridge
 
-
-def forest(trees: int = 300, depth: int = 9, leaf: int = 10, seed: int = 0) -> RandomForestRegressor:
-    return RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed)
-
-
-def boosting(rounds: int = 60, depth: int = 4, rate: float = 0.1, seed: int = 0) -> GBTRegressor:
-    return GBTRegressor(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed)
-
-
-def linear(penalty: float = 0.01, mix: float = 0.5) -> LinearRegression:
-    """Elastic net; mix 0 is ridge and 1 the lasso."""
-    return LinearRegression(labelCol="label", featuresCol="features", regParam=penalty, elasticNetParam=mix)
-
-
-def design(panel: DataFrame, y: str, features: list[str], groups: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """panel with label and doubles for the features and one column a group; the names of the columns."""
-    dummies = {f"is_{i}": (F.col("grp") == v).cast("double") for i, v in enumerate(groups or [])}
-    doubles = {f: F.col(f).cast("double") for f in features}
-    return panel.withColumns(doubles | dummies | {"label": F.col(y).cast("double")}), [*features, *dummies]
-
-
-def _steps(names: list[str], learner, scale: bool) -> Pipeline:
-    filled = [f"{n}__f" for n in names]
-    stages = [Imputer(inputCols=names, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw" if scale else "features")]
-    if scale:
-        stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True))
-    return Pipeline(stages=[*stages, learner])
-
-
-def walk_forward(panel: DataFrame, y: str, features: list[str], learner, name: str, groups: list[str] | None = None, warmup: int = 8, min_train: int = 100, purge: int = 0, refit_every: int = 1, scale: bool = False, parallel: int = 8) -> DataFrame:
-    """Forecasts (model, entity, grp, qi, y_true, y_pred) of every qualifying test quarter.
-
-    The learner is refitted every `refit_every` quarters, on the rows more than `purge`
-    quarters before the first quarter it then forecasts. The list of quarters is the one
-    thing that comes to the driver. Fits do not depend on each other: `parallel` of them
-    are submitted at a time, so that small ones do not leave the cluster idle.
-    """
-    data, names = design(panel.filter(F.col(y).isNotNull()), y, features, groups)
-    data = cut_lineage(data).persist()
-    quarters = [r["qi"] for r in qualifying_quarters(panel, y, warmup, min_train, purge).orderBy("qi").collect()]
-
-    def fitted(i: int) -> DataFrame:
-        tested = quarters[i : i + refit_every]
-        train = data.filter(F.col("qi") < tested[0] - purge)
-        # a column without any value cannot be filled with its median
-        filled = train.agg(*[F.count(n).alias(n) for n in names]).first()
-        model = _steps([n for n in names if filled[n]], learner, scale).fit(train)
-        return model.transform(data.filter(F.col("qi").isin(tested))).select(F.lit(name).alias("model"), "entity", "grp", "qi", F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
-
-    with ThreadPoolExecutor(parallel) as pool:
-        parts = list(pool.map(fitted, range(0, len(quarters), refit_every)))
-    data.unpersist()
-    out = functools.reduce(DataFrame.unionByName, parts) if parts else None
-    if out is None:
-        return data.select(F.lit(name).alias("model"), "entity", "grp", "qi", F.col("label").alias("y_true"), F.col("label").alias("y_pred")).limit(0)
-    return out
-
-
-def importance(panel: DataFrame, y: str, features: list[str], learner, groups: list[str] | None = None) -> DataFrame:
-    """feature, gain, gain_pct of a forest or boosting fitted to all labelled rows."""
-    data, names = design(panel.filter(F.col(y).isNotNull()), y, features, groups)
-    fitted = _steps(names, learner, False).fit(data).stages[-1].featureImportances
-    rows = [(n, float(fitted[i])) for i, n in enumerate(names)]
-    df = panel.sparkSession.createDataFrame(rows, "feature string, gain double")
-    return df.withColumn("gain_pct", 100 * F.try_divide(F.col("gain"), F.sum("gain").over(Window.partitionBy())))
-
-
-#: Rows of a cell in which a column is shuffled, about.
+#: Rows of a cell within which columns are shuffled, about.
 CELL_ROWS = 50_000
 
 
-def permutation_importance(panel: DataFrame, y: str, features: list[str], learner, split: int, repeats: int = 1, seed: int = 0) -> DataFrame:
-    """feature, damage: rise of the error on quarters from `split` on when the column is shuffled among its rows.
-
-    A column is shuffled by joining the rows, numbered by id, with its values, numbered by
-    a hash. Rows are numbered within cells of a hash, so no task holds them all.
+def linear_fitted(panel: DataFrame, y: str, features: list[str], before: int, penalty: float = 1.0, ratios: tuple[float, ...] | None = None, folds: int = 5, n_penalties: int = 40) -> Callable[[DataFrame], DataFrame]:
+    """A function from tables with an array x of the features to the same with y_pred: a ridge, or with ratios a cross-validated elastic net, of the labelled rows of the quarters before `before`."""
+    rows = panel.filter(F.col("qi") < before)
+    cells = ridge._moments(rows, y, features, []).groupBy(F.pmod("qi", F.lit(folds)).cast("int").alias("fold"), "i", "j").agg(F.sum("v").alias("v")).collect()
+    parts: dict[int, np.ndarray] = {}
+    for c in cells:  # folds x columns squared: no row of the panel
+        a = parts.setdefault(c["fold"], np.zeros((len(features) + 2,) * 2))
+        a[c["i"], c["j"]] = a[c["j"], c["i"]] = c["v"]
+    if not parts:
+        beta = np.zeros(len(features) + 1)
+    else:
+        beta = ridge.best_net(parts, ratios, n_penalties)[0] if ratios else ridge._fit(sum(parts.values()), penalty)
+    weights = F.array(*[F.lit(float(b)) for b in beta[1:]])
+    dot = F.aggregate(F.zip_with("x", weights, lambda a, b: F.coalesce(a, F.lit(0.0)) * b), F.lit(float(beta[0])), lambda s, v: s + v)
+    return lambda df: df.withColumn("y_pred", dot).drop("x")
+
+
+def permutation_importance(panel: DataFrame, y: str, features: list[str], fitted: Callable[[DataFrame], DataFrame], split: int, repeats: int = 10, seed: int = 0, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """feature, damage (mean over the repeats), damage_std: rise of the error on labelled rows of quarters from `split` on when the feature is shuffled among them.
+
+    fitted: from a table with an array x of the features to the same with y_pred. A row
+    borrows the values of another row of its cell (rows dealt by a hash, so none is large),
+    another one for each repeat; (feature, repeat) pairs are exploded beside the row and its
+    lender, and one aggregation gives all errors: the plan does not grow with the features.
     """
-    data, names = design(panel.filter(F.col(y).isNotNull()), y, features)
-    model = _steps(names, learner, False).fit(data.filter(F.col("qi") < split))
-    held = data.filter(F.col("qi") >= split)
-    held = held.withColumn("_cell", F.pmod(F.xxhash64("entity", "qi"), F.lit(max(1, held.count() // CELL_ROWS))))
-    held = held.withColumn("_at", F.row_number().over(Window.partitionBy("_cell").orderBy("entity", "qi")))
-    held = cut_lineage(held)
-
-    def error(df: DataFrame, label: str) -> DataFrame:
-        e = F.col("prediction") - F.col("label")
-        return model.transform(df).agg(F.sqrt(F.avg(e * e)).alias("rmse")).withColumn("feature", F.lit(label))
-
-    out = error(held, "")
-    for f in names:
-        for k in range(repeats):
-            mixed = held.select("_cell", F.col(f).alias("_v"), F.row_number().over(Window.partitionBy("_cell").orderBy(F.xxhash64("entity", "qi", F.lit(seed + k)))).alias("_at"))
-            out = out.unionByName(error(held.join(mixed, ["_cell", "_at"]).withColumn(f, F.col("_v")), f))
-    base = out.filter("feature = ''").select(F.col("rmse").alias("_base"))
-    return out.filter("feature <> ''").crossJoin(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("rmse") - F.col("_base")).alias("damage"))
-
-
-def shock_lasso(shocks: DataFrame, series: DataFrame, columns: list[str], penalty: float = 0.001) -> DataFrame:
-    """L1 regression of quarterly shocks (qi, shock) on calendar series (qi, columns) that are complete: feature, coefficient, r2."""
-    x = shocks.join(series.select("qi", *columns), "qi")
-    found = x.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in columns]).first()
-    whole = [c for c in columns if found[c] == found["n"]]
-    data = x.withColumn("label", F.col("shock"))
-    steps = Pipeline(stages=[VectorAssembler(inputCols=whole, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True), linear(penalty, 1.0)])
-    fitted = steps.fit(data).stages[-1]
-    rows = [(c, float(w), float(fitted.summary.r2)) for c, w in zip(whole, fitted.coefficients, strict=True)]
-    return shocks.sparkSession.createDataFrame(rows, "feature string, coefficient double, r2 double")
+    held = panel.filter(F.col(y).isNotNull() & (F.col("qi") >= split))
+    n = held.count()
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    row = F.xxhash64("entity", "qi")
+    held = held.select(F.col(y).cast("double").alias("y"), x.alias("x"), F.pmod(row, F.lit(max(1, n // cell_rows))).alias("_cell"), row.alias("_key"))
+    held = cut_lineage(held.withColumn("_at", F.row_number().over(Window.partitionBy("_cell").orderBy("_key"))))
+    times = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    mixed = Window.partitionBy("_cell", "_k").orderBy(F.xxhash64("_key", "_k", F.lit(seed)), "_key")
+    lenders = held.select("_cell", F.col("x").alias("_lent"), "_key", times.alias("_k")).withColumn("_at", F.row_number().over(mixed)).drop("_key")
+    met = held.select("_cell", "_at", "y", "x", times.alias("_k")).join(lenders, ["_cell", "_k", "_at"])
+    # feature -1 is the row as it is
+    each = met.select("y", "x", "_lent", "_k", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))).alias("_f"))
+    swapped = each.select("y", "_k", "_f", F.transform("x", lambda v, i: F.when(i == F.col("_f"), F.get("_lent", i)).otherwise(v)).alias("x"))
+    off = F.col("y_pred") - F.col("y")
+    errors = fitted(swapped).groupBy("_f", "_k").agg(F.sqrt(F.avg(off * off)).alias("rmse"))
+    base = errors.filter("_f = -1").select("_k", F.col("rmse").alias("_base"))
+    damage = errors.filter("_f >= 0").join(F.broadcast(base), "_k").withColumn("damage", F.col("rmse") - F.col("_base"))  # a row a repeat
+    named = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_f") + 1)
+    return damage.groupBy(named.alias("feature")).agg(F.avg("damage").alias("damage"), F.stddev_pop("damage").alias("damage_std"))

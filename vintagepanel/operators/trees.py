@@ -175,22 +175,33 @@ def predict(base: float, trees: list[Tree], bins: np.ndarray, spec: Trees) -> np
     return out
 
 
+def bin_edges(rows: DataFrame, features: list[str], groups: list[str]) -> list[np.ndarray]:
+    """The upper edges of the bins of each feature (quantiles of rows), and of the group columns."""
+    levels = [i / BINS for i in range(1, BINS)]
+    known = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), levels, 10_000).alias(f"e{i}") for i, f in enumerate(features)]).first()
+    return [np.array(sorted(set(known[i] or [])), float) for i in range(len(features))] + [np.array([0.5])] * len(groups)
+
+
+def to_bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """Rows of values (nan: null) as bins; 0 is null."""
+    return np.stack([np.where(np.isnan(c), 0, 1 + np.searchsorted(e, c, side="left")) for e, c in zip(edges, x.T, strict=True)], 1).astype(np.uint8)
+
+
+def values_of(column: pa.Array, width: int) -> np.ndarray:
+    """An Arrow column of arrays of doubles as a matrix; null: nan."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
+
+
 def quantised(panel: DataFrame, y: str, features: list[str], groups: list[str], before: int) -> DataFrame:
     """Labelled rows of panel: entity, grp, qi, y, key, bins (a byte a feature and group column)."""
-    doubles = [F.col(f).cast("double") for f in features]
-    levels = [i / BINS for i in range(1, BINS)]
     rows = panel.filter(F.col(y).isNotNull())
-    known = rows.filter(F.col("qi") < before).agg(*[F.percentile_approx(x, levels, 10_000).alias(f"e{i}") for i, x in enumerate(doubles)]).first()
-    edges = [np.array(sorted(set(known[i] or [])), float) for i in range(len(features))]
-    read = rows.select("entity", "grp", "qi", F.col(y).cast("double").alias("y"), F.xxhash64("entity", "qi").alias("key"), F.array(*doubles, *[(F.col("grp") == v).cast("double") for v in groups]).alias("x"))
-    edges += [np.array([0.5])] * len(groups)
+    edges = bin_edges(rows.filter(F.col("qi") < before), features, groups)
+    read = rows.select("entity", "grp", "qi", F.col(y).cast("double").alias("y"), F.xxhash64("entity", "qi").alias("key"), F.array(*[F.col(f).cast("double") for f in features], *[(F.col("grp") == v).cast("double") for v in groups]).alias("x"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields if f.name != "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(5).flatten()
-            x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, len(edges))  # null: nan
-            bins = np.stack([np.where(np.isnan(c), 0, 1 + np.searchsorted(e, c, side="left")) for e, c in zip(edges, x.T, strict=True)], 1).astype(np.uint8)
+            bins = to_bins(values_of(batch.column(5), len(edges)), edges)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([b.tobytes() for b in bins], pa.binary())], ["entity", "grp", "qi", "y", "key", "bins"])
 
     return read.mapInArrow(run, f"{kinds}, bins binary")
@@ -388,3 +399,31 @@ def gain_importance(panel: DataFrame, y: str, features: list[str], spec: Trees,
     named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature") + 1)
     whole = found.groupBy("vintage").agg(F.sum("gain").alias("all"))
     return found.join(F.broadcast(whole), "vintage").select(F.col("vintage").alias("qi"), named.alias("feature"), "gain", F.try_divide("gain", "all").alias("share"))
+
+
+def fitted(panel: DataFrame, y: str, features: list[str], spec: Trees, before: int, whole_rows: int = WHOLE_ROWS):
+    """A function from tables with an array x of the features to the same with y_pred, of trees grown on the labelled rows of the quarters before `before`."""
+    rows = panel.filter(F.col(y).isNotNull() & (F.col("qi") < before))
+    edges = bin_edges(rows, features, [])
+    known = rows.agg(F.count("*").alias("n_train"), F.avg(y).alias("train_mean")).first()
+    binned = cut_lineage(quantised(rows, y, features, [], before))
+    if known["n_train"] <= whole_rows:
+        r = binned.orderBy("qi", "key").select("y", "key", "bins").toPandas()  # at most whole_rows rows of some bytes
+        base, trees, _ = fit_rows(_matrix(r["bins"], len(features)), r["y"].to_numpy(float), r["key"].to_numpy(np.int64), spec) if len(r) else (0.0, [], None)
+    else:
+        (base,), (trees,), _ = fit_chunks(binned, [{"qi": before, "train_mean": known["train_mean"]}], len(features), spec, 0)
+    shared = panel.sparkSession.sparkContext.broadcast((base, trees, edges))
+
+    def apply(df: DataFrame) -> DataFrame:
+        kept = [c for c in df.columns if c != "x"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            base, trees, edges = shared.value
+            for batch in batches:
+                p = predict(base, trees, to_bins(values_of(batch.column(batch.num_columns - 1), len(edges)), edges), spec)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*kept, "y_pred"])
+
+        kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        return df.select(*kept, "x").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "y_pred double"]))
+
+    return apply

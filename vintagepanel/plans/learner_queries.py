@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vintagepanel.functions.sizes import cut_lineage
 from vintagepanel.operators import evaluation, learners, panel, ridge, series, trees
 from vintagepanel.plans.evaluation_queries import MIN_TRAIN, WARMUP, _with_macro, forecasts
 from vintagepanel.plans.panel_queries import quarterly_series
@@ -51,9 +52,25 @@ def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("feature").agg(F.avg("gain").alias("gain"), (100 * F.avg("share")).alias("gain_pct"))
 
 
+def _damage(spark: SparkSession, d: str) -> DataFrame:
+    """Damage of a cross-validated elastic net and of a forest, each fitted once before the split."""
+    p, split = cut_lineage(_panel(spark, d)), 1999 * 4
+    models = {"elastic_net": learners.linear_fitted(p, "yoy", FEATURES, split, ratios=(0.2, 0.5, 0.8)), "forest": trees.fitted(p, "yoy", FEATURES, trees.forest(), split)}
+    parts = [learners.permutation_importance(p, "yoy", FEATURES, m, split, repeats=10).withColumn("model", F.lit(n)) for n, m in models.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    return learners.permutation_importance(_panel(spark, d), "yoy", FEATURES, learners.linear(0.001), 1999 * 4, repeats=10)
+    return _damage(spark, d)
+
+
+@query
+def importance_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the boosting's gain and the damage of permutation put the features in the same order."""
+    gain = trees.gain_importance(_panel(spark, d), "yoy", FEATURES, trees.boosting(), [], WARMUP, MIN_TRAIN).groupBy("feature").agg(F.avg("share").alias("gain"))
+    damage = _damage(spark, d).groupBy("feature").pivot("model", ["elastic_net", "forest"]).agg(F.first("damage"))
+    return evaluation.rank_agreement(gain.join(damage, "feature"), ["gain", "elastic_net", "forest"])
 
 
 @query
