@@ -55,7 +55,10 @@ def six_metrics(predictions: DataFrame, persistence: DataFrame) -> DataFrame:
     x = predictions.join(base, ["entity", "qi"], "left")
     t, p = F.col("y_true"), F.col("y_pred")
     share = F.when(F.abs(t) >= 0.01, F.abs(p - t) / F.abs(t))
-    return x.groupBy("model").agg(*metric_columns()[:4], g.median(F.abs(p - t)).alias("median_ae"), F.avg(share).alias("mape"), g.median(share).alias("median_ape"), F.avg(_same_sign(t - F.col("_b"), p - F.col("_b"))).alias("change_acc"))
+    x = x.withColumns({"_ae": F.abs(p - t), "_ape": share})
+    middle = lambda c, name: group_quantiles(x, ["model"], c, [0.5]).select("model", F.get("q", F.lit(0)).alias(name))
+    whole = x.groupBy("model").agg(*metric_columns()[:4], F.avg("_ape").alias("mape"), F.avg(_same_sign(t - F.col("_b"), p - F.col("_b"))).alias("change_acc"))
+    return whole.join(middle("_ae", "median_ae"), "model", "left").join(middle("_ape", "median_ape"), "model", "left")
 
 
 def ensemble(predictions: DataFrame, name: str = "ensemble", least: int = 2) -> DataFrame:
@@ -82,7 +85,9 @@ def quantile_walk_forward(predictions: DataFrame, levels: tuple[float, float, fl
 def quantile_report(bands: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Coverage, mean and median width, three pinball losses, and error and direction of the middle forecast: one row."""
     y, a, m, b = (F.col(c) for c in ("y_true", "q10", "q50", "q90"))
-    return bands.agg(F.count("*").alias("n"), F.avg(((y >= a) & (y <= b)).cast("double")).alias("coverage"), F.avg(b - a).alias("mean_width"), g.median(b - a).alias("median_width"), F.avg(pinball(y, a, low)).alias("pinball_low"), F.avg(pinball(y, m, 0.5)).alias("pinball_mid"), F.avg(pinball(y, b, high)).alias("pinball_high"), F.avg(F.abs(y - m)).alias("mid_mae"), F.sqrt(F.avg((y - m) * (y - m))).alias("mid_rmse"), F.avg(_same_sign(y, m)).alias("mid_dir_acc"))
+    whole = bands.agg(F.count("*").alias("n"), F.avg(((y >= a) & (y <= b)).cast("double")).alias("coverage"), F.avg(b - a).alias("mean_width"), F.avg(pinball(y, a, low)).alias("pinball_low"), F.avg(pinball(y, m, 0.5)).alias("pinball_mid"), F.avg(pinball(y, b, high)).alias("pinball_high"), F.avg(F.abs(y - m)).alias("mid_mae"), F.sqrt(F.avg((y - m) * (y - m))).alias("mid_rmse"), F.avg(_same_sign(y, m)).alias("mid_dir_acc"))
+    middle = group_quantiles(bands.withColumn("_w", b - a), [], "_w", [0.5]).select(F.get("q", F.lit(0)).alias("median_width"))
+    return whole.crossJoin(F.broadcast(middle))  # a row each
 
 
 def pair(predictions: DataFrame, a: str, b: str) -> DataFrame:
