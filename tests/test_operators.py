@@ -276,13 +276,76 @@ def test_stream_counts(spark, tmp_path):
     assert got and all(batch[k] == v for k, v in got.items())
 
 
+def test_universe_without_members(spark, tmp_path):
+    (tmp_path / "u").mkdir()
+    file = tmp_path / "u" / "a.csv"
+    file.write_text("ticker,sector,role\n a , s, selected\n , s, \n b, s, backup\n")
+    assert [r.ticker for r in feeds.read_universe(spark, str(tmp_path / "u")).collect()] == ["a"]
+    file.write_text("ticker,sector,role\n , s, \n b, s, backup\n")
+    with pytest.raises(ValueError, match="no members"):
+        feeds.read_universe(spark, str(tmp_path / "u"))
+    assert feeds.load(spark, str(tmp_path / "none")) is None
+
+
 def test_stream_merge(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "out")
+    batch = lambda a, b, v: spark.range(a, b).selectExpr("id AS k", f"{v} AS v")
+    assert stream_events.read_merged(spark, path) is None
+    stream_events.merge_batch(batch(0, 100, 1), 0, path, ["k"], 8)
+    files = lambda: {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(path + "/rows") for f in fs}
+    first = files()
+    stream_events.merge_batch(batch(7, 8, 2).withColumn("w", F.lit("x")), 1, path, ["k"], 8)
+    assert first.items() <= files().items() and len({f.split("bucket=")[1].split("/")[0] for f in set(files()) - set(first) if f.endswith(".parquet")}) == 1
+    once = sorted(map(tuple, stream_events.read_merged(spark, path).select("k", "v", "w").collect()))
+    assert once == sorted((i, 2 if i == 7 else 1, "x" if i == 7 else None) for i in range(100))
+    stream_events.merge_batch(batch(7, 8, 2).withColumn("w", F.lit("x")), 1, path, ["k"], 8)  # run again
+    assert sorted(map(tuple, stream_events.read_merged(spark, path).select("k", "v", "w").collect())) == once
+    stream_events.merge_batch(batch(0, 0, 3), 2, path, ["k"], 8)
+    assert stream_events.read_merged(spark, path).count() == 100
+
+
+def test_stream_merge_of_micro_batches(spark, tmp_path):
     rows = spark.createDataFrame([(i % 3, i) for i in range(9)], "k int, v int")
     rows.dropDuplicates(["k"]).write.parquet(str(tmp_path / "in"))
-    q = stream_events.merge_writer(spark.readStream.schema("k int, v int").parquet(str(tmp_path / "in")), str(tmp_path / "out"), ["k"], str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.read.parquet(str(tmp_path / "out" / "version=0")).count() == 3
+    write = lambda: stream_events.merge_writer(spark.readStream.schema("k int, v int").parquet(str(tmp_path / "in")), str(tmp_path / "out"), ["k"], str(tmp_path / "cp")).start()
+    for _ in range(2):
+        q = write()
+        q.processAllAvailable()
+        q.stop()
+        rows.limit(1).withColumn("v", F.lit(50)).write.mode("append").parquet(str(tmp_path / "in"))
+    got = {r.k: r.v for r in stream_events.read_merged(spark, str(tmp_path / "out")).collect()}
+    assert len(got) == 3 and sum(v == 50 for v in got.values()) == 1
+
+
+def test_rolling_sums_and_risk_are_stable(spark):
+    rng = np.random.default_rng(4)
+    n, days = 400, 30
+    x = rng.normal(0, 0.01, n)
+    x[40] = 1e6  # gone from every frame after row 69
+    rows = [("a", i, float(v)) for i, v in enumerate(x) if i != 200] + [("b", i, float(v) if i % 50 else None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "entity string, cal long, ret double").repartition(3)
+    got = {(r.entity, r.cal): r.s for r in market.rolling_sums(df, "entity", "cal", days, {"s": F.col("ret")}).collect()}
+    for e in "ab":
+        own = [(c, v or 0.0) for k, c, v in rows if k == e]
+        for i, (c, _) in enumerate(own):
+            want = None if i < days - 1 else sum(v for _, v in own[i - days + 1 : i + 1])
+            assert got[e, c] == (want if want is None else pytest.approx(want, rel=1e-9, abs=1e-12))
+    bench = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.normal(0, 0.01, n))], "cal long, rb double")
+    rb = {r.cal: r.rb for r in bench.collect()}
+    risk = {(r.entity, r.cal): (r.vol, r.beta) for r in market.rolling_risk(df, bench, days).collect()}
+    for e in "ab":
+        known = {c: v for k, c, v in rows if k == e}
+        for c in known:
+            frame = [known.get(i) for i in range(c - days + 1, c + 1)]
+            if None in frame:
+                assert risk[e, c] == (None, None)
+            else:
+                ys = [rb[i] for i in range(c - days + 1, c + 1)]
+                assert risk[e, c][0] == pytest.approx(np.std(frame, ddof=1) * days**0.5, rel=1e-6)
+                if 1e6 not in frame:
+                    assert risk[e, c][1] == pytest.approx(np.cov(frame, ys)[0, 1] / np.var(ys, ddof=1), rel=1e-3, abs=1e-4)
 
 
 def test_permutation_damage_of_any_model(spark):

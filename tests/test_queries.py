@@ -43,6 +43,10 @@ def test_entry_hides_no_broken_import(tmp_path):
     assert int(ask().stdout.split()[-1]) == len(OWN)
     (tmp_path / "vintagepanel" / "llm").mkdir()
     (tmp_path / "vintagepanel" / "llm" / "__init__.py").write_text("")
-    (tmp_path / "vintagepanel" / "llm" / "queries.py").write_text("import no_such_module")
+    (tmp_path / "vintagepanel" / "llm" / "queries.py").write_text("import vintagepanel.llm.no_such_module")
     (tmp_path / "corpus_pipeline.py").write_text("")
     assert ask().returncode != 0
+    # what the optional part needs of others may be missing: the panel queries stay
+    (tmp_path / "vintagepanel" / "llm" / "queries.py").write_text("import no_such_library")
+    lacking = ask()
+    assert int(lacking.stdout.split()[-1]) == len(OWN) and "no_such_library" in lacking.stderr

@@ -93,7 +93,10 @@ def score_methods(wide: DataFrame, methods: list[str], by: list[str] | None = No
 
 
 def weight_summary(weighted: DataFrame, experts: list[str], by: str) -> DataFrame:
-    return weighted.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(f"w_{e}").alias(f"mean_w_{e}") for e in experts], *[F.stddev_samp(f"w_{e}").alias(f"std_w_{e}") for e in experts])
+    """Per group (or entity): rows, mean and deviation of each expert's weight, and weight_volatility, the mean of the deviations that are known."""
+    out = weighted.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(f"w_{e}").alias(f"mean_w_{e}") for e in experts], *[F.stddev_samp(f"w_{e}").alias(f"std_w_{e}") for e in experts])
+    known = F.filter(F.array(*[F.col(f"std_w_{e}") for e in experts]), lambda x: x.isNotNull())
+    return out.withColumn("weight_volatility", F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known)))
 
 
 def contiguous_suffix(df: DataFrame, x: str, most: int = 64, least: int = 8) -> DataFrame:

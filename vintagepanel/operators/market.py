@@ -18,15 +18,44 @@ def calendar_returns(daily: DataFrame) -> DataFrame:
     return out.withColumn("ret", F.when(follows, F.try_divide(F.col("px"), F.lag("px").over(w)) - 1))
 
 
+def rolling_sums(rows: DataFrame, by: str, order: str, n: int, values: dict[str, Column]) -> DataFrame:
+    """rows with, for each value, the sum over the last n rows of the key (null where there are fewer); nulls count as 0.
+
+    Rows are cut into blocks of n. The last n rows are the end of one block and the
+    beginning of the next, so a running sum from the front of each block and one from its
+    back give every sum by one addition: no frame is added up again, and nothing is
+    subtracted, so a large value leaves no trace once it has left the frame.
+    """
+    along = Window.partitionBy(by).orderBy(order)
+    block = rows.withColumn("_at", F.row_number().over(along) - 1).withColumn("_block", F.floor(F.col("_at") / n))
+    front = Window.partitionBy(by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(by, "_block").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    filled = block.withColumns({f"_v_{k}": F.coalesce(v, F.lit(0)) for k, v in values.items()})
+    halves = filled.withColumns({f"_f_{k}": F.sum(f"_v_{k}").over(front) for k in values}).withColumns({f"_b_{k}": F.coalesce(F.sum(f"_v_{k}").over(back), F.lit(0)) for k in values})
+    whole = F.col("_at") >= n - 1
+    before = {k: F.coalesce(F.lag(f"_b_{k}", n).over(along), F.lit(0)) for k in values}
+    summed = halves.withColumns({k: F.when(whole, F.col(f"_f_{k}") + before[k]) for k in values})
+    return summed.drop("_at", "_block", *[f"_{h}_{k}" for h in "vfb" for k in values])
+
+
 def rolling_risk(returns: DataFrame, bench: DataFrame, days: int = 252) -> DataFrame:
-    """Volatility over `days` calendar rows, a year's worth, and beta to a benchmark (cal, rb); null unless all rows are there."""
-    w = Window.partitionBy("entity").orderBy("cal").rangeBetween(-days + 1, 0)
-    b = bench.withColumn("var_b", g.guarded(F.var_samp("rb"), F.col("rb"), Window.orderBy("cal").rangeBetween(-days + 1, 0), days))
+    """Volatility over `days` calendar rows, a year's worth, and beta to a benchmark (cal, rb); null unless all rows are there.
+
+    From sums over blocks (rolling_sums): daily returns are small against their spread, so
+    squares less the square of the mean lose nothing.
+    """
+    b = bench.withColumn("var_b", g.guarded(F.var_samp("rb"), F.col("rb"), Window.orderBy("cal").rangeBetween(-days + 1, 0), days))  # one row a day
     both = returns.join(F.broadcast(b), "cal", "left")
-    paired = F.when(F.col("ret").isNotNull() & F.col("rb").isNotNull(), F.lit(1))
-    vol = g.guarded(F.stddev_samp("ret"), F.col("ret"), w, days) * (days**0.5)
-    beta = F.try_divide(g.guarded(F.covar_samp("ret", "rb"), paired, w, days), F.col("var_b"))
-    return both.withColumns({"vol": vol, "beta": beta}).drop("var_b")
+    x, y = F.col("ret"), F.when(F.col("ret").isNotNull(), F.col("rb"))
+    values = {"_n": x.isNotNull().cast("int"), "_sx": x, "_sxx": x * x, "_m": y.isNotNull().cast("int"), "_sy": y, "_sxy": x * y}
+    s = rolling_sums(both, "entity", "cal", days, values)
+    # days rows without a gap
+    gapless = F.col("cal") - F.lag("cal", days - 1).over(Window.partitionBy("entity").orderBy("cal")) == days - 1
+    full, paired = gapless & (F.col("_n") == days), gapless & (F.col("_m") == days)
+    var = F.greatest(F.col("_sxx") - F.col("_sx") * F.col("_sx") / days, F.lit(0.0)) / (days - 1)
+    cov = (F.col("_sxy") - F.col("_sx") * F.col("_sy") / days) / (days - 1)
+    out = s.withColumns({"vol": F.when(full, F.sqrt(var)) * (days**0.5), "beta": F.when(paired, F.try_divide(cov, F.col("var_b")))})
+    return out.drop("var_b", *values)
 
 
 def momentum(daily: DataFrame, short: int = 63, long: int = 126, least: int = 21) -> DataFrame:

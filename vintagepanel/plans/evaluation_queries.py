@@ -544,14 +544,24 @@ def blend_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(blending.score_methods(x, ["gate", "equal", "b_history"], ["grp"]), _M)
 
 
-_WS = [f"{k}_w_{e}" for k in ("mean", "std") for e in _EXPERTS]
+_WS = [*(f"{k}_w_{e}" for k in ("mean", "std") for e in _EXPERTS), "weight_volatility"]
 
 
-@query(f"WITH {_SOFT}, s AS (SELECT grp, count(*) AS n, {', '.join(f'avg(w_{e}) AS mean_w_{e}, stddev_samp(w_{e}) AS std_w_{e}' for e in _EXPERTS)} FROM gt GROUP BY 1) SELECT grp, n, {sql_round(_WS)} FROM s")
+def _weights_sql(by: str) -> str:
+    return f"""WITH {_SOFT}, s0 AS (SELECT {by}, count(*) AS n, {', '.join(f'avg(w_{e}) AS mean_w_{e}, stddev_samp(w_{e}) AS std_w_{e}' for e in _EXPERTS)} FROM gt GROUP BY 1),
+s AS (SELECT *, list_avg([{', '.join(f'std_w_{e}' for e in _EXPERTS)}]) AS weight_volatility FROM s0) SELECT {by}, n, {sql_round(_WS)} FROM s"""
+
+
+@query(_weights_sql("grp"))
 def weight_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(blending.weight_summary(blending.softmax_blend(_wide(spark, d), _EXPERTS), _EXPERTS, "grp"), _WS)
 
 
+@query(_weights_sql("entity"))
+def entity_weights(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(blending.weight_summary(blending.softmax_blend(_wide(spark, d), _EXPERTS), _EXPERTS, "entity"), _WS)
+
+
 @query()
 def global_stack(spark: SparkSession, d: str) -> DataFrame:
     """Non-negative weights per quarter from running cross-products; tests compare them with a search."""

@@ -350,6 +350,37 @@ def rolling_risk(spark: SparkSession, d: str) -> DataFrame:
     return rounded(market.rolling_risk(r, b, 5), _RISK).select("entity", "date", *_RISK)
 
 
+_YEAR = ["vol", "beta", "ret_short", "ret_long", "drawdown"]
+
+
+def carried(spark: SparkSession, d: str) -> DataFrame:
+    """daily with the last known price on every day of the calendar."""
+    x = v.daily(spark, d)
+    grid = x.select("entity").distinct().crossJoin(F.broadcast(x.select("date").distinct()))  # nations x days
+    last = F.last("px", True).over(Window.partitionBy("entity").orderBy("date"))
+    return grid.join(x.select("entity", "date", "px"), ["entity", "date"], "left").withColumn("px", last)
+
+
+@query(f"""WITH {DAILY}, {BENCH}, cal AS (SELECT date, row_number() OVER (ORDER BY date) AS cal FROM (SELECT DISTINCT date FROM daily)),
+g AS (SELECT e.entity, cal.date, cal, last_value(px IGNORE NULLS) OVER (PARTITION BY e.entity ORDER BY cal.date) AS px FROM (SELECT DISTINCT entity FROM daily) e CROSS JOIN cal LEFT JOIN daily ON daily.entity = e.entity AND daily.date = cal.date),
+r AS (SELECT *, px / nullif(lag(px) OVER w, 0) - 1 AS ret, px / nullif(lag(px, 63) OVER w, 0) - 1 AS ret_short, px / nullif(lag(px, 126) OVER w, 0) - 1 AS ret_long,
+  px / nullif(CASE WHEN count(px) OVER (w ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) >= 21 THEN max(px) OVER (w ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) END, 0) - 1 AS drawdown FROM g WINDOW w AS (PARTITION BY entity ORDER BY cal)),
+b AS (SELECT cal.cal, px / nullif(lag(px) OVER (ORDER BY bench.date), 0) - 1 AS rb FROM bench JOIN cal ON bench.date = cal.date),
+bv AS (SELECT cal, rb, CASE WHEN count(rb) OVER w >= 252 THEN var_samp(rb) OVER w END AS var_b FROM b WINDOW w AS (ORDER BY cal RANGE BETWEEN 251 PRECEDING AND CURRENT ROW)),
+x AS (SELECT entity, date, ret_short, ret_long, drawdown, CASE WHEN count(ret) OVER w >= 252 THEN stddev_samp(ret) OVER w END * sqrt(252e0) AS vol,
+       CASE WHEN count(CASE WHEN ret IS NOT NULL AND rb IS NOT NULL THEN 1 END) OVER w >= 252 THEN covar_samp(ret, rb) OVER w END / nullif(var_b, 0) AS beta
+FROM r LEFT JOIN bv ON r.cal = bv.cal WINDOW w AS (PARTITION BY entity ORDER BY r.cal RANGE BETWEEN 251 PRECEDING AND CURRENT ROW))
+SELECT entity, date, {sql_round(_YEAR)} FROM x""")
+def yearly_risk(spark: SparkSession, d: str) -> DataFrame:
+    """Volatility and beta over 252 days, returns over 63 and 126, and the fall from the highest price of 63 (21 at least)."""
+    px = carried(spark, d)
+    r = market.calendar_returns(px)
+    change = F.try_divide(F.col("px"), F.lag("px").over(Window.orderBy("date"))) - 1
+    b = v.bench(spark, d).withColumn("rb", change).join(r.select("date", "cal").distinct(), "date").select("cal", "rb")
+    risk = market.rolling_risk(r, b).select("entity", "date", "vol", "beta")
+    return rounded(risk.join(market.momentum(px), ["entity", "date"]), _YEAR).select("entity", "date", *_YEAR)
+
+
 _GROWN_COLUMNS = ["entity", "grp", "qi", "revenue", "n_orders", "yoy", "qoq", "ttm", "b_persistence", "b_seasonal", "b_mean_4", "b_mean_8", "b_history"]
 
 

@@ -1,5 +1,6 @@
 """Landed feeds to tidy tables, and incremental sinks."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +14,22 @@ ROMAN = {"I": "1", "II": "2", "III": "3", "IV": "4"}
 
 def load(spark: SparkSession, path: str) -> DataFrame | None:
     """A Parquet table, or None where there is none: blocks that depend on it are then left out."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.parquet(path) if there else None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
-    """CSV of ticker, sector and perhaps role: trimmed, with role selected or none."""
+    """CSV of ticker, sector and perhaps role: trimmed, with role selected or none; rows without a ticker go. A universe without members is an error."""
     raw = spark.read.csv(path, header=True)
-    out = raw.select(*[F.trim(F.col(c)).alias(c) for c in raw.columns])
-    return out.filter(F.coalesce("role", F.lit("")).isin("", "selected")) if "role" in raw.columns else out
+    out = raw.select(*[F.trim(F.col(c)).alias(c) for c in raw.columns]).filter("ticker <> ''")
+    out = out.filter(F.coalesce("role", F.lit("")).isin("", "selected")) if "role" in raw.columns else out
+    if out.limit(1).count() == 0:
+        raise ValueError(f"the universe in {path} has no members")
+    return out
 
 
 def normal_symbol(c: Column) -> Column:
