@@ -276,6 +276,32 @@ def test_stream_counts(spark, tmp_path):
     assert got and all(batch[k] == v for k, v in got.items())
 
 
+def test_damaged_documents_lose_themselves_alone(spark):
+    good = '{"cik": "1", "facts": {"us-gaap": {"Sales": {"units": {"USD": [{"end": "2024-03-31", "val": 5, "fy": 2024, "fp": "Q1", "form": "10-Q", "filed": "2024-05-01"}]}}}}}'
+    rows = [(1, good), (2, good[:-9]), (3, None), (4, "{}"), (5, '{"facts": {"us-gaap": {}}}'), (6, "[1"), (7, good), (8, "")]
+    raw = spark.createDataFrame(rows, "entity int, json string")
+    concepts = spark.createDataFrame([("revenue", "Sales", 0, "USD")], "concept string, tag string, prio int, unit string")
+    kept = sorted(r.entity for r in feeds.facts_to_long(raw, concepts).collect())
+    lost = {r.entity: r.reason for r in feeds.damaged_facts(raw).collect()}
+    assert kept == [1, 7] and lost == {2: "not JSON", 3: "not JSON", 4: "no facts", 5: "no facts", 6: "not JSON", 8: "not JSON"}
+
+
+def test_contexts_are_unbroken_runs(spark):
+    values = [1.0, None, *map(float, range(2, 14))]
+    df = spark.createDataFrame([("e", q, v) for q, v in enumerate(values)], "entity string, qi int, x double")
+    got = {r.qi: r.ctx for r in blending.contexts(df, "x", most=10, least=8).collect()}
+    for q in range(len(values)):
+        run = []
+        for v in reversed(values[:q]):
+            if v is None:
+                break
+            run.insert(0, v)
+        assert got[q] == (run[-10:] if len(run) >= 8 else None)
+    ahead = blending.seasonal_forecast(blending.contexts(df, "x", most=10, least=8), 6).filter("qi = 10").orderBy("h").collect()
+    rate = (6 + 7 + 8 + 9) / (2 + 3 + 4 + 5)
+    assert [r.forecast for r in ahead] == pytest.approx([6 * rate, 7 * rate, 8 * rate, 9 * rate, 6 * rate**2, 7 * rate**2])
+
+
 def test_universe_without_members(spark, tmp_path):
     (tmp_path / "u").mkdir()
     file = tmp_path / "u" / "a.csv"

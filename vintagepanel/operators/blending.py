@@ -108,6 +108,22 @@ def contiguous_suffix(df: DataFrame, x: str, most: int = 64, least: int = 8) ->
     return df.withColumn("context", F.when(run >= least, run))
 
 
+def contexts(df: DataFrame, x: str, most: int = 64, least: int = 8) -> DataFrame:
+    """df with ctx: the values of x, oldest first, of the run that ends just before the row (contiguous_suffix); null where that is too short. An array holds at most `most` values."""
+    past = F.collect_list(x).over(g.series().rowsBetween(-most, -1))  # nulls are left out, and lie before the run
+    run = contiguous_suffix(df, x, most, least).withColumn("_past", past)
+    return run.withColumn("ctx", F.when(F.col("context").isNotNull(), F.slice("_past", F.greatest(F.size("_past") - F.col("context").cast("int") + 1, F.lit(1)), F.col("context").cast("int")))).drop("_past", "context")
+
+
+def seasonal_forecast(ctx: DataFrame, horizon: int = 4) -> DataFrame:
+    """entity, qi, h (0 to horizon - 1), forecast of a table with contexts (ctx): the value of the same season in the last known year, times that year's growth over the one before. Rows without a context have no forecast."""
+    c = F.col("ctx")
+    year = lambda end: F.aggregate(F.slice(c, -end, F.lit(4)), F.lit(0.0), lambda s, v: s + v)
+    rows = ctx.filter(c.isNotNull() & (F.size(c) >= 8)).withColumn("_rate", F.try_divide(year(F.lit(4)), year(F.lit(8))))
+    rows = rows.select("entity", "qi", "ctx", "_rate", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("h"))
+    return rows.select("entity", "qi", "h", (F.get(c, F.size(c) - 4 + F.col("h") % 4) * F.pow("_rate", F.floor(F.col("h") / 4) + 1)).alias("forecast"))
+
+
 def implied_growth(forecasts: DataFrame, history: DataFrame, value: str, forecast: str) -> DataFrame:
     """Level forecasts (entity, qi, forecast) as growth over the value four quarters before."""
     base = history.select("entity", (F.col("qi") + 4).alias("qi"), F.col(value).alias("_base"))
@@ -124,7 +140,7 @@ def trailing_growth(forecasts: DataFrame, history: DataFrame, value: str, foreca
 
 
 def univariate_forecast(df: DataFrame, value: str) -> DataFrame:
-    """A stand-in for an outside forecaster: the quarter a year before, times the growth of the last known year."""
+    """A stand-in for an outside forecaster from single lags: the quarter a year before, times the growth of the last known quarter over its own."""
     w = g.series()
     x = F.col(value)
     return df.withColumn("forecast", F.lag(x, 4).over(w) * F.try_divide(F.lag(x, 1).over(w), F.lag(x, 5).over(w)))

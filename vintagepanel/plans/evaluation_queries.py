@@ -614,6 +614,21 @@ def univariate_forecast(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(x, ["implied"]), ["forecast"], 2)
 
 
+_LAGS = [f"lag(revenue, {i}) OVER w" for i in range(1, 9)]
+
+
+@query(f"""WITH {SPARSE}, span AS (SELECT entity, min(qi) AS a, max(qi) AS b FROM sparse GROUP BY entity), grid AS (SELECT entity, unnest(generate_series(a, b)) AS qi FROM span),
+f AS (SELECT grid.entity, grid.qi, revenue FROM grid LEFT JOIN sparse ON grid.entity = sparse.entity AND grid.qi = sparse.qi),
+l AS (SELECT entity, qi, {' + '.join(_LAGS[:4])} AS y1, {' + '.join(_LAGS[4:])} AS y2, lag(revenue, 4) OVER w AS s FROM f WINDOW w AS (PARTITION BY entity ORDER BY qi))
+SELECT entity, qi, round(s * y1 / nullif(y2, 0), 2) AS forecast, round(y1 / nullif(y2, 0) / s * s - 1, 6) + 0.0e0 AS implied, round(y1 * (y1 / nullif(y2, 0)) / nullif(y1, 0) - 1, 6) + 0.0e0 AS implied_year FROM l WHERE y1 + y2 IS NOT NULL""")
+def context_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """Forecasts of a quarter and of a year ahead from unbroken contexts of 8 to 64 quarters, as growth; none where the context is shorter."""
+    p = series.gap_free(v.sparse(spark, d))
+    ahead = blending.seasonal_forecast(blending.contexts(p, "revenue"))
+    x = blending.implied_growth(ahead.filter("h = 0").drop("h"), p, "revenue", "forecast").join(blending.trailing_growth(ahead, p, "revenue", "forecast"), ["entity", "qi"])
+    return rounded(rounded(x, ["implied", "implied_year"]), ["forecast"], 2).select("entity", "qi", "forecast", "implied", "implied_year")
+
+
 _MACRO = ["mac_p1_yoy", "mac_p2_yoy", "mac_p3_yoy"]
 _JOINED = f"""{_QUARTERS}, {DENSE}, {growth_sql('dense')},
 mm AS (SELECT qi + 1 AS qi, {', '.join(f'p{i} / nullif(lag(p{i}, 4) OVER w, 0) - 1 AS mac_p{i}_yoy' for i in (1, 2, 3))} FROM mq WINDOW w AS (ORDER BY qi)),

@@ -58,6 +58,21 @@ def read_universe(spark: SparkSession, d: str) -> DataFrame:
 SELECT entity, c.concept, c.tag, CAST(c.prio AS INTEGER) AS prio, c.unit, CASE WHEN c.concept = 'revenue' THEN CAST(l_shipdate AS DATE) - 90 END AS start, CAST(l_shipdate AS DATE) AS "end", CASE c.tag WHEN 'Sales' THEN l_extendedprice WHEN 'Revenues' THEN l_tax ELSE l_quantity END AS val,
   CAST(year(l_shipdate) AS INTEGER) AS fy, 'Q' || CAST(quarter(l_shipdate) AS VARCHAR) AS fp, '10-Q' AS form, CAST(l_shipdate AS DATE) + 30 AS filed, CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) AS frame FROM f""")
 def facts_to_long(spark: SparkSession, d: str) -> DataFrame:
+    concepts = spark.createDataFrame([("revenue", "Sales", 0, "USD"), ("revenue", "Revenues", 1, "USD"), ("shares", "Shares", 0, "shares")], "concept string, tag string, prio int, unit string")
+    return feeds.facts_to_long(_raw_facts(spark, d), concepts)
+
+
+@query("""SELECT s_suppkey AS entity, CASE WHEN s_suppkey % 5 = 4 OR s_suppkey NOT IN (SELECT l_suppkey FROM lineitem) THEN 'no facts' ELSE 'not JSON' END AS reason FROM supplier WHERE s_suppkey % 5 IN (2, 3, 4) OR s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)""")
+def damaged_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of suppliers: of every five one is cut short, one is null and one has no facts."""
+    k = F.col("s_suppkey") % 5
+    raw = v.table(spark, d, "supplier").join(_raw_facts(spark, d), F.col("s_suppkey") == F.col("entity"), "left")
+    empty = F.lit('{"cik": "1", "facts": {"us-gaap": {}}}')
+    json = F.when(F.col("entity").isNull() | (k == 4), empty).when(k == 2, F.expr("left(json, length(json) - 7)")).when(k == 3, F.lit(None)).otherwise(F.col("json"))
+    return feeds.damaged_facts(raw.select(F.col("s_suppkey").alias("entity"), json.alias("json"))).select("entity", "reason")
+
+
+def _raw_facts(spark: SparkSession, d: str) -> DataFrame:
     """Company facts as nested JSON: a tag in its preferred unit, one in another alone, one in two, and one of no concept."""
     day = F.to_date("l_shipdate")
 
@@ -69,9 +84,7 @@ def facts_to_long(spark: SparkSession, d: str) -> DataFrame:
     li = v.table(spark, d, "lineitem").groupBy("l_suppkey").agg(rows("l_extendedprice", True).alias("a"), rows("l_tax", True).alias("b"), rows("l_quantity", False).alias("c"))
     tag = lambda *units: F.struct(F.create_map(*[x for u, c in units for x in (F.lit(u), F.col(c))]).alias("units"))
     facts = F.create_map(F.lit("Sales"), tag(("EUR", "b"), ("USD", "a")), F.lit("Revenues"), tag(("EUR", "b")), F.lit("Shares"), tag(("shares", "c")), F.lit("Other"), tag(("USD", "a")))
-    raw = li.select(F.col("l_suppkey").alias("entity"), F.to_json(F.struct(F.col("l_suppkey").cast("string").alias("cik"), F.struct(facts.alias("us-gaap")).alias("facts"))).alias("json"))
-    concepts = spark.createDataFrame([("revenue", "Sales", 0, "USD"), ("revenue", "Revenues", 1, "USD"), ("shares", "Shares", 0, "shares")], "concept string, tag string, prio int, unit string")
-    return feeds.facts_to_long(raw, concepts)
+    return li.select(F.col("l_suppkey").alias("entity"), F.to_json(F.struct(F.col("l_suppkey").cast("string").alias("cik"), F.struct(facts.alias("us-gaap")).alias("facts"))).alias("json"))
 
 
 @query("""SELECT replace('A.' || CAST(user_id AS VARCHAR), '.', '') AS entity, CAST(ts AS DATE) AS date, CASE WHEN event_id % 4 > 0 THEN CAST(event_id AS DOUBLE) END AS short, value AS days_to_cover FROM events""")
