@@ -132,6 +132,23 @@ def test_lines_of_long_documents_and_suspects(spark):
     assert keys.filter(line_dedup._is_suspect(bits, F.col("k"))).count() == 500 and other.filter(line_dedup._is_suspect(bits, F.col("k"))).count() < 100
 
 
+def test_lines_beyond_the_broadcast_bound_with_a_hot_line(spark):
+    """More dropped keys than may be broadcast, one of them in over a third of all documents, and a map that is too small for them."""
+    rows = [(i, "\n".join([*(["Hot "] if i % 3 else []), *(f"line {(i * 7 + j) % 40}" for j in range(6)), "line 3", f"own {i}"])) for i in range(120)] + [(None, None), (500, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [line_dedup.drop_common_lines(df, broadcast_rows=limit).collect() for limit in (3, 1000)]
+    spelt = [sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_text) for r in g) for g in got]
+    assert spelt[0] == spelt[1] == brute_lines(rows, 10, 1)
+
+
+def test_batches_of_lines_are_runs_of_rows(spark):
+    rows = spark.range(1000, numPartitions=7).select(F.monotonically_increasing_id().alias("_row"))
+    ends = line_dedup._batch_ends(rows, 4)
+    sizes = [rows.filter((F.col("_row") > a) & (F.col("_row") <= b)).count() for a, b in zip([-1, *ends], [*ends, 1 << 62], strict=True)]
+    assert sum(sizes) == 1000 and min(sizes) > 200
+    assert line_dedup._batch_ends(rows.limit(0), 4) == [-1] * 3 and line_dedup._batch_ends(rows, 1) == []
+
+
 # sharding
 
 

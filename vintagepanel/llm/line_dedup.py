@@ -10,15 +10,16 @@ next level, without the keys that were settled meanwhile. The store lives in the
 folder, a directory a run, so it outlives executors and can be filled over many jobs.
 """
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintagepanel.llm.common import scratch_path, scratch_table, small_or_shuffled, text_of
+from vintagepanel.llm.common import salted_join, scratch_path, scratch_table, text_of
 
-#: Rows of the set of dropped keys (32 bytes of digest each) that are broadcast; more are shuffled.
+#: Rows of the set of dropped keys (16 bytes of digest each) that are broadcast; more are shuffled.
 BROADCAST_ROWS = 500_000
-#: Bits of the map that tells suspect lines; its size does not depend on the input.
-BITS = 1 << 20
+#: Bits of the map that tells suspect lines: BITS_PER_KEY for each dropped key, between these two.
+BITS, MOST_BITS, BITS_PER_KEY = 1 << 20, 1 << 23, 16
 #: Documents of a batch, and the fewest and most batches of a call.
 BATCH_ROWS, BATCHES = 50_000_000, (4, 64)
 _STRIPPED = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -35,18 +36,23 @@ def _lines(text: Column) -> Column:
 
 
 def digests(text: Column, min_length: int) -> Column:
-    """The 128-bit digest of each line's key, as hexadecimal; null for keys of fewer code points."""
+    """The 128-bit digest of each line's key, as 16 bytes; null for keys of fewer code points."""
     keys = F.transform(_lines(text), line_key)
-    return F.transform(keys, lambda k: F.when(F.length(k) >= min_length, F.md5(k)))
+    return F.transform(keys, lambda k: F.when(F.length(k) >= min_length, F.unhex(F.md5(k))))
+
+
+def distinct_keys(digests: Column) -> Column:
+    """Each digest of a row once, nulls left out. Spark finds repeats of strings by hashing, of binaries by comparing all with all."""
+    spelt = F.array_distinct(F.transform(F.array_compact(digests), F.hex))
+    return F.transform(spelt, F.unhex)
 
 
 class LineRuns:
     """Levelled sorted runs of (k, n_docs) in one folder, and the keys that are settled."""
 
-    SCHEMA = "k string, n_docs long, settled boolean"
-
-    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = 10, fanout: int = 2):
+    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = 10, fanout: int = 2, key_type: str = "string"):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.schema = f"k {key_type}, n_docs long, settled boolean"
         self.path = path or scratch_path(spark, "line-runs")
         self.levels: list[list[str]] = []
         self.settled_in: list[str] = []
@@ -60,7 +66,7 @@ class LineRuns:
         return path
 
     def _read(self, paths: list[str], settled: bool) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(*paths).filter(F.col("settled") == settled).drop("settled")
+        return self.spark.read.schema(self.schema).parquet(*paths).filter(F.col("settled") == settled).drop("settled")
 
     def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
@@ -97,22 +103,38 @@ class LineRuns:
         return self._read(self.settled_in, True).select("k")
 
 
-def _suspects(common: DataFrame) -> Column:
-    """A map of BITS bits, one set for each of common (k), as a constant: a digest whose bit is not set is none of them."""
-    bit = F.pmod(F.xxhash64("k"), F.lit(BITS))
-    held = bytearray(BITS // 8)
+def _suspects(common: DataFrame, rows: int = 0) -> Column:
+    """A map of bits, one set for each of the rows of common (k), as a constant: a digest whose bit is not set is none of them.
+
+    Up to half a million keys, fewer than one other line in 16 is suspected. Beyond that
+    the map grows no more and suspects more lines; it saves less work then, and results
+    are the same.
+    """
+    size = BITS
+    while size < min(rows * BITS_PER_KEY, MOST_BITS):
+        size *= 2
+    bit = F.pmod(F.xxhash64("k"), F.lit(size))
     one = F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))
-    for r in common.groupBy(F.shiftright(bit, 3).cast("int").alias("at")).agg(F.bit_or(one).alias("bits")).collect():
-        held[r["at"]] = r["bits"]
-    return F.lit(bytes(held))
+    found = common.groupBy(F.shiftright(bit, 3).cast("int").alias("at")).agg(F.bit_or(one).cast("int").alias("bits")).toArrow()  # a row a byte of the map at most
+    held = np.zeros(size // 8, np.uint8)
+    held[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return F.lit(held.tobytes())
 
 
 def _is_suspect(bits: Column, k: Column) -> Column:
-    bit = F.pmod(F.xxhash64(k), F.lit(BITS))
+    bit = F.pmod(F.xxhash64(k), F.octet_length(bits) * 8)
     byte = F.conv(F.hex(F.substring(bits, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return k.isNotNull() & (F.getbit(byte, (bit % 8).cast("int")) == 1)
 
 
+def _batch_ends(rows: DataFrame, batches: int) -> list[int]:
+    """The last row of every batch but the last, about equally many rows each: runs of rows as they lie in the files, so that a batch reads its own part of them alone."""
+    if batches < 2:
+        return []
+    ends = rows.agg(F.percentile_approx("_row", [b / batches for b in range(1, batches)])).first()[0]
+    return list(ends or [-1] * (batches - 1))
+
+
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_length: int = 1, batches: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_dropped, kept_text.
 
@@ -121,20 +143,24 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the others stay in order, joined by \\n. Each row counts as a document, repeated rows
     and rows of one id too; null ids are kept. Other columns are not read. An empty table
     gives no rows. Only texts with a suspect line are shuffled; others stay where they are.
+    Where more keys are dropped than may be broadcast, each is dealt over salts.
     """
     spark = docs.sparkSession
     read = docs.select(docs[f"`{id_col}`"].alias("_id"), text_of(f"`{text_col}`").alias("_text"))
     rows = scratch_table(read.select("_id", _lines(F.col("_text")).alias("_lines"), digests(F.col("_text"), min_length).alias("_keys"), F.monotonically_increasing_id().alias("_row")), "lines")
     if batches is None:
         batches = min(max(-(-rows.count() // BATCH_ROWS), BATCHES[0]), BATCHES[1])
-    runs = LineRuns(spark, min_docs=min_docs)
-    for b in range(batches):
-        batch = rows.filter(F.pmod(F.xxhash64("_row"), F.lit(batches)) == b)
-        runs.add_keys(batch.select(F.explode(F.array_distinct("_keys")).alias("k")).filter("k IS NOT NULL"))
+    runs = LineRuns(spark, min_docs=min_docs, key_type="binary")
+    ends = _batch_ends(rows, batches)
+    for after, last in zip([None, *ends], [*ends, None], strict=True):
+        batch = rows if after is None else rows.filter(F.col("_row") > after)
+        batch = batch if last is None else batch.filter(F.col("_row") <= last)
+        runs.add_keys(batch.select(F.explode(distinct_keys(F.col("_keys"))).alias("k")))
     common = scratch_table(runs.common_keys(), "common-lines")
-    bits = _suspects(common)
+    n_common = common.count()
+    bits = _suspects(common, n_common)
     marks = rows.select("_row", F.posexplode("_keys").alias("pos", "k")).filter(_is_suspect(bits, F.col("k")))
-    hits = marks.join(small_or_shuffled(common, common.count(), broadcast_rows), "k")
+    hits = salted_join(marks, common, "k", n_common, broadcast_rows, "inner")
     per_row = scratch_table(hits.groupBy("_row").agg(F.collect_list("pos").alias("_drop")), "dropped-lines")
     touched = F.exists("_keys", lambda k: _is_suspect(bits, k))
     columns = ["_id", "_lines", F.size("_keys").alias("_n")]
