@@ -164,13 +164,14 @@ def coefficients(
 
 
 def walk_forward(panel: DataFrame, y: str, features: list[str], name: str = "ridge", by: list[str] | None = None, sets: dict[str, list[str]] | None = None, **options) -> DataFrame:
-    """Forecasts (model, entity, grp, qi, y_true, y_pred) of the qualifying test quarters; with by, a separate fit per group; with sets, a model per set of features."""
+    """Forecasts (model, entity, grp, qi, y_true, y_pred) of the qualifying test quarters; with by, a separate fit per group, whose keys come first; with sets, a model per set of features."""
     by = by or []
     beta = coefficients(panel, y, features, by=by, sets=sets, **options)
     x = F.array(F.lit(1.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
     joined = panel.filter(F.col(y).isNotNull()).join(F.broadcast(beta), [*by, "qi"])
     p = F.aggregate(F.zip_with(x, "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return joined.select(F.col("model") if sets else F.lit(name).alias("model"), "entity", "grp", "qi", F.col(y).alias("y_true"), p.alias("y_pred"))
+    keys = [b for b in by if b not in ("entity", "grp", "qi")]
+    return joined.select(*keys, F.col("model") if sets else F.lit(name).alias("model"), "entity", "grp", "qi", F.col(y).alias("y_true"), p.alias("y_pred"))
 
 
 def shock_lasso(shocks: DataFrame, series: DataFrame, columns: list[str], folds: int = 5, n_penalties: int = 40) -> DataFrame:
