@@ -43,6 +43,29 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert_same(connect(sf_dir), queries.QUERIES[name](spark, sf_dir), queries.ORACLE_SQL[name])
 
 
+def test_scratch_folder_without_a_setting_and_its_removal(tmp_path):
+    """A local session that sets no spark.checkpoint.dir works in a folder of its own, which can be dropped."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = """
+import os
+from pyspark.sql import SparkSession
+from vintagepanel.llm import common
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert not spark.conf.get("spark.checkpoint.dir", None)
+assert common.scratch_table(spark.range(5), "t").count() == 5
+folder = common.run_dir(spark).removeprefix("file:")
+assert len(os.listdir(folder)) == 1 and common.drop_scratch(spark) and not os.path.exists(folder) and not common.drop_scratch(spark)
+assert common.scratch_table(spark.range(3), "t").count() == 3
+print("fine")
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True)
+    assert done.stdout.strip().endswith("fine"), done.stderr[-2000:]
+
+
 # exact dedup
 
 
