@@ -8,7 +8,7 @@ from vintagepanel.functions.sizes import cut_lineage
 from vintagepanel.operators import blending, conformal, correlation, evaluation, panel, ridge, series
 from vintagepanel.plans import views as v
 from vintagepanel.plans.feed_queries import _folder
-from vintagepanel.plans.panel_queries import _QUARTERS, quarterly_series, sql_round
+from vintagepanel.plans.panel_queries import _FEATURE_SQL, _QUARTERS, quarterly_series, sql_round
 from vintagepanel.plans.views import DENSE, GROWN, SERIES, SPARSE, growth_sql, rounded
 from vintagepanel.sources import feeds
 
@@ -308,10 +308,40 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return panel.baselines(series.growth_features(series.clean_growth(v.dense(spark, d))))
 
 
-@query()
+def ridge_sql(source: str, sets: dict[str, list[str]], penalty: float = 1.0) -> str:
+    """CTE rg (model, entity, grp, qi, y_true, y_pred) of walk-forward ridge fits of yoy in source, for WITH RECURSIVE: moments by quarter, running sums, and elimination a column a step.
+
+    Stands after FORECASTS, whose okq lists the test quarters.
+    """
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS model, entity, grp, qi, [1e0, {', '.join(f'coalesce({c}, 0e0)' for c in columns)}, yoy] AS z FROM {source} WHERE yoy IS NOT NULL" for name, columns in sets.items())
+    pivot = "m[s + 1][s + 1]"
+    return f"""rz AS (SELECT *, len(z) - 2 AS k FROM ({rows})),
+ri AS (SELECT *, unnest(range(1, k + 3)) AS i FROM rz), rj AS (SELECT *, unnest(range(i, k + 3)) AS j FROM ri),
+ro AS (SELECT model, k, qi, i, j, sum(z[i] * z[j]) AS v FROM rj GROUP BY ALL),
+rc AS (SELECT * REPLACE (sum(v) OVER (PARTITION BY model, i, j ORDER BY qi RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v) FROM ro),
+ra AS (SELECT rc.* FROM rc JOIN okq ON rc.qi = okq.qi),
+rm AS (SELECT f.model, f.qi, f.j AS i, n.v AS n, f.v / n.v AS mean, sqrt(greatest(d.v / n.v - (f.v / n.v) * (f.v / n.v), 0)) AS sd, y.v AS sum_y
+  FROM ra f JOIN ra d ON d.model = f.model AND d.qi = f.qi AND d.i = f.j AND d.j = f.j JOIN ra n ON n.model = f.model AND n.qi = f.qi AND n.i = 1 AND n.j = 1
+  JOIN ra y ON y.model = f.model AND y.qi = f.qi AND y.i = 1 AND y.j = f.k + 2 WHERE f.i = 1 AND f.j BETWEEN 2 AND f.k + 1),
+rs AS (SELECT * REPLACE (CASE WHEN sd < 1e-12 THEN 'inf'::DOUBLE ELSE sd END AS sd) FROM rm),
+re AS (SELECT a.model, a.qi, a.i, a.j, (a.v - p.n * p.mean * q.mean) / p.sd / q.sd + CASE WHEN a.i = a.j THEN {penalty!r} ELSE 0e0 END AS v FROM ra a JOIN rs p ON p.model = a.model AND p.qi = a.qi AND p.i = a.i JOIN rs q ON q.model = a.model AND q.qi = a.qi AND q.i = a.j
+  UNION ALL SELECT a.model, a.qi, a.i, a.j, (a.v - p.mean * p.sum_y) / p.sd FROM ra a JOIN rs p ON p.model = a.model AND p.qi = a.qi AND p.i = a.i WHERE a.j = a.k + 2),
+rb AS (SELECT * FROM re UNION ALL SELECT re.model, re.qi, re.j AS i, re.i AS j, re.v FROM re JOIN rs ON rs.model = re.model AND rs.qi = re.qi AND rs.i = re.j WHERE re.i < re.j),
+rr AS (SELECT model, qi, i, list(v ORDER BY j) AS r FROM rb GROUP BY ALL),
+el AS (SELECT model, qi, CAST(0 AS BIGINT) AS s, list(r ORDER BY i) AS m FROM rr GROUP BY model, qi
+  UNION ALL SELECT model, qi, s + 1, list_transform(m, lambda r, i: CASE WHEN i = s + 1 THEN list_transform(r, lambda x: x / {pivot}) ELSE list_transform(r, lambda x, j: x - r[s + 1] / {pivot} * m[s + 1][j]) END) FROM el WHERE s < len(m)),
+rl AS (SELECT model, qi, unnest(range(2, len(m) + 2)) AS i, unnest(list_transform(m, lambda r: r[-1])) AS b FROM el WHERE s = len(m)),
+rt AS (SELECT model, qi, list(b / sd ORDER BY i) AS slope, any_value(sum_y / n) - sum(b / sd * mean) AS base FROM rl JOIN rs USING (model, qi, i) GROUP BY model, qi),
+rg AS (SELECT model, entity, grp, qi, z[-1] AS y_true, base + list_sum(list_transform(slope, lambda b, i: b * z[i + 1])) AS y_pred FROM rz JOIN rt USING (model, qi))"""
+
+
+_RIDGE_FEATURES = f"{FORECASTS}, {_FEATURE_SQL}"
+
+
+@query(f"WITH RECURSIVE {_RIDGE_FEATURES}, {ridge_sql('f', {'ridge': _RIDGE})} SELECT model, entity, grp, qi, {sql_round(['y_true', 'y_pred'])} FROM rg")
 def ridge_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    """Ridge forecasts from running cross-products; tests compare them with a fit per quarter."""
-    return ridge.walk_forward(_features(spark, d), "yoy", _RIDGE, warmup=WARMUP, min_train=MIN_TRAIN)
+    """Ridge forecasts from running cross-products; tests also compare them with a fit per quarter."""
+    return rounded(ridge.walk_forward(_features(spark, d), "yoy", _RIDGE, warmup=WARMUP, min_train=MIN_TRAIN), ["y_true", "y_pred"])
 
 
 @query()
