@@ -308,30 +308,41 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return panel.baselines(series.growth_features(series.clean_growth(v.dense(spark, d))))
 
 
-def ridge_sql(source: str, sets: dict[str, list[str]], penalty: float = 1.0) -> str:
-    """CTE rg (model, entity, grp, qi, y_true, y_pred) of walk-forward ridge fits of yoy in source, for WITH RECURSIVE: moments by quarter, running sums, and elimination a column a step.
-
-    Stands after FORECASTS, whose okq lists the test quarters.
-    """
+def _moments_sql(source: str, sets: dict[str, list[str]]) -> str:
+    """CTEs rz (rows with z = 1, features, y) and ro (their moments a model and quarter, upper triangle)."""
     rows = " UNION ALL ".join(f"SELECT '{name}' AS model, entity, grp, qi, [1e0, {', '.join(f'coalesce({c}, 0e0)' for c in columns)}, yoy] AS z FROM {source} WHERE yoy IS NOT NULL" for name, columns in sets.items())
-    pivot = "m[s + 1][s + 1]"
     return f"""rz AS (SELECT *, len(z) - 2 AS k FROM ({rows})),
 ri AS (SELECT *, unnest(range(1, k + 3)) AS i FROM rz), rj AS (SELECT *, unnest(range(i, k + 3)) AS j FROM ri),
-ro AS (SELECT model, k, qi, i, j, sum(z[i] * z[j]) AS v FROM rj GROUP BY ALL),
-rc AS (SELECT * REPLACE (sum(v) OVER (PARTITION BY model, i, j ORDER BY qi RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v) FROM ro),
-ra AS (SELECT rc.* FROM rc JOIN okq ON rc.qi = okq.qi),
-rm AS (SELECT f.model, f.qi, f.j AS i, n.v AS n, f.v / n.v AS mean, sqrt(greatest(d.v / n.v - (f.v / n.v) * (f.v / n.v), 0)) AS sd, y.v AS sum_y
-  FROM ra f JOIN ra d ON d.model = f.model AND d.qi = f.qi AND d.i = f.j AND d.j = f.j JOIN ra n ON n.model = f.model AND n.qi = f.qi AND n.i = 1 AND n.j = 1
-  JOIN ra y ON y.model = f.model AND y.qi = f.qi AND y.i = 1 AND y.j = f.k + 2 WHERE f.i = 1 AND f.j BETWEEN 2 AND f.k + 1),
+ro AS (SELECT model, k, qi, i, j, sum(z[i] * z[j]) AS v FROM rj GROUP BY ALL)"""
+
+
+def _solve_sql(source: str, keys: list[str], penalty: str) -> str:
+    """CTE rt (keys, base, slope) of ridge fits on the moments in source (keys, k, i, j, v): features standardised, then elimination, a column a step. For WITH RECURSIVE."""
+    key, same = ", ".join(keys), lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in keys)
+    of = lambda t: ", ".join(f"{t}.{c}" for c in keys)
+    pivot = "m[s + 1][s + 1]"
+    return f"""rm AS (SELECT {of('f')}, f.j AS i, n.v AS n, f.v / n.v AS mean, sqrt(greatest(d.v / n.v - (f.v / n.v) * (f.v / n.v), 0)) AS sd, y.v AS sum_y
+  FROM {source} f JOIN {source} d ON {same('d', 'f')} AND d.i = f.j AND d.j = f.j JOIN {source} n ON {same('n', 'f')} AND n.i = 1 AND n.j = 1
+  JOIN {source} y ON {same('y', 'f')} AND y.i = 1 AND y.j = f.k + 2 WHERE f.i = 1 AND f.j BETWEEN 2 AND f.k + 1),
 rs AS (SELECT * REPLACE (CASE WHEN sd < 1e-12 THEN 'inf'::DOUBLE ELSE sd END AS sd) FROM rm),
-re AS (SELECT a.model, a.qi, a.i, a.j, (a.v - p.n * p.mean * q.mean) / p.sd / q.sd + CASE WHEN a.i = a.j THEN {penalty!r} ELSE 0e0 END AS v FROM ra a JOIN rs p ON p.model = a.model AND p.qi = a.qi AND p.i = a.i JOIN rs q ON q.model = a.model AND q.qi = a.qi AND q.i = a.j
-  UNION ALL SELECT a.model, a.qi, a.i, a.j, (a.v - p.mean * p.sum_y) / p.sd FROM ra a JOIN rs p ON p.model = a.model AND p.qi = a.qi AND p.i = a.i WHERE a.j = a.k + 2),
-rb AS (SELECT * FROM re UNION ALL SELECT re.model, re.qi, re.j AS i, re.i AS j, re.v FROM re JOIN rs ON rs.model = re.model AND rs.qi = re.qi AND rs.i = re.j WHERE re.i < re.j),
-rr AS (SELECT model, qi, i, list(v ORDER BY j) AS r FROM rb GROUP BY ALL),
-el AS (SELECT model, qi, CAST(0 AS BIGINT) AS s, list(r ORDER BY i) AS m FROM rr GROUP BY model, qi
-  UNION ALL SELECT model, qi, s + 1, list_transform(m, lambda r, i: CASE WHEN i = s + 1 THEN list_transform(r, lambda x: x / {pivot}) ELSE list_transform(r, lambda x, j: x - r[s + 1] / {pivot} * m[s + 1][j]) END) FROM el WHERE s < len(m)),
-rl AS (SELECT model, qi, unnest(range(2, len(m) + 2)) AS i, unnest(list_transform(m, lambda r: r[-1])) AS b FROM el WHERE s = len(m)),
-rt AS (SELECT model, qi, list(b / sd ORDER BY i) AS slope, any_value(sum_y / n) - sum(b / sd * mean) AS base FROM rl JOIN rs USING (model, qi, i) GROUP BY model, qi),
+re AS (SELECT {of('a')}, a.i, a.j, (a.v - p.n * p.mean * q.mean) / p.sd / q.sd + CASE WHEN a.i = a.j THEN {penalty} ELSE 0e0 END AS v FROM {source} a JOIN rs p ON {same('p', 'a')} AND p.i = a.i JOIN rs q ON {same('q', 'a')} AND q.i = a.j
+  UNION ALL SELECT {of('a')}, a.i, a.j, (a.v - p.mean * p.sum_y) / p.sd FROM {source} a JOIN rs p ON {same('p', 'a')} AND p.i = a.i WHERE a.j = a.k + 2),
+rb AS (SELECT * FROM re UNION ALL SELECT {of('re')}, re.j AS i, re.i AS j, re.v FROM re JOIN rs ON {same('rs', 're')} AND rs.i = re.j WHERE re.i < re.j),
+rr AS (SELECT {key}, i, list(v ORDER BY j) AS r FROM rb GROUP BY ALL),
+el AS (SELECT {key}, CAST(0 AS BIGINT) AS s, list(r ORDER BY i) AS m FROM rr GROUP BY {key}
+  UNION ALL SELECT {key}, s + 1, list_transform(m, lambda r, i: CASE WHEN i = s + 1 THEN list_transform(r, lambda x: x / {pivot}) ELSE list_transform(r, lambda x, j: x - r[s + 1] / {pivot} * m[s + 1][j]) END) FROM el WHERE s < len(m)),
+rl AS (SELECT {key}, unnest(range(2, len(m) + 2)) AS i, unnest(list_transform(m, lambda r: r[-1])) AS b FROM el WHERE s = len(m)),
+rt AS (SELECT {key}, list(b / sd ORDER BY i) AS slope, any_value(sum_y / n) - sum(b / sd * mean) AS base FROM rl JOIN rs USING ({key}, i) GROUP BY {key})"""
+
+
+_PAST = "OVER (PARTITION BY model, i, j ORDER BY qi RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def ridge_sql(source: str, sets: dict[str, list[str]], penalty: float = 1.0) -> str:
+    """CTE rg (model, entity, grp, qi, y_true, y_pred) of walk-forward ridge fits of yoy in source. Stands after FORECASTS, whose okq lists the test quarters."""
+    return f"""{_moments_sql(source, sets)},
+rc AS (SELECT * REPLACE (sum(v) {_PAST} AS v) FROM ro), ra AS (SELECT rc.* FROM rc JOIN okq ON rc.qi = okq.qi),
+{_solve_sql('ra', ['model', 'qi'], repr(penalty))},
 rg AS (SELECT model, entity, grp, qi, z[-1] AS y_true, base + list_sum(list_transform(slope, lambda b, i: b * z[i + 1])) AS y_pred FROM rz JOIN rt USING (model, qi))"""
 
 
@@ -344,11 +355,23 @@ def ridge_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ridge.walk_forward(_features(spark, d), "yoy", _RIDGE, warmup=WARMUP, min_train=MIN_TRAIN), ["y_true", "y_pred"])
 
 
-@query()
+_PENALTIES = (0.1, 1.0, 10.0, 100.0)
+
+
+@query(f"""WITH RECURSIVE {_RIDGE_FEATURES}, {_moments_sql('f', {'ridge': _RIDGE})},
+tq AS (SELECT okq.qi, n_train, i, j, k, ro.qi % 5 AS fold, sum(v) AS v FROM okq JOIN ro ON ro.qi < okq.qi GROUP BY ALL),
+wh AS (SELECT qi, i, j, sum(v) AS v FROM tq GROUP BY ALL),
+fo AS (SELECT tq.*, wh.v - tq.v AS rest FROM tq JOIN wh USING (qi, i, j)),
+able AS (SELECT qi, fold FROM fo WHERE i = 1 AND j = 1 AND v >= 1 AND rest >= 2),
+ra AS (SELECT qi, fold, p, i, j, k, rest AS v FROM fo JOIN able USING (qi, fold), (SELECT unnest({list(_PENALTIES)}::DOUBLE[]) AS p)),
+{_solve_sql('ra', ['qi', 'fold', 'p'], 'a.p')},
+co AS (SELECT qi, fold, p, list_concat([base], slope, [-1e0]) AS c FROM rt),
+ls AS (SELECT qi, p, sum(c[i] * c[j] * v * CASE WHEN i = j THEN 1 ELSE 2 END) AS loss FROM co JOIN fo USING (qi, fold) GROUP BY ALL)
+SELECT qi, okq.n_train, arg_min(p, loss) AS penalty FROM ls JOIN okq USING (qi) GROUP BY ALL""")
 def ridge_cross_validated(spark: SparkSession, d: str) -> DataFrame:
-    """qi, n_train and the penalty that cross-validation chose; tests compare it with refits on the rows."""
+    """qi, n_train and the penalty that cross-validation chose; tests also compare it with refits on the rows."""
     f = _features(spark, d)
-    return ridge.coefficients(f, "yoy", _RIDGE, warmup=WARMUP, min_train=MIN_TRAIN, penalties=(0.1, 1.0, 10.0, 100.0)).select("qi", "n_train", "penalty")
+    return ridge.coefficients(f, "yoy", _RIDGE, warmup=WARMUP, min_train=MIN_TRAIN, penalties=_PENALTIES).select("qi", "n_train", "penalty")
 
 
 @query()
@@ -367,11 +390,19 @@ def _blocks(spark: SparkSession, d: str) -> tuple[DataFrame, list[str], dict[str
     f = panel.macro_join(_features(spark, d), panel.macro_features(quarterly_series(spark, d), list(SERIES), list(SERIES)))
     f = panel.peers(f, "f_lag_yoy_1")
     f = f.withColumns({f"sec_{i}": (F.col("grp") == g).cast("double") for i, g in enumerate(_GROUPS)})
-    blocks = {"momentum": ["f_lag_qoq", "f_qoq_mean_4"], "peers": ["f_lag_yoy_1_peer_mean", "f_lag_yoy_1_vs_peers"]} | {s: [f"mac_{s}_yoy"] for s in SERIES}
-    return cut_lineage(f), _RIDGE[:3], blocks
+    return cut_lineage(f), _BASE, _BLOCKS
 
 
 _GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+_BASE = _RIDGE[:3]
+_BLOCKS = {"momentum": ["f_lag_qoq", "f_qoq_mean_4"], "peers": ["f_lag_yoy_1_peer_mean", "f_lag_yoy_1_vs_peers"]} | {s: [f"mac_{s}_yoy"] for s in SERIES}
+_SECTORS = [f"sec_{i}" for i in range(len(_GROUPS))]
+_OTHERS = "(count(f_lag_yoy_1) OVER w - CASE WHEN f_lag_yoy_1 IS NOT NULL THEN 1 ELSE 0 END)"
+_BLOCK_SQL = f"""{_RIDGE_FEATURES}, {_QUARTERS},
+bm AS (SELECT qi + 1 AS qi, {', '.join(f'{s} / nullif(lag({s}, 4) OVER w, 0) - 1 AS mac_{s}_yoy, {s} / nullif(lag({s}, 1) OVER w, 0) - 1 AS mac_{s}_qoq' for s in SERIES)} FROM mq WINDOW w AS (ORDER BY qi)),
+bp AS (SELECT *, CASE WHEN {_OTHERS} > 0 THEN (sum(f_lag_yoy_1) OVER w - coalesce(f_lag_yoy_1, 0)) / {_OTHERS} END AS f_lag_yoy_1_peer_mean, median(f_lag_yoy_1) OVER w AS f_lag_yoy_1_peer_median,
+  stddev_samp(f_lag_yoy_1) OVER w AS f_lag_yoy_1_peer_std, f_lag_yoy_1 - median(f_lag_yoy_1) OVER w AS f_lag_yoy_1_vs_peers, {', '.join(f"CASE WHEN grp = '{g}' THEN 1e0 ELSE 0e0 END AS sec_{i}" for i, g in enumerate(_GROUPS))} FROM f WINDOW w AS (PARTITION BY grp, qi)),
+bf AS (SELECT bp.*, bm.* EXCLUDE (qi) FROM bp LEFT JOIN bm ON bp.qi = bm.qi)"""
 
 #: Macro columns in groups that are decided on together.
 THEMES = {
@@ -386,10 +417,12 @@ def _fits(f: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
     return cut_lineage(ridge.walk_forward(f, "yoy", columns, sets=sets, warmup=WARMUP, min_train=MIN_TRAIN))
 
 
+_SWEEP = {"base": _BASE} | {n: _BASE + c for n, c in _BLOCKS.items()} | {"ALL_BLOCKS": _BASE + [c for b in _BLOCKS.values() for c in b]}
+
+
 def _sweep(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, int]]:
-    f, base, blocks = _blocks(spark, d)
-    sets = {"base": base} | {n: base + c for n, c in blocks.items()} | {"ALL_BLOCKS": base + [c for b in blocks.values() for c in b]}
-    return evaluation.pair_with(_fits(f, sets), "base").withColumnRenamed("model", "block"), {n: len(c) - len(base) for n, c in sets.items()}
+    f, base, _ = _blocks(spark, d)
+    return evaluation.pair_with(_fits(f, _SWEEP), "base").withColumnRenamed("model", "block"), {n: len(c) - len(base) for n, c in _SWEEP.items()}
 
 
 @query()
@@ -400,10 +433,13 @@ def block_sweep(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("n_columns", F.create_map(*[F.lit(x) for n, c in sizes.items() for x in (n, c)])[F.col("block")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BLOCK_SQL}, {ridge_sql('bf', _SWEEP)},
+x AS (SELECT b.model AS block, b.qi, b.y_true AS t, a.y_pred AS p, b.y_pred AS q FROM rg b JOIN rg a USING (entity, qi) WHERE a.model = 'base' AND b.model <> 'base'),
+s AS (SELECT block, qi, avg((p - t) * (p - t) - (q - t) * (q - t)) AS d_se, avg(CASE WHEN sign(t) = sign(q) THEN 1e0 ELSE 0e0 END - CASE WHEN sign(t) = sign(p) THEN 1e0 ELSE 0e0 END) AS d_hit FROM x GROUP BY 1, 2)
+SELECT block, qi, {sql_round(['d_se', 'd_hit'])} FROM s""")
 def block_sweep_quarters(spark: SparkSession, d: str) -> DataFrame:
     """The differences of block_sweep by quarter, so that a block with a part of the history can be tested on what it covers."""
-    return evaluation.per_quarter(_sweep(spark, d)[0], ["block"], ("d_se", "d_hit"))
+    return rounded(evaluation.per_quarter(_sweep(spark, d)[0], ["block"], ("d_se", "d_hit")), ["d_se", "d_hit"])
 
 
 @query()
@@ -431,22 +467,44 @@ def macro_ablation(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("n_features", size).join(F.broadcast(listed), "model", "left")
 
 
-@query()
-def expert_forecasts(spark: SparkSession, d: str) -> DataFrame:
-    """Out-of-sample forecasts of experts that see a family of columns each (the sector's: its peers and which it is), side by side with their trailing errors."""
+def _experts(spark: SparkSession, d: str) -> DataFrame:
     f, _, _ = _blocks(spark, d)
     views = panel.expert_columns(f.drop(*THEMES["levels"]), {"company": {"own history", "fundamentals"}, "macro": {"macro"}})
     peers = [c for c in views["full"] if "peer" in c]
-    which = [f"sec_{i}" for i in range(len(_GROUPS))]
-    views = {"company": [c for c in views["company"] if c not in peers], "macro": views["macro"], "sector": peers + which, "full": views["full"] + which}
+    views = {"company": [c for c in views["company"] if c not in peers], "macro": views["macro"], "sector": peers + _SECTORS, "full": views["full"] + _SECTORS}
     wide = blending.widen(_fits(f, views), list(views))
     return blending.softmax_blend(wide, ["company", "macro", "sector"])
 
 
-@query()
+# what the experts see, listed for the SQL; the query finds it by the families of the columns
+_COMPANY = [*(f"f_lag_yoy_{i}" for i in range(1, 6)), "f_mean_4", "f_mean_8", "f_std_4", "f_std_8", "f_exp_mean", "f_exp_std", "f_exp_n", "f_lag_qoq", "f_qoq_mean_4", "f_accel_1", "f_accel_4", "f_zscore"]
+_CHANGES = [f"mac_{s}_{x}" for x in ("yoy", "qoq") for s in SERIES]
+_PEER = [f"f_lag_yoy_1_{x}" for x in ("peer_mean", "peer_median", "peer_std", "vs_peers")]
+_VIEWS = {"company": _COMPANY, "macro": _CHANGES, "sector": _PEER + _SECTORS, "full": _COMPANY + _CHANGES + _PEER + _SECTORS}
+_GATED = ["company", "macro", "sector"]
+_EXPERT_SQL = f"""{_BLOCK_SQL}, {ridge_sql('bf', _VIEWS)},
+xw AS (SELECT entity, grp, qi, any_value(y_true) AS y_true, {', '.join(f"max(y_pred) FILTER (WHERE model = '{m}') AS \"{m}\"" for m in _VIEWS)} FROM rg GROUP BY entity, grp, qi),
+xe AS (SELECT *, {', '.join(f'avg(abs({m} - y_true)) OVER w AS err_{m}' for m in _GATED)} FROM xw WINDOW w AS (PARTITION BY entity ORDER BY qi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+xx AS (SELECT *, {', '.join(f'exp(-coalesce(err_{m}, 0) / 0.05e0) AS x_{m}' for m in _GATED)} FROM xe),
+xs AS (SELECT * EXCLUDE ({', '.join(f'x_{m}' for m in _GATED)}), {', '.join(f"x_{m} / ({' + '.join(f'x_{k}' for k in _GATED)}) AS w_{m}" for m in _GATED)} FROM xx),
+xg AS (SELECT *, {' + '.join(f'w_{m} * {m}' for m in _GATED)} AS gate FROM xs)"""
+_EXPERT = ["y_true", *_VIEWS, *(f"{x}_{m}" for x in ("err", "w") for m in _GATED), "gate"]
+
+
+@query(f"WITH RECURSIVE {_EXPERT_SQL} SELECT entity, grp, qi, {sql_round([f'"{c}"' for c in _EXPERT])} FROM xg")
+def expert_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-sample forecasts of experts that see a family of columns each (the sector's: its peers and which it is), side by side with their trailing errors."""
+    return rounded(_experts(spark, d), _EXPERT)
+
+
+_AGAINST = ["rmse_a", "rmse_b", "rmse_delta", "dir_a", "dir_b"]
+
+
+@query(f"""WITH RECURSIVE {_EXPERT_SQL}, s0 AS (SELECT grp, count(*) AS n, {', '.join(f'sqrt(avg(({m} - y_true) * ({m} - y_true))) AS rmse_{x}, avg(CASE WHEN sign(y_true) = sign({m}) THEN 1e0 ELSE 0e0 END) AS dir_{x}' for x, m in (('a', 'gate'), ('b', '"full"')))} FROM xg GROUP BY grp),
+s AS (SELECT *, rmse_a - rmse_b AS rmse_delta FROM s0) SELECT grp, n, {sql_round(_AGAINST)} FROM s""")
 def gate_by_group(spark: SparkSession, d: str) -> DataFrame:
     """The gate over three experts against the full model, by group: errors, their difference and hits (below 0: the gate is better)."""
-    return evaluation.gate_against(expert_forecasts(spark, d), "gate", "full", "grp")
+    return rounded(evaluation.gate_against(_experts(spark, d), "gate", "full", "grp"), _AGAINST)
 
 
 @query()
