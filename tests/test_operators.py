@@ -62,6 +62,17 @@ def test_leave_one_out(spark):
     assert out == {"a": 3.0, "b": 1.0, "c": 2.0, "d": None}
 
 
+def test_group_medians_hold_no_group(spark):
+    """Medians of two columns against percentile() on a group with most of the rows, ties, nulls, and rows without a key; the plan has no percentile of a group."""
+    x = spark.range(60_000).select(F.col("id").alias("entity"), F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 == 0, "cold").alias("grp"), F.when(F.col("id") % 77 > 0, F.col("id") % 2).alias("qi"), F.when(F.col("id") % 3 > 0, F.round(F.rand(5), 3)).alias("a"), (F.col("id") % 7).alias("b"))
+    x = x.unionByName(x.limit(1).select("entity", F.lit("bare").alias("grp"), F.lit(1).cast("long").alias("qi"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("long").alias("b")))
+    found = panel.group_median(x, {"a": "m_a", "b": "m_b"})
+    assert found.count() == x.count() and "percentile(" not in found._jdf.queryExecution().toString()
+    got = {(r.grp, r.qi): (r.m_a, r.m_b) for r in found.select("grp", "qi", "m_a", "m_b").distinct().collect()}
+    want = {(r.grp, r.qi): (r.a, r.b) for r in x.dropna(subset=["grp", "qi"]).groupBy("grp", "qi").agg(F.median("a").alias("a"), F.median("b").alias("b")).collect()}
+    assert {k: v for k, v in got.items() if None not in k} == want and all(v == (None, None) for k, v in got.items() if None in k)
+
+
 def test_trim_keeps_all_if_nothing_is_dense(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "entity string, qi long")
     assert panel.trim(df, 1, 0.9, 10).count() == 2 and panel.trim(df, 2, 0.1, 2).count() == 1

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintagepanel.functions import guarded as g
+from vintagepanel.functions.order import group_quantiles
 
 
 def group_correlation(df: DataFrame, y: str, series: list[str], by: str = "grp", least: int = 50) -> DataFrame:
@@ -14,7 +15,8 @@ def group_correlation(df: DataFrame, y: str, series: list[str], by: str = "grp",
 
 def median_correlation(df: DataFrame, y: str, series: list[str], by: str = "grp", least: int = 8) -> DataFrame:
     """The same of the group's median y a quarter, one row a quarter, so that a quarter counts once however many entities it has."""
-    typical = df.groupBy(by, "qi").agg(F.median(y).alias("_typical"), *[F.max(s).alias(s) for s in series])
+    middle = group_quantiles(df.dropna(subset=[by, "qi"]), [by, "qi"], y, [0.5]).select(by, "qi", F.get("q", F.lit(0)).alias("_typical"))
+    typical = df.groupBy(by, "qi").agg(*[F.max(s).alias(s) for s in series]).join(F.broadcast(middle), [by, "qi"])
     return group_correlation(typical, "_typical", series, by, least)
 
 

@@ -49,17 +49,25 @@ def annual_margin(df: DataFrame, part: Column, revenue: str, name: str, band: tu
 
 
 def group_median(df: DataFrame, columns: dict[str, str], by: tuple[str, ...] = ("grp", "qi")) -> DataFrame:
-    """Adds, for each column, the median of its group and quarter under the new name."""
-    w = Window.partitionBy(*by)
-    return df.withColumns({new: g.median(F.col(c)).over(w) for c, new in columns.items()})
+    """Adds, for each column, the median of its group and quarter under the new name; null where the row has no group or quarter, or the group no value.
+
+    All columns are one stacked pass, and no task holds a group; a row per group and
+    quarter comes back, so that is broadcast.
+    """
+    pairs = [F.struct(F.lit(new).alias("c"), F.col(c).cast("double").alias("x")) for c, new in columns.items()]
+    long = df.select(*by, F.explode(F.array(*pairs)).alias("_s")).select(*by, F.col("_s.c").alias("_c"), F.col("_s.x").alias("_x")).dropna(subset=list(by))
+    middle = group_quantiles(long, [*by, "_c"], "_x", [0.5]).withColumn("_m", F.get("q", F.lit(0)))
+    return df.join(F.broadcast(middle.groupBy(*by).pivot("_c", list(columns.values())).agg(F.first("_m"))), list(by), "left").select(*df.columns, *columns.values())
 
 
 def peers(df: DataFrame, x: str, by: tuple[str, ...] = ("grp", "qi")) -> DataFrame:
-    """Mean of x over the other members of the group and quarter, and the group's median, deviation and own distance from the median."""
-    w, v = Window.partitionBy(*by), F.col(x)
-    others = F.count(v).over(w) - v.isNotNull().cast("long")
-    middle = g.median(v).over(w)
-    return df.withColumns({f"{x}_peer_mean": F.when(others > 0, (F.sum(v).over(w) - F.coalesce(v, F.lit(0.0))) / others), f"{x}_peer_median": middle, f"{x}_peer_std": F.stddev_samp(v).over(w), f"{x}_vs_peers": v - middle})
+    """Mean of x over the other members of the group and quarter, and the group's median, deviation and own distance from the median; all null where the row has no group or quarter."""
+    v, median = F.col(x), f"{x}_peer_median"
+    group = df.groupBy(*by).agg(F.count(v).alias("_n"), F.sum(v).alias("_sum"), F.stddev_samp(v).alias(f"{x}_peer_std"))
+    others = F.col("_n") - v.isNotNull().cast("long")
+    out = group_median(df, {x: median}, by).join(F.broadcast(group), list(by), "left")
+    new = {f"{x}_peer_mean": F.when(others > 0, (F.col("_sum") - F.coalesce(v, F.lit(0.0))) / others), f"{x}_vs_peers": v - F.col(median)}
+    return out.withColumns(new).select(*df.columns, f"{x}_peer_mean", median, f"{x}_peer_std", f"{x}_vs_peers")
 
 
 def macro_features(macro: DataFrame, levels: list[str], changes: list[str], lag: int = 1, ladder: tuple[int, ...] = ()) -> DataFrame:

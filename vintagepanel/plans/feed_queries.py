@@ -11,6 +11,9 @@ from vintagepanel.plans import views as v
 from vintagepanel.plans.views import DENSE
 from vintagepanel.sources import feeds
 
+#: Entries of a page of a landed feed.
+PAGE = 1000
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -121,17 +124,18 @@ def flatten_estimates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT source AS entity, 'doc ' || CAST(doc_id AS VARCHAR) AS title, CAST(DATE '2020-01-01' + CAST(doc_id % 1000 AS INTEGER) AS VARCHAR) AS time, CAST(n_chars AS VARCHAR) AS score, CASE WHEN doc_id % 4 > 0 THEN doc_id / 8e0 END AS own_score FROM documents""")
 def flatten_news(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as a feed of news a source: entries name other sources first, and every fourth not its own."""
+    """Documents as a feed of news a source, a page of at most PAGE entries a row: entries name other sources first, and every fourth not its own."""
     i = F.col("doc_id")
     entry = lambda t, s: F.struct(t.alias("ticker"), s.cast("string").alias("score"))
     told = F.when(i % 4 > 0, F.array(entry(F.lit("other"), F.lit(1.0)), entry(F.col("source"), i / 8.0))).otherwise(F.array(entry(F.lit("other"), F.lit(2.0))))
     feed = F.collect_list(F.struct(F.concat(F.lit("doc "), i).alias("title"), F.date_add(F.lit("2020-01-01").cast("date"), (i % 1000).cast("int")).cast("string").alias("time"), F.col("n_chars").cast("string").alias("score"), told.alias("sentiments")))
-    return feeds.flatten_news(v.table(spark, d, "documents").groupBy(F.col("source").alias("entity")).agg(feed.alias("feed")))
+    return feeds.flatten_news(v.table(spark, d, "documents").groupBy(F.col("source").alias("entity"), F.floor(i / PAGE)).agg(feed.alias("feed")))
 
 
 @query("SELECT user_id AS entity, event_type AS kind, value AS amount FROM events")
 def flatten_insider(spark: SparkSession, d: str) -> DataFrame:
-    raw = v.table(spark, d, "events").groupBy(F.col("user_id").alias("entity")).agg(F.collect_list(F.struct(F.col("event_type").alias("kind"), F.col("value").alias("amount"))).alias("rows"))
+    """Events as lists of transactions a user, a page of at most PAGE a row."""
+    raw = v.table(spark, d, "events").groupBy(F.col("user_id").alias("entity"), F.floor(F.col("event_id") / PAGE)).agg(F.collect_list(F.struct(F.col("event_type").alias("kind"), F.col("value").alias("amount"))).alias("rows"))
     return feeds.flatten_rows(raw, "rows")
 
 
