@@ -101,6 +101,14 @@ def coverage_report(spark: SparkSession, d: str) -> DataFrame:
     return feeds.coverage_report(v.table(spark, d, "nation").select(F.col("n_name").alias("entity")), feeds.normalize_prices(raw, "px", "volume", "orders"))
 
 
+@query("""SELECT user_id AS entity, CAST(ts - INTERVAL 330 MINUTE AS DATE) AS date, value AS px, CAST(event_id % 100 AS DOUBLE) AS volume, 'events' AS source FROM events WHERE event_id % 9 > 0""")
+def normalize_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Events as quotes stamped in the local time of a zone, dated in UTC; every ninth lacks a close and goes."""
+    k = F.col("event_id")
+    raw = v.table(spark, d, "events").select(F.col("user_id").alias("entity"), "ts", F.when(k % 9 > 0, F.col("value")).alias("close"), (k % 100).alias("shares"))
+    return feeds.normalize_prices(raw, "close", "shares", "events", "Asia/Kolkata")
+
+
 @query(f"WITH {DOCS} SELECT doc_id, entity, date FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC, doc_id DESC) AS n FROM docs) WHERE n <= 5")
 def latest_documents(spark: SparkSession, d: str) -> DataFrame:
     return feeds.latest_documents(v.doc_rows(spark, d).select("doc_id", "entity", "date"), 5)
