@@ -110,6 +110,12 @@ def test_restatements(spark):
     assert fundamentals.one_per_period(df).first().val == 3.0 and fundamentals.one_per_period(df, first_reported=True).first().val == 2.0
 
 
+def test_facts_are_dealt_out_before_they_are_sorted(spark):
+    df = spark.createDataFrame([("a", "rev", "t1", 1, day("2024-03-31"), day("2024-05-01"), 1.0)], "entity string, concept string, tag string, prio int, end date, filed date, val double")
+    plan = fundamentals.one_per_period(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("Sort [") < plan.index("Exchange")
+
+
 @pytest.mark.parametrize(("n", "reported", "rows"), [(3, False, 1), (2, False, 0), (3, True, 0)])
 def test_residual_quarter(spark, n, reported, rows):
     q = [("a", "r", day("2024-01-06"), day("2024-03-31"), 10.0), ("a", "r", day("2024-04-01"), day("2024-06-30"), 20.0), ("a", "r", day("2024-07-01"), day("2024-09-30"), 30.0)][:n]

@@ -1,6 +1,6 @@
 """Reconciliation of restated facts: one value per concept and period, missing quarters derived, wide rows."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FORMS = ["10-Q", "10-K", "10-Q/A", "10-K/A"]
@@ -13,11 +13,17 @@ def classify(facts: DataFrame) -> DataFrame:
     return facts.filter(F.col("form").isin(FORMS)).withColumn("kind", kind).filter("kind IS NOT NULL")
 
 
-def one_per_period(facts: DataFrame, keys: tuple[str, ...] = ("entity", "concept", "end"), first_reported: bool = False, ties: tuple[str, ...] = ("tag",)) -> DataFrame:
-    """The row of the best tag (lowest prio) of each period; of these the latest filed, or the earliest."""
+def one_per_period(facts: DataFrame, keys: tuple[str, ...] = ("entity", "concept", "end"), first_reported: bool = False, ties: tuple[str, ...] = ("tag",), over_all: dict[str, Column] | None = None, by: tuple[str, ...] = ("entity", "end")) -> DataFrame:
+    """The row of the best tag (lowest prio) of each period; of these the latest filed, or the earliest. over_all: aggregates of all rows of the period, as further columns.
+
+    Rows are dealt out by those keys that `by` names before anything is sorted: a task sorts
+    a share of the rows, not all that it read, and the concepts of a filing stay side by side.
+    """
     filed = F.col("filed").asc() if first_reported else F.col("filed").desc()
-    w = Window.partitionBy(*keys).orderBy("prio", filed, *ties)
-    return facts.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    w, whole = Window.partitionBy(*keys).orderBy("prio", filed, *ties), Window.partitionBy(*keys)
+    dealt = facts.repartition(*[k for k in keys if k in by] or keys)
+    ranked = dealt.withColumn("_n", F.row_number().over(w)).withColumns({n: a.over(whole) for n, a in (over_all or {}).items()})
+    return ranked.filter("_n = 1").drop("_n")
 
 
 def derive_last_quarter(quarters: DataFrame, years: DataFrame, slack: int = 8, margin: int = 20) -> DataFrame:
@@ -54,8 +60,13 @@ def with_source(wide: DataFrame, concept: str, parts: tuple[str, str] | None = N
     return out
 
 
-def fiscal_label(facts: DataFrame) -> DataFrame:
-    """One fiscal year and period per entity and end; Q1 to Q4 before FY before others."""
+def fiscal_order() -> Column:
+    """fy and fp of a fact behind their rank: Q1 to Q4 before FY before others."""
     rank = F.when(F.col("fp") == "FY", 5).when(F.col("fp").rlike("^Q[1-4]$"), F.substring("fp", 2, 1).cast("int")).otherwise(6)
-    best = F.min(F.struct(rank.alias("o"), "fy", "fp"))
+    return F.struct(rank.alias("o"), "fy", "fp")
+
+
+def fiscal_label(facts: DataFrame, order: Column | None = None) -> DataFrame:
+    """One fiscal year and period per entity and end: the first in fiscal_order, or in `order`, which then holds what was found of several facts."""
+    best = F.min(fiscal_order() if order is None else order)
     return facts.groupBy("entity", "end").agg(best.alias("b")).select("entity", "end", "b.fy", "b.fp")
