@@ -80,6 +80,17 @@ def test_financials_of_odd_facts(spark):
     assert assembly.collect_financials(spark.createDataFrame([], kind), ["rev"]).count() == 0
 
 
+def test_financials_read_the_facts_once(spark, monkeypatch):
+    kind = "entity int, concept string, tag string, prio int, form string, start date, end date, filed date, val double, fy int, fp string"
+    q = lambda m: (DAY(2020, m, 1), DAY(2020, m + 2, 28))
+    rows = [(1, "rev", "A", 0, "10-Q", *q(1), DAY(2020, 5, 1), 7.0, 2020, "FY"), (1, "rev", "B", 1, "10-Q", *q(1), DAY(2020, 6, 1), 9.0, 2019, "Q1")]
+    cuts = []
+    monkeypatch.setattr(assembly, "cut_lineage", lambda df: cuts.append(df) or df.localCheckpoint())
+    x = assembly.collect_financials(spark.createDataFrame(rows, kind), ["rev"])
+    assert len(cuts) == 1 and "form#" not in x._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.rev, r.fy, r.fp) for r in x.collect()] == [(7.0, 2019, "Q1")]  # the label is that of a fact which was not kept
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.sampled_from([0.0, 1.0, 2.5, -3.0]), st.floats(-5, 5))), min_size=1, max_size=60))
 def test_group_quantiles_are_exact(spark, rows):

@@ -22,16 +22,19 @@ def collect_financials(facts: DataFrame, concepts: list[str], proxy: tuple[str,
     latest filing and the fiscal labels. Rows that cannot be classified, and entities
     without facts, are simply not there.
     """
-    kinds = fundamentals.classify(facts)
-    kept = fundamentals.one_per_period(kinds.withColumn("whole", F.col("kind") == "annual"), ("entity", "concept", "end", "whole"), first_reported, ties)
-    quarters, years = kept.filter("kind = 'quarterly'"), kept.filter("whole")
+    fiscal = fundamentals.fiscal_order()
+    kinds = fundamentals.classify(facts).withColumns({"whole": F.col("kind") == "annual", "label": fiscal})
+    read = dict.fromkeys(["entity", "concept", "tag", "prio", "start", "end", "filed", "val", *ties, "whole", "label"])
+    kept = fundamentals.one_per_period(kinds.select(*read), ("entity", "concept", "end", "whole"), first_reported, ties, {"label": F.min("label")})
+    kept = cut_lineage(kept.select("entity", "concept", "tag", "start", "end", "filed", "val", "whole", "label"))
+    quarters, years = kept.filter("NOT whole AND start IS NOT NULL"), kept.filter("whole")
     narrow = ["entity", "concept", "start", "end", "val"]
     derived = fundamentals.derive_last_quarter(quarters.select(narrow), years.select(narrow))
     filed = years.select("entity", "concept", "end", "filed", F.concat("tag", F.lit(" less three quarters")).alias("tag"))
     rows = kept.filter("NOT whole").select("entity", "concept", "end", "filed", "tag", "val")
     rows = rows.unionByName(derived.drop("start").join(filed, ["entity", "concept", "end"]))
     wide = fundamentals.with_source(fundamentals.pivot_wide(rows, concepts), concepts[0], proxy)
-    return wide.join(fundamentals.fiscal_label(kinds), ["entity", "end"], "left")
+    return wide.join(fundamentals.fiscal_label(kept, F.col("label")), ["entity", "end"], "left")
 
 
 def build_features(clean: DataFrame, lag: int = 1) -> DataFrame:
