@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vintagepanel.functions import order
 from vintagepanel.operators import assembly, blending, conformal, evaluation, panel, ridge, series, temporal, text
+from vintagepanel.plans import assembly_queries, views
 
 DAY = datetime.date
 
@@ -91,6 +92,14 @@ def test_financials_read_the_facts_once(spark, monkeypatch):
     assert [(r.rev, r.fy, r.fp) for r in x.collect()] == [(7.0, 2019, "Q1")]  # the label is that of a fact which was not kept
 
 
+@pytest.mark.parametrize("name", ["purged_scores", "year_ahead_targets"])
+def test_accounts_read_the_lines_once(spark, sf_dir, monkeypatch, name):
+    cuts = []
+    monkeypatch.setattr(views, "cut_lineage", lambda df: cuts.append(df) or df.localCheckpoint(), raising=False)
+    files = assembly_queries.QUERIES[name](spark, sf_dir).inputFiles()
+    assert len(cuts) == 1 and not any("lineitem" in f for f in files)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.sampled_from([0.0, 1.0, 2.5, -3.0]), st.floats(-5, 5))), min_size=1, max_size=60))
 def test_group_quantiles_are_exact(spark, rows):

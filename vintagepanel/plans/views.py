@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagepanel.functions.quarters import quarter_index, quarter_label
+from vintagepanel.functions.sizes import cut_lineage
 from vintagepanel.operators import panel, series
 
 
@@ -40,20 +41,21 @@ def ratios(spark: SparkSession, d: str) -> DataFrame:
     li, o, c, n, r = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
     names = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("entity"), F.col("r_name").alias("grp"))
     price = F.col("l_extendedprice")
-    x = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    x = x.groupBy("c_nationkey", quarter_index(F.col("o_orderdate")).alias("qi")).agg(cents(price).alias("revenue"), cents(price * F.col("l_discount"), 4).alias("cost"), cents(price * F.col("l_tax"), 4).alias("tax"), cents(F.col("l_quantity")).alias("qty"))
+    sold = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey", quarter_index(F.col("o_orderdate")).alias("qi"))
+    x = li.join(sold, F.col("l_orderkey") == F.col("o_orderkey"))  # lines are moved once, by order
+    x = x.groupBy("c_nationkey", "qi").agg(cents(price).alias("revenue"), cents(price * F.col("l_discount"), 4).alias("cost"), cents(price * F.col("l_tax"), 4).alias("tax"), cents(F.col("l_quantity")).alias("qty"))
     return x.join(F.broadcast(names), F.col("c_nationkey") == F.col("n_nationkey")).select("entity", "grp", "qi", "revenue", "cost", "tax", "qty")
 
 
 def accounts(spark: SparkSession, d: str) -> DataFrame:
-    """ratios with the lines of accounts made of them; gross profit and debt are missing in some quarters."""
+    """ratios with the lines of accounts made of them; gross profit and debt are missing in some quarters. The lines are read once, however often the accounts are used."""
     c = F.col
     new = {
         "gross_profit": F.when(c("qi") % 5 > 0, c("revenue") - c("cost")), "operating_income": c("revenue") - c("cost") - c("tax"), "depreciation": c("tax") * 0.5, "net_income": c("revenue") - c("cost") * 2.0,
         "research": c("tax") * 0.25, "overhead": c("cost") * 0.5, "capex": c("qty") * 10.0, "operating_cash": c("qty") * 20.0, "assets": c("revenue") * 3.0 + c("cost"), "deferred": c("cost") * 1.5,
         "receivables": c("tax") * 1.25, "goodwill": c("cost") * 2.0, "shares": c("qty"), "debt": F.when(c("qi") % 3 > 0, c("cost") * 3.0), "cash": c("tax") * 3.0,
     }
-    return ratios(spark, d).withColumns(new)
+    return cut_lineage(ratios(spark, d)).withColumns(new)
 
 
 def grown(spark: SparkSession, d: str) -> DataFrame:
