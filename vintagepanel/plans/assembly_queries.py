@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vintagepanel.functions.sizes import cut_lineage
 from vintagepanel.operators import assembly, evaluation, market, panel, series, temporal
 from vintagepanel.plans import views as v
 from vintagepanel.plans.panel_queries import _FEATURE_SQL, _FEATURES, _MATCH, _QUARTERS, quarterly_series, sql_round
@@ -152,10 +153,10 @@ def _guidance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def full_panel(spark: SparkSession, d: str) -> DataFrame:
-    days = v.daily(spark, d)
+    days = cut_lineage(v.daily(spark, d))
     returns = market.calendar_returns(days)
     bench = v.bench(spark, d).withColumn("rb", F.try_divide(F.col("px"), F.lag("px").over(Window.orderBy("date"))) - 1).join(returns.select("date", "cal").distinct(), "date").select("cal", "rb")
-    macro = quarterly_series(spark, d)
+    macro = cut_lineage(quarterly_series(spark, d))
     long = macro.select("qi", F.explode(F.array(*[F.struct(F.lit(s).alias("series"), F.col(s).alias("value")) for s in SERIES])).alias("x")).select("qi", "x.*")
     i = v.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("industry"), v.quarter_index(F.col("o_orderdate")).alias("qi")).agg(v.cents(F.col("o_totalprice")).alias("value"))
     acc = v.accounts(spark, d)
