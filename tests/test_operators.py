@@ -249,6 +249,13 @@ def test_company_facts(spark):
     assert [(r.tag, r.unit, r.val, r.start) for r in got] == [("Revenues", "USD", 5.0, day("2024-01-01")), ("Sales", "EUR", 6.0, None)]
 
 
+def test_company_facts_are_parsed_once(spark):
+    raw = spark.createDataFrame([("x", "{")], "entity string, json string")
+    concepts = spark.createDataFrame([("revenue", "Sales", 0, "USD")], "concept string, tag string, prio int, unit string")
+    for x in (feeds.facts_to_long(raw, concepts), feeds.damaged_facts(raw)):
+        assert x._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_nested_feeds(spark):
     est = spark.createDataFrame([("x", [{"date": "2024-03-31", "revenueAvg": "5"}], [{"fiscalDateEnding": "2024-12-31", "estimatedRevenueAvg": "20", "asof": "2024-01-01"}])], "entity string, quarterly array<map<string,string>>, annual array<map<string,string>>")
     assert [(r.period_type, r.fiscal_date, r.asof, r["avg"]) for r in feeds.flatten_estimates(est, "2024-02-02").collect()] == [("quarterly", "2024-03-31", "2024-02-02", 5.0), ("annual", "2024-12-31", "2024-01-01", 20.0)]

@@ -53,12 +53,17 @@ def unresolved(resolved: DataFrame) -> DataFrame:
 NOT_JSON, NO_FACTS = "not JSON", "no facts"
 
 
+def once(x: Column) -> Column:
+    """x as a column of its own that filters further on refer to, instead of computing x again: for what is dear, such as parsing."""
+    return F.explode(F.array(x))
+
+
 def damaged_facts(raw: DataFrame) -> DataFrame:
     """entity, reason, json of the documents of company facts (entity, json) that give facts_to_long nothing: those that cannot be read as JSON of this shape, null ones among them, and those without a tag.
 
     A document loses itself alone; the table is to be kept beside what the others gave.
     """
-    parsed = raw.select("entity", "json", F.from_json("json", f"{COMPANY_FACTS}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("f"))
+    parsed = raw.select("entity", "json", once(F.from_json("json", f"{COMPANY_FACTS}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})).alias("f"))
     tags = F.map_keys(F.col("f.facts.us-gaap"))
     reason = F.when(F.col("json").isNull() | F.col("f").isNull() | F.col("f._corrupt_record").isNotNull(), NOT_JSON).when(F.coalesce(F.size(tags), F.lit(0)) <= 0, NO_FACTS)
     return parsed.select("entity", reason.alias("reason"), "json").filter("reason IS NOT NULL")
@@ -70,7 +75,7 @@ def facts_to_long(raw: DataFrame, concepts: DataFrame) -> DataFrame:
     A tag's values come from its preferred unit, or its first one if that is not there.
     Damaged documents have no rows; damaged_facts lists them.
     """
-    parsed = raw.select("entity", F.from_json("json", COMPANY_FACTS).alias("f")).select("entity", F.explode(F.col("f.facts.us-gaap")).alias("tag", "body"))
+    parsed = raw.select("entity", once(F.from_json("json", COMPANY_FACTS)).alias("f")).select("entity", F.explode(F.col("f.facts.us-gaap")).alias("tag", "body"))
     matched = parsed.join(small(concepts), "tag")
     units = F.col("body.units")
     chosen = F.coalesce(F.try_element_at(units, F.col("unit")), F.get(F.map_values(units), F.lit(0)))
